@@ -124,7 +124,7 @@ def _markers(texts: list[set[str]], toxic: np.ndarray, least: float = 25.0) -> s
     return out
 
 
-def train(texts: list[str], toxic: np.ndarray, steps: int = 60, penalty: float = 1e-3) -> Crf:
+def train(texts: list[str], toxic: np.ndarray, steps: int = 40, penalty: float = 1e-3) -> Crf:
     """Fits the CRF on documents with 0/1 labels by gradient ascent (Adam), and the curve of the score on their marginals."""
     docs = [_word.findall(t.lower()) for t in texts]
     toxic = np.asarray(toxic, bool)
@@ -187,7 +187,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 60, penalty: float =
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_class: int = 2500) -> Crf:
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_class: int = 1500) -> Crf:
     """Fits on at most rows_per_class documents of each label, those whose md5 of the key is least: a fixed random sample. Rows
     with another label, or null, teach nothing. Without documents of both labels every score is low."""
     h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
