@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import sampled
+
 BEGINNINGS = (3, 4, 5, 6, 7)
 CACHE = 300_000  # tokens whose weight a worker remembers; all are forgotten when it is full
 _word = re.compile(r"\w+")
@@ -187,12 +189,13 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 40, penalty: float =
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_class: int = 1500) -> Crf:
-    """Fits on at most rows_per_class documents of each label, those whose md5 of the key is least: a fixed random sample. Rows
-    with another label, or null, teach nothing. Without documents of both labels every score is low."""
-    h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"), h.alias("h"))
-    got = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "t").limit(rows_per_class).select("t", "y").collect()]
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_class: int = 1500) -> Crf:
+    """Fits on at most rows_per_class labelled keys of each label 0 and 1, those whose md5 is least: a fixed random sample, so that
+    the driver gets at most twice as many texts. Keys with another label, or null, and those that docs lacks teach nothing; of
+    several labels of a key the largest counts. Without documents of both labels every score is low."""
+    per_key = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    chosen = sampled(per_key.where("y = 0"), "k", rows_per_class).union(sampled(per_key.where("y = 1"), "k", rows_per_class))
+    got = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k").orderBy("k").collect()
     return train([r["t"] for r in got], np.array([r["y"] for r in got], bool))
 
 
