@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import sampled
+
 DIM = 4096
 UNKNOWN = "und"
 
@@ -124,8 +126,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             got = [(k, v.astype(np.float16).tobytes()) for t, k in zip(b.column(0), b.column(1).to_pylist(), strict=True) if (v := features(t.as_py() or "")) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([v for _, v in got], pa.binary())], ["lang", "v"])
 
-    sample = labelled.where(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("h"))
-    rows = sample.orderBy("h", "t").limit(train_rows).select("t", "l").mapInArrow(vectors, "lang string, v binary").collect()
+    sample = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    rows = sampled(sample, "k", train_rows).select("t", "l").mapInArrow(vectors, "lang string, v binary").collect()
     model = Model()
     if not rows:
         return model
