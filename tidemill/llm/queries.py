@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, fingerprint, html_text, language, licences, mixing, toxicity
+from tidemill.llm import byte_bpe, fingerprint, html_text, language, licences, mixing, near_dedup, toxicity
 from tidemill.llm.common import fold, table
 
 
@@ -34,6 +34,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
+    "op2_near_dedup": op2_near_dedup,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
     "op6_mixing": op6_mixing,
