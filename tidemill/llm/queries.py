@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, fingerprint, html_text, language, licences, mixing, near_dedup, repeats, toxicity
+from tidemill.llm import byte_bpe, fingerprint, html_text, language, lattice, licences, mixing, near_dedup, repeats, toxicity
 from tidemill.llm.common import fold, table
 
 
@@ -54,6 +54,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_near_dedup": op2_near_dedup,
@@ -64,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_lattice": op10_lattice,
 }
 ORACLES: dict[str, str] = {"op1_licences": licences.scan_sql()}
