@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import sampled
 
 BEGINNINGS = (3, 4, 5, 6, 7)
-CACHE = 300_000  # tokens whose weight a worker remembers; all are forgotten when it is full
+SMALL = 0.3  # weights under this are left out of the model
+CACHE = 100_000  # tokens whose weight a worker remembers; all are forgotten when it is full
 _word = re.compile(r"\w+")
 
 
@@ -78,6 +80,26 @@ class Crf:
     def weight(self, word: str) -> float:
         return sum(self.weights.get(x, 0.0) for x in traits(word))
 
+    def chain(self, words: list[str], cache: dict[str, float]) -> np.ndarray | None:
+        """The words' weights, or None if all are 0. Only words that begin like a trait can have one."""
+        heads = self.heads
+        at = [i for i, w in enumerate(words) if w[:3] in heads]
+        if not at:
+            return None
+        own = [words[i] for i in at]
+        for w in own:
+            if w not in cache:
+                if len(cache) > CACHE:
+                    cache.clear()
+                cache[w] = self.weight(w)
+        out = np.zeros(len(words))
+        out[at] = [cache[w] if w in cache else self.weight(w) for w in own]
+        return out if out.any() else None
+
+    @cached_property
+    def heads(self) -> set[str]:
+        return {t.removeprefix("=")[:3] for t in self.weights}
+
     def marginals(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """Marginals of state 1 for each chain of word weights; chains of like length go together."""
         out: list[np.ndarray] = [np.zeros(0)] * len(chains)
@@ -86,18 +108,42 @@ class Crf:
         while lo < len(order):
             longest = len(chains[order[lo]])
             hi = lo
-            while hi < len(order) and len(chains[order[hi]]) * 2 >= longest and (hi - lo + 1) * longest <= max(longest, 1_000_000):
+            while hi < len(order) and len(chains[order[hi]]) * 4 >= longest * 3 and (hi - lo + 1) * longest <= max(longest, 500_000):
                 hi += 1
             own = order[lo:hi]
-            u = np.zeros((len(own), longest))
+            lengths = np.array([len(chains[i]) for i in own])
+            odds = np.ones((longest, len(own)))
             for r, i in enumerate(own):
-                u[r, : len(chains[i])] = chains[i] + self.bias
-            p, _, _ = forward_backward(u, np.array([len(chains[i]) for i in own]), self.start, self.move)
+                odds[: lengths[r], r] = np.exp(np.clip(chains[i] + self.bias, -30, 30))
+            p = self._marginals(odds, lengths)
             for r, i in enumerate(own):
-                out[i] = p[r, : len(chains[i])]
+                out[i] = p[: lengths[r], r]
             lo = hi
         return out
 
+    def _marginals(self, odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Forward-backward on shares instead of logarithms. odds: [steps, chains] of state 1 by its words alone; chains by falling
+        length."""
+        steps = len(odds)
+        active = np.searchsorted(-lengths, -np.arange(steps), "left")
+        m = np.exp(np.clip(self.move - self.move.max(), -30, 0))
+        fore, back = np.empty_like(odds), np.full_like(odds, 0.5)
+        x = odds[0] * np.exp(np.clip(self.start, -30, 30))
+        fore[0] = x / (1 + x)
+        for t in range(1, steps):
+            n = active[t]
+            p = fore[t - 1, :n]
+            one = (m[0, 1] + p * (m[1, 1] - m[0, 1])) * odds[t, :n]
+            fore[t, :n] = one / (one + m[0, 0] + p * (m[1, 0] - m[0, 0]))
+        for t in range(steps - 2, -1, -1):
+            n = active[t + 1]
+            q = back[t + 1, :n]
+            one, zero = q * odds[t + 1, :n], 1 - q
+            up = m[1, 0] * zero + m[1, 1] * one
+            back[t, :n] = up / (up + m[0, 0] * zero + m[0, 1] * one)
+        both = fore * back
+        return both / (both + (1 - fore) * (1 - back))
+
     def score(self, p: np.ndarray) -> float:
         """Document score of its marginals; of an empty document, that of no toxic token."""
         c, few, most = self.curve
@@ -175,7 +221,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 40, penalty: float =
         g = (target - np.concatenate([gather(p), moves.ravel()])) / n - penalty * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    model.weights = {t: float(x) for t, x in zip(known, theta, strict=False) if abs(x) > 1e-3}
+    model.weights = {t: float(x) for t, x in zip(known, theta, strict=False) if abs(x) >= SMALL}
     model.bias, model.start, model.move = float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy()
     weight = {w: model.weight(w) for w in bears}
     p = model.marginals([np.array([weight[w] for w in d]) for d in docs])
@@ -215,14 +261,7 @@ def tag(docs: DataFrame, model: Crf, text: str = "text", keep: tuple[str, ...] =
                 chains = []
                 for t in texts:
                     words = _word.findall(t.lower())
-                    try:
-                        chain = list(map(known.__getitem__, words))
-                    except KeyError:
-                        if len(known) > CACHE:
-                            known.clear()
-                        known.update({w: crf.weight(w) for w in set(words) if w not in known})
-                        chain = list(map(known.__getitem__, words))
-                    chains.append((len(words), np.array(chain) if any(chain) else None))
+                    chains.append((len(words), crf.chain(words, known)))
                 for k in {k for k, c in chains if c is None and k not in blank}:
                     blank[k] = crf.score(crf.marginals([np.zeros(k)])[0])
                 full = [i for i, (_, c) in enumerate(chains) if c is not None]
