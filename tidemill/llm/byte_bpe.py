@@ -15,6 +15,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FIRST_LETTER = 0x100  # byte b is written as the letter with this code plus b
 CACHE = 200_000  # pre-tokens that a worker remembers; all are forgotten when it is full
@@ -140,25 +141,27 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids
     return encoded.select(key, ids).mapInArrow(run, f"k {kind}, decoded binary").withColumnRenamed("k", key)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: (key, n_tokens, ids_sha256 of the comma-joined ids, decoded_sha256).
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Encodes and decodes in one pass: (kept columns, n_tokens, ids_sha256 of the comma-joined ids, decoded_sha256).
 
     The ids never leave the worker, so nothing but digests moves. Null and empty texts have no ids.
     """
 
+    width = len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = coder(path, pattern), hashlib.sha256
         for b in batches:
             n, of_ids, of_bytes = [], [], []
-            for t in b.column(1):
+            for t in b.column(width):
                 ids = bpe.encode(t.as_py() or "")
                 n.append(len(ids))
                 of_ids.append(sha(",".join(map(NUMBERS.__getitem__, ids) if len(bpe.tokens) <= len(NUMBERS) else map(str, ids)).encode()).hexdigest())
                 of_bytes.append(sha(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 NUMBERS = [str(i) for i in range(1 << 16)]
