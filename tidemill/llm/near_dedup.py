@@ -7,8 +7,10 @@ larger, equal and smaller registers, given both set sizes, estimates the Jaccard
 threshold is compared on whole sets.
 
 Documents with equal sets are one class from the start. A first round proposes for each class its most similar partners in its
-buckets; a second round proposes every other promising pair of a bucket that the links so far leave in different components.
-Buckets of more than TILE classes are compared in tiles of TILE by TILE, so no task holds a bucket and none is capped.
+buckets. A second round turns to the members of buckets that the links so far leave in several components: those with a
+promising partner in another component come together with their texts, and every such pair is verified, or found joined by
+then, in the first bucket that it shares. Buckets of more than TILE classes are compared in tiles of TILE by TILE, so no task holds a
+bucket and none is capped; tiles return at most one row a member, never the pairs.
 """
 
 from __future__ import annotations
@@ -148,47 +150,89 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("k"), text).mapInArrow(run, "k long, n_shingles long, d1 long, d2 long, sketch binary").withColumnRenamed("k", key)
 
 
-def _tiles(rows: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs (a < b) of tiles. rows: key, ti, tj, block, id, n, sketch, comp. every: all promising pairs of different
-    components; else each member's most similar one."""
-
-    def pairs(block: np.ndarray, ids: np.ndarray, n: np.ndarray, regs: np.ndarray, comp: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-        out_a, out_b = [], []
-        left = np.flatnonzero(block == block.min()) if cross else np.arange(len(ids))
-        right = np.flatnonzero(block != block.min()) if cross else left
-        best = {}
-        for lo in range(0, len(left), 64):
-            own = left[lo : lo + 64]
-            same = (regs[own][:, None, :] == regs[right][None, :, :]).sum(axis=2, dtype=np.int32)
-            ok = (same >= 0.7 * REGISTERS) & (100 * np.minimum(n[own][:, None], n[right][None, :]) >= PERCENT * np.maximum(n[own][:, None], n[right][None, :]))
-            ok &= ids[own][:, None] != ids[right][None, :] if cross or not every else ids[own][:, None] < ids[right][None, :]
-            if every:
-                ok &= comp[own][:, None] != comp[right][None, :]
-            r, c = np.nonzero(ok)
-            if not len(r):
-                continue
-            a, b = own[r], right[c]
-            likely = np.concatenate([likeliest(n[a[i : i + 4096]], n[b[i : i + 4096]], (regs[a[i : i + 4096]] > regs[b[i : i + 4096]]).sum(axis=1), (regs[a[i : i + 4096]] < regs[b[i : i + 4096]]).sum(axis=1)) for i in range(0, len(a), 4096)])
+def _promising(block: np.ndarray, ids: np.ndarray, n: np.ndarray, regs: np.ndarray, comp: np.ndarray | None, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, likelihood estimate) of a tile's pairs that may reach the threshold; with comp only those of different components."""
+    left = np.flatnonzero(block == block.min()) if cross else np.arange(len(ids))
+    right = np.flatnonzero(block != block.min()) if cross else left
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for lo in range(0, len(left), 64):
+        own = left[lo : lo + 64]
+        same = (regs[own][:, None, :] == regs[right][None, :, :]).sum(axis=2, dtype=np.int32)
+        ok = (same >= 0.7 * REGISTERS) & (100 * np.minimum(n[own][:, None], n[right][None, :]) >= PERCENT * np.maximum(n[own][:, None], n[right][None, :]))
+        ok &= ids[own][:, None] != ids[right][None, :] if cross else ids[own][:, None] < ids[right][None, :]
+        if comp is not None:
+            ok &= comp[own][:, None] != comp[right][None, :]
+        r, c = np.nonzero(ok)
+        for k in range(0, len(r), 4096):
+            a, b = own[r[k : k + 4096]], right[c[k : k + 4096]]
+            likely = likeliest(n[a], n[b], (regs[a] > regs[b]).sum(axis=1), (regs[a] < regs[b]).sum(axis=1))
             keep = likely >= PROMISING
-            a, b, likely = a[keep], b[keep], likely[keep]
-            if not every and len(a):  # the most similar partner of each member, on either side
-                for x, y in ((a, b), (b, a)) if cross else ((a, b),):
-                    order = np.lexsort((ids[y], -likely, x))
-                    head = order[np.r_[True, x[order][1:] != x[order][:-1]]]
-                    for i in head:
-                        if best.get(x[i], (-1.0, 0))[0] < likely[i]:
-                            best[x[i]] = (likely[i], y[i])
-            else:
-                out_a.append(ids[a])
-                out_b.append(ids[b])
-        if best:
-            x = np.array(list(best))
-            out_a.append(ids[x])
-            out_b.append(ids[np.array([y for _, y in best.values()])])
-        if not out_a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return np.minimum(a, b), np.maximum(a, b)
+            out.append((a[keep], b[keep], likely[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _first_here(regs_a: np.ndarray, regs_b: np.ndarray, band: int) -> np.ndarray:
+    """Whether `band` is the first band in which the sketches agree: each pair is judged in one bucket only."""
+    agree = (regs_a.reshape(-1, REGISTERS // BAND, BAND) == regs_b.reshape(-1, REGISTERS // BAND, BAND)).all(axis=2)
+    return agree.argmax(axis=1) == band
+
+
+def _nearest(t: dict, cross: bool) -> list[tuple[int, int]]:
+    """Each member with its most similar partner in the tile."""
+    i, j, likely = _promising(t["block"], t["id"], t["n"], t["regs"], None, cross)
+    x, y, likely = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([likely, likely])
+    order = np.lexsort((t["id"][y], -likely, x))
+    x, y = x[order], y[order]
+    head = np.r_[True, x[1:] != x[:-1]][: len(x)]
+    a, b = t["id"][x[head]], t["id"][y[head]]
+    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+
+
+def _open_members(t: dict, cross: bool) -> list[tuple[int, int]]:
+    """(bucket, member) of the members that have a promising partner in another component."""
+    i, j, _ = _promising(t["block"], t["id"], t["n"], t["regs"], t["comp"], cross)
+    here = _first_here(t["regs"][i], t["regs"][j], int(t["band"][0]))
+    return [(int(t["key"][0]), int(x)) for x in t["id"][np.unique(np.concatenate([i[here], j[here]]))]]
+
+
+def _joined(t: dict, cross: bool) -> list[tuple[int, int]]:
+    """Links that join components, verified on whole sets; the most similar pairs first, and none between what is joined by then."""
+    i, j, likely = _promising(t["block"], t["id"], t["n"], t["regs"], t["comp"], cross)
+    here = _first_here(t["regs"][i], t["regs"][j], int(t["band"][0]))
+    i, j, likely = i[here], j[here], likely[here]
+    parent: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def shingles(k: int) -> np.ndarray:
+        if k not in sets:
+            raw = np.frombuffer((t["text"][k].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+            sets[k] = next(shingle_sets(raw, np.array([0, len(raw)])))
+        return sets[k]
+
+    out = []
+    for k in np.argsort(-likely, kind="stable"):
+        a, b = int(i[k]), int(j[k])
+        x, y = root(int(t["comp"][a])), root(int(t["comp"][b]))
+        if x != y and alike(shingles(a), shingles(b)):
+            parent[x] = y
+            out.append((int(min(t["id"][a], t["id"][b])), int(max(t["id"][a], t["id"][b]))))
+    return out
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
+def _tiles(rows: DataFrame, judge, names: tuple[str, str]) -> DataFrame:
+    """What `judge` finds in each tile. rows: key, band, c (size of the bucket), id, n, sketch, comp, and text if it is needed."""
+    columns = ["key", "ti", "tj", "band", "block", "id", "n", "comp", "sketch", *(["text"] if "text" in rows.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -197,30 +241,32 @@ def _tiles(rows: DataFrame, every: bool) -> DataFrame:
             t = t.combine_chunks()
             tile = np.column_stack([t.column(c).to_numpy() for c in ("key", "ti", "tj")])
             cut = np.r_[0, np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1, len(tile)]
-            if not last:
-                cut = cut[:-1]
-            if len(cut) < 2:
-                return [], t
-            ids, n, comp, block = (t.column(c).to_numpy() for c in ("id", "n", "comp", "block"))
-            regs = byte_column(t.column("sketch"))[0].reshape(-1, REGISTERS)
-            found = [pairs(block[i:j], ids[i:j], n[i:j], regs[i:j], comp[i:j], bool(tile[i, 1] != tile[i, 2])) for i, j in zip(cut[:-1], cut[1:], strict=True) if j - i > 1]
-            return [x for x in found if len(x[0])], t.slice(cut[-1])
+            cut = cut if last else cut[:-1]
+            whole = {c: t.column(c).to_numpy() for c in ("key", "band", "block", "id", "n", "comp")}
+            whole["regs"] = byte_column(t.column("sketch"))[0].reshape(-1, REGISTERS)
+            found = []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if j - i > 1:
+                    own = {c: x[i:j] for c, x in whole.items()} | ({"text": t.column("text").slice(i, j - i)} if "text" in columns else {})
+                    found += judge(own, bool(tile[i, 1] != tile[i, 2]))
+            return found, t.slice(cut[-1])
+
+        def made(found: list) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], list(names))
 
         for b in batches:
             t = pa.Table.from_batches([b])
             found, held = done(pa.concat_tables([held, t]) if held is not None and len(held) else t, False)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1)], ["a", "b"])
+            yield from made(found)
         if held is not None and len(held):
-            found, _ = done(held, True)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1)], ["a", "b"])
+            yield from made(done(held, True)[0])
 
     blocks = F.ceil(F.col("c") / TILE)
     tiled = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    tiled = tiled.select("key", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "id", "n", "sketch", "comp")
+    tiled = tiled.withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other")).select(*columns)
     dealt = tiled.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, f"{names[0]} long, {names[1]} long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -231,8 +277,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             sets = zip(shingle_sets(*byte_column(b.column(2))), shingle_sets(*byte_column(b.column(3))), strict=True)
             for i, (x, y) in enumerate(sets):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                if alike(x, y):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
@@ -250,19 +295,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     clean = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = written(sketches(clean, "id").dropDuplicates(["id"]))
     classes = written(sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch")))
-    bands = [F.struct(F.xxhash64(F.lit(i), F.substring("sketch", i * BAND + 1, BAND)).alias("key")) for i in range(REGISTERS // BAND)]
-    keyed = classes.select(F.col("rep").alias("id"), F.explode(F.array(*bands)).alias("e")).select("id", "e.key")
+    bands = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sketch", i * BAND + 1, BAND)).alias("key")) for i in range(REGISTERS // BAND)]
+    keyed = classes.select(F.col("rep").alias("id"), F.explode(F.array(*bands)).alias("e")).select("id", "e.band", "e.key")
     members = written(keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"))
     crowd = members.select("id").distinct()
     texts = written(clean.join(crowd, "id", "left_semi").dropDuplicates(["id"]))
     reps = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-    first = written(_tiles(members.join(reps, "id").withColumn("comp", F.col("id")), every=False))
+    first = written(_tiles(members.join(reps, "id").withColumn("comp", F.col("id")), _nearest, ("a", "b")))
     links = written(_verified(first, texts))
     comps = connected(links)
     tagged = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = _tiles(tagged.join(mixed, "key").join(reps, "id"), every=True).join(first, ["a", "b"], "left_anti")
-    more = written(_verified(written(rest), texts))
+    split = written(tagged.join(mixed, "key").join(reps, "id"))
+    unsure = written(_tiles(split, _open_members, ("key", "id")))
+    more = written(_tiles(split.join(unsure, ["key", "id"]).join(texts, "id"), _joined, ("a", "b")))
     final = connected(links.union(more)).withColumnRenamed("node", "rep")
     named = classes.select("n_shingles", "d1", "d2", "rep").join(final, "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).drop("component", "rep")
     out = sketched.drop("sketch").join(named, ["n_shingles", "d1", "d2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
