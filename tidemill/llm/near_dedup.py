@@ -62,7 +62,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def shingle_sets(raw: np.ndarray, at: np.ndarray, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(raw: np.ndarray, at: np.ndarray, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text raw[at[i]:at[i+1]]; empty without a word."""
     lo, n = 0, len(at) - 1
     while lo < n:

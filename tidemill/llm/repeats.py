@@ -30,7 +30,9 @@ from tidemill.llm.common import byte_column, written
 LENGTH = 100
 GRAM = 12
 CONTEXT = (LENGTH - GRAM) // 2
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes that are hashed at a time
+BATCH = 8 << 20  # bytes whose phrases a task compares among themselves
+SUFFIXES = 2 << 20  # bytes whose suffixes a task compares among themselves
 
 _rng = np.random.default_rng(7)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,6 +132,17 @@ def _parsed(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else parse(np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of rows of about `size` bytes of text, so that a task's memory does not follow the rows' length."""
+    for b in batches:
+        _, at = byte_column(b.column(column))
+        lo = 0
+        while lo < len(b):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 FIRST, REPEAT, CHECK = 0, 1, 2
 _MARKS = "doc long, start int, runs int, kind int"
 
@@ -143,7 +156,7 @@ def _phrases(docs: DataFrame) -> DataFrame:
     """(route, several, content, doc, start, runs, kind) of each phrase, after the task's own equal phrases are resolved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, BATCH):
             ids = b.column(0).to_numpy()
             context, content, text, start, runs = _parsed(b.column(1))
             doc = ids[text] if len(text) else np.zeros(0, np.int64)
@@ -212,10 +225,10 @@ def _suffixes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     listed = marks.where(F.col("kind") == CHECK).groupBy("doc").agg(F.collect_list(F.struct("start", "runs")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, SUFFIXES):
             ids, lists = b.column(0).to_numpy(), b.column(2)
             first = lists.offsets.to_numpy()
-            starts, runs = (lists.values.field(i).to_numpy() for i in range(2))
+            starts, runs = (lists.values.field(i).to_numpy() for i in range(2))  # offsets count from the start of the values, in slices too
             found = []
             for raw, at, row in _pieces(b.column(1)):
                 one, two = _Spans(raw, _byte), _Spans(raw, _other)
@@ -280,7 +293,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
     extra = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, BATCH):
             raw, at = byte_column(b.column(1))
             lists = b.column(2)
             n_bytes, n_removed, n_spans, kept = [], [], [], []
