@@ -332,3 +332,79 @@ _p3 = stage("p3", "p2", vol_risk_premium="iv_proxy - rv", dist_to_max_pain="(clo
 @register("macro_option_proxies", sql([_p1, _p2, _p3, *ranked("p4", "p3", "inflation_proxy", "v60", 252)], S.PROXIES, "p4b"))
 def macro_option_proxies(spark: SparkSession, d: str) -> DataFrame:
     return shown(S.proxies(based(spark, d)), S.PROXIES)
+
+
+# ---------------------------------------------------------------- recursive indicators and candles
+from tidemill.operators import candles as K  # noqa: E402
+from tidemill.operators import recursive as R  # noqa: E402
+
+
+def _recursive_sql() -> str:
+    """Exponential means, MACD, Wilder's RSI and ATR by a recursive query over the bars of each symbol."""
+    seeds = stage("seeds", "base", g="greatest(close - last, 0)", lo="greatest(last - close, 0)", t="CASE WHEN last IS NOT NULL THEN tr END")
+    means = stage("means", "seeds", **{f"m{n}": full("close", n) for n in (5, 10, 12, 20, 26, 50, 100)}, **{f"g{n}": full("g", n) for n in (7, 14, 21)}, **{f"l{n}": full("lo", n) for n in (7, 14, 21)}, **{f"t{n}": full("t", n) for n in (7, 14, 21)})
+    cols, first, step = [], [], []
+    for n in (5, 10, 20, 50, 100):
+        cols.append(f"ema_{n}")
+        first.append("NULL::DOUBLE")
+        step.append(f"CASE WHEN b.seq = {n} THEN b.m{n} ELSE s.ema_{n} + (b.close - s.ema_{n}) * 2 / {n + 1}.0::DOUBLE END")
+    for n, name in ((12, "fast"), (26, "slow")):
+        cols.append(name)
+        first.append("NULL::DOUBLE")
+        step.append(f"CASE WHEN b.seq = 26 THEN b.m{n} ELSE s.{name} + (b.close - s.{name}) * 2 / {n + 1}.0::DOUBLE END")
+    for k in (7, 14, 21):
+        for x in ("g", "l", "t"):
+            cols.append(f"w{x}{k}")
+            first.append("NULL::DOUBLE")
+            step.append(f"CASE WHEN b.seq = {k + 1} THEN b.{x}{k} ELSE (s.w{x}{k} * {k - 1} + b.{'lo' if x == 'l' else x}) / {k} END")
+    scan = f"scan AS (SELECT symbol, ts, seq, close, {', '.join(f'{v} AS {k}' for k, v in zip(cols, first, strict=True))} FROM means WHERE seq = 1 UNION ALL SELECT b.symbol, b.ts, b.seq, b.close, {', '.join(step)} FROM scan s JOIN means b ON b.symbol = s.symbol AND b.seq = s.seq + 1)"
+    shown_ = [f"ema_{n}" for n in (5, 10, 20, 50, 100)] + ["macd", "rsi", "rsi_7", "rsi_21", "cmo", "atr", "atr_7", "atr_21", "natr"]
+    out = "out AS (SELECT *, fast - slow AS macd, 100 * wg14 / nullif(wg14 + wl14, 0) AS rsi, 100 * wg7 / nullif(wg7 + wl7, 0) AS rsi_7, 100 * wg21 / nullif(wg21 + wl21, 0) AS rsi_21, 100 * (wg14 - wl14) / nullif(wg14 + wl14, 0) AS cmo, wt14 AS atr, wt7 AS atr_7, wt21 AS atr_21, 100 * wt14 / close AS natr FROM scan)"
+    return sql([seeds, means, scan, out], shown_, "out", 5).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+RECURSIVE_SHOWN = [f"ema_{n}" for n in (5, 10, 20, 50, 100)] + ["macd", "rsi", "rsi_7", "rsi_21", "cmo", "atr", "atr_7", "atr_21", "natr"]
+
+
+@register("recursive_core", _recursive_sql())
+def recursive_core(spark: SparkSession, d: str) -> DataFrame:
+    return shown(R.recursive(B.brand_week(spark, d)), RECURSIVE_SHOWN, 5)
+
+
+@register("recursive_all")
+def recursive_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.recursive(B.brand_week(spark, d)))
+
+
+_cp = stage("cp", "base", o1=lag("open"), h1=lag("high"), l1=lag("low"), c1=lag("close"), body="abs(close - open)", rng="high - low", up="high - greatest(open, close)", dn="least(open, close) - low")
+_cm = stage("cm", "cp", mb=f"CASE WHEN count(body) {over(-10, -1)} = 10 THEN avg(body) {over(-10, -1)} END", mr=f"CASE WHEN count(rng) {over(-10, -1)} = 10 THEN avg(rng) {over(-10, -1)} END")
+_cm2 = stage("cm2", "cm", mb1=lag("mb"), mr1=lag("mr"), body1=lag("body"))
+
+
+def _pick(bull: str | None, bear: str | None = None) -> str:
+    out = "CASE"
+    for cond, v in ((bull, 100), (bear, -100)):
+        out += f" WHEN coalesce({cond}, false) THEN {v}" if cond else ""
+    return out + " ELSE 0 END"
+
+
+_CANDLE_SQL = {
+    "cdl_doji": _pick("body <= 0.1 * mr"),
+    "cdl_marubozu": _pick("close >= open AND body > mb AND up < 0.1 * mr AND dn < 0.1 * mr", "close < open AND body > mb AND up < 0.1 * mr AND dn < 0.1 * mr"),
+    "cdl_spinningtop": _pick("close >= open AND body < mb AND up > body AND dn > body", "close < open AND body < mb AND up > body AND dn > body"),
+    "cdl_longline": _pick("close >= open AND body > mb AND up < body / 2 AND dn < body / 2", "close < open AND body > mb AND up < body / 2 AND dn < body / 2"),
+    "cdl_engulfing": _pick("close >= open AND c1 < o1 AND close >= o1 AND open <= c1 AND body > body1", "close < open AND c1 >= o1 AND open >= c1 AND close <= o1 AND body > body1"),
+    "cdl_harami": _pick("body1 > mb1 AND c1 < o1 AND body < mb AND greatest(open, close) < o1 AND least(open, close) > c1", "body1 > mb1 AND c1 >= o1 AND body < mb AND greatest(open, close) < c1 AND least(open, close) > o1"),
+    "cdl_matchinglow": _pick("c1 < o1 AND close < open AND abs(close - c1) <= 0.05 * mr1"),
+    "cdl_piercing": _pick("body1 > mb1 AND body > mb AND c1 < o1 AND close >= open AND open < l1 AND close < o1 AND close > c1 + body1 / 2"),
+}
+
+
+@register("candles_core", sql([_cp, _cm, _cm2, stage("cc", "cm2", **_CANDLE_SQL)], list(_CANDLE_SQL), "cc", ints=tuple(_CANDLE_SQL)))
+def candles_core(spark: SparkSession, d: str) -> DataFrame:
+    return K.candles(B.brand_week(spark, d)).select("symbol", "ts", *_CANDLE_SQL)
+
+
+@register("candles_all")
+def candles_all(spark: SparkSession, d: str) -> DataFrame:
+    return K.candles(B.brand_week(spark, d))
