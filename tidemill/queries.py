@@ -408,3 +408,155 @@ def candles_core(spark: SparkSession, d: str) -> DataFrame:
 @register("candles_all")
 def candles_all(spark: SparkSession, d: str) -> DataFrame:
     return K.candles(B.brand_week(spark, d))
+
+
+# ---------------------------------------------------------------- cleaning
+from tidemill.operators import cleaning as C  # noqa: E402
+from tidemill.operators import joins as J  # noqa: E402
+from tidemill.operators import signals as G  # noqa: E402
+
+
+def holed(spark: SparkSession, d: str) -> DataFrame:
+    """The brand bars with gaps: every seventh and eleventh close is missing."""
+    b = based(spark, d)
+    return b.select("symbol", "ts", "seq", F.when((F.col("seq") % 7 != 0) & (F.col("seq") % 11 != 0) & (F.col("seq") > 2), F.col("close")).alias("close"))
+
+
+HOLED = f"{BASE}, holed AS (SELECT symbol, ts, seq, CASE WHEN seq % 7 <> 0 AND seq % 11 <> 0 AND seq > 2 THEN close END AS close FROM base)"
+_after = f"OVER ({ROW} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+_g1 = stage("g1", "holed", f=f"last_value(close IGNORE NULLS) {over('all')}", n=f"first_value(close IGNORE NULLS) {_after}", sp=f"last_value(CASE WHEN close IS NOT NULL THEN seq END IGNORE NULLS) {over('all')}", sn=f"first_value(CASE WHEN close IS NOT NULL THEN seq END IGNORE NULLS) {_after}", mn="avg(close) OVER (PARTITION BY symbol)", md="median(close) OVER (PARTITION BY symbol)")
+_g2 = stage("g2", "g1", ffill="coalesce(f, n)", bfill="coalesce(n, f)", interpolate="coalesce(close, f + (n - f) * (seq - sp) / nullif(sn - sp, 0), n, f)", mean="coalesce(close, mn)", median="coalesce(close, md)", zero="coalesce(close, 0)")
+_FILLS = ["ffill", "bfill", "interpolate", "mean", "median", "zero"]
+
+
+@register("fill_methods", sql([_g1, _g2], _FILLS, "g2", head=HOLED))
+def fill_methods(spark: SparkSession, d: str) -> DataFrame:
+    b = holed(spark, d).withColumn("_seq", F.col("seq"))
+    return shown(b.withColumns({m: C.filled("close", m) for m in _FILLS}), _FILLS)
+
+
+_o1 = stage("o1", "base", m="avg(close) OVER (PARTITION BY symbol)", s="stddev_pop(close) OVER (PARTITION BY symbol)", q1="quantile_cont(close, 0.25) OVER (PARTITION BY symbol)", q3="quantile_cont(close, 0.75) OVER (PARTITION BY symbol)", md="median(close) OVER (PARTITION BY symbol)")
+_o2 = stage("o2", "o1", mad="median(abs(close - md)) OVER (PARTITION BY symbol)")
+_o3 = stage("o3", "o2", zscore="coalesce(abs((close - m) / nullif(s, 0)) > 3, false)", iqr="coalesce(close < q1 - 1.5 * (q3 - q1) OR close > q3 + 1.5 * (q3 - q1), false)", mad_="coalesce(abs(0.6745 * (close - md) / nullif(mad, 0)) > 3, false)")
+
+
+@register("outlier_marks", f"WITH {BASE}, {_o1}, {_o2}, {_o3} SELECT symbol, ts, CAST(zscore AS INTEGER) AS zscore, CAST(iqr AS INTEGER) AS iqr, CAST(mad_ AS INTEGER) AS mad FROM o3")
+def outlier_marks(spark: SparkSession, d: str) -> DataFrame:
+    b = based(spark, d).select("symbol", "ts", "close")
+    for method, k in (("zscore", 3.0), ("iqr", 1.5), ("mad", 3.0)):
+        b = C.outlier_marks(b, ["close"], method, k).withColumn(method, F.col("close_outlier").cast("int")).drop("close_outlier")
+    return b.drop("close")
+
+
+_b1 = stage("b1", "bars", hi="greatest(high, low)", lo="least(high, low)")
+_b2 = stage("b2", "b1", o="least(greatest(open, lo), hi)", cl="least(greatest(close, lo), hi)")
+_z = lambda x: f"CASE WHEN abs(({x} - avg({x}) OVER (PARTITION BY symbol)) / nullif(stddev_pop({x}) OVER (PARTITION BY symbol), 0)) > 5 THEN NULL ELSE {x} END"
+_b3 = f"b3 AS (SELECT symbol, ts, volume, {_z('o')} AS o, {_z('hi')} AS h, {_z('lo')} AS l, {_z('cl')} AS c FROM b2)"
+_b4 = stage("b4", "b3", **{k: f"last_value({v} IGNORE NULLS) {over('all')}" for k, v in {"open": "o", "high": "h", "low": "l", "close": "c"}.items()})
+
+
+@register("clean_bars", sql([_b1, _b2, _b3, _b4], ["open", "high", "low", "close", "volume"], "b4", head=BRAND))
+def clean_bars(spark: SparkSession, d: str) -> DataFrame:
+    return shown(C.clean_bars(B.brand_week(spark, d)), ["open", "high", "low", "close", "volume"])
+
+
+@register("target_returns", f"WITH {BASE} SELECT symbol, ts, round(ln(close / nullif(last, 0)) + {NUDGE}, 6) AS returns, CAST(lead(close) OVER ({ROW}) > close AS INTEGER) AS target FROM base")
+def target_returns(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(C.target(C.returns(B.brand_week(spark, d))).select("symbol", "ts", "returns", "target"))
+
+
+# ---------------------------------------------------------------- joins
+_EVENTS = "bars AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2)"
+
+
+@register("align_inner", f"WITH {_EVENTS}, k AS (SELECT ts FROM bars GROUP BY ts HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars)) SELECT symbol, ts, close FROM bars JOIN k USING (ts)")
+def align_inner(spark: SparkSession, d: str) -> DataFrame:
+    return J.align(B.event_hour(spark, d)).select("symbol", "ts", "close")
+
+
+@register("align_outer", f"WITH {_EVENTS} SELECT s.symbol, t.ts, b.close FROM (SELECT DISTINCT ts FROM bars) t CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = t.ts")
+def align_outer(spark: SparkSession, d: str) -> DataFrame:
+    return J.align(B.event_hour(spark, d), "outer").select("symbol", "ts", "close")
+
+
+@register("asof_orders", "SELECT l.event_id, o.o_orderkey FROM (SELECT *, user_id % 50 AS k FROM events) l ASOF LEFT JOIN (SELECT o_custkey % 50 AS k, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON l.k = o.k AND l.ts >= o.o_orderdate")
+def asof_orders(spark: SparkSession, d: str) -> DataFrame:
+    events = B.load(spark, d, "events").select("event_id", "ts", (F.col("user_id") % 50).alias("k"))
+    orders = B.load(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("k"), F.col("o_orderdate").alias("ts")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    return J.asof(events, orders, ["k"], "ts", ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+MKT = "Brand#11"
+_j0 = f"{BASE}, ref AS (SELECT ts, close AS x FROM bars WHERE symbol = (SELECT min(symbol) FROM bars)), j0 AS (SELECT base.*, x FROM base LEFT JOIN ref USING (ts))"
+_j1 = stage("j1", "j0", mkt=f"last_value(x IGNORE NULLS) {over('all')}")
+_j2 = stage("j2", "j1", mr=f"mkt / nullif({lag('mkt')}, 0) - 1", rel="close / nullif(mkt, 0)")
+_j3 = stage("j3", "j2", a="CASE WHEN r IS NOT NULL AND mr IS NOT NULL THEN r END", b="CASE WHEN r IS NOT NULL AND mr IS NOT NULL THEN mr END")
+_j4 = stage("j4", "j3", **{f"beta_{n}": f"CASE WHEN count(a) {over(1 - n)} = {n} THEN covar_samp(a, b) {over(1 - n)} / (var_samp(b) {over(1 - n)} + 1e-10) END" for n in (20, 60)}, relative_strength="rel", rs_momentum=f"rel / nullif({lag('rel', 20)}, 0) - 1", market_correlation=f"CASE WHEN count(a) {over(-19)} = 20 THEN corr(a, b) {over(-19)} END")
+_j5 = stage("j5", "j4", alpha_60=f"({full('a', 60)}) - beta_60 * ({full('b', 60)})")
+
+
+@register("market_features", sql([_j1, _j2, _j3, _j4, _j5, *ranked("j6", "j5", "market_percentile", "mkt", 100)], J.MARKET, "j6b", head=_j0))
+def market_features(spark: SparkSession, d: str) -> DataFrame:
+    bars = B.brand_week(spark, d)
+    first = bars.agg(F.min("symbol")).first()[0]
+    return shown(J.market_features(bars, bars, first), J.MARKET)
+
+
+@register("symbol_correlations", f"WITH {BASE}, x AS (SELECT symbol, ts, r FROM base WHERE r IS NOT NULL) SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r) + {NUDGE}, 6) AS corr, count(*) AS n, corr(a.r, b.r) > 0.7 AS above FROM x a JOIN x b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2")
+def symbol_correlations(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(J.correlations(B.brand_week(spark, d)))
+
+
+@register("pivot_closes", f"WITH {_EVENTS} SELECT ts, " + ", ".join(f"max(close) FILTER (WHERE symbol = '{x}') AS {x}" for x in ("click", "purchase", "view")) + " FROM bars GROUP BY ts")
+def pivot_closes(spark: SparkSession, d: str) -> DataFrame:
+    return J.pivot_panel(B.event_hour(spark, d), "close", ["click", "purchase", "view"])
+
+
+# ---------------------------------------------------------------- signals
+_sg = [_dm, _dm2, _dm3, _dm4, _dm5, _dm6, _m1.replace("FROM base", "FROM d6"), _m2, _m3.replace("m2", "m2", 1), _m4, stage("x1", "m4", ss=full("close", 20, "stddev_samp"), vr=ratio("volume", full("volume", 20)), atr_sma=full("tr", 14), lo20=f"min(low) {over(-19)}", hi20=f"max(high) {over(-19)}"), stage("x2", "x1", bbp="(close - sma_20 + 2 * ss) / nullif(4 * ss, 0)")]
+_sg += [
+    stage("x3", "x2", s0="0.5::DOUBLE + CASE WHEN adx_sma > 25 THEN CASE WHEN close > sma_20 THEN 0.1::DOUBLE WHEN close <= sma_20 THEN -0.1::DOUBLE ELSE 0 END ELSE 0 END + CASE WHEN rsi_sma < 30 THEN 0.1::DOUBLE WHEN rsi_sma > 70 THEN -0.1::DOUBLE ELSE 0 END + CASE WHEN apo > 0 THEN 0.05::DOUBLE WHEN apo < 0 THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN bbp < 0.2 THEN 0.1::DOUBLE WHEN bbp > 0.8 THEN -0.1::DOUBLE ELSE 0 END + CASE WHEN sma_20 > sma_50 THEN 0.05::DOUBLE WHEN sma_20 < sma_50 THEN -0.05::DOUBLE ELSE 0 END"),
+    stage("x4", "x3", technical_score="least(greatest(s0 + CASE WHEN vr > 1.5 THEN CASE WHEN s0 > 0.5 THEN 0.05::DOUBLE WHEN s0 < 0.5 THEN -0.05::DOUBLE ELSE 0 END ELSE 0 END, 0), 1)"),
+    stage("x5", "x4", combined="0.25::DOUBLE + 0.1::DOUBLE + 0.3::DOUBLE * technical_score", four="abs(technical_score - 0.5) * 2 + abs(-2 + CASE WHEN technical_score > 0.5 THEN 1 ELSE -1 END) / 3.0::DOUBLE"),
+    stage("x6", "x5", confidence="CASE WHEN atr_sma IS NULL THEN four / 4 ELSE (four + greatest(0, 1 - 20 * atr_sma / nullif(close, 0))) / 5 END", signal_value="CASE WHEN combined >= 0.58 THEN 2 WHEN combined >= 0.52 THEN 1 WHEN combined <= 0.42 THEN -2 WHEN combined <= 0.48 THEN -1 ELSE 0 END"),
+    stage("x7", "x6", stop_loss="CASE WHEN signal_value > 0 THEN greatest(close - 2 * atr_sma, lo20 * 0.99::DOUBLE) WHEN signal_value < 0 THEN least(close + 2 * atr_sma, hi20 * 1.01::DOUBLE) END", take_profit="CASE WHEN signal_value > 0 THEN close + 4 * atr_sma WHEN signal_value < 0 THEN close - 4 * atr_sma END"),
+    "x8 AS (SELECT *, abs(take_profit - close) / nullif(abs(close - stop_loss), 0) AS risk_reward_ratio, CASE signal_value WHEN -2 THEN 'STRONG_SELL' WHEN -1 THEN 'SELL' WHEN 0 THEN 'HOLD' WHEN 1 THEN 'BUY' ELSE 'STRONG_BUY' END AS signal FROM x7 WHERE seq > 50)",
+]
+_SIGNALS = ["technical_score", "combined", "confidence", "signal_value", "stop_loss", "take_profit", "risk_reward_ratio"]
+
+
+def signalled(spark: SparkSession, d: str) -> DataFrame:
+    return G.levelled(G.scored(G.prepared(based(spark, d))))
+
+
+@register("signals", sql(_sg, _SIGNALS, "x8", 5, ints=("signal_value",)))
+def signals(spark: SparkSession, d: str) -> DataFrame:
+    return shown(signalled(spark, d), _SIGNALS, 5)
+
+
+_head = f"WITH {', '.join([BASE, *_sg])}"
+_counts = "count(*) AS total, count(*) FILTER (WHERE signal_value > 0) AS buys, count(*) FILTER (WHERE signal_value < 0) AS sells, count(*) FILTER (WHERE signal_value = 0) AS holds, count(*) FILTER (WHERE abs(signal_value) = 2) AS strong"
+
+
+@register("signal_summary", f"{_head} SELECT symbol, {_counts}, round(avg(confidence) + {NUDGE}, 6) AS avg_confidence, count(*) FILTER (WHERE confidence > 0.7) AS high_confidence, round(avg(combined) + {NUDGE}, 6) AS avg_combined, round(avg(technical_score) + {NUDGE}, 6) AS avg_technical, round(avg(risk_reward_ratio) + {NUDGE}, 6) AS avg_risk_reward, round(100.0 * count(*) FILTER (WHERE signal_value > 0) / count(*) + {NUDGE}, 6) AS buy_pct, round(100.0 * count(*) FILTER (WHERE signal_value < 0) / count(*) + {NUDGE}, 6) AS sell_pct FROM x8 GROUP BY symbol")
+def signal_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(G.summary(signalled(spark, d)))
+
+
+@register("signal_distribution", f"{_head} SELECT signal, count(*) AS n FROM x8 GROUP BY signal")
+def signal_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return G.distribution(signalled(spark, d))
+
+
+@register("latest_signal", f"{_head} SELECT symbol, ts, signal, CAST(signal_value AS INTEGER) AS signal_value, round(close + {NUDGE}, 6) AS close FROM x8 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")
+def latest_signal(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(G.latest(signalled(spark, d).select("symbol", "ts", "signal", "signal_value", "close")))
+
+
+_hold = """, hits AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM x8 WHERE signal_value <> 0),
+  walk AS (SELECT symbol, seq, i, seq AS last, true AS kept FROM hits WHERE i = 1 UNION ALL SELECT h.symbol, h.seq, h.i, CASE WHEN h.seq - w.last >= 5 THEN h.seq ELSE w.last END, h.seq - w.last >= 5 FROM walk w JOIN hits h ON h.symbol = w.symbol AND h.i = w.i + 1)"""
+
+
+@register("minimum_hold", f"{_head.replace('WITH ', 'WITH RECURSIVE ', 1)}{_hold} SELECT x8.symbol, x8.ts, CAST(CASE WHEN walk.kept THEN signal_value ELSE 0 END AS INTEGER) AS signal_value FROM x8 LEFT JOIN walk ON walk.symbol = x8.symbol AND walk.seq = x8.seq")
+def minimum_hold(spark: SparkSession, d: str) -> DataFrame:
+    return G.minimum_hold(signalled(spark, d), 5, "signal_value").select("symbol", "ts", "signal_value")
