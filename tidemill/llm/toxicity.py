@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import sampled
 
 BEGINNINGS = (3, 4, 5, 6, 7)
+GROUP = 5000  # documents whose chains a task sorts by length and walks together
 SMALL = 0.3  # weights under this are left out of the model
 CACHE = 100_000  # tokens whose weight a worker remembers; all are forgotten when it is full
 _word = re.compile(r"\w+")
@@ -127,7 +128,7 @@ class Crf:
         steps = len(odds)
         active = np.searchsorted(-lengths, -np.arange(steps), "left")
         m = np.exp(np.clip(self.move - self.move.max(), -30, 0))
-        fore, back = np.empty_like(odds), np.full_like(odds, 0.5)
+        fore, back = np.zeros_like(odds), np.full_like(odds, 0.5)
         x = odds[0] * np.exp(np.clip(self.start, -30, 30))
         fore[0] = x / (1 + x)
         for t in range(1, steps):
@@ -142,7 +143,8 @@ class Crf:
             up = m[1, 0] * zero + m[1, 1] * one
             back[t, :n] = up / (up + m[0, 0] * zero + m[0, 1] * one)
         both = fore * back
-        return both / (both + (1 - fore) * (1 - back))
+        total = both + (1 - fore) * (1 - back)
+        return np.divide(both, total, out=np.zeros_like(both), where=total > 0)
 
     def score(self, p: np.ndarray) -> float:
         """Document score of its marginals; of an empty document, that of no toxic token."""
@@ -256,8 +258,8 @@ def tag(docs: DataFrame, model: Crf, text: str = "text", keep: tuple[str, ...] =
         crf, known, blank = shared.value, {}, {}
         for b in batches:
             scores, spans = [], []
-            for lo in range(0, len(b), 500):
-                texts = [t.as_py() or "" for t in b.column(n).slice(lo, 500)]
+            for lo in range(0, len(b), GROUP):
+                texts = [t.as_py() or "" for t in b.column(n).slice(lo, GROUP)]
                 chains = []
                 for t in texts:
                     words = _word.findall(t.lower())
