@@ -560,3 +560,88 @@ _hold = """, hits AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol
 @register("minimum_hold", f"{_head.replace('WITH ', 'WITH RECURSIVE ', 1)}{_hold} SELECT x8.symbol, x8.ts, CAST(CASE WHEN walk.kept THEN signal_value ELSE 0 END AS INTEGER) AS signal_value FROM x8 LEFT JOIN walk ON walk.symbol = x8.symbol AND walk.seq = x8.seq")
 def minimum_hold(spark: SparkSession, d: str) -> DataFrame:
     return G.minimum_hold(signalled(spark, d), 5, "signal_value").select("symbol", "ts", "signal_value")
+
+
+# ---------------------------------------------------------------- positions and performance
+from tidemill.operators import backtest as P  # noqa: E402
+
+_pa = "pa AS (SELECT symbol, ts, seq, close, sign(signal_value) AS s, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS r2 FROM x8)"
+_pb = f"pb AS (SELECT *, coalesce(last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) {over('all')}, 0) AS position FROM pa)"
+_pc = f"pc AS (SELECT *, coalesce({lag('position')}, 0) AS before FROM pb)"
+_pd = "pd AS (SELECT *, CAST(position <> before AS INTEGER) AS entry, greatest(coalesce(before * r2, 0), -0.99::DOUBLE) AS strategy_return FROM pc)"
+_pe = f"pe AS (SELECT *, 100000 * exp(sum(ln(1 + strategy_return)) {over('all')}) AS equity FROM pd)"
+_pf = f"pf AS (SELECT *, equity / max(equity) {over('all')} - 1 AS drawdown FROM pe)"
+_PATH = f"{_head}, {_pa}, {_pb}, {_pc}, {_pd}, {_pe}, {_pf}"
+
+
+def pathed(spark: SparkSession, d: str) -> DataFrame:
+    return P.with_equity(P.position_path(signalled(spark, d).select("symbol", "ts", "seq", "close", "signal_value")))
+
+
+@register("position_path", f"{_PATH} SELECT symbol, ts, CAST(position AS INTEGER) AS position, entry, round(strategy_return + {NUDGE}, 6) AS strategy_return, round(equity + {NUDGE}, 3) AS equity, round(drawdown + {NUDGE}, 6) AS drawdown FROM pf")
+def position_path(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pathed(spark, d).select("symbol", "ts", "position", "entry", "strategy_return", F.round(F.col("equity") + NUDGE, 3).alias("equity"), "drawdown"))
+
+
+def _r(x: str, name: str, digits: int = 5) -> str:
+    return f"round({x} + {NUDGE}, {digits}) AS {name}"
+
+
+@register("performance", f"{_PATH}, isl AS (SELECT symbol, drawdown, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) {over('all')} AS i FROM pf), lg AS (SELECT symbol, max(n) AS n FROM (SELECT symbol, i, count(*) AS n FROM isl WHERE drawdown < 0 GROUP BY 1, 2) GROUP BY 1), ag AS (SELECT symbol, count(*) AS bars, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS tr, avg(strategy_return) AS m, stddev_samp(strategy_return) AS sd, stddev_samp(CASE WHEN strategy_return < 0 THEN strategy_return END) AS nd, min(drawdown) AS dd FROM pf GROUP BY symbol) SELECT ag.symbol, bars, {_r('tr', 'total_return')}, {_r('m / nullif(sd, 0) * sqrt(252)', 'sharpe')}, {_r('m / nullif(nd, 0) * sqrt(252)', 'sortino')}, {_r('dd', 'max_drawdown')}, {_r('sd * sqrt(252)', 'volatility')}, CAST(coalesce(n, 0) AS BIGINT) AS max_drawdown_bars, {_r('tr * 252 / bars', 'annual_return')}, {_r('tr * 252 / bars / nullif(abs(dd), 0)', 'calmar')} FROM ag LEFT JOIN lg ON lg.symbol = ag.symbol")
+def performance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.performance(pathed(spark, d)), 5)
+
+
+_tr = f"{_PATH}, mk AS (SELECT *, sum(entry) {over('all')} AS t, lead(close) OVER ({ROW}) AS nx FROM pf), td AS (SELECT symbol, t, arg_min(position, ts) * (arg_max(coalesce(nx, close), ts) - arg_min(close, ts)) AS pnl FROM mk WHERE position <> 0 GROUP BY symbol, t)"
+
+
+@register("trade_stats", f"{_tr}, st AS (SELECT symbol, count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS won, count(*) FILTER (WHERE pnl <= 0) AS lost, avg(pnl) FILTER (WHERE pnl > 0) AS avg_win, avg(pnl) FILTER (WHERE pnl <= 0) AS avg_loss, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS w, coalesce(abs(sum(pnl) FILTER (WHERE pnl <= 0)), 0) AS l, avg(pnl) AS expectancy FROM td GROUP BY symbol) SELECT symbol, trades, won, lost, {_r('avg_win', 'avg_win', 4)}, {_r('avg_loss', 'avg_loss', 4)}, {_r('expectancy', 'expectancy', 4)}, {_r('won::DOUBLE / trades', 'win_rate', 4)}, {_r('w / CASE WHEN l > 0 THEN l ELSE 1 END', 'profit_factor', 4)}, {_r('won::DOUBLE / trades - (1 - won::DOUBLE / trades) / nullif(avg_win / nullif(abs(avg_loss), 0), 0)', 'kelly', 4)} FROM st")
+def trade_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.trade_stats(P.trades(pathed(spark, d))), 4)
+
+
+@register("var_cvar", f"{_PATH}, vq AS (SELECT symbol, quantile_cont(strategy_return, 0.05) AS v, avg(strategy_return) - 1.645::DOUBLE * stddev_samp(strategy_return) AS vn FROM pf GROUP BY symbol) SELECT pf.symbol, {_r('any_value(v)', 'var95', 6)}, {_r('avg(CASE WHEN strategy_return <= v THEN strategy_return END)', 'cvar95', 6)}, {_r('any_value(vn)', 'var95_normal', 6)} FROM pf JOIN vq ON vq.symbol = pf.symbol GROUP BY pf.symbol")
+def var_cvar(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.var_cvar(pathed(spark, d)))
+
+
+@register("monthly_returns", f"{_PATH} SELECT symbol, CAST(year(ts) AS INTEGER) AS year, " + ", ".join(f"round(exp(sum(ln(1 + strategy_return)) FILTER (WHERE month(ts) = {m})) - 1 + {NUDGE}, 6) AS m{m}" for m in range(1, 13)) + " FROM pf GROUP BY 1, 2")
+def monthly_returns(spark: SparkSession, d: str) -> DataFrame:
+    m = P.monthly(pathed(spark, d))
+    return rounded(m.select("symbol", "year", *[F.col(str(k)).alias(f"m{k}") for k in range(1, 13)]))
+
+
+_wf = f"{_PATH}, sq AS (SELECT symbol, strategy_return, row_number() OVER ({ROW}) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM pf), wn AS (SELECT sq.*, w.id AS window_id, CASE WHEN p >= w.id * 21 AND p < w.id * 21 + 126 THEN 'train' WHEN p >= w.id * 21 + 126 AND p < w.id * 21 + 168 THEN 'test' END AS split FROM sq JOIN (SELECT unnest(range(0, 1000)) AS id) w ON w.id * 21 + 168 <= n AND p >= w.id * 21 AND p < w.id * 21 + 168), wm AS (SELECT symbol, window_id, split, count(*) AS bars, exp(sum(ln(1 + strategy_return))) - 1 AS total_return, avg(strategy_return) / nullif(stddev_samp(strategy_return), 0) * sqrt(252) AS sharpe FROM wn GROUP BY 1, 2, 3)"
+
+
+def walked(spark: SparkSession, d: str) -> DataFrame:
+    from tidemill.plans.windows import series
+
+    p = pathed(spark, d).withColumn("seq", F.row_number().over(series()))
+    return P.window_metrics(P.windows(p, 126, 42, 21))
+
+
+@register("wf_windows", f"{_wf} SELECT symbol, CAST(window_id AS INTEGER) AS window_id, split, bars, {_r('total_return', 'total_return')}, {_r('sharpe', 'sharpe')} FROM wm")
+def wf_windows(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(walked(spark, d), 5)
+
+
+@register("wf_summary", f"{_wf}, bo AS (SELECT symbol, window_id, max(total_return) FILTER (WHERE split = 'train') AS a, max(total_return) FILTER (WHERE split = 'test') AS b, max(sharpe) FILTER (WHERE split = 'train') AS sa, max(sharpe) FILTER (WHERE split = 'test') AS sb FROM wm GROUP BY 1, 2) SELECT symbol, count(*) AS windows, {_r('exp(sum(ln(1 + b))) - 1', 'total_return')}, {_r('avg(CASE WHEN sb <> 0 THEN sb END)', 'avg_sharpe')}, {_r('avg(CAST(b > 0 AS DOUBLE))', 'positive_windows')}, {_r('avg(sb) / nullif(avg(sa), 0)', 'overfitting_ratio')}, {_r('CASE WHEN count(*) > 2 THEN corr(a, b) ELSE 0 END', 'train_test_corr')} FROM bo GROUP BY symbol")
+def wf_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.walk_forward_summary(walked(spark, d)), 5)
+
+
+@register("ledger_runs")
+def ledger_runs(spark: SparkSession, d: str) -> DataFrame:
+    runs = {"plain": P.LedgerConfig(stop_loss=None, take_profit=None), "tight": P.LedgerConfig(stop_loss=0.05, take_profit=0.1), "long_only": P.LedgerConfig(short=False)}
+    return rounded(P.ledger(signalled(spark, d), runs), 4)
+
+
+@register("bootstrap")
+def bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.bootstrap(P.trades(pathed(spark, d)), 200), 4)
+
+
+@register("shuffle_test")
+def shuffle_test(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.shuffle_test(P.trades(pathed(spark, d)), 50), 4)
