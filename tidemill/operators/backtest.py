@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.plans.windows import c, past, prev, series
+from tidemill.plans.windows import c, corr, past, prev, series
 
 YEAR = 252**0.5
 #: A bar takes at most this share of a position: losses beyond the capital are not booked.
@@ -163,7 +163,7 @@ def window_metrics(w: DataFrame) -> DataFrame:
 def walk_forward_summary(m: DataFrame) -> DataFrame:
     """H4 H5: one row a symbol."""
     both = m.groupBy("symbol", "window_id").agg(*[F.max(F.when(c("split") == s, c(x))).alias(f"{s}_{x}") for s in ("train", "test") for x in ("total_return", "sharpe")])
-    return both.groupBy("symbol").agg(F.count("*").alias("windows"), (F.exp(F.sum(F.log1p("test_total_return"))) - 1).alias("total_return"), F.avg(F.when(c("test_sharpe") != 0, c("test_sharpe"))).alias("avg_sharpe"), F.avg((c("test_total_return") > 0).cast("double")).alias("positive_windows"), F.try_divide(F.avg("test_sharpe"), F.avg("train_sharpe")).alias("overfitting_ratio"), F.when(F.count("*") > 2, F.corr("train_total_return", "test_total_return")).otherwise(0.0).alias("train_test_corr"))
+    return both.groupBy("symbol").agg(F.count("*").alias("windows"), (F.product(1 + c("test_total_return")) - 1).alias("total_return"), F.avg(F.when(c("test_sharpe") != 0, c("test_sharpe"))).alias("avg_sharpe"), F.avg((c("test_total_return") > 0).cast("double")).alias("positive_windows"), F.try_divide(F.avg("test_sharpe"), F.avg("train_sharpe")).alias("overfitting_ratio"), F.when(F.count("*") > 2, corr("train_total_return", "test_total_return")).otherwise(0.0).alias("train_test_corr"))
 
 
 def bootstrap(t: DataFrame, sims: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:

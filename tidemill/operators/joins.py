@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.plans.windows import c, full, past, prev, rank_share, win
+from tidemill.plans.windows import c, corr, full, past, prev, rank_share, win
 
 
 def align(panel: DataFrame, how: str = "inner") -> DataFrame:
@@ -44,7 +44,7 @@ def market_features(bars: DataFrame, reference: DataFrame, market: str) -> DataF
         return F.when(F.count("_x").over(win(n)) == n, F.covar_samp("_x", "_y").over(win(n)) / (F.var_samp("_y").over(win(n)) + 1e-10))
 
     b = b.withColumns({"beta_20": beta(20), "beta_60": beta(60), "_rel": F.try_divide("close", "mkt")})
-    return b.withColumns({"alpha_60": full("_x", 60) - c("beta_60") * full("_y", 60), "relative_strength": c("_rel"), "rs_momentum": F.try_divide(c("_rel"), prev("_rel", 20)) - 1, "market_correlation": F.when(F.count("_x").over(win(20)) == 20, F.corr("_x", "_y").over(win(20))), "market_percentile": rank_share("mkt", 100)}).drop("_mr", "_x", "_y", "_rel")
+    return b.withColumns({"alpha_60": full("_x", 60) - c("beta_60") * full("_y", 60), "relative_strength": c("_rel"), "rs_momentum": F.try_divide(c("_rel"), prev("_rel", 20)) - 1, "market_correlation": F.when(F.count("_x").over(win(20)) == 20, corr("_x", "_y", win(20))), "market_percentile": rank_share("mkt", 100)}).drop("_mr", "_x", "_y", "_rel")
 
 
 MARKET = ["beta_20", "beta_60", "alpha_60", "relative_strength", "rs_momentum", "market_correlation", "market_percentile"]
@@ -75,4 +75,4 @@ def correlations(bars: DataFrame, limit: float = 0.7) -> DataFrame:
     """Correlation of returns for each pair of symbols on shared timestamps; above: over the limit."""
     r = bars.select("symbol", "ts", (F.try_divide(c("close"), prev("close")) - 1).alias("r")).where("r is not null")
     a, b = r.select("ts", F.col("symbol").alias("a"), F.col("r").alias("ra")), r.select("ts", F.col("symbol").alias("b"), F.col("r").alias("rb"))
-    return a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n")).withColumn("above", F.col("corr") > limit)
+    return a.join(b, "ts").where("a < b").groupBy("a", "b").agg(corr("ra", "rb").alias("corr"), F.count("*").alias("n")).withColumn("above", F.col("corr") > limit)

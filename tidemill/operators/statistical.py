@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.plans.windows import c, change, div, flag, frame, full, island_place, kurt, norm_cdf, past, prev, rank_share, run_length, skew, win
+from tidemill.plans.windows import c, change, corr, div, flag, frame, full, island_place, kurt, norm_cdf, past, prev, rank_share, run_length, skew, win
 
 EPS = 1e-8
 YEAR = 252**0.5
@@ -55,7 +55,7 @@ RATIOS = [*[f"{x}_{n}" for n in (10, 20, 50) for x in ("zscore_eps", "volume_zsc
 
 def _corr(x: str, y: str, n: int, pairs: int | None = None) -> Column:
     both = F.when(c(x).isNotNull() & c(y).isNotNull(), 1)
-    return F.when(F.count(both).over(win(n)) == (pairs or n), F.corr(x, y).over(win(n)))
+    return F.when(F.count(both).over(win(n)) == (pairs or n), corr(x, y, win(n)))
 
 
 def relations(b: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def relations(b: DataFrame) -> DataFrame:
     relation = [c("close") > ma[20], c("close") > ma[50], c("close") > ma[200], ma[20] > ma[50], ma[50] > ma[200]]
     b = b.withColumns({
         "price_volume_corr": _corr("r", "_vc", 20), "range_volume_corr": _corr("_rg", "volume", 20),
-        **{f"return_autocorr_lag{k}": F.when(F.count(F.when(c("r").isNotNull() & c(f"_r{k}").isNotNull(), 1)).over(frame(-(19 - k), 0)) == 20 - k, F.corr("r", f"_r{k}").over(frame(-(19 - k), 0))) for k in (1, 5, 10)},
+        **{f"return_autocorr_lag{k}": F.when(F.count(F.when(c("r").isNotNull() & c(f"_r{k}").isNotNull(), 1)).over(frame(-(19 - k), 0)) == 20 - k, corr("r", f"_r{k}", frame(-(19 - k), 0))) for k in (1, 5, 10)},
         "volatility_ratio_20_50": c("_std20") / (c("_std50") + EPS), "volatility_ratio_20_100": c("_std20") / (c("_std100") + EPS),
         "_share100": rank_share("_std20", 100),
         "trend_regime": sum(flag(x) for x in relation), "mean_reversion_score": F.abs(div(c("close") - ma[50], c("_std50") * 50**0.5)),

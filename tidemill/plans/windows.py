@@ -48,6 +48,13 @@ def div(a: Column | str, b: Column | str | float) -> Column:
     return F.try_divide(c(a), F.lit(b) if isinstance(b, (int, float)) else c(b))
 
 
+def corr(x: Column | str, y: Column | str, w: WindowSpec | None = None) -> Column:
+    """Correlation of the pairs without nulls, null where one side does not vary (the built-in raises there in ANSI mode)."""
+    a, b = F.when(c(y).isNotNull(), c(x)), F.when(c(x).isNotNull(), c(y))
+    over = (lambda e: e.over(w)) if w is not None else (lambda e: e)
+    return F.try_divide(over(F.covar_pop(a, b)), over(F.stddev_pop(a)) * over(F.stddev_pop(b)))
+
+
 def flag(cond: Column) -> Column:
     """1 or 0; an unknown condition is 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")

@@ -626,7 +626,7 @@ def wf_windows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(walked(spark, d), 5)
 
 
-@register("wf_summary", f"{_wf}, bo AS (SELECT symbol, window_id, max(total_return) FILTER (WHERE split = 'train') AS a, max(total_return) FILTER (WHERE split = 'test') AS b, max(sharpe) FILTER (WHERE split = 'train') AS sa, max(sharpe) FILTER (WHERE split = 'test') AS sb FROM wm GROUP BY 1, 2) SELECT symbol, count(*) AS windows, {_r('exp(sum(ln(1 + b))) - 1', 'total_return')}, {_r('avg(CASE WHEN sb <> 0 THEN sb END)', 'avg_sharpe')}, {_r('avg(CAST(b > 0 AS DOUBLE))', 'positive_windows')}, {_r('avg(sb) / nullif(avg(sa), 0)', 'overfitting_ratio')}, {_r('CASE WHEN count(*) > 2 THEN corr(a, b) ELSE 0 END', 'train_test_corr')} FROM bo GROUP BY symbol")
+@register("wf_summary", f"{_wf}, bo AS (SELECT symbol, window_id, max(total_return) FILTER (WHERE split = 'train') AS a, max(total_return) FILTER (WHERE split = 'test') AS b, max(sharpe) FILTER (WHERE split = 'train') AS sa, max(sharpe) FILTER (WHERE split = 'test') AS sb FROM wm GROUP BY 1, 2) SELECT symbol, count(*) AS windows, {_r('product(1 + b) - 1', 'total_return')}, {_r('avg(CASE WHEN sb <> 0 THEN sb END)', 'avg_sharpe')}, {_r('avg(CAST(b > 0 AS DOUBLE))', 'positive_windows')}, {_r('avg(sb) / nullif(avg(sa), 0)', 'overfitting_ratio')}, {_r('CASE WHEN count(*) > 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) ELSE 0 END', 'train_test_corr')} FROM bo GROUP BY symbol")
 def wf_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.walk_forward_summary(walked(spark, d)), 5)
 
@@ -645,3 +645,78 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
 @register("shuffle_test")
 def shuffle_test(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.shuffle_test(P.trades(pathed(spark, d)), 50), 4)
+
+
+# ---------------------------------------------------------------- text and alternative data
+from tidemill.operators import text as X  # noqa: E402
+
+def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Words of three to six letters that at least one document in a hundred holds: valence by length, odd lengths negative."""
+    w = X.words(B.load(spark, d, "documents")).select("doc_id", "word").distinct()
+    n = F.expr("length(word)")
+    common = w.where(n.between(3, 6)).groupBy("word").agg(F.count("*").alias("n"))
+    total = B.load(spark, d, "documents").agg(F.count("*").alias("t"))
+    return common.join(F.broadcast(total)).where(F.col("n") * 100 >= F.col("t")).select("word", F.when(n % 2 == 0, n / 4.0).otherwise(-n / 4.0).alias("valence"))
+
+
+_TOK = "tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}'']+') AS w FROM documents))"
+_LEX = "lex AS (SELECT word, CASE WHEN length(word) % 2 = 0 THEN length(word) / 4.0::DOUBLE ELSE -length(word) / 4.0::DOUBLE END AS valence FROM (SELECT word, count(DISTINCT doc_id) AS n FROM tok WHERE length(word) BETWEEN 3 AND 6 GROUP BY word) WHERE n * 100 >= (SELECT count(*) FROM documents))"
+_SCO = "ng AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos) IN ('not', 'no', 'never'), false) AS neg FROM tok), sc AS (SELECT d.doc_id, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15) AS compound, coalesce(p, 0) AS polarity, coalesce(h, 0) AS hits FROM documents d LEFT JOIN (SELECT doc_id, sum(v) AS s, avg(v) AS p, count(*) AS h FROM (SELECT doc_id, CASE WHEN neg THEN valence * -0.74::DOUBLE ELSE valence END AS v FROM ng JOIN lex USING (word)) GROUP BY 1) x ON x.doc_id = d.doc_id)"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return X.lexicon_scores(B.load(spark, d, "documents"), _lexicon(spark, d))
+
+
+@register("doc_sentiment", f"WITH {_TOK}, {_LEX}, {_SCO} SELECT doc_id, round(compound + {NUDGE}, 6) AS compound, round(polarity + {NUDGE}, 6) AS polarity, hits FROM sc")
+def doc_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_scored(spark, d))
+
+
+_NEWS = "nw AS (SELECT doc_id, doc_id % 5 AS symbol, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS day, compound AS score, abs(compound) AS confidence FROM sc), nx AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY symbol, day) AS n FROM nw)"
+
+
+@register("news_daily", f"WITH {_TOK}, {_LEX}, {_SCO}, {_NEWS}, ag AS (SELECT symbol, day, avg(score) AS mean, coalesce(sum(score * confidence) / nullif(sum(confidence), 0), avg(score)) AS weighted, median(score) AS median, stddev_pop(score) AS std, min(score) AS min, max(score) AS max, count(*) FILTER (WHERE score >= 0.15) AS bullish, count(*) FILTER (WHERE score <= -0.15) AS bearish, count(*) FILTER (WHERE abs(score) < 0.15) AS neutral, avg(confidence) AS avg_confidence, count(*) AS articles, coalesce(avg(score) FILTER (WHERE i > floor(n / 2)) - avg(score) FILTER (WHERE i <= floor(n / 2)), 0) AS momentum FROM nx GROUP BY symbol, day) SELECT symbol, day, " + ", ".join(f"round({x} + {NUDGE}, 6) AS {y}" for x, y in [(k, k) for k in ("mean", "weighted", "median", "std", "min", "max", "avg_confidence", "momentum")] + [("max - min", "range"), ("bullish::DOUBLE / articles", "bullish_ratio"), ("bearish::DOUBLE / articles", "bearish_ratio")]) + ", bullish, bearish, neutral, articles FROM ag")
+def news_daily(spark: SparkSession, d: str) -> DataFrame:
+    news = _scored(spark, d).select("doc_id", (F.col("doc_id") % 5).alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.col("compound").alias("score"), F.abs("compound").alias("confidence"))
+    return rounded(X.daily_sentiment(news))
+
+
+_STOP = "[" + ", ".join(f"'{x}'" for x in X.NOT_TICKERS) + "]"
+_MEN = f"men AS (SELECT doc_id, source, length(text) AS score, unnest(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(text, '\\$?[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_full_match(t, '\\$[A-Z]{{1,5}}|[A-Z]{{2,5}}')), lambda t: ltrim(t, '$')), lambda x: NOT list_contains({_STOP}, x)))) AS symbol FROM documents)"
+
+
+def _mentioned(spark: SparkSession, d: str) -> DataFrame:
+    docs = B.load(spark, d, "documents").select("doc_id", "text", F.col("source").alias("community"), F.char_length("text").cast("long").alias("score"))
+    return X.mentions(docs, keep=("doc_id", "community", "score"))
+
+
+@register("ticker_mentions", f"WITH {_MEN} SELECT symbol, count(*) AS n, count(DISTINCT doc_id) AS docs FROM men GROUP BY symbol")
+def ticker_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return _mentioned(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@register("trending", f"WITH {_TOK}, {_LEX}, {_SCO}, {_MEN} SELECT symbol, count(*) AS mentions, CAST(sum(score) AS BIGINT) AS score, count(DISTINCT source) AS communities, round(avg(CAST(compound > 0.05 AS DOUBLE)) + {NUDGE}, 6) AS bullish_ratio, round(avg(compound) + {NUDGE}, 6) AS avg_sentiment, round(count(*) * ln(1 + sum(score)) + {NUDGE}, 6) AS trend FROM men JOIN sc USING (doc_id) GROUP BY symbol HAVING count(*) >= 3 ORDER BY count(*) * ln(1 + sum(score)) DESC, symbol LIMIT 20")
+def trending(spark: SparkSession, d: str) -> DataFrame:
+    m = _mentioned(spark, d).join(_scored(spark, d).select("doc_id", F.col("compound").alias("sentiment")), "doc_id")
+    return rounded(X.trending(m))
+
+
+@register("insider_activity", f"WITH t AS (SELECT o_custkey AS filer, CASE o_orderstatus WHEN 'F' THEN 'Buy' WHEN 'O' THEN 'Sell' ELSE 'Other' END AS kind, o_totalprice AS value, CASE WHEN o_orderpriority LIKE '1%' THEN 'CEO' WHEN o_orderpriority LIKE '2%' THEN 'CFO' ELSE 'Director' END AS relation FROM orders), a AS (SELECT filer, count(*) FILTER (WHERE kind = 'Buy') AS buys, count(*) FILTER (WHERE kind = 'Sell') AS sells, coalesce(sum(value) FILTER (WHERE kind = 'Buy'), 0) AS bv, coalesce(sum(value) FILTER (WHERE kind = 'Sell'), 0) AS sv, count(*) FILTER (WHERE relation IN ('CEO', 'CFO')) AS executive FROM t GROUP BY filer) SELECT filer, buys, sells, executive, round(bv + {NUDGE}, 4) AS buy_value, round(sv + {NUDGE}, 4) AS sell_value, round(bv - sv + {NUDGE}, 4) AS net_value, round(coalesce((buys - sells)::DOUBLE / nullif(buys + sells, 0), 0) + {NUDGE}, 4) AS sentiment FROM a")
+def insider_activity(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    tx = B.load(spark, d, "orders").select(F.col("o_custkey").alias("filer"), F.when(F.col("o_orderstatus") == "F", "Buy").when(F.col("o_orderstatus") == "O", "Sell").otherwise("Other").alias("kind"), F.col("o_totalprice").alias("value"), F.when(p.startswith("1"), "CEO").when(p.startswith("2"), "CFO").otherwise("Director").alias("relation"))
+    return rounded(X.insider_activity(tx), 4)
+
+
+@register("holdings_change", "WITH h AS (SELECT o_custkey AS holder, o_custkey % 40 AS symbol, year(o_orderdate) AS y, CAST(sum(floor(o_totalprice)) AS BIGINT) AS shares FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY ALL), j AS (SELECT coalesce(a.symbol, b.symbol) AS symbol, a.shares AS a, b.shares AS b FROM (SELECT * FROM h WHERE y = 1997) a FULL JOIN (SELECT * FROM h WHERE y = 1996) b ON a.holder = b.holder AND a.symbol = b.symbol) SELECT symbol, count(*) FILTER (WHERE b IS NULL) AS new, count(*) FILTER (WHERE a IS NULL) AS closed, count(*) FILTER (WHERE a > b) AS increased, count(*) FILTER (WHERE a < b) AS decreased, CAST(coalesce(sum(a), 0) - coalesce(sum(b), 0) AS BIGINT) AS net_change FROM j GROUP BY symbol")
+def holdings_change(spark: SparkSession, d: str) -> DataFrame:
+    o = B.load(spark, d, "orders").withColumn("y", F.year("o_orderdate")).where(F.col("y").isin(1996, 1997))
+    h = o.groupBy(F.col("o_custkey").alias("holder"), (F.col("o_custkey") % 40).alias("symbol"), "y").agg(F.sum(F.floor("o_totalprice")).cast("long").alias("shares"))
+    return X.holdings_change(h.where("y = 1997"), h.where("y = 1996"))
+
+
+@register("page_words", "SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^ \\t\\n\\r]+')) AS words, length(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS chars FROM pages")
+def page_words(spark: SparkSession, d: str) -> DataFrame:
+    t = X.strip_html(F.col("html"))
+    return B.load(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all(t, F.lit(r"([^ \t\n\r]+)"), 1)).cast("long").alias("words"), F.char_length(t).cast("long").alias("chars"))
