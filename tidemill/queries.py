@@ -720,3 +720,70 @@ def holdings_change(spark: SparkSession, d: str) -> DataFrame:
 def page_words(spark: SparkSession, d: str) -> DataFrame:
     t = X.strip_html(F.col("html"))
     return B.load(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all(t, F.lit(r"([^ \t\n\r]+)"), 1)).cast("long").alias("words"), F.char_length(t).cast("long").alias("chars"))
+
+
+# ---------------------------------------------------------------- strategies, learning, further operators
+from tidemill.operators import learning as E  # noqa: E402
+from tidemill.operators import strategies as Y  # noqa: E402
+
+
+def _strategic(spark: SparkSession, d: str) -> DataFrame:
+    return Y.strategies(technical.momentum(technical.trend(based(spark, d))))
+
+
+def _unpacked(b: DataFrame, name: str) -> DataFrame:
+    return rounded(b.select("symbol", "ts", f"{name}.direction", f"{name}.strength", f"{name}.confidence"), 5)
+
+
+_y1 = stage("y1", "d6", **{f"y{p}": f"{lag('close', 5)} / nullif({lag('close', p)}, 0) - 1" for p in (21, 63, 126, 252)}, vol=f"stddev_samp(r) {over(-63, -1)} * sqrt(252)")
+_y2 = stage("y2", "y1", lv="list_filter([y21, y63, y126, y252], lambda x: x IS NOT NULL)")
+_y3 = stage("y3", "y2", n="len(lv)", mean="coalesce(list_sum(lv), 0) / greatest(len(lv), 1)")
+_y4 = stage("y4", "y3", direction="CASE WHEN n = 0 THEN 0 WHEN mean > 0.02 THEN 1 WHEN mean < -0.02 THEN -1 ELSE 0 END", strength="CASE WHEN n = 0 THEN 0 ELSE least(10 * abs(mean), 1) * coalesce(least(greatest(0.15::DOUBLE / nullif(vol, 0), 0.5), 2), 1) * CASE WHEN coalesce(adx_sma < 15, false) THEN 0.5::DOUBLE ELSE 1 END END", confidence="CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE len(list_filter(lv, lambda x: sign(x) = sign(mean)))::DOUBLE / n END")
+
+
+@register("strategy_momentum", sql([_dm, _dm2, _dm3, _dm4, _dm5, _dm6, _y1, _y2, _y3, _y4], ["direction", "strength", "confidence"], "y4", 5, ints=("direction",)))
+def strategy_momentum(spark: SparkSession, d: str) -> DataFrame:
+    return _unpacked(Y.momentum(technical.trend(based(spark, d))), "momentum")
+
+
+_k = f"{over(-20, -1)}"
+_x1 = stage("x1", "base", hi=f"max(high) {_k}", lo=f"min(low) {_k}", vr=f"volume / nullif(avg(volume) {_k}, 0)", a10=f"avg(tr) {over(-10, -1)}", a20=f"avg(tr) {_k}", n=f"count(close) {_k}")
+_x2 = stage("x2", "x1", loud="coalesce(vr > 1.5, false)", tight="coalesce(a10 < 0.8 * a20, false)")
+_x3 = stage("x3", "x2", direction="CASE WHEN n < 20 THEN 0 WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE 0 END")
+_x4 = stage("x4", "x3", strength="CASE WHEN direction = 0 THEN 0 WHEN loud AND tight THEN 0.8::DOUBLE WHEN loud OR tight THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END", confidence="CASE WHEN direction = 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE + CASE WHEN loud THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN tight THEN 0.3::DOUBLE ELSE 0 END END")
+
+
+@register("strategy_breakout", sql([_x1, _x2, _x3, _x4], ["direction", "strength", "confidence"], "x4", 5, ints=("direction",)))
+def strategy_breakout(spark: SparkSession, d: str) -> DataFrame:
+    return _unpacked(Y.breakout(based(spark, d)), "breakout")
+
+
+@register("strategy_ensemble")
+def strategy_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    b = _strategic(spark, d)
+    return rounded(b.select("symbol", "ts", "regime", "ensemble.direction", "ensemble.strength", "ensemble.confidence"), 5)
+
+
+@register("model_scores")
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    b = technical.derived(technical.momentum(based(spark, d)))
+    names = ["rsi_sma", "stoch_k", "willr", "mfi", "returns_1d", "returns_5d", "returns_20d", "volatility_20d"]
+    ready = b.withColumn("target", (F.lead("close").over(B_SERIES()) > F.col("close")).cast("int")).select("symbol", "ts", "seq", "target", *names).where("target is not null").na.fill(0)
+    out, _ = E.stacked(ready, names, rounds=4, trees=10)
+    return rounded(E.classification_metrics(out.where("not is_train"), keys=("symbol",)))
+
+
+def B_SERIES():
+    from tidemill.plans.windows import series
+
+    return series()
+
+
+_CLS = f"WITH {BASE}, {_m1}, {_m2}, {_m3}, {_m4}, cl AS (SELECT symbol, round(rsi_sma / 100, 3) AS p, CAST(lead(close) OVER ({ROW}) > close AS INTEGER) AS y FROM m4), ck AS (SELECT * FROM cl WHERE p IS NOT NULL AND y IS NOT NULL), rk AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY p) + (count(*) OVER (PARTITION BY symbol, p) - 1) / 2.0::DOUBLE AS r FROM ck), ag AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp, count(*) FILTER (WHERE p < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE p < 0.5 AND y = 0) AS tn, sum(r) FILTER (WHERE y = 1) AS sr, count(*) FILTER (WHERE y = 1) AS n1 FROM rk GROUP BY symbol)"
+
+
+@register("confusion_auc", f"{_CLS} SELECT symbol, n, tp, fp, fn, tn, round((tp + tn)::DOUBLE / n + {NUDGE}, 6) AS accuracy, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) + {NUDGE}, 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) + {NUDGE}, 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) + {NUDGE}, 6) AS f1, round((sr - n1 * (n1 + 1) / 2.0::DOUBLE) / nullif(n1 * (n - n1), 0) + {NUDGE}, 6) AS roc_auc FROM ag")
+def confusion_auc(spark: SparkSession, d: str) -> DataFrame:
+    b = technical.momentum(based(spark, d)).withColumn("target", (F.lead("close").over(B_SERIES()) > F.col("close")).cast("int"))
+    rows = b.select("symbol", F.round(F.col("rsi_sma") / 100, 3).alias("p"), "target").where("p is not null and target is not null")
+    return rounded(E.classification_metrics(rows, keys=("symbol",)))
