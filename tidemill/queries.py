@@ -787,3 +787,53 @@ def confusion_auc(spark: SparkSession, d: str) -> DataFrame:
     b = technical.momentum(based(spark, d)).withColumn("target", (F.lead("close").over(B_SERIES()) > F.col("close")).cast("int"))
     rows = b.select("symbol", F.round(F.col("rsi_sma") / 100, 3).alias("p"), "target").where("p is not null and target is not null")
     return rounded(E.classification_metrics(rows, keys=("symbol",)))
+
+
+# ---------------------------------------------------------------- point-in-time alternative data
+from tidemill.operators import alternative as A  # noqa: E402
+
+_BARS_INS = "tx AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, CASE l_returnflag WHEN 'A' THEN 'Buy' WHEN 'R' THEN 'Sell' ELSE 'Other' END AS kind, l_extendedprice AS value, l_linenumber = 1 AS ex FROM lineitem JOIN part ON p_partkey = l_partkey)"
+
+
+def _transactions(spark: SparkSession, d: str) -> DataFrame:
+    part = B.load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
+    flag = F.col("l_returnflag")
+    lines = B.load(spark, d, "lineitem").select("l_partkey", F.col("l_shipdate").cast("date").alias("day"), F.when(flag == "A", "Buy").when(flag == "R", "Sell").otherwise("Other").alias("kind"), F.col("l_extendedprice").alias("value"), (F.col("l_linenumber") == 1).alias("executive"))
+    return lines.join(part, "l_partkey")
+
+
+_IND = f"""{_BARS_INS}, dl AS (SELECT symbol, day, count(*) FILTER (WHERE kind = 'Buy') AS b, count(*) FILTER (WHERE kind = 'Sell') AS s, sum(CASE kind WHEN 'Buy' THEN value WHEN 'Sell' THEN -value ELSE 0 END) AS net, count(*) FILTER (WHERE ex) AS e FROM tx GROUP BY 1, 2),
+  tr2 AS (SELECT symbol, day, sum(b) OVER w AS ib, sum(s) OVER w AS ins, sum(net) OVER w AS inet, sum(e) OVER w AS ie FROM dl WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW)),
+  md AS (SELECT *, coalesce((ib - ins)::DOUBLE / nullif(ib + ins, 0), 0) AS m FROM tr2), sg AS (SELECT *, least(greatest(m + 0.1::DOUBLE * least(ie, 3) * sign(m), -1), 1) AS sig FROM md)"""
+
+
+@register("insider_daily", f"WITH {_IND} SELECT symbol, day, CAST(ib AS BIGINT) AS insider_buys, CAST(ins AS BIGINT) AS insider_sells, round(inet + {NUDGE}, 2) AS insider_net_value, CAST(ie AS BIGINT) AS executive_activity, round(m + {NUDGE}, 6) AS insider_sentiment, round(sig + {NUDGE}, 6) AS insider_signal FROM sg")
+def insider_daily(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.insider_daily(_transactions(spark, d)).withColumn("insider_net_value", F.round(F.col("insider_net_value") + NUDGE, 2)))
+
+
+@register("insider_on_bars", f"WITH {BRAND}, {_IND} SELECT b.symbol, b.ts, round(coalesce(m, 0) + {NUDGE}, 6) AS insider_sentiment, round(coalesce(sig, 0) + {NUDGE}, 6) AS insider_signal FROM bars b ASOF LEFT JOIN sg ON sg.symbol = b.symbol AND b.ts >= sg.day")
+def insider_on_bars(spark: SparkSession, d: str) -> DataFrame:
+    names = ["insider_sentiment", "insider_signal"]
+    return shown(A.on_bars(B.brand_week(spark, d), A.insider_daily(_transactions(spark, d)), names), names)
+
+
+_POSTS = "ps AS (SELECT role AS symbol, DATE '2024-01-01' + CAST(conv_id % 40 AS INTEGER) AS day, length(text) AS score, (length(text) % 21 - 10) / 10.0::DOUBLE AS sentiment FROM conversations), pd1 AS (SELECT symbol, day, count(*) AS n, sum(sentiment) AS s, sum(sentiment * ln(2 + greatest(score, 0))) AS sw, sum(ln(2 + greatest(score, 0))) AS w, count(*) FILTER (WHERE sentiment > 0.05) AS b, sum(score) AS sc FROM ps GROUP BY 1, 2), pt AS (SELECT symbol, day, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(sw) OVER w AS sw, sum(w) OVER w AS w, sum(b) OVER w AS b, sum(sc) OVER w AS sc FROM pd1 WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))"
+
+
+@register("social_daily", f"WITH {_POSTS} SELECT symbol, day, CAST(n AS BIGINT) AS mentions, round(s / n + {NUDGE}, 6) AS sentiment, round(coalesce(sw / nullif(w, 0), 0) + {NUDGE}, 6) AS weighted, round(b::DOUBLE / n + {NUDGE}, 6) AS bullish_ratio, CAST(n > 10 AND sc::DOUBLE / n > 100 AS INTEGER) AS trending, round(least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS hype, round(0.5 * s / n + 0.3::DOUBLE * (b::DOUBLE / n - 0.5) + 0.2::DOUBLE * least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS social_signal FROM pt")
+def social_daily(spark: SparkSession, d: str) -> DataFrame:
+    n = F.char_length("text")
+    posts = B.load(spark, d, "conversations").select(F.col("role").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 40).cast("int")).alias("day"), n.cast("long").alias("score"), ((n % 21 - 10) / 10.0).alias("sentiment"))
+    return rounded(A.social_daily(posts))
+
+
+@register("latest_news", "SELECT symbol, doc_id FROM (SELECT source AS symbol, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 30 DESC, doc_id) AS n FROM documents) WHERE n <= 10")
+def latest_news(spark: SparkSession, d: str) -> DataFrame:
+    news = B.load(spark, d, "documents").select(F.col("source").alias("symbol"), "doc_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).cast("timestamp").alias("published"))
+    return A.latest_news(news, 10, order=("doc_id",)).select("symbol", "doc_id")
+
+
+@register("pause_flags", f"{_PATH} SELECT symbol, ts, CAST(strategy_return < -0.03 AS INTEGER) AS pause_day, CAST(sum(strategy_return) {over(-4)} < -0.07 AS INTEGER) AS pause_week, CAST(drawdown < -0.15 AS INTEGER) AS pause_drawdown FROM pf")
+def pause_flags(spark: SparkSession, d: str) -> DataFrame:
+    return A.pause_flags(pathed(spark, d)).select("symbol", "ts", "pause_day", "pause_week", "pause_drawdown")
