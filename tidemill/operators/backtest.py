@@ -189,3 +189,13 @@ def shuffle_test(t: DataFrame, sims: int = 100, seed: int = 42) -> DataFrame:
     own = fall(t, plain, ["symbol"]).withColumnRenamed("fall", "actual")
     many = fall(t.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))), mixed, ["symbol", "sim"])
     return many.join(own, "symbol").groupBy("symbol").agg(F.first("actual").alias("actual"), F.avg("fall").alias("mean_shuffled"), F.avg((c("fall") <= c("actual")).cast("double")).alias("share_worse"))
+
+
+def compare(runs: dict[str, DataFrame]) -> DataFrame:
+    """Performance of several runs, one row a run over all its symbols taken with equal weight, rounded to 4 digits."""
+    every = None
+    for name, b in runs.items():
+        part = b.groupBy("ts").agg(F.avg("strategy_return").alias("strategy_return")).select(F.lit(name).alias("symbol"), "ts", "strategy_return")
+        every = part if every is None else every.union(part)
+    out = performance(with_equity(every)).withColumnRenamed("symbol", "strategy")
+    return out.select("strategy", *[F.round(x, 4).alias(x) if x != "bars" else c(x) for x in ("bars", "total_return", "annual_return", "sharpe", "sortino", "max_drawdown", "volatility")])

@@ -76,3 +76,33 @@ def correlations(bars: DataFrame, limit: float = 0.7) -> DataFrame:
     r = bars.select("symbol", "ts", (F.try_divide(c("close"), prev("close")) - 1).alias("r")).where("r is not null")
     a, b = r.select("ts", F.col("symbol").alias("a"), F.col("r").alias("ra")), r.select("ts", F.col("symbol").alias("b"), F.col("r").alias("rb"))
     return a.join(b, "ts").where("a < b").groupBy("a", "b").agg(corr("ra", "rb").alias("corr"), F.count("*").alias("n")).withColumn("above", F.col("corr") > limit)
+
+
+def news_on_bars(bars: DataFrame, daily: DataFrame, columns: list[str], roll_forward: bool = False) -> DataFrame:
+    """Daily news aggregates on the bar of the same day, 0 where there are none; with roll_forward news of days without a bar goes to
+    the next bar (mean over the days it then holds)."""
+    day = F.to_date("ts")
+    if not roll_forward:
+        return bars.withColumn("day", day).join(daily.select("symbol", "day", *columns), ["symbol", "day"], "left").drop("day").na.fill(0, columns)
+    own = bars.select("symbol", day.alias("day"), F.lit(1).alias("_bar"), F.col("ts").alias("_ts"))
+    both = daily.select("symbol", "day", *columns, F.lit(0).alias("_bar")).unionByName(own, allowMissingColumns=True)
+    w = Window.partitionBy("symbol").orderBy("day", "_bar").rowsBetween(0, Window.unboundedFollowing)
+    moved = both.withColumn("_ts", F.first("_ts", ignorenulls=True).over(w)).where("_bar = 0 and _ts is not null")
+    per_bar = moved.groupBy("symbol", F.col("_ts").alias("ts")).agg(*[F.avg(x).alias(x) for x in columns])
+    return bars.join(per_bar, ["symbol", "ts"], "left").na.fill(0, columns)
+
+
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each key; Spark limits groups below the shuffle."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
+def merged_importances(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(feature, importance) of two models side by side, 0 where one lacks the feature, and their mean."""
+    j = a.select("feature", F.col("importance").alias("a")).join(b.select("feature", F.col("importance").alias("b")), "feature", "full_outer").na.fill(0.0)
+    return j.withColumn("mean", (F.col("a") + F.col("b")) / 2)
+
+
+def agreement(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Share of rows on which two signals have the same sign."""
+    return df.groupBy(*keys).agg(F.avg((F.signum(c(a)) == F.signum(c(b))).cast("double")).alias("agreement"))

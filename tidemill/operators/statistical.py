@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,3 +215,15 @@ def proxies(b: DataFrame) -> DataFrame:
 
 
 PROXIES = "iv_proxy vol_risk_premium put_call_proxy skew_proxy max_pain_proxy dist_to_max_pain economic_proxy recession_proxy inflation_proxy credit_stress_proxy liquidity_proxy".split()
+
+
+def box_dimension(b: DataFrame, n: int = 30, sizes: tuple[int, ...] = (2, 4, 8, 16)) -> DataFrame:
+    """X7 as intended: slope of log(boxes) against log(1/size) of the closes of n bars scaled to the unit square, cut to 1..2."""
+    seen, lo, hi = F.collect_list("close").over(win(n)), F.min("close").over(win(n)), F.max("close").over(win(n))
+    b = b.withColumn("_b", F.struct(seen.alias("x"), lo.alias("lo"), hi.alias("hi")))
+    e = c("_b")
+    cells = lambda k: F.size(F.array_distinct(F.transform(e["x"], lambda v, i: F.floor(i * F.lit(k) / F.lit(n)) * 1000 + F.least(F.floor(F.try_divide(v - e["lo"], e["hi"] - e["lo"]) * k), F.lit(k - 1)))))
+    xs = [math.log(k) for k in sizes]
+    mean = sum(xs) / len(xs)
+    slope = sum((x - mean) * F.log(cells(k).cast("double")) for x, k in zip(xs, sizes, strict=True)) / sum((x - mean) ** 2 for x in xs)
+    return b.withColumn("fractal_dimension", F.when((F.size(e["x"]) == n) & (e["hi"] > e["lo"]), F.least(F.greatest(slope, F.lit(1.0)), F.lit(2.0)))).drop("_b")

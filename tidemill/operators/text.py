@@ -141,3 +141,9 @@ def filings_from_json(df: DataFrame, payload: str = "payload", forms: tuple[str,
         rows = rows.where(c("form").isin(*forms))
     rows = rows.orderBy("i").limit(k) if k else rows
     return rows.select("form", F.to_date("filed").alias("filed"), "accession", F.split("items", ",").alias("items"))
+
+
+def chunked_scores(df: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5000) -> DataFrame:
+    """Mean compound score of a long document's chunks, over the whole text."""
+    parts = df.select(key, F.posexplode(chunks(c(text), size)).alias("part", "text"))
+    return lexicon_scores(parts, lexicon, "text", (key, "part")).groupBy(key).agg(F.avg("compound").alias("compound"), F.count("*").alias("parts"))

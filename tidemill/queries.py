@@ -837,3 +837,28 @@ def latest_news(spark: SparkSession, d: str) -> DataFrame:
 @register("pause_flags", f"{_PATH} SELECT symbol, ts, CAST(strategy_return < -0.03 AS INTEGER) AS pause_day, CAST(sum(strategy_return) {over(-4)} < -0.07 AS INTEGER) AS pause_week, CAST(drawdown < -0.15 AS INTEGER) AS pause_drawdown FROM pf")
 def pause_flags(spark: SparkSession, d: str) -> DataFrame:
     return A.pause_flags(pathed(spark, d)).select("symbol", "ts", "pause_day", "pause_week", "pause_drawdown")
+
+
+# ---------------------------------------------------------------- further alignment and comparison
+_fb = "list_transform(range(1, 31), lambda i: floor((i - 1) * {k} / 30.0::DOUBLE) * 1000 + least(floor((x[i] - lo) / nullif(hi - lo, 0) * {k}), {k} - 1))"
+_fd = [stage("fx", "base", x=f"list(close) {over(-29)}", lo=f"min(close) {over(-29)}", hi=f"max(close) {over(-29)}"), stage("fy", "fx", **{f"n{k}": f"CASE WHEN len(x) = 30 THEN len(list_distinct({_fb.format(k=k)})) END" for k in (2, 4, 8, 16)})]
+_fd.append(stage("fz", "fy", fractal_dimension="CASE WHEN len(x) = 30 AND hi > lo THEN least(greatest((-1.5 * ln(n2) - 0.5 * ln(n4) + 0.5 * ln(n8) + 1.5 * ln(n16)) / (5 * ln(2)), 1), 2) END"))
+
+
+@register("box_dimension", sql(_fd, ["fractal_dimension"], "fz"))
+def box_dimension(spark: SparkSession, d: str) -> DataFrame:
+    return shown(S.box_dimension(based(spark, d)), ["fractal_dimension"])
+
+
+@register("compare_runs")
+def compare_runs(spark: SparkSession, d: str) -> DataFrame:
+    b = signalled(spark, d).select("symbol", "ts", "seq", "close", "signal_value")
+    return P.compare({"signals": P.position_path(b), "inverse": P.position_path(b.withColumn("signal_value", -F.col("signal_value"))), "held": P.position_path(G.minimum_hold(b, 5, "signal_value"))})
+
+
+_CHK = "ch AS (SELECT doc_id, i AS part, substr(text, CAST(i * 5000 + 1 AS BIGINT), 5000) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 5000.0) AS BIGINT), 1))) AS i FROM documents)), ct AS (SELECT doc_id, part, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, part, regexp_extract_all(lower(t), '[\\\\p{L}'']+') AS w FROM ch)), cn AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY doc_id, part ORDER BY pos) IN ('not', 'no', 'never'), false) AS neg FROM ct), cs AS (SELECT doc_id, part, sum(CASE WHEN neg THEN valence * -0.74::DOUBLE ELSE valence END) AS s FROM cn JOIN lex USING (word) GROUP BY 1, 2)".replace("\\\\", "\\")
+
+
+@register("long_doc_sentiment", f"WITH {_TOK}, {_LEX}, {_CHK} SELECT ch.doc_id, round(avg(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15)) + {NUDGE}, 6) AS compound, count(*) AS parts FROM ch LEFT JOIN cs ON cs.doc_id = ch.doc_id AND cs.part = ch.part GROUP BY 1")
+def long_doc_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(X.chunked_scores(B.load(spark, d, "documents"), _lexicon(spark, d)))

@@ -13,7 +13,7 @@ from tidemill.plans.windows import c
 
 def live_bars(ticks: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Bars of ticks (symbol, ts, price, size, seq); ticks later than `late` are left out."""
-    g = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", interval).alias("w"))
+    g = ticks.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", late).groupBy("symbol", F.window("ts", interval).alias("w"))
     o = F.struct("ts", "seq")
     return g.agg(F.min_by("price", o).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", o).alias("close"), F.sum("size").alias("volume")).select("symbol", c("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
