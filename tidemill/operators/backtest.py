@@ -199,3 +199,15 @@ def compare(runs: dict[str, DataFrame]) -> DataFrame:
         every = part if every is None else every.union(part)
     out = performance(with_equity(every)).withColumnRenamed("symbol", "strategy")
     return out.select("strategy", *[F.round(x, 4).alias(x) if x != "bars" else c(x) for x in ("bars", "total_return", "annual_return", "sharpe", "sortino", "max_drawdown", "volatility")])
+
+
+def slices(b: DataFrame, train: int = 252, test: int = 63) -> DataFrame:
+    """Adds slice_id of fixed-signal walk-forward slices; bars before the first slice are left out."""
+    return b.withColumn("slice_id", F.floor((c("seq") - 1 - train) / test).cast("int")).where(c("slice_id") >= 0)
+
+
+def slice_metrics(b: DataFrame) -> DataFrame:
+    """Mean and deviation of the slices' returns and Sharpe ratios by symbol."""
+    r = c("strategy_return")
+    per = b.groupBy("symbol", "slice_id").agg((F.product(1 + r) - 1).alias("total"), (F.try_divide(F.avg(r), F.stddev_samp(r)) * YEAR).alias("sharpe"))
+    return per.groupBy("symbol").agg(F.count("*").alias("slices"), F.avg("total").alias("mean_return"), F.stddev_samp("total").alias("std_return"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"))

@@ -98,3 +98,18 @@ def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, fl
     found = model.stages[-1].featureImportances.toArray()
     total = found.sum() or 1.0
     return sorted(((f, float(x / total)) for f, x in zip(features, found, strict=True)), key=lambda x: (-x[1], x[0]))
+
+
+def probabilities(p: Column) -> Column:
+    """(1 - p, p)."""
+    return F.array(1 - p, p)
+
+
+def save(models: list[PipelineModel], path: str) -> None:
+    """The fitted models, numbered, in Spark ML's own format."""
+    for i, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/{i:03d}")
+
+
+def load(path: str, n: int) -> list[PipelineModel]:
+    return [PipelineModel.load(f"{path}/{i:03d}") for i in range(n)]

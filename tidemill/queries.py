@@ -862,3 +862,9 @@ _CHK = "ch AS (SELECT doc_id, i AS part, substr(text, CAST(i * 5000 + 1 AS BIGIN
 @register("long_doc_sentiment", f"WITH {_TOK}, {_LEX}, {_CHK} SELECT ch.doc_id, round(avg(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15)) + {NUDGE}, 6) AS compound, count(*) AS parts FROM ch LEFT JOIN cs ON cs.doc_id = ch.doc_id AND cs.part = ch.part GROUP BY 1")
 def long_doc_sentiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(X.chunked_scores(B.load(spark, d, "documents"), _lexicon(spark, d)))
+
+
+@register("wf_slices", f"{_PATH}, sl AS (SELECT symbol, strategy_return, CAST(floor((row_number() OVER ({ROW}) - 1 - 126) / 42.0) AS INTEGER) AS s FROM pf), pr AS (SELECT symbol, s, product(1 + strategy_return) - 1 AS total, avg(strategy_return) / nullif(stddev_samp(strategy_return), 0) * sqrt(252) AS sharpe FROM sl WHERE s >= 0 GROUP BY 1, 2) SELECT symbol, count(*) AS slices, {_r('avg(total)', 'mean_return')}, {_r('stddev_samp(total)', 'std_return')}, {_r('avg(sharpe)', 'mean_sharpe')}, {_r('stddev_samp(sharpe)', 'std_sharpe')} FROM pr GROUP BY symbol")
+def wf_slices(spark: SparkSession, d: str) -> DataFrame:
+    p = pathed(spark, d).withColumn("seq", F.row_number().over(B_SERIES()))
+    return rounded(P.slice_metrics(P.slices(p, 126, 42)), 5)
