@@ -4,7 +4,7 @@ Labels are given by document, so token labels come first: in the training sample
 letters, whose share of toxic documents departs strongly from that of clean ones (likelihood ratio) is a marker; the tokens
 of toxic documents that bear a marker are labelled 1, all others 0. The CRF has two states; its features are the word, its
 beginnings and the transitions. Forward-backward runs over the whole chain of a document; the expected number of toxic
-tokens and the largest marginal give the document's score through a logistic curve.
+tokens (of those likelier toxic than not) and the largest marginal give the document's score through a logistic curve.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from tidemill.llm.common import sampled
 
 BEGINNINGS = (3, 4, 5, 6, 7)
 GROUP = 5000  # documents whose chains a task sorts by length and walks together
+FEW = 5  # toxic documents that must hold a trait
 SMALL = 0.3  # weights under this are left out of the model
 CACHE = 100_000  # tokens whose weight a worker remembers; all are forgotten when it is full
 _word = re.compile(r"\w+")
@@ -68,6 +69,12 @@ def forward_backward(unary: np.ndarray, lengths: np.ndarray, start: float, move:
     return p, moves, float(total[lengths > 0].sum())
 
 
+def summed(p: np.ndarray) -> tuple[float, float]:
+    """ln(1 + expected number of toxic tokens among those likelier toxic than not), and the largest marginal."""
+    sure = p[p >= 0.5]
+    return float(np.log1p(sure.sum())), float(p.max()) if len(p) else 0.0
+
+
 @dataclass
 class Crf:
     """weights: of the traits, for state 1. bias, start and move: of the states. curve: of the document score."""
@@ -149,11 +156,12 @@ class Crf:
     def score(self, p: np.ndarray) -> float:
         """Document score of its marginals; of an empty document, that of no toxic token."""
         c, few, most = self.curve
-        z = c + few * np.log1p(p.sum() if len(p) else 0.0) + most * (p.max() if len(p) else 0.0)
+        count, top = summed(p)
+        z = c + few * count + most * top
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _markers(texts: list[set[str]], toxic: np.ndarray, least: float = 25.0) -> set[str]:
+def _markers(texts: list[set[str]], toxic: np.ndarray, least: float = 40.0) -> set[str]:
     """Traits whose document counts depart towards the toxic side by a likelihood ratio of at least `least`."""
     seen = [Counter(), Counter()]
     for words, y in zip(texts, toxic, strict=True):
@@ -183,8 +191,9 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 40, penalty: float =
     if not marks:
         return model
     bears = {w: any(t in marks for t in traits(w)) for d in docs for w in d}
-    # traits of labelled tokens, and of the words that resemble them, are the features; others have weight 0
-    known = sorted({t for w, yes in bears.items() if yes for t in traits(w)})
+    # features: the traits of labelled tokens that several toxic documents hold
+    held = Counter(t for d, y in zip(docs, toxic, strict=True) if y for t in {t for w in set(d) if bears[w] for t in traits(w)})
+    known = sorted(t for t, n in held.items() if n >= FEW)
     number = {t: i for i, t in enumerate(known)}
     rows = {w: np.array([number[t] for t in traits(w) if t in number], np.int64) for w in bears}
     chains = []  # runs of words, as the lines of a page would be: (word indexes, labels)
@@ -227,12 +236,12 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 40, penalty: float =
     model.bias, model.start, model.move = float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy()
     weight = {w: model.weight(w) for w in bears}
     p = model.marginals([np.array([weight[w] for w in d]) for d in docs])
-    x = np.array([[1.0, np.log1p(q.sum() if len(q) else 0), q.max() if len(q) else 0] for q in p])
+    x = np.array([[1.0, *summed(q)] for q in p])
     c = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
         z = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        h = (x * (z * (1 - z))[:, None]).T @ x + 0.5 * np.eye(3)
-        c = c + np.linalg.solve(h, x.T @ (toxic - z) - 0.5 * c)
+        h = (x * (z * (1 - z))[:, None]).T @ x + 0.1 * np.eye(3)
+        c = c + np.linalg.solve(h, x.T @ (toxic - z) - 0.1 * c)
     model.curve = tuple(float(k) for k in c)
     return model
 
