@@ -24,6 +24,7 @@ from tidemill.llm.common import sampled
 
 BEGINNINGS = (3, 4, 5, 6, 7)
 GROUP = 5000  # documents whose chains a task sorts by length and walks together
+BLANK = 300  # words without weight after which a text's largest marginal no longer changes
 FEW = 5  # toxic documents that must hold a trait
 SMALL = 0.3  # weights under this are left out of the model
 CACHE = 100_000  # tokens whose weight a worker remembers; all are forgotten when it is full
@@ -273,13 +274,13 @@ def tag(docs: DataFrame, model: Crf, text: str = "text", keep: tuple[str, ...] =
                 for t in texts:
                     words = _word.findall(t.lower())
                     chains.append((len(words), crf.chain(words, known)))
-                for k in {k for k, c in chains if c is None and k not in blank}:
-                    blank[k] = crf.score(crf.marginals([np.zeros(k)])[0])
+                fresh = sorted({min(k, BLANK) for k, c in chains if c is None} - blank.keys())
+                blank.update(zip(fresh, map(crf.score, crf.marginals([np.zeros(k) for k in fresh])), strict=True))
                 full = [i for i, (_, c) in enumerate(chains) if c is not None]
                 found = dict(zip(full, crf.marginals([chains[i][1] for i in full]), strict=True))
                 for i, (k, _) in enumerate(chains):
                     p = found.get(i)
-                    scores.append(blank[k] if p is None else crf.score(p))
+                    scores.append(blank[min(k, BLANK)] if p is None else crf.score(p))
                     spans.append([] if p is None or p.max() < least else _spans(texts[i], p, least))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores, pa.float64()), pa.array(spans, kind)], [*keep, "score", "spans"])
 
