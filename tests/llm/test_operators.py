@@ -298,6 +298,31 @@ def test_mixing(spark, odd_rows):
     assert mixing.mix(table(spark, [*odd_rows, *odd_rows])).count() == 2 * len(odd_rows)
 
 
+def test_mixing_rare_sources(spark):
+    """Sources of far less than one row in 10000 neither fall out nor end the mixture, whether weights are given or natural."""
+    n = 60_000
+    docs = spark.range(n).selectExpr("id doc_id", "case when id < 3 then concat('rare', id) when id < 14 then 'few' when id % 3 = 0 then null else concat('s', id % 2) end source")
+    for weights in (None, {"rare0": 1, "rare1": 1, "rare2": 1, "few": 11, None: 19_995, "s0": 19_996, "s1": 19_995}):
+        got = mixing.mix(docs, weights, most=1.0).toPandas()
+        assert got["in_mix"].all() and sorted(got["position"]) == list(range(n))
+        got = got.sort_values("position")
+        assert got["slot"].is_monotonic_increasing and got.groupby("slot")["source"].nunique(dropna=False).max() == 1
+        assert got["source"].isna().cumsum().sub(got["source"].isna().mean() * (got["position"] + 1)).abs().max() < 4 * mixing.BLOCK_ROWS
+
+
+def test_mixing_tree():
+    rng = random.Random(4)
+    for sizes in ([1], [1, 1], [600, *[20] * 19], [*range(1, 60)], [1000 // i for i in range(1, 200)], [rng.randrange(1, 90) ** 2 for _ in range(30)], [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233]):
+        blocks = {f"s{i}": n for i, n in enumerate(sizes)}
+        ways, total = mixing.paths(blocks), sum(sizes)
+        at = {mixing.slot_of(ways[s], i): s for s, n in blocks.items() for i in range(n)}
+        assert sorted(at) == list(range(total))
+        done = dict.fromkeys(blocks, 0)
+        for t in range(total):
+            done[at[t]] += 1
+            assert all(abs(done[s] - (t + 1) * blocks[s] / total) < 4 for s in blocks)
+
+
 # ---- op10
 def test_lattice_points():
     rng = np.random.default_rng(3)

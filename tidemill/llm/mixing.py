@@ -1,22 +1,24 @@
 """Mixing sources to target weights by proportionally fair (Pfair) scheduling.
 
-Each source is cut into blocks of equally many rows. Block i (from 1) of a source with weight w is released at slot
-floor((i-1)/w) and is due before slot ceil(i/w); in every slot the released block with the earliest deadline goes. With
-weights that are multiples of 1/PERIOD the schedule repeats after PERIOD slots, so one period is worked out once and every
-block of every source finds its slot by arithmetic: no task or driver ever walks over the blocks. At every slot each source
-is less than one block from its share.
+Each source is cut into blocks of equally many rows, of which the last may be short. Two sources share the slots fairly by
+arithmetic: of a and b blocks, block i (from 0) of the one goes to slot ceil((i+1)(a+b)/a)-1, of the other to slot floor(i(a+b)/b).
+Many sources are joined two by two, the fewest blocks first (a Huffman tree), each pair being one source to the next; so every
+block of every source finds its slot by arithmetic on exact counts, and no task or driver walks over the blocks. No source
+is rounded away, all end together, and at every slot each is less than four blocks from its share: a pair is off by less than one block,
+and two steps up the tree at least halve what is off below.
 """
 
 from __future__ import annotations
 
 import heapq
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD = 10_000
 BLOCK_ROWS = 8
-#: Largest share of one source in the default target.
+#: Largest share of one source in the default target of mix(); the registered query and the pipeline set none.
 MOST = 0.3
 BUCKETS = 4096
 
@@ -34,7 +36,8 @@ def shares(weights: dict[str | None, float], period: int = PERIOD) -> dict[str |
 
 
 def period_slots(slots: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block of the period, slot): earliest deadline first among released blocks, ties by source."""
+    """(source, block of the period, slot): earliest deadline first among released blocks, ties by source. Walks over one short period;
+    mix() does without."""
     period = sum(slots.values())
     order = {s: i for i, s in enumerate(sorted(slots, key=lambda s: (s is None, s or "")))}
     waiting = [(0, order[s], s, 0) for s in slots]  # by release
@@ -69,34 +72,80 @@ def default_weights(sizes: dict[str | None, int], most: float = MOST) -> dict[st
     return out if n else {}
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, key: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+def rows_taken(sizes: dict[str | None, int], weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Rows of each source in the longest mixture to these weights; a source without a positive weight has none."""
+    own = {s: w for s, w in weights.items() if w > 0 and sizes.get(s)}
+    most = min((sizes[s] / w for s, w in own.items()), default=0)
+    return {s: k for s, w in own.items() if (k := min(sizes[s], int(most * w + 0.5)))}
+
+
+def paths(blocks: dict[str | None, int]) -> dict[str | None, list[tuple[bool, int, int]]]:
+    """The way of each source up the tree: (whether it is the first of the pair, its blocks, the pair's blocks)."""
+    order = sorted(blocks, key=lambda s: (s is None, s or ""))
+    heap = [(blocks[s], i) for i, s in enumerate(order)]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, bool, int, int]] = {}
+    node = len(order)
+    while len(heap) > 1:
+        (b, y), (a, x) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y] = (node, True, a, a + b), (node, False, b, a + b)
+        heapq.heappush(heap, (a + b, node))
+        node += 1
+    out = {}
+    for i, s in enumerate(order):
+        out[s] = []
+        while i in up:
+            i, *step = up[i]
+            out[s].append(tuple(step))
+    return out
+
+
+def slot_of(path: list[tuple[bool, int, int]], block: int) -> int:
+    for first, own, both in path:
+        block = -(-(block + 1) * both // own) - 1 if first else block * both // own
+    return block
+
+
+def _missing(slot: Column, short: list[tuple[int, int]]) -> Column:
+    """Rows that the short blocks before the slot lack. short: (slot, rows lacking), at most one a source; found by bisection."""
+    if not short:
+        return F.lit(0)
+    short = sorted(short)
+    at = F.split(F.lit(",".join(str(t) for t, _ in short)), ",").cast("array<bigint>")
+    sums = F.split(F.lit(",".join(map(str, accumulate((k for _, k in short), initial=0)))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(short).bit_length()))])
+    n = F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= len(short)) & (F.get(at, lo + step - 1) < slot), lo + step).otherwise(lo))
+    return F.get(sums, n)
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, key: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = (), most: float = MOST) -> DataFrame:
     """One row a document: key, source, block long (from 0 in its source), slot long, in_mix boolean, position long (its place in the
-    mixture, null outside), and the carried columns.
+    mixture), and the carried columns.
 
-    Within a source rows come in order of the md5 of the key, then the key: a fixed shuffle. The mixture ends at the first slot whose source
-    has no full block left; what lies behind is not part of it and says so (in_mix false). weights: by source, null included;
-    without weights the natural shares, no source above MOST. Sources without a weight, or whose share is under 1/PERIOD, have
-    block and slot but lie outside. Sizes and weights are one number a source.
+    Within a source rows come in order of the md5 of the key, then the key: a fixed shuffle. weights: by source, null included;
+    without weights the natural shares, no source above `most`. With natural shares (most=1) every row has its position. Other weights
+    take as many rows of each source as the longest mixture to them holds, to the row; the rows behind these, and sources without
+    a weight, lie outside (in_mix false, slot and position null). Sizes, weights and ways up the tree are held by source.
     """
     spark = docs.sparkSession
     h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), h.alias("h"), F.conv(F.substring(h, 1, 3), 16, 10).cast("int").alias("b"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     counts = rows.groupBy("s", "b").agg(F.count("*").alias("n"))
     sizes = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    slots = shares(default_weights(sizes) if weights is None else {s: w for s, w in weights.items() if s in sizes})
-    schedule = period_slots(slots)
-    at = {(s, i): t for s, i, t in schedule}
-    period = len(schedule)
-    end = min((sizes[s] // block_rows // n * period + at[s, sizes[s] // block_rows % n] for s, n in slots.items()), default=0)
-    of_period = spark.createDataFrame([(s, i, t, slots[s]) for s, i, t in schedule], "ps string, i int, t int, share int")
-    per_source = spark.createDataFrame([(s, n) for s, n in slots.items()], "qs string, share int")
+    if weights is None:
+        weights = default_weights(sizes, most) if max(sizes.values(), default=0) > most * sum(sizes.values()) else sizes
+    taken = rows_taken(sizes, weights)
+    blocks = {s: -(-n // block_rows) for s, n in taken.items()}
+    ways = paths(blocks)
+    short = [(slot_of(ways[s], blocks[s] - 1), blocks[s] * block_rows - n) for s, n in taken.items() if n % block_rows]
+    per_source = spark.createDataFrame([(s, n, ways[s]) for s, n in taken.items()], "qs string, taken long, way array<struct<first: boolean, own: long, both: long>>")
     # ranks in a source without gathering it: the rows of earlier buckets, then the place in the bucket
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("s").alias("s2"), F.col("b").alias("b2"), F.coalesce("before", F.lit(0)).alias("before"))
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "k"))).join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")))
     ranked = ranked.withColumn("place", F.col("before") + F.col("r") - 1).withColumn("block", F.floor(F.col("place") / block_rows).cast("long"))
-    ranked = ranked.join(F.broadcast(per_source), F.col("s").eqNullSafe(F.col("qs")), "left")  # one row a source of the schedule
-    ranked = ranked.join(F.broadcast(of_period.drop("share")), F.col("s").eqNullSafe(F.col("ps")) & ((F.col("block") % F.col("share")).cast("int") == F.col("i")), "left")  # PERIOD rows
-    slot = (F.floor(F.col("block") / F.col("share")) * period + F.col("t")).cast("long")
-    inside = F.coalesce(slot < end, F.lit(False))
-    position = F.when(inside, slot * block_rows + F.col("place") % block_rows).cast("long")
-    return ranked.select(F.col("k").alias(key), F.col("s").alias(source), "block", slot.alias("slot"), inside.alias("in_mix"), position.alias("position"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    ranked = ranked.join(F.broadcast(per_source), F.col("s").eqNullSafe(F.col("qs")), "left")  # one row a source
+    ranked = ranked.withColumn("inside", F.coalesce(F.col("place") < F.col("taken"), F.lit(False)))
+    slot = F.expr("aggregate(way, block, (i, w) -> if(w.first, ((i + 1) * w.both + w.own - 1) div w.own - 1, (i * w.both) div w.own))")
+    ranked = ranked.withColumn("slot", F.when(F.col("inside"), slot)).drop("way")
+    position = F.when(F.col("inside"), F.col("slot") * block_rows + F.col("place") % block_rows - _missing(F.col("slot"), short)).cast("long")
+    return ranked.select(F.col("k").alias(key), F.col("s").alias(source), "block", "slot", F.col("inside").alias("in_mix"), position.alias("position"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])

@@ -36,7 +36,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), most=1.0)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
