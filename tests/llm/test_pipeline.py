@@ -26,3 +26,10 @@ def test_registered(spark, data):
 
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, data).count() > 100
+
+
+def test_mixing_stage_keeps_every_document(spark):
+    """A source with most rows, small ones and a null one: none is cut, and none ends the mixture."""
+    rows = [(i, f"text {i}", "en", "small" if i % 50 == 0 else None if i == 7 else "hot", 6) for i in range(503)]
+    got = corpus_pipeline.mixed_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
