@@ -33,3 +33,20 @@ def test_mixing_stage_keeps_every_document(spark):
     rows = [(i, f"text {i}", "en", "small" if i % 50 == 0 else None if i == 7 else "hot", 6) for i in range(503)]
     got = corpus_pipeline.mixed_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_near_duplicate_stage_from_80(spark):
+    """Copies of 300 words with 6 (Jaccard 0.816) and 5 scattered edits (0.844) go, those with 7 (0.788) stay; op2 starts at 0.85."""
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(300)]
+        rows.append((g * 10, " ".join(base)))
+        for edits in (5, 6, 7):
+            copy = list(base)
+            for e in range(edits):
+                copy[20 + 40 * e] = f"edit{edits}x{e}"
+            rows.append((g * 10 + edits, " ".join(copy)))
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {g * 10 + k for g in range(30) for k in (0, 7)}
+    assert corpus_pipeline.near_dedup.near_duplicates(docs).where("kept").count() == 120

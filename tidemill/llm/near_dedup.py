@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import byte_column, connected, written
 
 WORDS = 5
-PERCENT = 85  # 100 * intersection >= PERCENT * union
+PERCENT = 85  # the default: 100 * intersection >= percent * union
 REGISTERS = 125
 BAND = 5
 BASE, RATE = 1.1, 20.0
-#: Estimates under this are not verified: four standard errors below the threshold.
-PROMISING = 0.72
+#: Pairs are not verified whose estimate, or whose share of equal registers, lies so many standard errors below the threshold.
+ESTIMATE_ERRORS, EQUAL_ERRORS = 4.08, 4.7
 TILE = 512
 
 _rng = np.random.default_rng(5)
@@ -150,15 +150,22 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("k"), text).mapInArrow(run, "k long, n_shingles long, d1 long, d2 long, sketch binary").withColumnRenamed("k", key)
 
 
-def _promising(block: np.ndarray, ids: np.ndarray, n: np.ndarray, regs: np.ndarray, comp: np.ndarray | None, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def least_estimates(percent: int) -> tuple[float, float]:
+    """The least likelihood estimate and the least share of equal registers of pairs to verify."""
+    error = (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    return percent / 100 - ESTIMATE_ERRORS * error, percent / 100 - EQUAL_ERRORS * error
+
+
+def _promising(block: np.ndarray, ids: np.ndarray, n: np.ndarray, regs: np.ndarray, comp: np.ndarray | None, cross: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, likelihood estimate) of a tile's pairs that may reach the threshold; with comp only those of different components."""
+    least, least_equal = least_estimates(percent)
     left = np.flatnonzero(block == block.min()) if cross else np.arange(len(ids))
     right = np.flatnonzero(block != block.min()) if cross else left
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for lo in range(0, len(left), 64):
         own = left[lo : lo + 64]
         same = (regs[own][:, None, :] == regs[right][None, :, :]).sum(axis=2, dtype=np.int32)
-        ok = (same >= 0.7 * REGISTERS) & (100 * np.minimum(n[own][:, None], n[right][None, :]) >= PERCENT * np.maximum(n[own][:, None], n[right][None, :]))
+        ok = (same >= least_equal * REGISTERS) & (100 * np.minimum(n[own][:, None], n[right][None, :]) >= percent * np.maximum(n[own][:, None], n[right][None, :]))
         ok &= ids[own][:, None] != ids[right][None, :] if cross else ids[own][:, None] < ids[right][None, :]
         if comp is not None:
             ok &= comp[own][:, None] != comp[right][None, :]
@@ -166,7 +173,7 @@ def _promising(block: np.ndarray, ids: np.ndarray, n: np.ndarray, regs: np.ndarr
         for k in range(0, len(r), 4096):
             a, b = own[r[k : k + 4096]], right[c[k : k + 4096]]
             likely = likeliest(n[a], n[b], (regs[a] > regs[b]).sum(axis=1), (regs[a] < regs[b]).sum(axis=1))
-            keep = likely >= PROMISING
+            keep = likely >= least
             out.append((a[keep], b[keep], likely[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -177,9 +184,9 @@ def _first_here(regs_a: np.ndarray, regs_b: np.ndarray, band: int) -> np.ndarray
     return agree.argmax(axis=1) == band
 
 
-def _nearest(t: dict, cross: bool) -> list[tuple[int, int]]:
+def _nearest(t: dict, cross: bool, percent: int) -> list[tuple[int, int]]:
     """Each member with its most similar partner in the tile."""
-    i, j, likely = _promising(t["block"], t["id"], t["n"], t["regs"], None, cross)
+    i, j, likely = _promising(t["block"], t["id"], t["n"], t["regs"], None, cross, percent)
     x, y, likely = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([likely, likely])
     order = np.lexsort((t["id"][y], -likely, x))
     x, y = x[order], y[order]
@@ -188,16 +195,16 @@ def _nearest(t: dict, cross: bool) -> list[tuple[int, int]]:
     return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
 
 
-def _open_members(t: dict, cross: bool) -> list[tuple[int, int]]:
+def _open_members(t: dict, cross: bool, percent: int) -> list[tuple[int, int]]:
     """(bucket, member) of the members that have a promising partner in another component."""
-    i, j, _ = _promising(t["block"], t["id"], t["n"], t["regs"], t["comp"], cross)
+    i, j, _ = _promising(t["block"], t["id"], t["n"], t["regs"], t["comp"], cross, percent)
     here = _first_here(t["regs"][i], t["regs"][j], int(t["band"][0]))
     return [(int(t["key"][0]), int(x)) for x in t["id"][np.unique(np.concatenate([i[here], j[here]]))]]
 
 
-def _joined(t: dict, cross: bool) -> list[tuple[int, int]]:
+def _joined(t: dict, cross: bool, percent: int) -> list[tuple[int, int]]:
     """Links that join components, verified on whole sets; the most similar pairs first, and none between what is joined by then."""
-    i, j, likely = _promising(t["block"], t["id"], t["n"], t["regs"], t["comp"], cross)
+    i, j, likely = _promising(t["block"], t["id"], t["n"], t["regs"], t["comp"], cross, percent)
     here = _first_here(t["regs"][i], t["regs"][j], int(t["band"][0]))
     i, j, likely = i[here], j[here], likely[here]
     parent: dict[int, int] = {}
@@ -218,19 +225,19 @@ def _joined(t: dict, cross: bool) -> list[tuple[int, int]]:
     for k in np.argsort(-likely, kind="stable"):
         a, b = int(i[k]), int(j[k])
         x, y = root(int(t["comp"][a])), root(int(t["comp"][b]))
-        if x != y and alike(shingles(a), shingles(b)):
+        if x != y and alike(shingles(a), shingles(b), percent):
             parent[x] = y
             out.append((int(min(t["id"][a], t["id"][b])), int(max(t["id"][a], t["id"][b]))))
     return out
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> bool:
+def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets reach the threshold."""
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _tiles(rows: DataFrame, judge, names: tuple[str, str]) -> DataFrame:
+def _tiles(rows: DataFrame, judge, names: tuple[str, str], percent: int) -> DataFrame:
     """What `judge` finds in each tile. rows: key, band, c (size of the bucket), id, n, sketch, comp, and text if it is needed."""
     columns = ["key", "ti", "tj", "band", "block", "id", "n", "comp", "sketch", *(["text"] if "text" in rows.columns else [])]
 
@@ -248,7 +255,7 @@ def _tiles(rows: DataFrame, judge, names: tuple[str, str]) -> DataFrame:
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 if j - i > 1:
                     own = {c: x[i:j] for c, x in whole.items()} | ({"text": t.column("text").slice(i, j - i)} if "text" in columns else {})
-                    found += judge(own, bool(tile[i, 1] != tile[i, 2]))
+                    found += judge(own, bool(tile[i, 1] != tile[i, 2]), percent)
             return found, t.slice(cut[-1])
 
         def made(found: list) -> Iterator[pa.RecordBatch]:
@@ -269,7 +276,7 @@ def _tiles(rows: DataFrame, judge, names: tuple[str, str]) -> DataFrame:
     return dealt.mapInArrow(run, f"{names[0]} long, {names[1]} long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the threshold. texts: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +284,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             sets = zip(shingle_sets(*byte_column(b.column(2))), shingle_sets(*byte_column(b.column(3))), strict=True)
             for i, (x, y) in enumerate(sets):
-                if alike(x, y):
+                if alike(x, y, percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
@@ -286,11 +293,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles long, component_id long, kept boolean) of every row; kept: the key is its component's smallest.
 
     Keys are unique integers; rows with a null key are left out, a repeated key counts once with its first text. Texts without
-    a word are linked with nothing; with fewer than five words the whole sequence is the one shingle.
+    a word are linked with nothing; with fewer than five words the whole sequence is the one shingle. percent: least similarity of
+    a link; a pair at 80 agrees in no band with chance 3e-5 (4e-7 at 85).
     """
     clean = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = written(sketches(clean, "id").dropDuplicates(["id"]))
@@ -301,14 +309,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     crowd = members.select("id").distinct()
     texts = written(clean.join(crowd, "id", "left_semi").dropDuplicates(["id"]))
     reps = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-    first = written(_tiles(members.join(reps, "id").withColumn("comp", F.col("id")), _nearest, ("a", "b")))
-    links = written(_verified(first, texts))
+    first = written(_tiles(members.join(reps, "id").withColumn("comp", F.col("id")), _nearest, ("a", "b"), percent))
+    links = written(_verified(first, texts, percent))
     comps = connected(links)
     tagged = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     split = written(tagged.join(mixed, "key").join(reps, "id"))
-    unsure = written(_tiles(split, _open_members, ("key", "id")))
-    more = written(_tiles(split.join(unsure, ["key", "id"]).join(texts, "id"), _joined, ("a", "b")))
+    unsure = written(_tiles(split, _open_members, ("key", "id"), percent))
+    more = written(_tiles(split.join(unsure, ["key", "id"]).join(texts, "id"), _joined, ("a", "b"), percent))
     final = connected(links.union(more)).withColumnRenamed("node", "rep")
     named = classes.select("n_shingles", "d1", "d2", "rep").join(final, "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).drop("component", "rep")
     out = sketched.drop("sketch").join(named, ["n_shingles", "d1", "d2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
