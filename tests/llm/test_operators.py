@@ -273,54 +273,80 @@ def test_licences_against_a_plain_loop(spark, odd_rows):
 
 
 # ---- op6
-def test_pfair_blocks(spark):
-    slots = mixing.shares({"a": 0.5, "b": 0.3, None: 0.2}, 1000)
-    got = mixing.period_slots(slots)
-    assert sorted(t for _, _, t in got) == list(range(1000))
-    done = dict.fromkeys(slots, 0)
-    for s, i, t in sorted(got, key=lambda x: x[2]):
+def plain_edf(blocks):
+    """Earliest deadline first over all slots, by looking at every source in every slot."""
+    total, done, out = sum(blocks), [0] * len(blocks), []
+    for t in range(total):
+        ready = [(-(-(done[s] + 1) * total // n), s) for s, n in enumerate(blocks) if done[s] < n and done[s] * total // n <= t]
+        s = min(ready)[1]
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
+
+
+SIZES = [[1], [1, 1], [600, *[20] * 19], [7] * 100, [*range(1, 60)], [1000 // i for i in range(1, 200)], [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233], [5000, 1], [1] * 300]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_pfair_slots(sizes):
+    assert list(mixing.slots(sizes)) == plain_edf(sizes)
+    total, done = sum(sizes), [0] * len(sizes)
+    for t, (s, i) in enumerate(mixing.slots(sizes)):
         assert i == done[s]
         done[s] += 1
-        assert all(abs(done[x] - (t + 1) * slots[x] / 1000) < 1 for x in slots)
+        assert all(abs(d - (t + 1) * n / total) < 1 for d, n in zip(done, sizes, strict=True))
+
+
+@pytest.mark.parametrize("period", [3, 10, 64])
+def test_pfair_periods(period):
+    rng = random.Random(4)
+    for sizes in [*SIZES, *([rng.randrange(1, 90) ** 2 for _ in range(30)] for _ in range(5))]:
+        total, last = sum(sizes), np.zeros(len(sizes), int)
+        for k, more in enumerate(mixing.early(sizes, period), 1):
+            t = k * period
+            done = np.array([n * t // total for n in sizes]) + more
+            assert done.sum() == t and (done >= last).all() and (np.abs(done - np.array(sizes) * t / total) < 1).all()
+            last = done
+
+
+@pytest.mark.parametrize("period", [16, 1 << 16])
+def test_pfair_schedule(spark, period):
+    for sizes in ([600, *[20] * 19], [7] * 100, [1000 // i for i in range(1, 200)]):
+        got = sorted((r["slot"], r["si"], r["block"]) for r in mixing.schedule(spark.range(1), sizes, period).collect())
+        total, done = sum(sizes), [0] * len(sizes)
+        assert [t for t, _, _ in got] == list(range(total))
+        for t, s, i in got:
+            assert i == done[s]
+            done[s] += 1
+            assert abs(done[s] - (t + 1) * sizes[s] / total) < (1 if total <= period else 2)
 
 
 def test_mixing(spark, odd_rows):
-    rows = [(i, "t", "en", ["hot", "hot", "hot", "x", None][i % 5]) for i in range(1000)]
-    got = mixing.mix(table(spark, rows), block_rows=4, carry=("text",)).collect()
-    assert len(got) == 1000 and sorted(r["doc_id"] for r in got) == list(range(1000))
-    inside = sorted((r for r in got if r["in_mix"]), key=lambda r: r["position"])
-    assert [r["position"] for r in inside] == list(range(len(inside)))
-    share = sum(r["source"] == "hot" for r in inside) / len(inside)
-    assert abs(share - mixing.MOST) < 0.02 and len(inside) > 500
-    assert sum(r["source"] is None for r in inside) > 100
+    rows = [(i, f"t{i}", "en", ["hot", "hot", "hot", "x", None][i % 5]) for i in range(1000)]
+    for period in (10, mixing.PERIOD):
+        got = mixing.mix(table(spark, rows), block_rows=4, carry=("text",), period=period).collect()
+        assert sorted(r["position"] for r in got) == list(range(1000)) and all(r["in_mix"] and r["text"] == f"t{r['doc_id']}" for r in got)
+        got.sort(key=lambda r: r["position"])
+        assert max(abs(sum(r["source"] == "hot" for r in got[: t + 1]) - 0.6 * (t + 1)) for t in range(1000)) < 8
+    got = mixing.mix(table(spark, rows), weights={"hot": 3, "x": 3, None: 4}, block_rows=4).collect()
+    assert sorted(r["position"] for r in got if r["in_mix"]) == list(range(500)) and sum(r["source"] is None for r in got if r["in_mix"]) == 200
     assert {r["in_mix"] for r in mixing.mix(table(spark, rows), weights={"x": 1.0}, block_rows=4).where("source = 'hot'").collect()} == {False}
     assert mixing.mix(table(spark, rows).limit(0)).count() == 0
-    assert mixing.mix(table(spark, [*odd_rows, *odd_rows])).count() == 2 * len(odd_rows)
+    twice = mixing.mix(table(spark, [*odd_rows, *odd_rows]), carry=("text",)).collect()
+    assert sorted(r["position"] for r in twice) == list(range(2 * len(odd_rows))) and sum(r["text"] is None for r in twice) == 2
 
 
-def test_mixing_rare_sources(spark):
-    """Sources of far less than one row in 10000 neither fall out nor end the mixture, whether weights are given or natural."""
+def test_mixing_tiny_sources(spark):
+    """100 sources of 7 rows, and sources of far less than one row in 10000, neither fall out nor end the mixture."""
+    docs = spark.range(700).selectExpr("id doc_id", "concat('s', id % 100) source")
+    assert sorted(r["position"] for r in mixing.mix(docs).collect()) == list(range(700))
     n = 60_000
     docs = spark.range(n).selectExpr("id doc_id", "case when id < 3 then concat('rare', id) when id < 14 then 'few' when id % 3 = 0 then null else concat('s', id % 2) end source")
     for weights in (None, {"rare0": 1, "rare1": 1, "rare2": 1, "few": 11, None: 19_995, "s0": 19_996, "s1": 19_995}):
-        got = mixing.mix(docs, weights, most=1.0).toPandas()
-        assert got["in_mix"].all() and sorted(got["position"]) == list(range(n))
-        got = got.sort_values("position")
+        got = mixing.mix(docs, weights, period=1000).toPandas().sort_values("position")
+        assert got["in_mix"].all() and list(got["position"]) == list(range(n))
         assert got["slot"].is_monotonic_increasing and got.groupby("slot")["source"].nunique(dropna=False).max() == 1
-        assert got["source"].isna().cumsum().sub(got["source"].isna().mean() * (got["position"] + 1)).abs().max() < 4 * mixing.BLOCK_ROWS
-
-
-def test_mixing_tree():
-    rng = random.Random(4)
-    for sizes in ([1], [1, 1], [600, *[20] * 19], [*range(1, 60)], [1000 // i for i in range(1, 200)], [rng.randrange(1, 90) ** 2 for _ in range(30)], [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233]):
-        blocks = {f"s{i}": n for i, n in enumerate(sizes)}
-        ways, total = mixing.paths(blocks), sum(sizes)
-        at = {mixing.slot_of(ways[s], i): s for s, n in blocks.items() for i in range(n)}
-        assert sorted(at) == list(range(total))
-        done = dict.fromkeys(blocks, 0)
-        for t in range(total):
-            done[at[t]] += 1
-            assert all(abs(done[s] - (t + 1) * blocks[s] / total) < 4 for s in blocks)
+        assert got["source"].isna().cumsum().sub(got["source"].isna().mean() * (got["position"] + 1)).abs().max() < 3 * mixing.BLOCK_ROWS
 
 
 # ---- op10
