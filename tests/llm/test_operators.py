@@ -1,5 +1,6 @@
 """The corpus operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import collections
 import hashlib
 import html
 import math
@@ -215,15 +216,61 @@ def test_marginals_against_enumeration():
     import itertools
 
     rng = np.random.default_rng(2)
-    c = toxicity.Crf(bias=-1.0, start=0.4, move=rng.standard_normal((2, 2)))
-    x = rng.standard_normal(6)
-    total, one = 0.0, np.zeros(6)
-    for s in itertools.product((0, 1), repeat=6):
-        e = math.exp(sum((x[i] + c.bias) * s[i] for i in range(6)) + c.start * s[0] + sum(c.move[s[i], s[i + 1]] for i in range(5)))
-        total, one = total + e, one + e * np.array(s)
-    assert np.allclose(c.marginals([x, np.zeros(3), np.zeros(0)])[0], one / total)
-    p, _, _ = toxicity.forward_backward((x + c.bias)[None], np.array([6]), c.start, c.move)
-    assert np.allclose(p[0], one / total)
+    for n, at in ((6, [0, 2, 5]), (7, [3]), (5, [0, 1, 2, 3, 4]), (9, [1, 8]), (8, [6])):
+        c = toxicity.Crf(bias=-1.0, start=0.4, move=rng.standard_normal((2, 2)))
+        x = np.zeros(n)
+        x[at] = rng.standard_normal(len(at))
+        total, one = 0.0, np.zeros(n)
+        for s in itertools.product((0, 1), repeat=n):
+            e = math.exp(sum((x[i] + c.bias) * s[i] for i in range(n)) + c.start * s[0] + sum(c.move[s[i], s[i + 1]] for i in range(n - 1)))
+            total, one = total + e, one + e * np.array(s)
+        got = c.marginals([np.array(at), np.zeros(0, int), np.array([1])], [x[at], np.zeros(0), np.zeros(1)], [n, 3, 4])
+        assert np.allclose(got[0], (one / total)[at]) and len(got[1]) == 0 and len(got[2]) == 1
+        p, _, _ = toxicity.forward_backward((x + c.bias)[None], np.array([n]), c.start, c.move)
+        assert np.allclose(p[0], one / total)
+
+
+def test_toxic_scores_and_markers_against_a_plain_loop(spark):
+    """Markers from plain counts; scores from the whole chains in logarithms, words without features included; a very long text too."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(300):
+        w = words(rng.randrange(5, 400), i).split()
+        for _ in range(4 if i % 5 == 0 else 0):
+            w[rng.randrange(len(w))] = rng.choice(["vilex", "grossyard", "grossyfy"])
+        if i % 7 == 0:
+            w[0] = "grossyx"  # a beginning that clean documents hold too, but once only
+        docs.append((i, " ".join(w), i % 5 == 0))
+    known = spark.createDataFrame([(int(y), t) for _, t, y in docs], "y int, t string")
+    count = {}
+    for _, t, y in docs:
+        for x, n in collections.Counter(x for w in re.findall(r"\w+", t.lower()) for x in toxicity.traits(w)).items():
+            for m in range(1, min(n, 3) + 1):
+                count.setdefault((x, m), [0, 0])[y] += 1
+    count = {k: v for k, v in count.items() if v[1] > 2}
+    want = {}
+    for (x, m), (k0, k1) in count.items():
+        n1, n0 = 60, 240
+        like = lambda k, n, p: (k * math.log(p) if k else 0) + ((n - k) * math.log(1 - p) if k < n else 0)
+        p = (k1 + k0) / 300
+        g = 2 * (like(k1, n1, k1 / n1) + like(k0, n0, k0 / n0) - like(k1, n1, p) - like(k0, n0, p))
+        if k1 / n1 > 8 * k0 / n0 and g >= 2 * math.log(len(count) / 0.0025):
+            want[x] = min(m, want.get(x, 9))
+    assert toxicity.markers(known) == want and want.get("=vilex") == 1 and want.get("gross", 9) > 1
+    model = toxicity.fit(table(spark, [(i, t, "en", "a") for i, t, _ in docs]), spark.createDataFrame([(i, int(y)) for i, _, y in docs], "doc_id long, toxic int"))
+    texts = [*[t for _, t, _ in docs[:40]], LONG + " vilex grossyard " + LONG, "", "vilex"]
+    got = toxicity.tag(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), model).collect()
+    for r in got:
+        w = re.findall(r"\w+", texts[r["doc_id"]].lower())
+        at = [i for i, x in enumerate(w) if any(t in model.weights for t in toxicity.traits(x))]
+        u = np.full(len(w), model.bias)
+        for i in at:
+            near = min(2, sum(abs(i - j) <= toxicity.REACH for j in at) - 1)
+            u[i] += sum(model.weights.get(t, 0) for t in toxicity.traits(w[i])) + (model.weights[f"near {near}"] if near else 0)
+        p = toxicity.forward_backward(u[None], np.array([len(w)]), model.start, model.move)[0][0][at] if w else np.zeros(0)
+        x = [math.log1p(p.sum()), math.log1p(100 * p.sum() / max(len(w), 1)), max(p, default=0)]
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(model.curve[0] + sum(a * b for a, b in zip(model.curve[1:], x, strict=True))))), rel_tol=1e-6)
+    assert got[40]["score"] >= 0.0 and len(got[40]["spans"]) == 1
 
 
 # ---- op3
