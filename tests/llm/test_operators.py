@@ -73,13 +73,47 @@ def test_near_dedup_against_all_pairs(spark, odd_rows):
     assert got == brute_components(rows)
 
 
-def test_near_dedup_tiles_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "TILE", 3)
+@pytest.mark.parametrize("fan, tile, shingles", [(3, 3, 1 << 20), (256, 512, 200), (2, 1, 1)])
+def test_near_dedup_in_small_parts(spark, monkeypatch, fan, tile, shingles):
+    for name, value in (("FAN", fan), ("TILE", tile), ("SHINGLES", shingles)):
+        monkeypatch.setattr(near_dedup, name, value)
     base = words(100, 9).split()
     rows = [(i, " ".join([*base[:-1], f"end{i}"]), "en", "a") for i in range(20)]
     got = near_dedup.near_duplicates(table(spark, rows)).collect()
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
-    assert near_dedup.near_duplicates(table(spark, rows).limit(0)).collect() == []
+    rng = random.Random(11)  # two groups that differ by about the threshold: their buckets stay mixed
+    for i in range(30):
+        copy = [*base[: 92 if i % 2 else 100], *[f"x{i % 2}{k}" for k in range(8 if i % 2 else 0)]]
+        copy[rng.randrange(40)] = f"e{i}"
+        rows.append((100 + i, " ".join(copy), "en", "a"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_dedup_odd_keys_and_words(spark):
+    assert near_dedup.near_duplicates(table(spark, []).limit(0)).collect() == []
+    line = "ab"
+    for _ in range(9):  # words that polynomial hashes modulo powers of two confuse
+        line += line.translate(str.maketrans("ab", "ba"))
+    other = line.translate(str.maketrans("ab", "ba"))
+    rows = [(1, line, "en", "a"), (2, other, "en", "a"), (3, "one two", "en", "a"), (3, "three four five", "en", "a"), (4, "three four five", "en", "a"), (4, "three four five", "en", "a"), (None, "one two", "en", "a")]
+    for parts in (1, 3):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table(spark, rows).repartition(parts)).collect())
+        assert [g[0] for g in got] == [1, 2, 3, 4] and got[0][2] == 1 and got[1][2] == 2
+        assert parts == 1 or got == first
+        first = got
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from tidemill.llm import common
+
+    monkeypatch.setattr(common, "SHARE", 8)
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 399), (7, 7), (9000, 9001)]
+    got = {r["node"]: r["component"] for r in common.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(1, 400), 5000], 0), **dict.fromkeys(range(1001, 1061), 1000), 9001: 9000}
+    sizes = spark.createDataFrame([(1, 90, "a"), (2, 10, "b"), (9, 4, "c")], "k long, n long, v string")
+    rows = spark.createDataFrame([(1 if i % 10 else 2, i) for i in range(100)] + [(7, 7)], "k long, i int")
+    assert sorted(common.key_join(rows, sizes, "k", "n", 100).select("k", "v", "i").collect()) == sorted((1 if i % 10 else 2, "a" if i % 10 else "b", i) for i in range(100))
 
 
 def test_sketch_estimates():

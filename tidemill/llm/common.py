@@ -73,28 +73,40 @@ def byte_column(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return raw, at - at[0]
 
 
+SHARE = 1024
+
+
+def key_join(rows: DataFrame, per_key: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """rows.join(per_key, on), where per_key has one row a key and in `size` how many of the `total` rows bear it. Keys that more than
+    a SHARE-th of all rows bear, of which there are fewer than SHARE, are broadcast, so that no task gets all rows of a hot key."""
+    hot = F.col(size) * SHARE > total
+    rest = rows.join(F.broadcast(per_key.where(hot).select(on)), on, "left_anti").join(per_key.where(~hot), on)
+    return rows.join(F.broadcast(per_key.where(hot)), on).unionByName(rest)
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Components of the undirected edges (a, b): (node, component = smallest node reachable).
+    """Components of the undirected edges (a, b): (node, component = smallest node reachable) of every node but the smallest ones.
 
     Alternating large-star and small-star steps; every node only ever points to a smaller one, so the forest of pointers
     shrinks until each component is a star around its smallest node. Stars are built with grouped minima, which combine
-    before the shuffle, so a hub of any degree is no hot task. Each step is a written table.
+    before the shuffle, and go back to the edges by key_join, so a hub of any degree is no hot task. Each step is a written table.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
     seen = None
+    total = now.count()
     for _ in range(rounds):
         # large star: neighbours above a node point to the smallest of its neighbourhood
         both = now.union(now.select("y", "x"))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        low = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("c")).select("x", F.least("x", "m").alias("m"), "c")
+        large = key_join(both.where("y > x"), low, "x", "c", 2 * total).select(F.col("y").alias("x"), F.col("m").alias("y"))
         # small star: a node and its neighbours below point to the smallest of them
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
+        low = large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("c"))
+        small = key_join(large, low, "x", "c", total).select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
         now = written(small.where("x <> y").distinct())
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
         if sign == seen:
             break
-        seen = sign
+        seen, total = sign, sign[0]
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy("x").agg(F.min("y").alias("component")).withColumnRenamed("x", "node")

@@ -6,11 +6,13 @@ registers are as likely as the sets are alike. Bands of registers give buckets;
 larger, equal and smaller registers, given both set sizes, estimates the Jaccard similarity of a pair. What may reach the
 threshold is compared on whole sets.
 
-Documents with equal sets are one class from the start. A first round proposes for each class its most similar partners in its
-buckets. A second round turns to the members of buckets that the links so far leave in several components: those with a
-promising partner in another component come together with their texts, and every such pair is verified, or found joined by
-then, in the first bucket that it shares. Buckets of more than TILE classes are compared in tiles of TILE by TILE, so no task holds a
-bucket and none is capped; tiles return at most one row a member, never the pairs.
+Documents with equal sets are one class from the start. First each bucket is cut at random into parts of about FAN classes, and
+each class is compared with the smallest of its part, then these smallest ones among themselves in the same way, until one is
+left: what most buckets hold, copies of one text, is joined by as many comparisons as there are copies. A second round turns to
+the buckets that the links so far leave in several components. Their members come together with the members of other components than
+the largest: those with a promising partner in another component with their texts, and every such pair is verified, or found joined by
+then, in the first bucket that it shares. This is done in tiles of about TILE classes, or SHINGLES shingles, to a side, so no task
+holds a bucket and none is capped; tiles return at most one row a member, never the pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import byte_column, connected, written
+from tidemill.llm.common import byte_column, connected, key_join, written
 
 WORDS = 5
 PERCENT = 85  # the default: 100 * intersection >= percent * union
@@ -31,10 +33,12 @@ BAND = 5
 BASE, RATE = 1.1, 20.0
 #: Pairs are not verified whose estimate, or whose share of equal registers, lies so many standard errors below the threshold.
 ESTIMATE_ERRORS, EQUAL_ERRORS = 4.08, 4.7
+FAN = 256
 TILE = 512
+SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(5)
-_byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_byte = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 _place = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _family = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _lower = np.arange(256, dtype=np.uint8)
@@ -42,8 +46,6 @@ _lower[65:91] += 32
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,15 +55,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, step in enumerate((_STEP, _BACK)):
-            p = np.full(max(n, 1 << 20), step, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def shingle_sets(raw: np.ndarray, at: np.ndarray, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text raw[at[i]:at[i+1]]; empty without a word."""
     lo, n = 0, len(at) - 1
@@ -83,10 +76,12 @@ def _sets(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     first[at] = True  # a word never runs over the end of a text
     begin = np.flatnonzero(solid[1:-1] & (~solid[:-2] | first[:-1]))
     end = np.flatnonzero(solid[1:-1] & (~solid[2:] | first[1:])) + 1
-    up, down = _power(n + 1)
+    # a word is the sum of a random number for each of its bytes and its place in the word
+    inside = np.arange(n, dtype=np.uint64)
+    inside[begin[0] if len(begin) else n :] -= np.repeat(begin, np.diff(np.r_[begin, n])).astype(np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte[_lower[raw]] * up[:n], out=sums[1:])
-    words = _mixed((sums[end] - sums[begin]) * down[begin])
+    np.cumsum(_mixed(_byte[_lower[raw]] + inside * _STEP), out=sums[1:])
+    words = _mixed((sums[end] - sums[begin]) + (end - begin).astype(np.uint64))
     upto = np.searchsorted(begin, at)
     k = len(words) - WORDS + 1
     runs = np.zeros(max(k, 0), np.uint64)
@@ -184,17 +179,6 @@ def _first_here(regs_a: np.ndarray, regs_b: np.ndarray, band: int) -> np.ndarray
     return agree.argmax(axis=1) == band
 
 
-def _nearest(t: dict, cross: bool, percent: int) -> list[tuple[int, int]]:
-    """Each member with its most similar partner in the tile."""
-    i, j, likely = _promising(t["block"], t["id"], t["n"], t["regs"], None, cross, percent)
-    x, y, likely = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([likely, likely])
-    order = np.lexsort((t["id"][y], -likely, x))
-    x, y = x[order], y[order]
-    head = np.r_[True, x[1:] != x[:-1]][: len(x)]
-    a, b = t["id"][x[head]], t["id"][y[head]]
-    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-
-
 def _open_members(t: dict, cross: bool, percent: int) -> list[tuple[int, int]]:
     """(bucket, member) of the members that have a promising partner in another component."""
     i, j, _ = _promising(t["block"], t["id"], t["n"], t["regs"], t["comp"], cross, percent)
@@ -209,6 +193,7 @@ def _joined(t: dict, cross: bool, percent: int) -> list[tuple[int, int]]:
     i, j, likely = i[here], j[here], likely[here]
     parent: dict[int, int] = {}
     sets: dict[int, np.ndarray] = {}
+    held = 0
 
     def root(x: int) -> int:
         while parent.setdefault(x, x) != x:
@@ -216,9 +201,15 @@ def _joined(t: dict, cross: bool, percent: int) -> list[tuple[int, int]]:
         return x
 
     def shingles(k: int) -> np.ndarray:
+        nonlocal held
         if k not in sets:
-            raw = np.frombuffer((t["text"][k].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-            sets[k] = next(shingle_sets(raw, np.array([0, len(raw)])))
+            raw, at = byte_column(t["text"].slice(k, 1))
+            x = next(shingle_sets(raw, at))
+            if held > 4 * SHINGLES:
+                sets.clear()
+                held = 0
+            sets[k], held = x, held + len(x)
+            return x
         return sets[k]
 
     out = []
@@ -238,7 +229,8 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _tiles(rows: DataFrame, judge, names: tuple[str, str], percent: int) -> DataFrame:
-    """What `judge` finds in each tile. rows: key, band, c (size of the bucket), id, n, sketch, comp, and text if it is needed."""
+    """What `judge` finds in each tile. rows: key, band, id, n, sketch, comp, main (whether comp is the bucket's largest component), own
+    and other (how many blocks of members of that component and of others the bucket has), and text if it is needed."""
     columns = ["key", "ti", "tj", "band", "block", "id", "n", "comp", "sketch", *(["text"] if "text" in rows.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +261,10 @@ def _tiles(rows: DataFrame, judge, names: tuple[str, str], percent: int) -> Data
         if held is not None and len(held):
             yield from made(done(held, True)[0])
 
-    blocks = F.ceil(F.col("c") / TILE)
-    tiled = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    tiled = tiled.withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other")).select(*columns)
+    part = F.xxhash64("id")
+    tiled = rows.withColumn("block", F.when(F.col("main"), F.pmod(part, "own")).otherwise(F.col("own") + F.pmod(part, "other")).cast("int"))
+    tiled = tiled.withColumn("o", F.explode(F.sequence(F.when(F.col("main"), F.col("own")).otherwise(0).cast("int"), (F.col("own") + F.col("other") - 1).cast("int"))))
+    tiled = tiled.withColumn("ti", F.least("block", "o")).withColumn("tj", F.greatest("block", "o")).select(*columns)
     dealt = tiled.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "id")
     return dealt.mapInArrow(run, f"{names[0]} long, {names[1]} long").distinct()
 
@@ -293,31 +286,74 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches may reach the threshold. pairs: a, b, na, nb, sa, sb."""
+    least, least_equal = least_estimates(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            x, y = (byte_column(b.column(i))[0].reshape(-1, REGISTERS) for i in (4, 5))
+            ok = np.flatnonzero(((x == y).sum(axis=1) >= least_equal * REGISTERS) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            keep = [ok[k : k + 4096][likeliest(n[i := ok[k : k + 4096]], m[i], (x[i] > y[i]).sum(axis=1), (x[i] < y[i]).sum(axis=1)) >= least] for k in range(0, len(ok), 4096)]
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *keep]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _to_smallest(members: DataFrame, most: int) -> DataFrame:
+    """(a, b): each member (key, id, c) of a bucket with the smallest of its part, and so on among these."""
+    out, size, level = None, F.col("c"), members.select("key", "id", "c")
+    while True:
+        parts = F.ceil(size / FAN)
+        level = level.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("a", F.min("id").over(Window.partitionBy("key", "part")))
+        pairs = level.where("a <> id").select("a", F.col("id").alias("b"))
+        out = pairs if out is None else out.union(pairs)
+        if most <= FAN:
+            return out.distinct()
+        level, size, most = written(level.where("a = id").select("key", "id", "c")), F.ceil(size / FAN), -(-most // FAN)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles long, component_id long, kept boolean) of every row; kept: the key is its component's smallest.
 
-    Keys are unique integers; rows with a null key are left out, a repeated key counts once with its first text. Texts without
-    a word are linked with nothing; with fewer than five words the whole sequence is the one shingle. percent: least similarity of
-    a link; a pair at 80 agrees in no band with chance 3e-5 (4e-7 at 85).
+    Keys are unique integers; rows with a null key are left out, a repeated key counts once with the text of least hash. Texts
+    without a word are linked with nothing; with fewer than five words the whole sequence is the one shingle. percent: least similarity
+    of a link; a pair at 80 agrees in no band with chance 3e-5 (4e-7 at 85).
     """
     clean = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = written(sketches(clean, "id").dropDuplicates(["id"]))
-    classes = written(sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch")))
+    ids = clean.agg(F.count("id").alias("n"), F.countDistinct("id").alias("d")).first()
+    if ids["n"] != ids["d"]:
+        clean = written(clean.groupBy("id").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text")))
+    sketched = written(sketches(clean, "id"))
+    set_key = F.struct("n_shingles", "d1", "d2").alias("set")
+    classes = written(sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch"), F.count("*").alias("c")))
     bands = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sketch", i * BAND + 1, BAND)).alias("key")) for i in range(REGISTERS // BAND)]
     keyed = classes.select(F.col("rep").alias("id"), F.explode(F.array(*bands)).alias("e")).select("id", "e.band", "e.key")
-    members = written(keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"))
-    crowd = members.select("id").distinct()
-    texts = written(clean.join(crowd, "id", "left_semi").dropDuplicates(["id"]))
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    found = sizes.agg(F.sum("c").alias("n"), F.max("c").alias("m")).first()
+    members = written(key_join(keyed, sizes, "key", "c", found["n"] or 0))
     reps = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-    first = written(_tiles(members.join(reps, "id").withColumn("comp", F.col("id")), _nearest, ("a", "b"), percent))
-    links = written(_verified(first, texts, percent))
-    comps = connected(links)
-    tagged = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    split = written(tagged.join(mixed, "key").join(reps, "id"))
+    texts = written(clean.join(members.select("id").distinct(), "id", "left_semi"))
+    pairs = written(_to_smallest(members, found["m"] or 0))
+    sketched_pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    links = written(_verified(written(_likely(sketched_pairs, percent)), texts, percent))
+    comps = connected(links).withColumnRenamed("node", "id")
+    tagged = written(members.drop("c").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component").join(reps.select("id", "n"), "id"))
+    # of each bucket the largest component, and how many members and shingles lie in it and outside
+    by_comp = tagged.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    mixed = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda c, w: F.ceil(F.greatest(F.col(c) / TILE, F.col(w) / SHINGLES)).alias
+    mixed = written(mixed.select("key", "c", F.col("top.comp").alias("largest"), F.col("top.c").alias("tc"), F.col("top.w").alias("tw"), (F.col("c") - F.col("top.c")).alias("oc"), (F.col("w") - F.col("top.w")).alias("ow")).select("key", "c", "largest", blocks("tc", "tw")("own"), blocks("oc", "ow")("other")))
+    split = key_join(tagged, mixed, "key", "c", mixed.agg(F.sum("c")).first()[0] or 0).withColumn("main", F.col("comp") == F.col("largest")).drop("c", "largest")
+    split = written(split.join(reps.select("id", "sketch"), "id"))
     unsure = written(_tiles(split, _open_members, ("key", "id"), percent))
     more = written(_tiles(split.join(unsure, ["key", "id"]).join(texts, "id"), _joined, ("a", "b"), percent))
     final = connected(links.union(more)).withColumnRenamed("node", "rep")
-    named = classes.select("n_shingles", "d1", "d2", "rep").join(final, "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).drop("component", "rep")
-    out = sketched.drop("sketch").join(named, ["n_shingles", "d1", "d2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    named = written(classes.select(set_key, "c", "rep").join(final, "rep", "left").select("set", "c", F.coalesce("component", "rep").alias("component_id")))
+    full = sketched.where("n_shingles > 0").select("id", "n_shingles", set_key)
+    out = key_join(full, named, "set", "c", ids["d"]).select("id", "n_shingles", "component_id").union(sketched.where("n_shingles = 0").select("id", "n_shingles", "id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
