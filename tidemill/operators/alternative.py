@@ -19,24 +19,24 @@ def trailing_days(key: str, day: str, days: int) -> WindowSpec:
 
 def social_daily(posts: DataFrame, days: int = 7) -> DataFrame:
     """A3 B1: per symbol and day, over the trailing days: mentions, sentiment (plain and weighted by ln(1 + score + 1)), bullish
-    share, trending, hype and the combined signal. posts: symbol, day, score, sentiment."""
+    share, trending, hype and the combined signal of the weighted sentiment. posts: symbol, day, score, sentiment."""
     w = F.log1p(F.greatest(c("score"), F.lit(0)) + 1)
     daily = posts.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.sum("sentiment").alias("s"), F.sum(c("sentiment") * w).alias("sw"), F.sum(w).alias("w"), F.count_if(c("sentiment") > 0.05).alias("b"), F.sum("score").alias("sc"))
     t = trailing_days("symbol", "day", days)
     out = daily.select("symbol", "day", *[F.sum(x).over(t).alias(x) for x in ("n", "s", "sw", "w", "b", "sc")])
     out = out.select("symbol", "day", c("n").alias("mentions"), (c("s") / c("n")).alias("sentiment"), F.coalesce(F.try_divide("sw", "w"), F.lit(0.0)).alias("weighted"), (c("b") / c("n")).alias("bullish_ratio"), ((c("n") > 10) & (c("sc") / c("n") > 100)).cast("int").alias("trending"))
     hype = F.least(c("mentions") / 50.0, F.lit(1.0))
-    return out.withColumns({"hype": hype, "social_signal": 0.5 * c("sentiment") + 0.3 * (c("bullish_ratio") - 0.5) + 0.2 * hype})
+    return out.withColumns({"hype": hype, "social_signal": 0.5 * c("weighted") + 0.3 * (c("bullish_ratio") - 0.5) + 0.2 * hype})
 
 
 def insider_daily(tx: DataFrame, days: int = 90) -> DataFrame:
-    """Trailing counts, sentiment and executives of a symbol's insider transactions. tx: symbol, day, kind, value, executive."""
+    """Trailing counts, sentiment and executives' purchases less their sales of a symbol's insider transactions. tx: symbol, day, kind, value, executive."""
     buy, sell = c("kind") == "Buy", c("kind") == "Sell"
-    daily = tx.groupBy("symbol", "day").agg(F.count_if(buy).alias("b"), F.count_if(sell).alias("s"), F.sum(F.when(buy, c("value")).when(sell, -c("value")).otherwise(0.0)).alias("net"), F.count_if(c("executive")).alias("e"))
+    daily = tx.groupBy("symbol", "day").agg(F.count_if(buy).alias("b"), F.count_if(sell).alias("s"), F.sum(F.when(buy, c("value")).when(sell, -c("value")).otherwise(0.0)).alias("net"), (F.count_if(c("executive") & buy) - F.count_if(c("executive") & sell)).alias("e"))
     t = trailing_days("symbol", "day", days)
     out = daily.select("symbol", "day", F.sum("b").over(t).alias("insider_buys"), F.sum("s").over(t).alias("insider_sells"), F.sum("net").over(t).alias("insider_net_value"), F.sum("e").over(t).alias("executive_activity"))
     mood = F.coalesce(F.try_divide(c("insider_buys") - c("insider_sells"), c("insider_buys") + c("insider_sells")), F.lit(0.0))
-    return out.withColumns({"insider_sentiment": mood, "insider_signal": F.least(F.greatest(mood + 0.1 * F.least(c("executive_activity"), F.lit(3)) * F.signum(mood), F.lit(-1.0)), F.lit(1.0))})
+    return out.withColumns({"insider_sentiment": mood, "insider_signal": F.least(F.greatest(mood, F.lit(-1.0)), F.lit(1.0))})
 
 
 def on_bars(bars: DataFrame, daily: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,6 +67,22 @@ def distinct_articles(feeds: list[DataFrame]) -> DataFrame:
     return every.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_rank")
 
 
+def canonical(items: DataFrame, source: str, title: str = "title", text: str = "summary", url: str = "link", published: str = "published") -> DataFrame:
+    """News items to the columns of an article table, newest first within each symbol; dates in several formats."""
+    from tidemill.operators.text import parse_dates
+
+    out = items.select("symbol", F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("description"), F.col(url).alias("url"), F.lit(source).alias("source"), parse_dates(F.col(published)).alias("published"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("published"), "url", "title")))
+
+
+def about(articles: DataFrame, names: list[tuple[str, str]], text: str = "text") -> DataFrame:
+    """One row an article of a general feed and symbol whose ticker or company name its text contains, in any case. names: (symbol,
+    company), a list of companies that the caller follows."""
+    known = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(s.lower()).alias("s"), F.lit(n.lower()).alias("n")) for s, n in names])
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return articles.withColumn("symbol", F.explode(F.transform(F.filter(known, lambda x: low.contains(x["s"]) | low.contains(x["n"])), lambda x: x["symbol"])))
+
+
 def latest_news(news: DataFrame, k: int = 100, days_back: int | None = None, order: tuple[str, ...] = ("url",)) -> DataFrame:
     """L2: the newest k articles of each symbol, at most days_back days older than its newest."""
     w = Window.partitionBy("symbol").orderBy(F.desc("published"), *order)
@@ -101,6 +117,18 @@ def blended(b: DataFrame, ml: Column, strategy: Column) -> DataFrame:
     return b.withColumns({"score": (0.6 * ml + 0.4 * strategy) * F.when(agree, 1.2).otherwise(0.5), "agree": agree.cast("int")})
 
 
+def merged(ml: DataFrame, strategy: DataFrame, column: str = "signal_value") -> DataFrame:
+    """The model's and the strategies' signals of the same symbol and bar, blended. strategy: direction and strength."""
+    both = ml.join(strategy.select("symbol", "ts", "direction", F.col("strength").alias("strategy_strength")), ["symbol", "ts"])
+    both = both.withColumn("strategy_signal", F.coalesce(c("strategy_strength"), F.lit(0.0)) * F.coalesce(c("direction"), F.lit(0)))
+    return blended(both, c(column), c("strategy_signal")).drop("direction", "strategy_strength")
+
+
+def mean_levels(b: DataFrame) -> DataFrame:
+    """Mean stop and target of each symbol's bars."""
+    return b.groupBy("symbol").agg(F.avg("stop_pct").alias("stop_pct"), F.avg("target_pct").alias("target_pct"))
+
+
 def clipped_levels(b: DataFrame) -> DataFrame:
     """Stop at 1.5 and target at 4 true ranges of the price, within 1-3 % and 2-10 %."""
     share = F.try_divide("atr_sma", "close")

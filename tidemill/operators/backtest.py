@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -84,13 +85,14 @@ class LedgerConfig:
 
 
 def step(state: dict, price: float, signal: int, cfg: LedgerConfig) -> dict | None:
-    """The state after a bar; returns the trade that the bar closes, if any. A bar that hits a stop ignores its signal."""
+    """The state after a bar; returns the trade that the bar closes, if any, its profit without commission. A bar that passes a stop or
+    target ignores its signal. The commission of a closing trade is charged on its signed value, so that closing a short earns it."""
     closed = None
 
     def close() -> dict:
         side, size, entry = state["side"], state["size"], state["entry"]
-        pnl = side * size * (price - entry) - cfg.commission * size * price
-        state.update(cash=state["cash"] + pnl, side=0, size=0.0)
+        pnl = side * size * (price - entry)
+        state.update(cash=state["cash"] + pnl - cfg.commission * side * size * price, side=0, size=0.0)
         return {"side": side, "entry_price": entry, "exit_price": price, "pnl": pnl}
 
     def opened(side: int) -> None:
@@ -99,7 +101,7 @@ def step(state: dict, price: float, signal: int, cfg: LedgerConfig) -> dict | No
 
     if state["side"]:
         gain = state["side"] * (price / state["entry"] - 1)
-        if cfg.stop_loss is not None and gain <= -cfg.stop_loss or cfg.take_profit is not None and gain >= cfg.take_profit:
+        if cfg.stop_loss is not None and gain < -cfg.stop_loss or cfg.take_profit is not None and gain > cfg.take_profit:
             return close()
     if signal and np.sign(signal) != state["side"]:
         if state["side"]:
@@ -163,7 +165,49 @@ def window_metrics(w: DataFrame) -> DataFrame:
 def walk_forward_summary(m: DataFrame) -> DataFrame:
     """H4 H5: one row a symbol."""
     both = m.groupBy("symbol", "window_id").agg(*[F.max(F.when(c("split") == s, c(x))).alias(f"{s}_{x}") for s in ("train", "test") for x in ("total_return", "sharpe")])
-    return both.groupBy("symbol").agg(F.count("*").alias("windows"), (F.product(1 + c("test_total_return")) - 1).alias("total_return"), F.avg(F.when(c("test_sharpe") != 0, c("test_sharpe"))).alias("avg_sharpe"), F.avg((c("test_total_return") > 0).cast("double")).alias("positive_windows"), F.try_divide(F.avg("test_sharpe"), F.avg("train_sharpe")).alias("overfitting_ratio"), F.when(F.count("*") > 2, corr("train_total_return", "test_total_return")).otherwise(0.0).alias("train_test_corr"))
+    return both.groupBy("symbol").agg(F.count("*").alias("windows"), (F.product(1 + c("test_total_return")) - 1).alias("total_return"), F.avg(F.when(c("test_sharpe") != 0, c("test_sharpe"))).alias("avg_sharpe"), F.avg((c("test_total_return") > 0).cast("double")).alias("positive_windows"), F.coalesce(F.try_divide(F.avg("train_total_return") - F.avg("test_total_return"), F.abs(F.avg("train_total_return"))), F.lit(0.0)).alias("overfitting_ratio"), F.when(F.count("*") > 2, corr("train_total_return", "test_total_return")).otherwise(0.0).alias("train_test_corr"))
+
+
+def stitched(w: DataFrame) -> DataFrame:
+    """The test parts of windows() one after the other: compounded equity (from 1) and drawdown of each symbol."""
+    order = Window.partitionBy("symbol").orderBy("window_id", "ts").rowsBetween(Window.unboundedPreceding, 0)
+    out = w.where(c("split") == "test").withColumn("equity", F.exp(F.sum(F.log1p("strategy_return")).over(order)))
+    return out.withColumn("drawdown", c("equity") / F.max("equity").over(order) - 1)
+
+
+def window_trades(w: DataFrame) -> DataFrame:
+    """The holding periods within each test part, open ones ended at its last bar; one row a trade of a symbol and window."""
+    one = Window.partitionBy("symbol", "window_id").orderBy("ts")
+    marked = w.where(c("split") == "test").withColumns({"_t": F.sum("entry").over(one.rowsBetween(Window.unboundedPreceding, 0)), "_exit": F.coalesce(F.lead("close").over(one), "close")})
+    held = marked.where("position <> 0").groupBy("symbol", "window_id", "_t").agg(F.first("position").alias("side"), F.min_by("close", "ts").alias("entry_price"), F.max_by("_exit", "ts").alias("exit_price"), F.count("*").alias("bars"))
+    return held.withColumn("pnl", c("side") * (c("exit_price") - c("entry_price"))).drop("_t")
+
+
+def stitched_stats(w: DataFrame) -> DataFrame:
+    """H6 H7: one row a symbol: largest drawdown of the stitched equity; trades, win rate and profit factor over all windows' trades (losses
+    count as 0.001 if there are none)."""
+    falls = stitched(w).groupBy("symbol").agg(F.abs(F.min("drawdown")).alias("max_drawdown"), F.max_by("equity", F.struct("window_id", "ts")).alias("final_equity"))
+    win, loss = F.when(c("pnl") > 0, c("pnl")), F.when(c("pnl") < 0, c("pnl"))
+    t = window_trades(w).groupBy("symbol").agg(F.count("*").alias("trades"), (F.count(win) / F.count("*")).alias("win_rate"), (F.coalesce(F.sum(win), F.lit(0.0)) / F.coalesce(F.abs(F.sum(loss)), F.lit(0.001))).alias("profit_factor"))
+    return falls.join(t, "symbol", "left").na.fill({"trades": 0, "win_rate": 0.0, "profit_factor": 0.0})
+
+
+def walk_forward(b: DataFrame, signal_func: Callable[[DataFrame], DataFrame], backtest_func: Callable[[DataFrame], DataFrame], optimize_func: Callable[[DataFrame], DataFrame] | None = None, train: int = 252, test: int = 63, every: int = 21) -> DataFrame:
+    """Q2: user functions on all windows at once; each part of a window is a symbol of its own to them, so they may use any operator.
+
+    optimize_func: the training parts to parameters, one row a symbol, which are joined to both parts. signal_func: bars (and parameters)
+    to bars with signal_value. backtest_func: these to metrics, one row a symbol. Returns symbol, window_id, split and the metrics.
+    """
+    w = windows(b, train, test, every)
+    name = lambda split: F.to_json(F.struct("symbol", "window_id", split.alias("split")))
+    parts = w.withColumns({"_train": name(F.lit("train")), "_own": name(c("split"))})
+    parts = parts.withColumn("symbol", c("_own")).drop("_own", "window_id", "split", "seq").withColumn("seq", F.row_number().over(series()))
+    if optimize_func is not None:
+        best = optimize_func(parts.where(c("symbol") == c("_train")).drop("_train")).withColumnRenamed("symbol", "_train")
+        parts = parts.join(best, "_train", "left")
+    out = backtest_func(signal_func(parts.drop("_train")))
+    key = F.from_json("symbol", "struct<symbol: string, window_id: int, split: string>")
+    return out.withColumn("_k", key).select("_k.symbol", "_k.window_id", "_k.split", *[x for x in out.columns if x != "symbol"])
 
 
 def bootstrap(t: DataFrame, sims: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:

@@ -50,6 +50,22 @@ def market_features(bars: DataFrame, reference: DataFrame, market: str) -> DataF
 MARKET = ["beta_20", "beta_60", "alpha_60", "relative_strength", "rs_momentum", "market_correlation", "market_percentile"]
 
 
+def volatility_features(bars: DataFrame, reference: DataFrame, index: str) -> DataFrame:
+    """Level of a volatility index, correlation of returns with its changes over 20 bars, its percentile over 252."""
+    b = with_reference(bars, reference, index, "vix_level")
+    b = b.withColumns({"_a": F.try_divide("close", prev("close")) - 1, "_b": F.try_divide("vix_level", prev("vix_level")) - 1})
+    b = b.withColumns({"_x": F.when(c("_b").isNotNull(), c("_a")), "_y": F.when(c("_a").isNotNull(), c("_b"))})
+    return b.withColumns({"vix_correlation": F.when(F.count("_x").over(win(20)) == 20, corr("_x", "_y", win(20))), "vix_percentile": 100 * rank_share("vix_level", 252)}).drop("_a", "_b", "_x", "_y")
+
+
+def bond_features(bars: DataFrame, reference: DataFrame, bond: str) -> DataFrame:
+    """Correlation of returns with a bond's over 20 bars, and mean return less the bond's over 10."""
+    b = with_reference(bars, reference, bond, "_bond")
+    b = b.withColumns({"_a": F.try_divide("close", prev("close")) - 1, "_b": F.try_divide("_bond", prev("_bond")) - 1})
+    b = b.withColumns({"_x": F.when(c("_b").isNotNull(), c("_a")), "_y": F.when(c("_a").isNotNull(), c("_b"))})
+    return b.withColumns({"bond_correlation": F.when(F.count("_x").over(win(20)) == 20, corr("_x", "_y", win(20))), "risk_on_off": full("_a", 10) - full("_b", 10)}).drop("_bond", "_a", "_b", "_x", "_y")
+
+
 def rotation(bars: DataFrame, reference: DataFrame, a: str, b: str, n: int = 20) -> DataFrame:
     """N-bar change of the ratio of two reference symbols."""
     out = with_reference(with_reference(bars, reference, a, "_a"), reference, b, "_b")

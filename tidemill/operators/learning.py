@@ -36,11 +36,15 @@ def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(f"p_{name}", vector_to_array("probability")[1]).drop("_raw", "features", "rawPrediction", "probability", "prediction")
 
 
-def folds(df: DataFrame, n: int = 3, gap: int = 20) -> DataFrame:
-    """Fold of each bar by its place in time, and gap bars before a fold that its training leaves out."""
+def folds(df: DataFrame, n: int = 5, gap: int = 20) -> DataFrame:
+    """Adds fold, from 1 to n by place in time (0 before the first), of equal sizes for each symbol, and trains_from: the first fold
+    whose training part holds the bar. Bars within `gap` bars before a fold do not train it."""
     w = Window.partitionBy("symbol")
-    place = c("seq") / F.max("seq").over(w)
-    return df.withColumns({"fold": F.least(F.floor(place * (n + 1)), F.lit(n)).cast("int"), "_gap": F.lit(gap)})
+    size = F.floor(F.count("*").over(w) / (n + 1))
+    b = df.withColumns({"_size": size, "_place": F.row_number().over(w.orderBy("ts")) - 1 - (F.count("*").over(w) - n * size)})
+    fold = F.when(c("_place") < 0, 0).otherwise(F.floor(F.try_divide("_place", "_size")) + 1)
+    first = F.greatest(F.floor(F.try_divide(c("_place") + gap, c("_size"))) + 2, F.lit(1))  # the first fold that may train on the bar
+    return b.withColumns({"fold": F.least(F.coalesce(fold, F.lit(0)), F.lit(n)).cast("int"), "trains_from": F.coalesce(first, F.lit(n + 1)).cast("int")}).drop("_size", "_place")
 
 
 def confidence(scores: list[Column]) -> Column:
@@ -52,35 +56,66 @@ def confidence(scores: list[Column]) -> Column:
     return 0.6 * (1 - F.least(F.greatest(2 * spread, F.lit(0.0)), F.lit(1.0))) + 0.4 * 2 * F.abs(mean - 0.5)
 
 
-def stacked(df: DataFrame, features: list[str], n_folds: int = 2, seed: int = 42, rounds: int = 20, trees: int = 40) -> tuple[DataFrame, list[PipelineModel]]:
-    """Learners fitted on the training part, a logistic model on their out-of-fold scores; adds p, confidence, signal."""
-    train = folds(dated(df).where("is_train"), n_folds)
+def mean_score(scores: dict[str, Column], mode: str = "mean", weights: dict[str, float] | None = None) -> Column:
+    """Mean of the learners' scores, the majority of their votes (a tie is 0), or the mean weighted as by learner_weights()."""
+    n = float(len(scores))
+    if mode == "vote":
+        return F.bround(sum(F.bround(x) for x in scores.values()) / n)
+    if mode == "weighted" and weights:
+        total = sum(weights[k] for k in scores)
+        return sum(x * (weights[k] / total) for k, x in scores.items())
+    return sum(scores.values()) / n
+
+
+def learner_weights(df: DataFrame, scores: list[str], label: str = "target", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, learner, roc_auc, weight): the area under each learner's curve on df, and its share of their sum."""
+    long = df.select(*keys, label, F.explode(F.array(*[F.struct(F.lit(x).alias("learner"), c(x).alias("p")) for x in scores])).alias("s")).select(*keys, label, "s.*")
+    auc = classification_metrics(long.where("p is not null"), "p", label, (*keys, "learner")).select(*keys, "learner", "roc_auc")
+    return auc.withColumn("weight", F.try_divide("roc_auc", F.sum("roc_auc").over(Window.partitionBy(*keys))))
+
+
+def signal_of(p: Column, sure: Column, long: float = 0.6, short: float = 0.4, least: float = 0.5) -> Column:
+    """1 over `long`, -1 under `short`, 0 between them or under the least confidence."""
+    return F.when(sure < least, 0).when(p > long, 1).when(p < short, -1).otherwise(0)
+
+
+def stacked(df: DataFrame, features: list[str], n_folds: int = 5, gap: int = 20, seed: int = 42, rounds: int = 20, trees: int = 40) -> tuple[DataFrame, list[PipelineModel]]:
+    """Learners fitted on the training part, a logistic model on their out-of-fold scores; adds p, confidence, signal."""
     whole = dated(df)
+    train = folds(whole.where("is_train"), n_folds, gap).persist()
     scored = None
-    for k in range(1, n_folds + 1):  # each fold is scored by models of the folds before it
-        part = train.where(c("fold") == k)
+    for k in range(1, n_folds + 1):  # each fold is scored by models of the bars before it
+        part, before = train.where(c("fold") == k), train.where(c("trains_from") <= k)
+        if before.select("target").distinct().count() < 2:
+            continue
         for name, pipe in learners(features, seed, rounds, trees).items():
-            part = score(pipe.fit(train.where(c("fold") < k)), part, name)
+            part = score(pipe.fit(before), part, name)
         scored = part if scored is None else scored.union(part)
     names = [f"p_{x}" for x in learners(features)]
-    meta = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol="target", featuresCol="features")]).fit(scored)
     models = []
     for name, pipe in learners(features, seed, rounds, trees).items():
         models.append(pipe.fit(train))
         whole = score(models[-1], whole, name)
+    if scored is None:
+        raise ValueError("too few bars of both classes for the folds")
+    meta = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol="target", featuresCol="features")]).fit(scored)
     out = meta.transform(whole).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    out = out.withColumns({"confidence": confidence([c(x) for x in names]), "signal": F.when(c("p") > 0.6, 1).when(c("p") < 0.4, -1).otherwise(0)})
-    return out, [*models, meta]
+    out = out.withColumn("confidence", confidence([c(x) for x in names]))
+    return out.withColumn("signal", signal_of(c("p"), c("confidence"))), [*models, meta]
 
 
 def classification_metrics(df: DataFrame, probability: str = "p", label: str = "target", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Accuracy, precision, recall, F1 (0 without cases) and the area under the curve by rank sums with ties."""
+    """Accuracy, precision, recall, F1 (0 without cases) and the area under the curve by rank sums with ties. Ranks are taken in 1024
+    stretches of the probability, behind the rows of the stretches before, so that no task sorts them all."""
     p, y = c(probability), c(label)
     yes = p >= 0.5
-    w = Window.partitionBy(*keys).orderBy(probability)
-    # mean rank of ties: rows before the value, plus half of the rows with it
     by_value = df.groupBy(*keys, probability).agg(F.count("*").alias("n"), F.sum((y == 1).cast("long")).alias("ones"), F.count_if(yes & (y == 1)).alias("tp"), F.count_if(yes & (y == 0)).alias("fp"), F.count_if(~yes & (y == 1)).alias("fn"), F.count_if(~yes & (y == 0)).alias("tn"))
-    ranked = by_value.withColumn("rank", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - (c("n") - 1) / 2.0)
+    by_value = by_value.withColumn("_b", F.floor(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * 1024).cast("int"))
+    stretches = by_value.groupBy(*keys, "_b").agg(F.sum("n").alias("_n"))
+    below = stretches.withColumn("_below", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    w = Window.partitionBy(*keys, "_b").orderBy(probability).rowsBetween(Window.unboundedPreceding, 0)
+    # mean rank of ties: rows before the value, plus half of the rows with it
+    ranked = by_value.join(below, [*keys, "_b"]).withColumn("rank", c("_below") + F.sum("n").over(w) - (c("n") - 1) / 2.0)
     s = ranked.groupBy(*keys).agg(F.sum(c("rank") * c("ones")).alias("_r"), *[F.sum(x).alias(x) for x in ("ones", "n", "tp", "fp", "fn", "tn")])
     zeros = c("n") - c("ones")
     s = s.withColumns({"accuracy": (c("tp") + c("tn")) / c("n"), "precision": F.coalesce(F.try_divide("tp", c("tp") + c("fp")), F.lit(0.0)), "recall": F.coalesce(F.try_divide("tp", c("tp") + c("fn")), F.lit(0.0)), "roc_auc": F.try_divide(c("_r") - c("ones") * (c("ones") + 1) / 2, c("ones") * zeros)})

@@ -178,7 +178,7 @@ def compute(pdf: pd.DataFrame) -> pd.DataFrame:
     e2 = ema(e1, 20)
     out["dema_20"], out["tema_20"] = 2 * e1 - e2, 3 * e1 - 3 * e2 + ema(e2, 20)
     out["kama_20"], out["t3_10"] = kama(c), t3(c)
-    out["mama"], out["fama"], out["ht_trendline"] = cycle((h + lo) / 2)
+    out["mama"], out["fama"], out["ht_trendline"] = cycle(c)
     out["sar"] = sar(h, lo)
     out["sar_signal"] = np.where(c > np.nan_to_num(out["sar"], nan=np.inf), 1, -1)
     out["ema_cross_10_20"] = np.where(np.nan_to_num(out["ema_10"] - out["ema_20"], nan=-1.0) > 0, 1, -1)
@@ -228,6 +228,19 @@ COLUMNS = [*[f"ema_{k}{x}" for k in (5, 10, 20, 50, 100) for x in ("", "_adj")],
 SCHEMA = "symbol string, ts timestamp, " + ", ".join(f"{x} {'int' if x in FLAGS else 'double'}" for x in COLUMNS)
 
 
+def with_macd_hist(b: DataFrame) -> DataFrame:
+    """M2 by adjusted exponential means: adds macd_hist_adj, the 12-26 difference less its own mean over 9."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.sort_values("ts")
+        close = g["close"].to_numpy(float)
+        macd = ema_adjusted(close, 12) - ema_adjusted(close, 26)
+        return g.assign(macd_hist_adj=macd - ema_adjusted(macd, 9))
+
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in b.schema)
+    return b.groupBy("symbol").applyInPandas(add, f"{kinds}, macd_hist_adj double")
+
+
 def recursive(bars: DataFrame) -> DataFrame:
     """(symbol, ts) with every recursive column. NaN never leaves: what is not defined is null."""
     from pyspark.sql import functions as F

@@ -16,34 +16,61 @@ class SignalConfig:
     buy: float = 0.52
     sell: float = 0.48
     strong_sell: float = 0.42
-    min_confidence: float = 0.0
+    ml_weight: float = 0.5
+    sentiment_weight: float = 0.2
+    technical_weight: float = 0.3
+    min_confidence: float = 0.25
+    stop_loss: float = 0.02
+    confirm_trend: bool = False
+    confirm_volume: bool = False
     first_bar: int = 50
 
 
-def scored(b: DataFrame) -> DataFrame:
-    """G1-G3 on panel columns adx_sma, rsi_sma, bb_pct_sma, sma_20, sma_50, volume_ratio, atr_sma; ml_probability and sentiment where present."""
+def sentiment_of(columns: list[str]) -> Column:
+    """The first of sentiment_mean, sentiment_weighted and sentiment (scored from the day's news) that the panel has, else 0."""
+    have = [x for x in ("sentiment_mean", "sentiment_weighted", "sentiment") if x in columns]
+    return F.coalesce(c(have[0]), F.lit(0.0)) if have else F.lit(0.0)
+
+
+def scored(b: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
+    """G1-G3 on the columns of prepared(); ml_probability and a sentiment where present."""
     step = lambda up, down, w: F.when(F.coalesce(up, F.lit(False)), w).when(F.coalesce(down, F.lit(False)), -w).otherwise(0.0)
     ml = F.coalesce(c("ml_probability"), F.lit(0.5)) if "ml_probability" in b.columns else F.lit(0.5)
-    mood = F.coalesce(c("sentiment"), F.lit(0.0)) if "sentiment" in b.columns else F.lit(0.0)
-    base = 0.5 + step((c("adx_sma") > 25) & (c("close") > c("sma_20")), (c("adx_sma") > 25) & (c("close") <= c("sma_20")), 0.1) + step(c("rsi_sma") < 30, c("rsi_sma") > 70, 0.1) + step(c("macd_sma") > 0, c("macd_sma") < 0, 0.05) + step(c("bb_pct_sma") < 0.2, c("bb_pct_sma") > 0.8, 0.1) + step(c("sma_20") > c("sma_50"), c("sma_20") < c("sma_50"), 0.05)
-    b = b.withColumn("_s", base)
+    mood = sentiment_of(b.columns)
+    strong, rising = F.coalesce(c("adx_sma") > 25, F.lit(False)), F.coalesce(c("plus_di_sma") > c("minus_di_sma"), F.lit(False))
+    base = 0.5 + step(strong & rising, strong & ~rising, 0.1) + step(c("rsi_sma") < 30, c("rsi_sma") > 70, 0.1) + step(c("macd_hist_adj") > 0, c("macd_hist_adj") < 0, 0.05) + step(c("bb_pct_sma") < 0.1, c("bb_pct_sma") > 0.9, 0.1)
+    base = base + F.when(F.coalesce(c("sma_20") > c("sma_50"), F.lit(False)), 0.05).otherwise(-0.05)
+    # to nine digits, so that sums of tenths do not pass 0.5 by rounding errors
+    b = b.withColumn("_s", F.round(base, 9))
     amplified = c("_s") + F.when(F.coalesce(c("volume_ratio") > 1.5, F.lit(False)), F.when(c("_s") > 0.5, 0.05).when(c("_s") < 0.5, -0.05).otherwise(0.0)).otherwise(0.0)
-    b = b.withColumns({"technical_score": F.least(F.greatest(amplified, F.lit(0.0)), F.lit(1.0)), "_ml": ml, "_mood": mood})
-    b = b.withColumn("combined", 0.5 * c("_ml") + 0.2 * (c("_mood") + 1) / 2 + 0.3 * c("technical_score"))
-    side = lambda x, mid: F.when(c(x) > mid, 1).otherwise(-1)
-    agree = F.abs(side("_ml", 0.5) + side("_mood", 0.0) + side("technical_score", 0.5)) / 3.0
+    b = b.withColumns({"technical_score": F.round(F.least(F.greatest(amplified, F.lit(0.0)), F.lit(1.0)), 9), "_ml": ml, "_mood": mood})
+    b = b.withColumn("combined", F.round(cfg.ml_weight * c("_ml") + cfg.sentiment_weight * (c("_mood") + 1) / 2 + cfg.technical_weight * c("technical_score"), 9))
+    side = lambda x: F.when(c(x) > 0.5, 1).otherwise(-1)
+    agree = F.abs(side("_ml") + F.signum("_mood") + side("technical_score")) / 3.0
     calm = F.greatest(F.lit(0.0), 1 - 20 * F.try_divide(c("atr_sma"), c("close")))
     four = F.abs(c("_ml") - 0.5) * 2 + F.abs("_mood") + F.abs(c("technical_score") - 0.5) * 2 + agree
     return b.withColumn("confidence", F.when(c("atr_sma").isNull(), four / 4).otherwise((four + calm) / 5)).drop("_s", "_ml", "_mood")
 
 
 def levelled(b: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
-    """Level -2..2, stop, target and their ratio; the first bars of a symbol are left out."""
+    """Level -2..2, stop, target and their ratio; the first bars of a symbol are left out.
+
+    confirm_trend: no buy without sma_20 over sma_50, no sale with it, none under an index of 20. confirm_volume: strong levels need 0.8
+    of the mean volume, else they become plain ones.
+    """
     s = c("combined")
-    level = F.when(c("confidence") < cfg.min_confidence, 0).when(s >= cfg.strong_buy, 2).when(s >= cfg.buy, 1).when(s <= cfg.strong_sell, -2).when(s <= cfg.sell, -1).otherwise(0)
-    b = b.withColumns({"signal_value": level, "_lo": F.min("low").over(win(20)), "_hi": F.max("high").over(win(20))})
+    level = F.when(F.round("confidence", 9) < cfg.min_confidence, 0).when(s >= cfg.strong_buy, 2).when(s >= cfg.buy, 1).when(s <= cfg.strong_sell, -2).when(s <= cfg.sell, -1).otherwise(0)
+    b = b.withColumn("signal_value", level)
+    if cfg.confirm_trend:
+        rising = F.coalesce(c("sma_20") > c("sma_50"), F.lit(False))
+        against = (c("signal_value") > 0) & ~rising | (c("signal_value") < 0) & rising | F.coalesce(c("adx_sma") < 20, F.lit(False))
+        b = b.withColumn("signal_value", F.when(against, 0).otherwise(c("signal_value")))
+    if cfg.confirm_volume:
+        b = b.withColumn("signal_value", F.when((F.abs("signal_value") == 2) & ~F.coalesce(c("volume_ratio") > 0.8, F.lit(False)), F.signum("signal_value").cast("int")).otherwise(c("signal_value")))
+    b = b.withColumns({"_lo": F.min("low").over(win(20)), "_hi": F.max("high").over(win(20))})
     up, down = c("signal_value") > 0, c("signal_value") < 0
-    b = b.withColumns({"stop_loss": F.when(up, F.greatest(c("close") - 2 * c("atr_sma"), c("_lo") * 0.99)).when(down, F.least(c("close") + 2 * c("atr_sma"), c("_hi") * 1.01)), "take_profit": F.when(up, c("close") + 4 * c("atr_sma")).when(down, c("close") - 4 * c("atr_sma"))})
+    risk = F.coalesce(2 * c("atr_sma"), cfg.stop_loss * c("close"))
+    b = b.withColumns({"stop_loss": F.when(up, F.greatest(c("close") - risk, c("_lo") * 0.99)).when(down, F.least(c("close") + risk, c("_hi") * 1.01)), "take_profit": F.when(up, c("close") + 2 * risk).when(down, c("close") - 2 * risk)})
     b = b.withColumns({"risk_reward_ratio": F.try_divide(F.abs(c("take_profit") - c("close")), F.abs(c("close") - c("stop_loss"))), "signal": F.element_at(F.array(*[F.lit(x) for x in ("STRONG_SELL", "SELL", "HOLD", "BUY", "STRONG_BUY")]), c("signal_value") + 3)})
     return b.where(c("seq") > cfg.first_bar).drop("_lo", "_hi")
 
@@ -56,10 +83,10 @@ def notes(b: DataFrame) -> DataFrame:
 
 def prepared(b: DataFrame) -> DataFrame:
     """The panel columns that scored() needs."""
-    from tidemill.operators import technical
+    from tidemill.operators import recursive, technical
 
-    b = technical.volatility(technical.momentum(technical.trend(b)))
-    return b.withColumns({"bb_pct_sma": F.try_divide(c("close") - c("bb_lower_sma"), c("bb_upper_sma") - c("bb_lower_sma")), "macd_sma": c("apo"), "volume_ratio": F.try_divide(c("volume"), full("volume", 20))})
+    b = technical.volatility(technical.momentum(technical.trend(recursive.with_macd_hist(b))))
+    return b.withColumns({"bb_pct_sma": F.try_divide(c("close") - c("bb_lower_sma"), c("bb_upper_sma") - c("bb_lower_sma")), "volume_ratio": F.try_divide(c("volume"), full("volume", 20))})
 
 
 def summary(signals: DataFrame) -> DataFrame:
@@ -79,18 +106,23 @@ def latest(signals: DataFrame) -> DataFrame:
     return signals.groupBy("symbol").agg(F.max_by(F.struct(*[x for x in signals.columns if x != "symbol"]), "ts").alias("s")).select("symbol", "s.*")
 
 
-def filtered(b: DataFrame) -> DataFrame:
-    """Position from a score by +-0.35, then the RSI and the trend filter."""
-    p = F.when(c("score") > 0.35, 1).when(c("score") < -0.35, -1).otherwise(0)
+def filtered(b: DataFrame, column: str = "score") -> DataFrame:
+    """Position from a score by +-0.35; no position where model and strategy disagree (column agree, if present), no buy over an
+    RSI of 70 and no sale under 30, no sale in an uptrend and no buy in a downtrend."""
+    known = lambda x: F.coalesce(x, F.lit(False))
+    p = F.when(c(column) > 0.35, 1).when(c(column) < -0.35, -1).otherwise(0)
+    if "agree" in b.columns:
+        p = F.when(known(c("agree") == 0), 0).otherwise(p)
     b = b.withColumn("_p", p)
-    b = b.withColumn("_p", F.when(F.coalesce((c("_p") > 0) & (c("rsi_sma") > 70) | (c("_p") < 0) & (c("rsi_sma") < 30), F.lit(False)), 0).otherwise(c("_p")))
     up, down = (c("close") > c("sma_50")) & (c("sma_20") > c("sma_50")), (c("close") < c("sma_50")) & (c("sma_20") < c("sma_50"))
-    return b.withColumn("position", F.when((c("_p") > 0) & F.coalesce(up, F.lit(False)), 1).when((c("_p") < 0) & F.coalesce(down, F.lit(False)), -1).otherwise(0)).drop("_p")
+    no_buy, no_sale = known(c("rsi_sma") > 70) | known(down), known(c("rsi_sma") < 30) | known(up)
+    return b.withColumn("position", F.when((c("_p") > 0) & no_buy | (c("_p") < 0) & no_sale, 0).otherwise(c("_p"))).drop("_p")
 
 
 def minimum_hold(b: DataFrame, bars: int = 5, column: str = "position") -> DataFrame:
     """Accepts a signal only if the last accepted one is at least `bars` bars back. Folds the ordered signal positions of a symbol."""
-    hits = b.where(c(column) != 0).groupBy("symbol").agg(F.array_sort(F.collect_list("seq")).alias("s"))
+    # no filter: it would be pushed below the steps of the signal and repeat their expressions
+    hits = b.groupBy("symbol").agg(F.array_sort(F.collect_list(F.when(c(column) != 0, c("seq")))).alias("s"))
     start = F.struct(F.lit(-(10**9)).alias("last"), F.array().cast("array<int>").alias("kept"))
     step = lambda a, v: F.when(v - a["last"] >= bars, F.struct(v.alias("last"), F.concat(a["kept"], F.array(v)).alias("kept"))).otherwise(a)
     kept = hits.select("symbol", F.explode(F.aggregate("s", start, step)["kept"]).alias("seq"), F.lit(True).alias("_ok"))

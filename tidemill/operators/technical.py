@@ -29,12 +29,12 @@ def trend(b: DataFrame) -> DataFrame:
     whole = F.count("close").over(win(26)) == 26
     b = b.withColumns({
         "trima_20": full("_s10", 11), "wma_20": weights,
-        "_pdi": 100 * div(full("_plus", 14), full("tr", 14)), "_mdi": 100 * div(full("_minus", 14), full("tr", 14)),
+        "plus_di_sma": 100 * div(full("_plus", 14), full("tr", 14)), "minus_di_sma": 100 * div(full("_minus", 14), full("tr", 14)),
         "aroon_up": F.when(whole, 100 * (25 - (c("seq") - hi)) / 25.0), "aroon_down": F.when(whole, 100 * (25 - (c("seq") - lo)) / 25.0),
         "sma_cross_20_50": sign(c("sma_20") > c("sma_50")),
     })
-    b = b.withColumns({"aroon_osc": c("aroon_up") - c("aroon_down"), "_dx": 100 * div(F.abs(c("_pdi") - c("_mdi")), c("_pdi") + c("_mdi"))})
-    return b.withColumn("adx_sma", full("_dx", 14)).drop("_s10", "_plus", "_up", "_minus", "_pdi", "_mdi", "_dx")
+    b = b.withColumns({"aroon_osc": c("aroon_up") - c("aroon_down"), "_dx": 100 * div(F.abs(c("plus_di_sma") - c("minus_di_sma")), c("plus_di_sma") + c("minus_di_sma"))})
+    return b.withColumn("adx_sma", full("_dx", 14)).drop("_s10", "_plus", "_up", "_minus", "_dx")
 
 
 def frame_order():
@@ -43,7 +43,7 @@ def frame_order():
     return series()
 
 
-TREND = [*[f"sma_{n}" for n in (5, 10, 20, 50, 100, 200)], "trima_20", "wma_20", "adx_sma", "aroon_up", "aroon_down", "aroon_osc", "sma_cross_20_50"]
+TREND = [*[f"sma_{n}" for n in (5, 10, 20, 50, 100, 200)], "trima_20", "wma_20", "plus_di_sma", "minus_di_sma", "adx_sma", "aroon_up", "aroon_down", "aroon_osc", "sma_cross_20_50"]
 
 
 def momentum(b: DataFrame) -> DataFrame:

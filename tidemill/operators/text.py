@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from tidemill.plans.windows import c
 
 # Capital words that look like tickers and are not.
-NOT_TICKERS = "A I THE AND FOR ARE BUT NOT YOU ALL CAN HER WAS ONE OUR OUT DAY GET HAS HIM HIS HOW ITS MAY NEW NOW OLD SEE TWO WAY WHO BOY DID USA CEO CFO IPO ETF SEC FDA GDP USD EPS ATH DD YOLO WSB IMO LOL EDIT TLDR".split()
+NOT_TICKERS = (
+    "A I AM PM CEO CFO IPO USA UK EU GDP CPI FED SEC NYSE NASDAQ ETF SPAC DD TL DR TLDR OP IMO IMHO FOMO YOLO LOL WTF ATH ATL EOD EOW EOM IV DTE "
+    "OTM ITM ATM PE EPS PS PB ROE ROI EBITDA FCF DCF NPV IRR CAGR YOY QOQ THE AND FOR ARE BUT NOT YOU ALL CAN HER WAS ONE OUR OUT HAS HIS HOW ITS "
+    "MAY NEW NOW OLD SEE WAY WHO BOY DID GET LET PUT SAY SHE TOO USE AI ML"
+).split()
 # Items of current reports, and those that move prices.
 ITEMS = "1.01 1.02 1.03 1.04 2.01 2.02 2.03 2.04 2.05 2.06 3.01 3.02 3.03 4.01 4.02 5.01 5.02 5.03 5.07 5.08 7.01 8.01 9.01".split()
-SIGNIFICANT = "1.01 1.02 2.01 2.02 2.05 2.06 4.02 5.02".split()
+SIGNIFICANT = "1.01 1.02 2.01 2.05 3.01 5.01 5.02".split()
+# Weight of a filing by its form.
+FORM_WEIGHTS = {"10-K": 1.0, "10-Q": 0.8, "8-K": 0.9, "4": 0.7, "13F": 0.6, "SC 13D": 0.9, "SC 13G": 0.6}
 
 
 def words(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -24,9 +30,9 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, text: str = "text", keep:
 
     The lexicon (word, valence) is joined; Spark broadcasts it if it is small. Rows without a known word score 0.
     """
-    tokens = words(df, text, keep)
-    w = Window.partitionBy(*keep).orderBy("pos")
-    tokens = tokens.withColumn("negated", F.coalesce(F.lag("word").over(w).isin(*negations), F.lit(False)))
+    found = df.select(*keep, F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}']+)"), 1).alias("_w"))
+    pairs = F.transform("_w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get(c("_w"), i - 1).isin(*negations), F.lit(False)).alias("negated")))
+    tokens = found.select(*keep, F.explode(pairs).alias("t")).select(*keep, "t.word", "t.negated")
     hits = tokens.join(lexicon, "word").withColumn("v", F.when(c("negated"), c("valence") * -0.74).otherwise(c("valence")))
     agg = hits.groupBy(*keep).agg(F.sum("v").alias("s"), F.avg("v").alias("polarity"), F.count("*").alias("hits"))
     out = df.select(*keep).distinct().join(agg, list(keep), "left")
@@ -77,15 +83,15 @@ def mentions(posts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
 
 def trending(m: DataFrame, least: int = 3, k: int = 20) -> DataFrame:
     """A4 L3: mentions by symbol with posts' score, at least `least`, the k largest by mentions * ln(1 + score)."""
-    agg = m.groupBy("symbol").agg(F.count("*").alias("mentions"), F.sum("score").alias("score"), F.countDistinct("community").alias("communities"), F.avg((c("sentiment") > 0.05).cast("double")).alias("bullish_ratio"), F.avg("sentiment").alias("avg_sentiment"))
+    agg = m.groupBy("symbol").agg(F.count("*").alias("mentions"), F.sum("score").alias("score"), F.countDistinct("community").alias("communities"), F.avg((c("sentiment") > 0.05).cast("double")).alias("bullish_ratio"), F.avg("sentiment").alias("avg_sentiment"), F.stddev_pop("sentiment").alias("sentiment_std"))
     ranked = agg.where(c("mentions") >= least).withColumn("trend", c("mentions") * F.log1p("score"))
     return ranked.orderBy(F.desc("trend"), "symbol").limit(k)
 
 
 def insider_activity(tx: DataFrame, keys: tuple[str, ...] = ("filer",)) -> DataFrame:
     """A5: purchases and sales, their values, sentiment (buys - sells) / (buys + sells), executives among them."""
-    buy, sell = c("kind") == "Buy", c("kind") == "Sell"
-    out = tx.groupBy(*keys).agg(F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"), F.coalesce(F.sum(F.when(buy, c("value"))), F.lit(0.0)).alias("buy_value"), F.coalesce(F.sum(F.when(sell, c("value"))), F.lit(0.0)).alias("sell_value"), F.count_if(F.upper("relation").contains("CEO") | F.upper("relation").contains("CFO")).alias("executive"))
+    buy, sell, top = c("kind") == "Buy", c("kind") == "Sell", c("relation").contains("CEO") | c("relation").contains("CFO")
+    out = tx.groupBy(*keys).agg(F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"), F.coalesce(F.sum(F.when(buy, c("value"))), F.lit(0.0)).alias("buy_value"), F.coalesce(F.sum(F.when(sell, c("value"))), F.lit(0.0)).alias("sell_value"), F.count_if(buy & top).alias("executive_buys"), F.count_if(sell & top).alias("executive_sells"))
     return out.withColumns({"net_value": c("buy_value") - c("sell_value"), "sentiment": F.coalesce(F.try_divide(c("buys") - c("sells"), c("buys") + c("sells")), F.lit(0.0))})
 
 
@@ -106,12 +112,24 @@ def report_items(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(f"Item {x}")), F.lit(x)) for x in ITEMS]))
 
 
-def filing_events(filings: DataFrame, latest: int = 5) -> DataFrame:
-    """Among the latest filings of a company, those with significant items and with earnings, and their signal."""
+def filing_events(filings: DataFrame, as_of: Column, latest: int = 5, days: int = 30) -> DataFrame:
+    """Of the latest filings of a company those of the last `days` days: how many have significant items, and how many earnings.
+    filings: symbol, filed date, accession, items; as_of: the day that is looked back from."""
     w = Window.partitionBy("symbol").orderBy(F.desc("filed"), "accession")
-    recent = filings.withColumn("_i", F.row_number().over(w)).where(c("_i") <= latest)
-    out = recent.groupBy("symbol").agg(F.count_if(F.arrays_overlap("items", F.array(*[F.lit(x) for x in SIGNIFICANT]))).alias("significant"), F.count_if(F.array_contains("items", "2.02")).alias("earnings"))
-    return out.withColumn("sec_signal", F.least(F.lit(1.0), 0.2 * c("significant") + 0.1 * c("earnings")))
+    recent = filings.where(c("filed") <= as_of).withColumn("_i", F.row_number().over(w)).where(c("_i") <= latest)
+    live = c("filed") >= F.date_sub(as_of, days)
+    return recent.groupBy("symbol").agg(F.count_if(live & F.arrays_overlap("items", F.array(*[F.lit(x) for x in SIGNIFICANT]))).alias("recent_events"), F.count_if(live & F.array_contains("items", "2.02")).alias("recent_earnings"))
+
+
+def filing_signal(b: DataFrame) -> DataFrame:
+    """Insider signal, executives' purchases less sales, and many events (which are uncertainty) in one signal."""
+    clip = lambda x: F.least(F.greatest(x, F.lit(-0.2)), F.lit(0.2))
+    return b.withColumn("sec_signal", 0.6 * c("insider_signal") + clip(0.1 * c("executive_activity")) + clip(-0.05 * c("recent_events")))
+
+
+def form_weight(form: Column) -> Column:
+    """weight of a filing by its form, 0.5 for others."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FORM_WEIGHTS.items() for x in kv]), form), F.lit(0.5))
 
 
 def holdings_change(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -133,14 +151,13 @@ def posts_from_json(df: DataFrame, payload: str = "payload", most: int = 1000) -
     return rows.select(F.coalesce("title", F.lit("")).alias("title"), F.substring(F.coalesce("selftext", F.lit("")), 1, most).alias("selftext"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("num_comments", F.lit(0)).alias("num_comments"), F.timestamp_seconds("created_utc").alias("created_utc"), "subreddit", "author", "url", F.coalesce("upvote_ratio", F.lit(0.5)).alias("upvote_ratio"))
 
 
-def filings_from_json(df: DataFrame, payload: str = "payload", forms: tuple[str, ...] = (), k: int | None = None) -> DataFrame:
-    """Parallel arrays to rows, the given forms only, the first k."""
+def filings_from_json(df: DataFrame, payload: str = "payload", forms: tuple[str, ...] = (), k: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parallel arrays to rows, the given forms only, the first k of each payload (one a company) in its own order."""
     f = F.from_json(payload, "struct<filings:struct<recent:struct<form:array<string>,filingDate:array<string>,accessionNumber:array<string>,items:array<string>>>>")["filings"]["recent"]
-    rows = df.select(F.posexplode(F.arrays_zip(f["form"].alias("form"), f["filingDate"].alias("filed"), f["accessionNumber"].alias("accession"), f["items"].alias("items"))).alias("i", "x")).select("i", "x.*")
-    if forms:
-        rows = rows.where(c("form").isin(*forms))
-    rows = rows.orderBy("i").limit(k) if k else rows
-    return rows.select("form", F.to_date("filed").alias("filed"), "accession", F.split("items", ",").alias("items"))
+    both = F.arrays_zip(f["form"].alias("form"), f["filingDate"].alias("filed"), f["accessionNumber"].alias("accession"), f["items"].alias("items"))
+    both = F.filter(both, lambda x: x["form"].isin(*forms)) if forms else both
+    rows = df.select(*keep, F.explode(F.slice(both, 1, k) if k else both).alias("x")).select(*keep, "x.*")
+    return rows.select(*keep, "form", F.to_date("filed").alias("filed"), "accession", F.split("items", ",").alias("items"))
 
 
 def chunked_scores(df: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5000) -> DataFrame:

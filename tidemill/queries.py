@@ -111,12 +111,12 @@ _dm4 = stage(
     **{f"sma_{n}": full("close", n) for n in (5, 10, 20, 50, 100, 200)},
     trima_20=full("s10", 11),
     wma_20="(" + " + ".join(f"{lag('close', k)} * {20 - k}" if k else "close * 20" for k in range(20)) + ") / 210",
-    pdi=f"100 * {ratio(full('plus', 14), full('tr', 14))}", mdi=f"100 * {ratio(full('minus', 14), full('tr', 14))}",
+    plus_di_sma=f"100 * {ratio(full('plus', 14), full('tr', 14))}", minus_di_sma=f"100 * {ratio(full('minus', 14), full('tr', 14))}",
     hs=f"list(high) {over(-25)}", ls=f"list(low) {over(-25)}",
 )
 _dm5 = stage(
     "d5", "d4",
-    dx="100 * abs(pdi - mdi) / nullif(pdi + mdi, 0)",
+    dx="100 * abs(plus_di_sma - minus_di_sma) / nullif(plus_di_sma + minus_di_sma, 0)",
     aroon_up="CASE WHEN len(hs) = 26 THEN 100 * (25 - list_position(list_reverse(hs), list_max(hs)) + 1) / 25.0::DOUBLE END",
     aroon_down="CASE WHEN len(ls) = 26 THEN 100 * (25 - list_position(list_reverse(ls), list_min(ls)) + 1) / 25.0::DOUBLE END",
     sma_cross_20_50="CASE WHEN coalesce(sma_20 > sma_50, false) THEN 1 ELSE -1 END",
@@ -507,21 +507,46 @@ def symbol_correlations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(J.correlations(B.brand_week(spark, d)))
 
 
-@register("pivot_closes", f"WITH {_EVENTS} SELECT ts, " + ", ".join(f"max(close) FILTER (WHERE symbol = '{x}') AS {x}" for x in ("click", "purchase", "view")) + " FROM bars GROUP BY ts")
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@register("pivot_closes", f"WITH {_EVENTS} SELECT ts, " + ", ".join(f"max(close) FILTER (WHERE symbol = '{x}') AS {x}" for x in TYPES) + " FROM bars GROUP BY ts")
 def pivot_closes(spark: SparkSession, d: str) -> DataFrame:
-    return J.pivot_panel(B.event_hour(spark, d), "close", ["click", "purchase", "view"])
+    return J.pivot_panel(B.event_hour(spark, d), "close", TYPES)
 
 
 # ---------------------------------------------------------------- signals
 _sg = [_dm, _dm2, _dm3, _dm4, _dm5, _dm6, _m1.replace("FROM base", "FROM d6"), _m2, _m3.replace("m2", "m2", 1), _m4, stage("x1", "m4", ss=full("close", 20, "stddev_samp"), vr=ratio("volume", full("volume", 20)), atr_sma=full("tr", 14), lo20=f"min(low) {over(-19)}", hi20=f"max(high) {over(-19)}"), stage("x2", "x1", bbp="(close - sma_20 + 2 * ss) / nullif(4 * ss, 0)")]
-_sg += [
-    stage("x3", "x2", s0="0.5::DOUBLE + CASE WHEN adx_sma > 25 THEN CASE WHEN close > sma_20 THEN 0.1::DOUBLE WHEN close <= sma_20 THEN -0.1::DOUBLE ELSE 0 END ELSE 0 END + CASE WHEN rsi_sma < 30 THEN 0.1::DOUBLE WHEN rsi_sma > 70 THEN -0.1::DOUBLE ELSE 0 END + CASE WHEN apo > 0 THEN 0.05::DOUBLE WHEN apo < 0 THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN bbp < 0.2 THEN 0.1::DOUBLE WHEN bbp > 0.8 THEN -0.1::DOUBLE ELSE 0 END + CASE WHEN sma_20 > sma_50 THEN 0.05::DOUBLE WHEN sma_20 < sma_50 THEN -0.05::DOUBLE ELSE 0 END"),
-    stage("x4", "x3", technical_score="least(greatest(s0 + CASE WHEN vr > 1.5 THEN CASE WHEN s0 > 0.5 THEN 0.05::DOUBLE WHEN s0 < 0.5 THEN -0.05::DOUBLE ELSE 0 END ELSE 0 END, 0), 1)"),
-    stage("x5", "x4", combined="0.25::DOUBLE + 0.1::DOUBLE + 0.3::DOUBLE * technical_score", four="abs(technical_score - 0.5) * 2 + abs(-2 + CASE WHEN technical_score > 0.5 THEN 1 ELSE -1 END) / 3.0::DOUBLE"),
-    stage("x6", "x5", confidence="CASE WHEN atr_sma IS NULL THEN four / 4 ELSE (four + greatest(0, 1 - 20 * atr_sma / nullif(close, 0))) / 5 END", signal_value="CASE WHEN combined >= 0.58 THEN 2 WHEN combined >= 0.52 THEN 1 WHEN combined <= 0.42 THEN -2 WHEN combined <= 0.48 THEN -1 ELSE 0 END"),
-    stage("x7", "x6", stop_loss="CASE WHEN signal_value > 0 THEN greatest(close - 2 * atr_sma, lo20 * 0.99::DOUBLE) WHEN signal_value < 0 THEN least(close + 2 * atr_sma, hi20 * 1.01::DOUBLE) END", take_profit="CASE WHEN signal_value > 0 THEN close + 4 * atr_sma WHEN signal_value < 0 THEN close - 4 * atr_sma END"),
-    "x8 AS (SELECT *, abs(take_profit - close) / nullif(abs(close - stop_loss), 0) AS risk_reward_ratio, CASE signal_value WHEN -2 THEN 'STRONG_SELL' WHEN -1 THEN 'SELL' WHEN 0 THEN 'HOLD' WHEN 1 THEN 'BUY' ELSE 'STRONG_BUY' END AS signal FROM x7 WHERE seq > 50)",
-]
+
+
+def _ew(x: str, k: int) -> str:
+    """Exponentially weighted mean of a list, by its weights."""
+    keep = f"pow({k - 1} / {k + 1}.0::DOUBLE, len({x}) - i)"
+    return f"(list_sum(list_transform(range(1, len({x}) + 1), lambda i: {x}[i] * {keep})) / list_sum(list_transform(range(1, len({x}) + 1), lambda i: {keep})))"
+
+
+def _signal_stages(trend: bool = False, volume: bool = False) -> list[str]:
+    score = "CASE WHEN adx_sma > 25 THEN CASE WHEN plus_di_sma > minus_di_sma THEN 1 ELSE -1 END ELSE 0 END * 0.1::DOUBLE + CASE WHEN rsi_sma < 30 THEN 0.1::DOUBLE WHEN rsi_sma > 70 THEN -0.1::DOUBLE ELSE 0 END + CASE WHEN macd_hist > 0 THEN 0.05::DOUBLE WHEN macd_hist < 0 THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN bbp < 0.1 THEN 0.1::DOUBLE WHEN bbp > 0.9 THEN -0.1::DOUBLE ELSE 0 END + CASE WHEN sma_20 > sma_50 THEN 0.05::DOUBLE ELSE -0.05::DOUBLE END"
+    level = "CASE WHEN round(confidence, 9) < 0.25 THEN 0 WHEN combined >= 0.58 THEN 2 WHEN combined >= 0.52 THEN 1 WHEN combined <= 0.42 THEN -2 WHEN combined <= 0.48 THEN -1 ELSE 0 END"
+    if trend:
+        level = f"CASE WHEN adx_sma < 20 THEN 0 WHEN coalesce(sma_20 > sma_50, false) THEN greatest({level}, 0) ELSE least({level}, 0) END"
+    if volume:
+        level = f"CASE WHEN vr > 0.8 THEN {level} ELSE greatest(least({level}, 1), -1) END"
+    return [
+        stage("n1", "x2", closes=f"list(close) {over('all')}"), stage("n2", "n1", macd=f"{_ew('closes', 12)} - {_ew('closes', 26)}"), stage("n3", "n2", macds=f"list(macd) {over('all')}"), stage("n4", "n3", macd_hist=f"macd - {_ew('macds', 9)}"),
+        stage("x3", "n4", s0=f"round(0.5::DOUBLE + {score}, 9)"),
+        stage("x4", "x3", technical_score="round(least(greatest(s0 + CASE WHEN vr > 1.5 THEN 0.05::DOUBLE * sign(s0 - 0.5) ELSE 0 END, 0), 1), 9)"),
+        # without model and news: both neutral, so they add 0.5 * 0.5 and 0.2 * 0.5, and vote -1 and 0
+        stage("x5", "x4", combined="round(0.35::DOUBLE + 0.3::DOUBLE * technical_score, 9)", four="abs(technical_score - 0.5) * 2 + CASE WHEN technical_score > 0.5 THEN 0 ELSE 2 END / 3.0::DOUBLE"),
+        stage("x6", "x5", confidence="CASE WHEN atr_sma IS NULL THEN four / 4 ELSE (four + greatest(0, 1 - 20 * atr_sma / nullif(close, 0))) / 5 END"),
+        stage("x6b", "x6", signal_value=level),
+        stage("x7", "x6b", stop_loss="CASE WHEN signal_value > 0 THEN greatest(close - 2 * atr_sma, lo20 * 0.99::DOUBLE) WHEN signal_value < 0 THEN least(close + 2 * atr_sma, hi20 * 1.01::DOUBLE) END", take_profit="CASE WHEN signal_value > 0 THEN close + 4 * atr_sma WHEN signal_value < 0 THEN close - 4 * atr_sma END"),
+        "x8 AS (SELECT *, abs(take_profit - close) / nullif(abs(close - stop_loss), 0) AS risk_reward_ratio, CASE signal_value WHEN -2 THEN 'STRONG_SELL' WHEN -1 THEN 'SELL' WHEN 0 THEN 'HOLD' WHEN 1 THEN 'BUY' ELSE 'STRONG_BUY' END AS signal FROM x7 WHERE seq > 50)",
+    ]
+
+
+_inputs = _sg
+_sg = [*_inputs, *_signal_stages()]
 _SIGNALS = ["technical_score", "combined", "confidence", "signal_value", "stop_loss", "take_profit", "risk_reward_ratio"]
 
 
@@ -534,6 +559,12 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return shown(signalled(spark, d), _SIGNALS, 5)
 
 
+@register("confirmed_signals", sql([*_inputs, *_signal_stages(True, True)], _SIGNALS, "x8", 5, ints=("signal_value",)))
+def confirmed_signals(spark: SparkSession, d: str) -> DataFrame:
+    b = G.scored(G.prepared(based(spark, d)))
+    return shown(G.levelled(b, G.SignalConfig(confirm_trend=True, confirm_volume=True)), _SIGNALS, 5)
+
+
 _head = f"WITH {', '.join([BASE, *_sg])}"
 _counts = "count(*) AS total, count(*) FILTER (WHERE signal_value > 0) AS buys, count(*) FILTER (WHERE signal_value < 0) AS sells, count(*) FILTER (WHERE signal_value = 0) AS holds, count(*) FILTER (WHERE abs(signal_value) = 2) AS strong"
 
@@ -626,7 +657,7 @@ def wf_windows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(walked(spark, d), 5)
 
 
-@register("wf_summary", f"{_wf}, bo AS (SELECT symbol, window_id, max(total_return) FILTER (WHERE split = 'train') AS a, max(total_return) FILTER (WHERE split = 'test') AS b, max(sharpe) FILTER (WHERE split = 'train') AS sa, max(sharpe) FILTER (WHERE split = 'test') AS sb FROM wm GROUP BY 1, 2) SELECT symbol, count(*) AS windows, {_r('product(1 + b) - 1', 'total_return')}, {_r('avg(CASE WHEN sb <> 0 THEN sb END)', 'avg_sharpe')}, {_r('avg(CAST(b > 0 AS DOUBLE))', 'positive_windows')}, {_r('avg(sb) / nullif(avg(sa), 0)', 'overfitting_ratio')}, {_r('CASE WHEN count(*) > 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) ELSE 0 END', 'train_test_corr')} FROM bo GROUP BY symbol")
+@register("wf_summary", f"{_wf}, bo AS (SELECT symbol, window_id, max(total_return) FILTER (WHERE split = 'train') AS a, max(total_return) FILTER (WHERE split = 'test') AS b, max(sharpe) FILTER (WHERE split = 'train') AS sa, max(sharpe) FILTER (WHERE split = 'test') AS sb FROM wm GROUP BY 1, 2) SELECT symbol, count(*) AS windows, {_r('product(1 + b) - 1', 'total_return')}, {_r('avg(CASE WHEN sb <> 0 THEN sb END)', 'avg_sharpe')}, {_r('avg(CAST(b > 0 AS DOUBLE))', 'positive_windows')}, {_r('coalesce((avg(a) - avg(b)) / nullif(abs(avg(a)), 0), 0)', 'overfitting_ratio')}, {_r('CASE WHEN count(*) > 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) ELSE 0 END', 'train_test_corr')} FROM bo GROUP BY symbol")
 def wf_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.walk_forward_summary(walked(spark, d)), 5)
 
@@ -639,12 +670,12 @@ def ledger_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("bootstrap")
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.bootstrap(P.trades(pathed(spark, d)), 200), 4)
+    return rounded(P.bootstrap(P.trades(pathed(spark, d))), 4)
 
 
 @register("shuffle_test")
 def shuffle_test(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.shuffle_test(P.trades(pathed(spark, d)), 50), 4)
+    return rounded(P.shuffle_test(P.trades(pathed(spark, d)), 500), 4)
 
 
 # ---------------------------------------------------------------- text and alternative data
@@ -696,13 +727,13 @@ def ticker_mentions(spark: SparkSession, d: str) -> DataFrame:
     return _mentioned(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@register("trending", f"WITH {_TOK}, {_LEX}, {_SCO}, {_MEN} SELECT symbol, count(*) AS mentions, CAST(sum(score) AS BIGINT) AS score, count(DISTINCT source) AS communities, round(avg(CAST(compound > 0.05 AS DOUBLE)) + {NUDGE}, 6) AS bullish_ratio, round(avg(compound) + {NUDGE}, 6) AS avg_sentiment, round(count(*) * ln(1 + sum(score)) + {NUDGE}, 6) AS trend FROM men JOIN sc USING (doc_id) GROUP BY symbol HAVING count(*) >= 3 ORDER BY count(*) * ln(1 + sum(score)) DESC, symbol LIMIT 20")
+@register("trending", f"WITH {_TOK}, {_LEX}, {_SCO}, {_MEN} SELECT symbol, count(*) AS mentions, CAST(sum(score) AS BIGINT) AS score, count(DISTINCT source) AS communities, round(avg(CAST(compound > 0.05 AS DOUBLE)) + {NUDGE}, 6) AS bullish_ratio, round(avg(compound) + {NUDGE}, 6) AS avg_sentiment, round(stddev_pop(compound) + {NUDGE}, 6) AS sentiment_std, round(count(*) * ln(1 + sum(score)) + {NUDGE}, 6) AS trend FROM men JOIN sc USING (doc_id) GROUP BY symbol HAVING count(*) >= 3 ORDER BY count(*) * ln(1 + sum(score)) DESC, symbol LIMIT 20")
 def trending(spark: SparkSession, d: str) -> DataFrame:
     m = _mentioned(spark, d).join(_scored(spark, d).select("doc_id", F.col("compound").alias("sentiment")), "doc_id")
     return rounded(X.trending(m))
 
 
-@register("insider_activity", f"WITH t AS (SELECT o_custkey AS filer, CASE o_orderstatus WHEN 'F' THEN 'Buy' WHEN 'O' THEN 'Sell' ELSE 'Other' END AS kind, o_totalprice AS value, CASE WHEN o_orderpriority LIKE '1%' THEN 'CEO' WHEN o_orderpriority LIKE '2%' THEN 'CFO' ELSE 'Director' END AS relation FROM orders), a AS (SELECT filer, count(*) FILTER (WHERE kind = 'Buy') AS buys, count(*) FILTER (WHERE kind = 'Sell') AS sells, coalesce(sum(value) FILTER (WHERE kind = 'Buy'), 0) AS bv, coalesce(sum(value) FILTER (WHERE kind = 'Sell'), 0) AS sv, count(*) FILTER (WHERE relation IN ('CEO', 'CFO')) AS executive FROM t GROUP BY filer) SELECT filer, buys, sells, executive, round(bv + {NUDGE}, 4) AS buy_value, round(sv + {NUDGE}, 4) AS sell_value, round(bv - sv + {NUDGE}, 4) AS net_value, round(coalesce((buys - sells)::DOUBLE / nullif(buys + sells, 0), 0) + {NUDGE}, 4) AS sentiment FROM a")
+@register("insider_activity", f"WITH t AS (SELECT o_custkey AS filer, CASE o_orderstatus WHEN 'F' THEN 'Buy' WHEN 'O' THEN 'Sell' ELSE 'Other' END AS kind, o_totalprice AS value, CASE WHEN o_orderpriority LIKE '1%' THEN 'CEO' WHEN o_orderpriority LIKE '2%' THEN 'CFO' ELSE 'Director' END AS relation FROM orders), a AS (SELECT filer, count(*) FILTER (WHERE kind = 'Buy') AS buys, count(*) FILTER (WHERE kind = 'Sell') AS sells, coalesce(sum(value) FILTER (WHERE kind = 'Buy'), 0) AS bv, coalesce(sum(value) FILTER (WHERE kind = 'Sell'), 0) AS sv, count(*) FILTER (WHERE relation IN ('CEO', 'CFO') AND kind = 'Buy') AS executive_buys, count(*) FILTER (WHERE relation IN ('CEO', 'CFO') AND kind = 'Sell') AS executive_sells FROM t GROUP BY filer) SELECT filer, buys, sells, executive_buys, executive_sells, round(bv + {NUDGE}, 4) AS buy_value, round(sv + {NUDGE}, 4) AS sell_value, round(bv - sv + {NUDGE}, 4) AS net_value, round(coalesce((buys - sells)::DOUBLE / nullif(buys + sells, 0), 0) + {NUDGE}, 4) AS sentiment FROM a")
 def insider_activity(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("o_orderpriority")
     tx = B.load(spark, d, "orders").select(F.col("o_custkey").alias("filer"), F.when(F.col("o_orderstatus") == "F", "Buy").when(F.col("o_orderstatus") == "O", "Sell").otherwise("Other").alias("kind"), F.col("o_totalprice").alias("value"), F.when(p.startswith("1"), "CEO").when(p.startswith("2"), "CFO").otherwise("Director").alias("relation"))
@@ -731,37 +762,85 @@ def _strategic(spark: SparkSession, d: str) -> DataFrame:
     return Y.strategies(technical.momentum(technical.trend(based(spark, d))))
 
 
+LEVELS = ["direction", "strength", "confidence", "stop_loss", "take_profit"]
+
+
 def _unpacked(b: DataFrame, name: str) -> DataFrame:
-    return rounded(b.select("symbol", "ts", f"{name}.direction", f"{name}.strength", f"{name}.confidence"), 5)
+    return rounded(b.select("symbol", "ts", *[f"{name}.{x}" for x in LEVELS]), 5)
+
+
+def _slice_range(n: int) -> str:
+    """Mean true range of the n bars before, from their lists alone."""
+    return f"CASE WHEN seq <= {n} THEN 0.02::DOUBLE * close ELSE list_avg(list_transform(range(1, {n + 1}), lambda i: greatest(h{n}[i] - l{n}[i], coalesce(abs(h{n}[i] - c{n}[i - 1]), 0), coalesce(abs(l{n}[i] - c{n}[i - 1]), 0)))) END"
+
+
+def _hurst(x: str) -> str:
+    path = f"list_transform(range(1, len({x}) + 1), lambda i: list_sum({x}[1:i]) - i * list_avg({x}))"
+    rs = f"(list_max({path}) - list_min({path})) / nullif(list_aggregate({x}, 'stddev_samp'), 0)"
+    return f"CASE WHEN coalesce({rs}, 0) = 0 THEN 0.5::DOUBLE ELSE greatest(0, least(1, ln({rs}) / ln(len({x})))) END"
+
 
+_s1 = stage(
+    "s1", "d6",
+    **{f"{v}{n}": f"list({x}) {over(-n, -1)}" for n in (10, 14, 20) for v, x in (("h", "high"), ("l", "low"), ("c", "close"))},
+    **{f"y{p}": f"{lag('close', 5)} / nullif({lag('close', p)}, 0) - 1" for p in (21, 63, 126, 252)},
+    x51=f"list(close) {over(-50)}", x100=f"list(close) {over(-100, -1)}", vol=f"stddev_samp(r) {over(-63, -1)} * sqrt(252)",
+    gain=f"avg(CASE WHEN close > last THEN close - last ELSE 0 END) {over(-13)}", loss=f"avg(CASE WHEN close < last THEN last - close ELSE 0 END) {over(-13)}",
+    top=f"max(high) {over(-20, -1)}", bottom=f"min(low) {over(-20, -1)}", vmean=f"avg(volume) {over(-20, -1)}",
+    v20=f"stddev_samp(r) {over(-20, -1)} * sqrt(252)", v252=f"stddev_samp(r) {over(-252, -1)} * sqrt(252)", m50=f"avg(close) {over(-50, -1)}", m200=f"avg(close) {over(-200, -1)}",
+)
+_s2 = stage("s2", "s1", atr14=_slice_range(14), atr10=_slice_range(10), atr20=_slice_range(20), lv="list_filter([y21, y63, y126, y252], lambda x: x IS NOT NULL)", h51=_hurst("x51"), h100=_hurst("x100"), z="(close - list_avg(x51)) / nullif(list_aggregate(x51, 'stddev_samp'), 0)", sd="list_aggregate(x51, 'stddev_samp')", mu="list_avg(x51)", rsi="CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END", loud="coalesce(volume / nullif(vmean, 0) > 1.5, false)")
+_s3 = stage("s3", "s2", mean="list_avg(lv)", tight="atr10 < 0.8 * atr20")
+_s4 = stage(
+    "s4", "s3",
+    mdirection="CASE WHEN mean > 0.02 THEN 1 WHEN mean < -0.02 THEN -1 ELSE 0 END",
+    rdirection="CASE WHEN seq < 51 OR z IS NULL OR h51 > 0.6 THEN 0 WHEN z < -2 AND rsi < 30 THEN 1 WHEN z > 2 AND rsi > 70 THEN -1 ELSE 0 END",
+    kdirection="CASE WHEN seq < 21 THEN 0 WHEN close > top THEN 1 WHEN close < bottom THEN -1 ELSE 0 END",
+    dv="CASE WHEN seq > 100 THEN (v20 - 0.5 * CASE WHEN seq > 252 THEN v252 ELSE v20 END) / (0.5 * CASE WHEN seq > 252 THEN v252 ELSE v20 END + 0.01::DOUBLE) END", far="CASE WHEN seq > 200 THEN m200 ELSE m50 END",
+)
+_s5 = stage(
+    "s5", "s4",
+    mstrength="CASE WHEN mdirection = 0 THEN 0 ELSE least(10 * abs(mean), 1) * CASE WHEN vol > 0 THEN least(greatest(0.15::DOUBLE / vol, 0.5), 2) ELSE 1 END * CASE WHEN adx_sma < 15 THEN 0.5::DOUBLE ELSE 1 END END",
+    mconfidence="CASE WHEN len(lv) = 0 THEN 0.5::DOUBLE ELSE len(list_filter(lv, lambda x: sign(x) = sign(mean)))::DOUBLE / len(lv) END", mstop_loss="close - 2 * mdirection * atr14", mtake_profit="close + 4 * mdirection * atr14",
+    rstrength="CASE WHEN rdirection = 0 THEN 0 ELSE least(abs(z) / 3, 1) END", rconfidence="CASE WHEN seq < 51 OR z IS NULL OR h51 > 0.6 THEN 0.5::DOUBLE ELSE (CAST(abs(z) > 2 AS INTEGER) + abs(rdirection) + CAST(h51 < 0.5 AS INTEGER)) / 3.0::DOUBLE END",
+    rstop_loss="CASE WHEN seq < 51 OR z IS NULL OR h51 > 0.6 THEN close ELSE close - 3 * rdirection * sd END", rtake_profit="CASE WHEN seq < 51 OR z IS NULL OR h51 > 0.6 THEN close ELSE mu END",
+    kstrength="CASE WHEN kdirection = 0 THEN 0 WHEN loud AND tight THEN 0.8::DOUBLE WHEN loud THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END", kconfidence="CASE WHEN seq < 21 THEN 0.5::DOUBLE WHEN kdirection = 0 THEN 0 ELSE 0.3::DOUBLE + CASE WHEN loud THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN tight THEN 0.3::DOUBLE ELSE 0 END END",
+    kstop_loss="close - 2 * kdirection * atr14", ktake_profit="close + 4 * kdirection * atr14",
+    regime="CASE WHEN seq < 101 THEN 'unknown' WHEN dv > 0.5 THEN 'high_volatility' WHEN dv < -0.3 THEN 'low_volatility' WHEN h100 < 0.45 THEN 'mean_reverting' WHEN close > m50 AND m50 > far THEN 'bull_trend' WHEN close < m50 AND m50 < far THEN 'bear_trend' ELSE 'neutral' END",
+)
+_pick = lambda x, other, bear=None, high=None: f"CASE regime WHEN 'bull_trend' THEN m{x} WHEN 'bear_trend' THEN {bear or 'm' + x} WHEN 'mean_reverting' THEN r{x} WHEN 'low_volatility' THEN k{x} WHEN 'high_volatility' THEN {high or 'm' + x} ELSE {other} END"
+_s6 = stage("s6", "s5", wdirection=_pick("direction", "0", "CASE WHEN mdirection = 0 THEN -1 ELSE mdirection END"), wstrength=_pick("strength", "0", "CASE WHEN mdirection = 0 THEN 0.3::DOUBLE ELSE mstrength END", "0.3::DOUBLE * mstrength"), wconfidence=_pick("confidence", "0.3::DOUBLE"), wstop_loss=_pick("stop_loss", "close"), wtake_profit=_pick("take_profit", "close"))
+_s7 = stage("s7", "s6", edirection="sign(round((mdirection * mconfidence + rdirection * rconfidence + kdirection * kconfidence + wdirection * wconfidence) / 4, 9))", estrength="(mstrength + rstrength + kstrength + wstrength) / 4", econfidence="(mconfidence + rconfidence + kconfidence + wconfidence) / 4", estop_loss="wstop_loss", etake_profit="wtake_profit")
+_STRATEGY = [_dm, _dm2, _dm3, _dm4, _dm5, _dm6, _s1, _s2, _s3, _s4, _s5, _s6, _s7]
 
-_y1 = stage("y1", "d6", **{f"y{p}": f"{lag('close', 5)} / nullif({lag('close', p)}, 0) - 1" for p in (21, 63, 126, 252)}, vol=f"stddev_samp(r) {over(-63, -1)} * sqrt(252)")
-_y2 = stage("y2", "y1", lv="list_filter([y21, y63, y126, y252], lambda x: x IS NOT NULL)")
-_y3 = stage("y3", "y2", n="len(lv)", mean="coalesce(list_sum(lv), 0) / greatest(len(lv), 1)")
-_y4 = stage("y4", "y3", direction="CASE WHEN n = 0 THEN 0 WHEN mean > 0.02 THEN 1 WHEN mean < -0.02 THEN -1 ELSE 0 END", strength="CASE WHEN n = 0 THEN 0 ELSE least(10 * abs(mean), 1) * coalesce(least(greatest(0.15::DOUBLE / nullif(vol, 0), 0.5), 2), 1) * CASE WHEN coalesce(adx_sma < 15, false) THEN 0.5::DOUBLE ELSE 1 END END", confidence="CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE len(list_filter(lv, lambda x: sign(x) = sign(mean)))::DOUBLE / n END")
 
+def _strategy_sql(prefix: str, more: str = "") -> str:
+    return sql([*_STRATEGY, "fin AS (SELECT symbol, ts, regime AS regime_label, " + ", ".join(f"{prefix}{x} AS {x}" for x in LEVELS) + " FROM s7)"], LEVELS, "fin", 5, ints=("direction",)).replace("SELECT symbol, ts, CAST(direction", f"SELECT symbol, ts,{more} CAST(direction")
 
-@register("strategy_momentum", sql([_dm, _dm2, _dm3, _dm4, _dm5, _dm6, _y1, _y2, _y3, _y4], ["direction", "strength", "confidence"], "y4", 5, ints=("direction",)))
+
+@register("strategy_momentum", _strategy_sql("m"))
 def strategy_momentum(spark: SparkSession, d: str) -> DataFrame:
     return _unpacked(Y.momentum(technical.trend(based(spark, d))), "momentum")
 
 
-_k = f"{over(-20, -1)}"
-_x1 = stage("x1", "base", hi=f"max(high) {_k}", lo=f"min(low) {_k}", vr=f"volume / nullif(avg(volume) {_k}, 0)", a10=f"avg(tr) {over(-10, -1)}", a20=f"avg(tr) {_k}", n=f"count(close) {_k}")
-_x2 = stage("x2", "x1", loud="coalesce(vr > 1.5, false)", tight="coalesce(a10 < 0.8 * a20, false)")
-_x3 = stage("x3", "x2", direction="CASE WHEN n < 20 THEN 0 WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE 0 END")
-_x4 = stage("x4", "x3", strength="CASE WHEN direction = 0 THEN 0 WHEN loud AND tight THEN 0.8::DOUBLE WHEN loud OR tight THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END", confidence="CASE WHEN direction = 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE + CASE WHEN loud THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN tight THEN 0.3::DOUBLE ELSE 0 END END")
+@register("strategy_mean_reversion", _strategy_sql("r"))
+def strategy_mean_reversion(spark: SparkSession, d: str) -> DataFrame:
+    return _unpacked(Y.mean_reversion(based(spark, d)), "mean_reversion")
 
 
-@register("strategy_breakout", sql([_x1, _x2, _x3, _x4], ["direction", "strength", "confidence"], "x4", 5, ints=("direction",)))
+@register("strategy_breakout", _strategy_sql("k"))
 def strategy_breakout(spark: SparkSession, d: str) -> DataFrame:
     return _unpacked(Y.breakout(based(spark, d)), "breakout")
 
 
-@register("strategy_ensemble")
+@register("strategy_regime", _strategy_sql("w", " regime_label AS regime,"))
+def strategy_regime(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_strategic(spark, d).select("symbol", "ts", "regime", *[f"regime_switch.{x}" for x in LEVELS]), 5)
+
+
+@register("strategy_ensemble", _strategy_sql("e", " regime_label AS regime,"))
 def strategy_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    b = _strategic(spark, d)
-    return rounded(b.select("symbol", "ts", "regime", "ensemble.direction", "ensemble.strength", "ensemble.confidence"), 5)
+    return rounded(_strategic(spark, d).select("symbol", "ts", "regime", *[f"ensemble.{x}" for x in LEVELS]), 5)
 
 
 @register("model_scores")
@@ -769,7 +848,7 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     b = technical.derived(technical.momentum(based(spark, d)))
     names = ["rsi_sma", "stoch_k", "willr", "mfi", "returns_1d", "returns_5d", "returns_20d", "volatility_20d"]
     ready = b.withColumn("target", (F.lead("close").over(B_SERIES()) > F.col("close")).cast("int")).select("symbol", "ts", "seq", "target", *names).where("target is not null").na.fill(0)
-    out, _ = E.stacked(ready, names, rounds=4, trees=10)
+    out, _ = E.stacked(ready, names)
     return rounded(E.classification_metrics(out.where("not is_train"), keys=("symbol",)))
 
 
@@ -802,9 +881,9 @@ def _transactions(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(part, "l_partkey")
 
 
-_IND = f"""{_BARS_INS}, dl AS (SELECT symbol, day, count(*) FILTER (WHERE kind = 'Buy') AS b, count(*) FILTER (WHERE kind = 'Sell') AS s, sum(CASE kind WHEN 'Buy' THEN value WHEN 'Sell' THEN -value ELSE 0 END) AS net, count(*) FILTER (WHERE ex) AS e FROM tx GROUP BY 1, 2),
+_IND = f"""{_BARS_INS}, dl AS (SELECT symbol, day, count(*) FILTER (WHERE kind = 'Buy') AS b, count(*) FILTER (WHERE kind = 'Sell') AS s, sum(CASE kind WHEN 'Buy' THEN value WHEN 'Sell' THEN -value ELSE 0 END) AS net, count(*) FILTER (WHERE ex AND kind = 'Buy') - count(*) FILTER (WHERE ex AND kind = 'Sell') AS e FROM tx GROUP BY 1, 2),
   tr2 AS (SELECT symbol, day, sum(b) OVER w AS ib, sum(s) OVER w AS ins, sum(net) OVER w AS inet, sum(e) OVER w AS ie FROM dl WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW)),
-  md AS (SELECT *, coalesce((ib - ins)::DOUBLE / nullif(ib + ins, 0), 0) AS m FROM tr2), sg AS (SELECT *, least(greatest(m + 0.1::DOUBLE * least(ie, 3) * sign(m), -1), 1) AS sig FROM md)"""
+  md AS (SELECT *, coalesce((ib - ins)::DOUBLE / nullif(ib + ins, 0), 0) AS m FROM tr2), sg AS (SELECT *, least(greatest(m, -1), 1) AS sig FROM md)"""
 
 
 @register("insider_daily", f"WITH {_IND} SELECT symbol, day, CAST(ib AS BIGINT) AS insider_buys, CAST(ins AS BIGINT) AS insider_sells, round(inet + {NUDGE}, 2) AS insider_net_value, CAST(ie AS BIGINT) AS executive_activity, round(m + {NUDGE}, 6) AS insider_sentiment, round(sig + {NUDGE}, 6) AS insider_signal FROM sg")
@@ -821,7 +900,7 @@ def insider_on_bars(spark: SparkSession, d: str) -> DataFrame:
 _POSTS = "ps AS (SELECT role AS symbol, DATE '2024-01-01' + CAST(conv_id % 40 AS INTEGER) AS day, length(text) AS score, (length(text) % 21 - 10) / 10.0::DOUBLE AS sentiment FROM conversations), pd1 AS (SELECT symbol, day, count(*) AS n, sum(sentiment) AS s, sum(sentiment * ln(2 + greatest(score, 0))) AS sw, sum(ln(2 + greatest(score, 0))) AS w, count(*) FILTER (WHERE sentiment > 0.05) AS b, sum(score) AS sc FROM ps GROUP BY 1, 2), pt AS (SELECT symbol, day, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(sw) OVER w AS sw, sum(w) OVER w AS w, sum(b) OVER w AS b, sum(sc) OVER w AS sc FROM pd1 WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))"
 
 
-@register("social_daily", f"WITH {_POSTS} SELECT symbol, day, CAST(n AS BIGINT) AS mentions, round(s / n + {NUDGE}, 6) AS sentiment, round(coalesce(sw / nullif(w, 0), 0) + {NUDGE}, 6) AS weighted, round(b::DOUBLE / n + {NUDGE}, 6) AS bullish_ratio, CAST(n > 10 AND sc::DOUBLE / n > 100 AS INTEGER) AS trending, round(least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS hype, round(0.5 * s / n + 0.3::DOUBLE * (b::DOUBLE / n - 0.5) + 0.2::DOUBLE * least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS social_signal FROM pt")
+@register("social_daily", f"WITH {_POSTS} SELECT symbol, day, CAST(n AS BIGINT) AS mentions, round(s / n + {NUDGE}, 6) AS sentiment, round(coalesce(sw / nullif(w, 0), 0) + {NUDGE}, 6) AS weighted, round(b::DOUBLE / n + {NUDGE}, 6) AS bullish_ratio, CAST(n > 10 AND sc::DOUBLE / n > 100 AS INTEGER) AS trending, round(least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS hype, round(0.5 * coalesce(sw / nullif(w, 0), 0) + 0.3::DOUBLE * (b::DOUBLE / n - 0.5) + 0.2::DOUBLE * least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS social_signal FROM pt")
 def social_daily(spark: SparkSession, d: str) -> DataFrame:
     n = F.char_length("text")
     posts = B.load(spark, d, "conversations").select(F.col("role").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 40).cast("int")).alias("day"), n.cast("long").alias("score"), ((n % 21 - 10) / 10.0).alias("sentiment"))

@@ -38,13 +38,19 @@ def read_csv_bars(spark: SparkSession, path: str, symbols: list[str] | None = No
 
 
 def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Parquet bars partitioned by symbol; both filters reach the scan."""
-    return _between(spark.read.parquet(path), symbols, start, end)
+    """Parquet bars partitioned by symbol and year; both filters reach the scan, dates also as years."""
+    df = spark.read.parquet(path)
+    if start:
+        df = df.where(F.col("year") >= int(start[:4]))
+    if end:
+        df = df.where(F.col("year") <= int(end[:4]))
+    return _between(df, symbols, start, end).drop("year")
 
 
 def write_bars(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by symbol; replaces only the symbols in df."""
-    df.repartition("symbol").write.option("partitionOverwriteMode", "dynamic").partitionBy("symbol").mode("overwrite").parquet(path)
+    """Parquet partitioned by symbol and year; replaces only the symbols and years in df."""
+    years = df.withColumn("year", F.year("ts"))
+    years.repartition("symbol", "year").write.option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "year").mode("overwrite").parquet(path)
 
 
 def from_daily_json(df: DataFrame, payload: str = "payload", symbol: str = "symbol") -> DataFrame:

@@ -44,3 +44,25 @@ def live_signals(bars: DataFrame, history: Callable[[], DataFrame], signal: Call
         sink(out.groupBy("symbol").agg(F.max_by(F.struct(*[x for x in out.columns if x != "symbol"]), "ts").alias("s")).select("symbol", "s.*"), number)
 
     return bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+
+
+def live_hold(signals: DataFrame, bars: int = 5) -> DataFrame:
+    """The minimum hold across batches: a signal counts only if the last one that counted is at least `bars` bars back; the state is
+    the place of that one. signals: symbol, seq long, signal_value int; each symbol's bars arrive in order."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key: tuple, parts, state):
+        last = state.get[0] if state.exists else -(10**9)
+        for pdf in parts:
+            pdf = pdf.sort_values("seq")
+            out = []
+            for place, value in zip(pdf["seq"], pdf["signal_value"], strict=True):
+                counts = bool(value) and place - last >= bars
+                last = int(place) if counts else last
+                out.append(int(value) if counts else 0)
+            yield pd.DataFrame({"symbol": key[0], "seq": pdf["seq"], "signal_value": out})
+        state.update((last,))
+
+    kind = "symbol string, seq long, signal_value int"
+    return signals.select("symbol", "seq", "signal_value").groupBy("symbol").applyInPandasWithState(step, kind, "last long", "append", GroupStateTimeout.NoTimeout)
