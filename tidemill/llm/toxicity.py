@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest as hash_of
 
-from tidemill.llm.common import sampled, written
+from tidemill.llm.common import byte_column, sampled, written
+from tidemill.llm.near_dedup import shingle_sets
 
 BEGINNINGS = (3, 4, 5, 6, 7)
 TIMES = 3
@@ -231,23 +231,20 @@ def _words(text: str | None) -> list[str]:
     return _word.findall((text or "").lower())
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    """docs (k, y, t) without near copies: of the documents of a label with the same least hash over runs of three words, one with
-    the smallest key stays."""
+def _once(docs: DataFrame, per_key: DataFrame) -> DataFrame:
+    """(k, y, t): the labelled rows of docs (k, t) without near copies: of the documents of a label with the same least hash over
+    runs of five words, the one with the smallest key. Only keys and hashes meet to choose them; texts are shuffled once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(2):
-                w = np.array([hash_of(x) for x in _words(t.as_py())], np.uint64)
-                runs = w[:-2] * np.uint64(0x9E3779B97F4A7C15) + w[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + w[2:] * np.uint64(0x165667B19E3779F9) if len(w) > 2 else w
-                out.append(int(((runs ^ (runs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min()) if len(runs) else 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(out, np.uint64).view(np.int64))], ["k", "y", "t", "sketch"])
+            least = [int(x[0]) if len(x) else 0 for x in shingle_sets(*byte_column(b.column(2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(least, np.uint64).view(np.int64))], ["k", "h", "sketch"])
 
     kind = docs.schema["k"].dataType.simpleString()
-    marked = written(docs.mapInArrow(run, f"k {kind}, y int, t string, sketch long").withColumn("h", F.xxhash64("t")))
-    chosen = marked.groupBy("y", "sketch").agg(F.min(F.struct("k", "h")).alias("c")).select("y", "sketch", "c.k", "c.h")
-    return written(marked.join(chosen, ["y", "sketch", "k", "h"]).dropDuplicates(["y", "sketch"]).select("k", "y", "t"))
+    hashed = docs.select("k", F.xxhash64("t").alias("h"), "t")
+    sketched = hashed.mapInArrow(run, f"k {kind}, h long, sketch long").join(per_key, "k")
+    chosen = written(sketched.groupBy("y", "sketch").agg(F.min(F.struct("k", "h")).alias("c")).select("y", "c.k", "c.h"))
+    return written(hashed.join(chosen, ["k", "h"]).dropDuplicates(["k", "h"]).select("k", "y", "t"))
 
 
 def markers(docs: DataFrame, most: int = 20_000) -> dict[str, int]:
@@ -297,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     label, or null, and those that docs lacks teach nothing; of several labels of a key the largest counts. Without documents
     of both labels every score is low."""
     per_key = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")).where("y in (0, 1)")
-    known = _once(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(per_key, "k").select("k", "y", "t"))
+    known = _once(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")), per_key)
     marks = markers(known)
     if not marks:
         return Crf()
@@ -328,7 +325,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     windows = sampled(found.where("w <> ''"), "w", most_windows).collect()
     blanks = {r["n"]: r["c"] for r in found.where("w = ''").groupBy("n").agg(F.sum("c").alias("c")).collect()}
     model = train([(r["words"], r["at"], r["y"], r["n"]) for r in windows], blanks, marks)
-    got = tag(sample, model, "t", ("k", "y")).select("y", "sums").orderBy("y", "sums").collect()  # a few numbers by sampled document
+    got = tag(sample, model, "t", ("k", "y")).select("y", "sums").collect()  # a few numbers by sampled document
+    got.sort()
     y = np.array([r["y"] for r in got], float)
     weight = np.array([total[int(v)] / (y == v).sum() for v in y])
     model.curve = curve(np.array([r["sums"] for r in got]), y, weight * len(y) / weight.sum())
