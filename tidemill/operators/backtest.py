@@ -84,30 +84,29 @@ class LedgerConfig:
     short: bool = True
 
 
-def step(state: dict, price: float, signal: int, cfg: LedgerConfig) -> dict | None:
-    """The state after a bar; returns the trade that the bar closes, if any, its profit without commission. A bar that passes a stop or
-    target ignores its signal. The commission of a closing trade is charged on its signed value, so that closing a short earns it."""
+def step(state: dict, price: float, signal: int, cfg: LedgerConfig) -> float | None:
+    """The state (cash, signed position, entry price) after a bar; returns the profit of the trade that the bar closes, without
+    commission, if any. A bar that passes a stop or target ignores its signal. The commission of a closing trade is charged on its signed
+    value, so that closing a short earns it; an order takes a share of the cash, also of negative cash."""
     closed = None
 
-    def close() -> dict:
-        side, size, entry = state["side"], state["size"], state["entry"]
-        pnl = side * size * (price - entry)
-        state.update(cash=state["cash"] + pnl - cfg.commission * side * size * price, side=0, size=0.0)
-        return {"side": side, "entry_price": entry, "exit_price": price, "pnl": pnl}
+    def close() -> float:
+        pnl = state["position"] * (price - state["entry"])
+        state.update(cash=state["cash"] + state["position"] * price * (1 - cfg.commission), position=0.0)
+        return pnl
 
-    def opened(side: int) -> None:
-        size = state["cash"] * cfg.share / price
-        state.update(side=side, size=size, entry=price, cash=state["cash"] - cfg.commission * size * price)
-
-    if state["side"]:
-        gain = state["side"] * (price / state["entry"] - 1)
+    side = np.sign(state["position"])
+    if side:
+        gain = side * (price - state["entry"]) / state["entry"]
         if cfg.stop_loss is not None and gain < -cfg.stop_loss or cfg.take_profit is not None and gain > cfg.take_profit:
             return close()
-    if signal and np.sign(signal) != state["side"]:
-        if state["side"]:
+    order = np.sign(signal)
+    if order and order != side:
+        if side:
             closed = close()
-        if signal > 0 or cfg.short:
-            opened(int(np.sign(signal)))
+        if order > 0 or cfg.short:
+            value = state["cash"] * cfg.share
+            state.update(position=order * value / price, entry=price, cash=state["cash"] - order * value - cfg.commission * value)
     return closed
 
 
@@ -124,13 +123,12 @@ def ledger(b: DataFrame, runs: dict[str, LedgerConfig], signal: str = "signal_va
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf.sort_values("ts")
         cfg = LedgerConfig(**known[g["run_id"].iloc[0]])
-        state = {"cash": cfg.capital, "side": 0, "size": 0.0, "entry": 0.0}
+        state = {"cash": cfg.capital, "position": 0.0, "entry": 0.0}
         equity, side, pnl = [], [], []
         for price, s in zip(g["close"], g[signal], strict=True):
-            equity.append(state["cash"] + state["side"] * state["size"] * (price - state["entry"]) if price == price else (equity[-1] if equity else cfg.capital))
-            trade = step(state, price, int(s), cfg) if price == price and price > 0 else None
-            side.append(state["side"])
-            pnl.append(trade["pnl"] if trade else None)
+            equity.append(state["cash"] + state["position"] * price if price == price else (equity[-1] if equity else cfg.capital))
+            pnl.append(step(state, price, int(s), cfg) if price == price and price > 0 else None)
+            side.append(int(np.sign(state["position"])))
         return pd.DataFrame({"run_id": g["run_id"], "symbol": g["symbol"], "ts": g["ts"], "equity": equity, "side": np.array(side, np.int32), "trade_pnl": pd.array(pnl, dtype="Float64")})
 
     runs_col = F.explode(F.array(*[F.lit(k) for k in sorted(known)]))
@@ -210,12 +208,17 @@ def walk_forward(b: DataFrame, signal_func: Callable[[DataFrame], DataFrame], ba
     return out.withColumn("_k", key).select("_k.symbol", "_k.window_id", "_k.split", *[x for x in out.columns if x != "symbol"])
 
 
+def drawn(*parts: Column | str) -> Column:
+    """A number of 32 bits for the parts: the same wherever and whenever it is drawn."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c(x).cast("string") for x in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def bootstrap(t: DataFrame, sims: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """H8: resamples of trade profits with replacement, per symbol; seeded, so a rerun gives the same. The draws are rows: sims times
     trades of the symbol, joined to the trades by number."""
     w = Window.partitionBy("symbol").orderBy("entry_ts")
     numbered = t.select("symbol", "pnl", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
-    draws = numbered.select("symbol", "n", "i", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim")).withColumn("j", (F.pmod(F.xxhash64("symbol", "sim", "i", F.lit(seed)), c("n")) + 1).cast("int"))
+    draws = numbered.select("symbol", "n", "i", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim")).withColumn("j", (drawn("symbol", "sim", "i", F.lit(seed)) % c("n") + 1).cast("int"))
     sums = draws.join(numbered.select("symbol", F.col("i").alias("j"), "pnl"), ["symbol", "j"]).groupBy("symbol", "sim").agg(F.sum("pnl").alias("total"))
     a = (1 - level) / 2
     return sums.groupBy("symbol").agg(F.avg("total").alias("mean"), F.stddev_samp("total").alias("std"), F.percentile("total", a).alias("low"), F.percentile("total", 1 - a).alias("high"), F.avg((c("total") <= 0).cast("double")).alias("p_value")).withColumn("significant", c("p_value") < 1 - level)
@@ -224,7 +227,7 @@ def bootstrap(t: DataFrame, sims: int = 1000, level: float = 0.95, seed: int = 4
 def shuffle_test(t: DataFrame, sims: int = 100, seed: int = 42) -> DataFrame:
     """H9: drawdown of the trades in their order against shuffled orders."""
     plain = Window.partitionBy("symbol").orderBy("entry_ts").rowsBetween(Window.unboundedPreceding, 0)
-    mixed = Window.partitionBy("symbol", "sim").orderBy(F.xxhash64("symbol", "sim", "entry_ts", F.lit(seed))).rowsBetween(Window.unboundedPreceding, 0)
+    mixed = Window.partitionBy("symbol", "sim").orderBy(drawn("symbol", "sim", F.unix_timestamp("entry_ts"), F.lit(seed)), "entry_ts").rowsBetween(Window.unboundedPreceding, 0)
 
     def fall(df: DataFrame, w, keys: list[str]) -> DataFrame:
         run = df.withColumn("_s", F.sum("pnl").over(w))
@@ -232,7 +235,7 @@ def shuffle_test(t: DataFrame, sims: int = 100, seed: int = 42) -> DataFrame:
 
     own = fall(t, plain, ["symbol"]).withColumnRenamed("fall", "actual")
     many = fall(t.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))), mixed, ["symbol", "sim"])
-    return many.join(own, "symbol").groupBy("symbol").agg(F.first("actual").alias("actual"), F.avg("fall").alias("mean_shuffled"), F.avg((c("fall") <= c("actual")).cast("double")).alias("share_worse"))
+    return many.join(own, "symbol").groupBy("symbol").agg(F.first("actual").alias("actual"), F.avg("fall").alias("mean_shuffled"), F.avg((F.round("fall", 6) <= F.round("actual", 6)).cast("double")).alias("share_worse"))
 
 
 def compare(runs: dict[str, DataFrame]) -> DataFrame:

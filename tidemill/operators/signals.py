@@ -44,7 +44,7 @@ def scored(b: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
     b = b.withColumn("_s", F.round(base, 9))
     amplified = c("_s") + F.when(F.coalesce(c("volume_ratio") > 1.5, F.lit(False)), F.when(c("_s") > 0.5, 0.05).when(c("_s") < 0.5, -0.05).otherwise(0.0)).otherwise(0.0)
     b = b.withColumns({"technical_score": F.round(F.least(F.greatest(amplified, F.lit(0.0)), F.lit(1.0)), 9), "_ml": ml, "_mood": mood})
-    b = b.withColumn("combined", F.round(cfg.ml_weight * c("_ml") + cfg.sentiment_weight * (c("_mood") + 1) / 2 + cfg.technical_weight * c("technical_score"), 9))
+    b = b.withColumn("combined", cfg.ml_weight * c("_ml") + cfg.sentiment_weight * (c("_mood") + 1) / 2 + cfg.technical_weight * c("technical_score"))
     side = lambda x: F.when(c(x) > 0.5, 1).otherwise(-1)
     agree = F.abs(side("_ml") + F.signum("_mood") + side("technical_score")) / 3.0
     calm = F.greatest(F.lit(0.0), 1 - 20 * F.try_divide(c("atr_sma"), c("close")))

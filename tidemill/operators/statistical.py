@@ -52,6 +52,13 @@ def ratios(b: DataFrame) -> DataFrame:
     return b.drop("_neg")
 
 
+def extremes(b: DataFrame) -> DataFrame:
+    """Z-scores of the close and whether they lie beyond 2 on either side."""
+    b = b.withColumns({f"zscore_{n}": (c("close") - full("close", n)) / (full("close", n, F.stddev_samp) + EPS) for n in (10, 20, 50)})
+    return b.withColumns({f"zscore_{n}_extreme_{s}": F.coalesce(x, F.lit(False)).cast("int") for n in (10, 20, 50) for s, x in (("high", c(f"zscore_{n}") > 2), ("low", c(f"zscore_{n}") < -2))})
+
+
+EXTREMES = [*[f"zscore_{n}" for n in (10, 20, 50)], *[f"zscore_{n}_extreme_{s}" for n in (10, 20, 50) for s in ("high", "low")]]
 RATIOS = [*[f"{x}_{n}" for n in (10, 20, 50) for x in ("zscore_eps", "volume_zscore")], *[f"{x}_{n}" for n in (20, 50) for x in ("sharpe_ratio", "sortino_ratio", "rolling_max_drawdown")], "return_percentile_20", "calmar_ratio_50"]
 
 

@@ -536,8 +536,8 @@ def _signal_stages(trend: bool = False, volume: bool = False) -> list[str]:
         stage("n1", "x2", closes=f"list(close) {over('all')}"), stage("n2", "n1", macd=f"{_ew('closes', 12)} - {_ew('closes', 26)}"), stage("n3", "n2", macds=f"list(macd) {over('all')}"), stage("n4", "n3", macd_hist=f"macd - {_ew('macds', 9)}"),
         stage("x3", "n4", s0=f"round(0.5::DOUBLE + {score}, 9)"),
         stage("x4", "x3", technical_score="round(least(greatest(s0 + CASE WHEN vr > 1.5 THEN 0.05::DOUBLE * sign(s0 - 0.5) ELSE 0 END, 0), 1), 9)"),
-        # without model and news: both neutral, so they add 0.5 * 0.5 and 0.2 * 0.5, and vote -1 and 0
-        stage("x5", "x4", combined="round(0.35::DOUBLE + 0.3::DOUBLE * technical_score, 9)", four="abs(technical_score - 0.5) * 2 + CASE WHEN technical_score > 0.5 THEN 0 ELSE 2 END / 3.0::DOUBLE"),
+        stage("x4b", "x4", ml="coalesce(stoch_k / 100, 0.5)", mood="coalesce(least(greatest(10 * r, -1), 1), 0)"),
+        stage("x5", "x4b", combined="0.5 * ml + 0.2::DOUBLE * (mood + 1) / 2 + 0.3::DOUBLE * technical_score", four="abs(ml - 0.5) * 2 + abs(mood) + abs(technical_score - 0.5) * 2 + abs(CASE WHEN ml > 0.5 THEN 1 ELSE -1 END + sign(mood) + CASE WHEN technical_score > 0.5 THEN 1 ELSE -1 END) / 3.0::DOUBLE"),
         stage("x6", "x5", confidence="CASE WHEN atr_sma IS NULL THEN four / 4 ELSE (four + greatest(0, 1 - 20 * atr_sma / nullif(close, 0))) / 5 END"),
         stage("x6b", "x6", signal_value=level),
         stage("x7", "x6b", stop_loss="CASE WHEN signal_value > 0 THEN greatest(close - 2 * atr_sma, lo20 * 0.99::DOUBLE) WHEN signal_value < 0 THEN least(close + 2 * atr_sma, hi20 * 1.01::DOUBLE) END", take_profit="CASE WHEN signal_value > 0 THEN close + 4 * atr_sma WHEN signal_value < 0 THEN close - 4 * atr_sma END"),
@@ -550,8 +550,14 @@ _sg = [*_inputs, *_signal_stages()]
 _SIGNALS = ["technical_score", "combined", "confidence", "signal_value", "stop_loss", "take_profit", "risk_reward_ratio"]
 
 
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """The panel with scores; the stochastic stands for a model's probability and the last return for the news."""
+    b = G.prepared(based(spark, d)).withColumns({"ml_probability": F.col("stoch_k") / 100, "sentiment": F.least(F.greatest(10 * F.col("r"), F.lit(-1.0)), F.lit(1.0))})
+    return G.scored(b)
+
+
 def signalled(spark: SparkSession, d: str) -> DataFrame:
-    return G.levelled(G.scored(G.prepared(based(spark, d))))
+    return G.levelled(judged(spark, d))
 
 
 @register("signals", sql(_sg, _SIGNALS, "x8", 5, ints=("signal_value",)))
@@ -561,8 +567,7 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 @register("confirmed_signals", sql([*_inputs, *_signal_stages(True, True)], _SIGNALS, "x8", 5, ints=("signal_value",)))
 def confirmed_signals(spark: SparkSession, d: str) -> DataFrame:
-    b = G.scored(G.prepared(based(spark, d)))
-    return shown(G.levelled(b, G.SignalConfig(confirm_trend=True, confirm_volume=True)), _SIGNALS, 5)
+    return shown(G.levelled(judged(spark, d), G.SignalConfig(confirm_trend=True, confirm_volume=True)), _SIGNALS, 5)
 
 
 _head = f"WITH {', '.join([BASE, *_sg])}"
@@ -662,20 +667,18 @@ def wf_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.walk_forward_summary(walked(spark, d)), 5)
 
 
-@register("ledger_runs")
-def ledger_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = {"plain": P.LedgerConfig(stop_loss=None, take_profit=None), "tight": P.LedgerConfig(stop_loss=0.05, take_profit=0.1), "long_only": P.LedgerConfig(short=False)}
-    return rounded(P.ledger(signalled(spark, d), runs), 4)
+_TRADES = f"{_tr}, tn AS (SELECT symbol, min(ts) AS entry_ts, row_number() OVER (PARTITION BY symbol ORDER BY min(ts)) AS i, count(*) OVER (PARTITION BY symbol) AS n, arg_min(position, ts) * (arg_max(coalesce(nx, close), ts) - arg_min(close, ts)) AS pnl FROM mk WHERE position <> 0 GROUP BY symbol, t)"
+_drawn = lambda *x: "CAST('0x' || substr(md5(" + " || '|' || ".join(x) + "), 1, 8) AS BIGINT)"
 
 
-@register("bootstrap")
+@register("bootstrap", f"{_TRADES}, dr AS (SELECT symbol, sim, {_drawn('symbol', 'sim', 'i', '42')} % n + 1 AS j FROM tn, (SELECT unnest(range(1, 1001)) AS sim)), su AS (SELECT dr.symbol, sim, sum(pnl) AS total FROM dr JOIN tn ON tn.symbol = dr.symbol AND tn.i = dr.j GROUP BY 1, 2) SELECT symbol, {_r('avg(total)', 'mean', 3)}, {_r('stddev_samp(total)', 'std', 3)}, {_r('quantile_cont(total, 0.025)', 'low', 3)}, {_r('quantile_cont(total, 0.975)', 'high', 3)}, {_r('avg(CAST(total <= 0 AS DOUBLE))', 'p_value', 3)}, avg(CAST(total <= 0 AS DOUBLE)) < 0.05 AS significant FROM su GROUP BY symbol")
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.bootstrap(P.trades(pathed(spark, d))), 4)
+    return rounded(P.bootstrap(P.trades(pathed(spark, d))), 3)
 
 
-@register("shuffle_test")
+@register("shuffle_test", f"{_TRADES}, sm AS (SELECT symbol, sim, pnl, entry_ts, {_drawn('symbol', 'sim', 'CAST(epoch(entry_ts) AS BIGINT)', '42')} AS o FROM tn, (SELECT unnest(range(1, 501)) AS sim)), pk AS (SELECT symbol, sim, entry_ts, o, sum(pnl) OVER w AS s FROM sm WINDOW w AS (PARTITION BY symbol, sim ORDER BY o, entry_ts)), fa AS (SELECT symbol, sim, min(s - greatest(m, 0)) AS fall FROM (SELECT *, max(s) OVER (PARTITION BY symbol, sim ORDER BY o, entry_ts) AS m FROM pk) GROUP BY 1, 2), ac AS (SELECT symbol, min(s - greatest(m, 0)) AS actual FROM (SELECT *, max(s) OVER (PARTITION BY symbol ORDER BY entry_ts) AS m FROM (SELECT symbol, entry_ts, sum(pnl) OVER (PARTITION BY symbol ORDER BY entry_ts) AS s FROM tn)) GROUP BY 1) SELECT fa.symbol, {_r('any_value(actual)', 'actual', 3)}, {_r('avg(fall)', 'mean_shuffled', 3)}, {_r('avg(CAST(round(fall, 6) <= round(actual, 6) AS DOUBLE))', 'share_worse', 3)} FROM fa JOIN ac ON ac.symbol = fa.symbol GROUP BY fa.symbol")
 def shuffle_test(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.shuffle_test(P.trades(pathed(spark, d)), 500), 4)
+    return rounded(P.shuffle_test(P.trades(pathed(spark, d)), 500), 3)
 
 
 # ---------------------------------------------------------------- text and alternative data
@@ -929,7 +932,10 @@ def box_dimension(spark: SparkSession, d: str) -> DataFrame:
     return shown(S.box_dimension(based(spark, d)), ["fractal_dimension"])
 
 
-@register("compare_runs")
+_CMP = f"{_head.replace('WITH ', 'WITH RECURSIVE ', 1)}{_hold}, rn AS (SELECT 'signals' AS strategy, symbol, ts, close, sign(signal_value) AS s FROM x8 UNION ALL SELECT 'inverse', symbol, ts, close, -sign(signal_value) FROM x8 UNION ALL SELECT 'held', x8.symbol, x8.ts, close, CASE WHEN walk.kept THEN sign(signal_value) ELSE 0 END FROM x8 LEFT JOIN walk ON walk.symbol = x8.symbol AND walk.seq = x8.seq), ra AS (SELECT *, coalesce(last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position, close / nullif(lag(close) OVER w, 0) - 1 AS r2 FROM rn WINDOW w AS (PARTITION BY strategy, symbol ORDER BY ts)), rb AS (SELECT strategy, ts, greatest(coalesce(coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY ts), 0) * r2, 0), -0.99::DOUBLE) AS sr FROM ra), rc2 AS (SELECT strategy, ts, avg(sr) AS sr FROM rb GROUP BY 1, 2), rd AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY strategy ORDER BY ts)) AS e FROM rc2), re AS (SELECT *, e / max(e) OVER (PARTITION BY strategy ORDER BY ts) - 1 AS dd FROM rd), rf AS (SELECT strategy, count(*) AS bars, arg_max(e, ts) / arg_min(e, ts) - 1 AS t, avg(sr) AS m, stddev_samp(sr) AS sd, stddev_samp(CASE WHEN sr < 0 THEN sr END) AS nd, min(dd) AS dd FROM re GROUP BY 1) SELECT strategy, bars, round(t, 4) AS total_return, round(t * 252 / bars, 4) AS annual_return, round(m / nullif(sd, 0) * sqrt(252), 4) AS sharpe, round(m / nullif(nd, 0) * sqrt(252), 4) AS sortino, round(dd, 4) AS max_drawdown, round(sd * sqrt(252), 4) AS volatility FROM rf"
+
+
+@register("compare_runs", _CMP)
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
     b = signalled(spark, d).select("symbol", "ts", "seq", "close", "signal_value")
     return P.compare({"signals": P.position_path(b), "inverse": P.position_path(b.withColumn("signal_value", -F.col("signal_value"))), "held": P.position_path(G.minimum_hold(b, 5, "signal_value"))})
@@ -947,3 +953,6 @@ def long_doc_sentiment(spark: SparkSession, d: str) -> DataFrame:
 def wf_slices(spark: SparkSession, d: str) -> DataFrame:
     p = pathed(spark, d).withColumn("seq", F.row_number().over(B_SERIES()))
     return rounded(P.slice_metrics(P.slices(p, 126, 42)), 5)
+
+
+from tidemill import queries_more  # noqa: E402, F401
