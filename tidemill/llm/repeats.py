@@ -220,9 +220,28 @@ def _dictionary(phrases: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _MARKS)
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """(doc, m: array of start, runs) from (doc, start, runs): neighbours are one span before the spans of a document meet, so that their
+    number follows the passages and not the bytes of a document; a long document's spans are merged by stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, s, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy()
+            if not len(d):
+                continue
+            base = np.cumsum(np.r_[False, d[1:] != d[:-1]]).astype(np.int64) << 40
+            until = np.maximum.accumulate(s + n + base)
+            head = np.flatnonzero(np.r_[True, (s + base)[1:] > until[:-1]])
+            end = until[np.r_[head[1:], len(d)] - 1] - base[head]
+            yield from _rows([d[head], s[head].astype(np.int32), (end - s[head]).astype(np.int32)], ["doc", "start", "runs"])
+
+    dealt = spans.select("doc", "start", "runs").withColumn("part", F.shiftright("start", 20)).repartition("doc", "part").sortWithinPartitions("doc", "start")
+    return dealt.select("doc", "start", "runs").mapInArrow(run, "doc long, start int, runs int").groupBy("doc").agg(F.collect_list(F.struct("start", "runs")).alias("m"))
+
+
 def _suffixes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(w1, w2, doc, start, kind) for every suffix of the phrases to check, cut to LENGTH bytes; the task's own repeats are marked."""
-    listed = marks.where(F.col("kind") == CHECK).groupBy("doc").agg(F.collect_list(F.struct("start", "runs")).alias("m"))
+    listed = _merged(marks.where(F.col("kind") == CHECK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, SUFFIXES):
@@ -289,7 +308,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
     marks = written(_dictionary(_phrases(plain)))
     ranked = written(_ranked(_suffixes(plain, marks)))
     spans = marks.where(F.col("kind") == REPEAT).select("doc", "start", "runs").union(ranked.select("doc", "start", "runs"))
-    listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "runs")).alias("m"))
+    listed = _merged(spans)
     extra = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
