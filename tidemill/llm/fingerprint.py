@@ -89,7 +89,7 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_
     before = spark.createDataFrame([(h["k"], heads[i - 1]["s"]) for i, h in enumerate(heads)], "k long, before int")
     both = F.explode(F.array_compact(F.array(F.struct("s", F.lit(0).alias("other")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("s"), F.lit(1).alias("other"))))))
     sent = sliced.join(F.broadcast(before), "k", "left").select(both.alias("e"), "k", "key", "t").select("e.s", "e.other", "key", "t")
-    dealt = sent.repartition(len(cuts) - 1, "s").sortWithinPartitions("s", "other", F.asc_nulls_first("key"), "t")
+    dealt = sent.repartitionById(len(cuts) - 1, F.col("s")).sortWithinPartitions("s", "other", F.asc_nulls_first("key"), "t")
     schema = "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
