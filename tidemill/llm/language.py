@@ -127,7 +127,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([v for _, v in got], pa.binary())], ["lang", "v"])
 
     sample = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    rows = sampled(sample, "k", train_rows).select("t", "l").mapInArrow(vectors, "lang string, v binary").collect()
+    keys = sampled(sample.select("k").distinct(), "k", train_rows)  # at most train_rows keys; only their texts are turned into vectors
+    rows = sample.join(F.broadcast(keys), "k").select("t", "l").mapInArrow(vectors, "lang string, v binary").collect()
+    rows.sort()
     model = Model()
     if not rows:
         return model
