@@ -851,7 +851,7 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     b = technical.derived(technical.momentum(based(spark, d)))
     names = ["rsi_sma", "stoch_k", "willr", "mfi", "returns_1d", "returns_5d", "returns_20d", "volatility_20d"]
     ready = b.withColumn("target", (F.lead("close").over(B_SERIES()) > F.col("close")).cast("int")).select("symbol", "ts", "seq", "target", *names).where("target is not null").na.fill(0)
-    out, _ = E.stacked(ready, names)
+    out, _ = E.stacked(ready, names, n_folds=3)
     return rounded(E.classification_metrics(out.where("not is_train"), keys=("symbol",)))
 
 
