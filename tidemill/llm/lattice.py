@@ -18,10 +18,10 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import connected, written
+from tidemill.llm.common import connected, key_join, written
 
 LEAST = 0.93
 TABLES = 14
@@ -88,6 +88,7 @@ def cells(unit: np.ndarray) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)  # so that no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -187,9 +188,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     Only rows with equal labels that are not null are compared. Vectors that are null, empty, zero, or hold null or non-finite components are linked
     with nothing; of vectors of other lengths than the first by key, each length is compared within itself. Keys are unique
-    integers; rows with a null key are left out, and of rows with equal keys one stays.
+    integers; rows with a null key are left out, and of rows with equal keys the one of least hash stays.
     """
-    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["id"])
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    ids = rows.agg(F.count("id").alias("n"), F.countDistinct("id").alias("d")).first()
+    if ids["n"] != ids["d"]:
+        rows = written(rows.groupBy("id").agg(F.min_by(F.struct("label", "v"), F.xxhash64("label", "v")).alias("r")).select("id", "r.label", "r.v"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     # the length of a vector is part of its label
     good = rows.where(F.coalesce(fine, F.lit(False))).withColumn("label", F.xxhash64("label", F.size("v")))
@@ -198,9 +202,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     found = None
     for n in lengths:  # almost always one
         own = classes.where(F.size("v") == n)
-        keyed = _keys(own)
-        w = Window.partitionBy("key", "at")
-        crowd = keyed.withColumn("c", F.count("*").over(w)).withColumn("h", F.max("home").over(w)).where("c > 1 and h").drop("h")
+        keyed = written(_keys(own).withColumn("cell", F.struct("key", "at")))
+        sizes = written(keyed.groupBy("cell").agg(F.count("*").alias("c"), F.max("home").alias("h")).where("c > 1 and h").drop("h"))
+        crowd = key_join(keyed, sizes, "cell", "c", sizes.agg(F.sum("c")).first()[0] or 0).drop("cell")
         part = _links(crowd.join(own, "id"), least)
         found = part if found is None else found.union(part)
     named = rows.select("id", "label", "v")
