@@ -80,26 +80,27 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", notices: dict
     if not sizes:
         return docs.where("false").select(key, F.lit(0).alias("line"), F.lit(0).alias("last_line"), F.lit("").alias("licence"), F.lit(0.0).alias("dice"))
     lines = F.split(F.col("t"), "\n")
-    units = written(
+    kept = written(
         docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
         .where(holds(F.col("t")))
         .withColumn("h", F.xxhash64("t"))
         .select("k", "h", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("t"), lines)).otherwise(F.array(F.lit(None).cast("string"), F.col("t")))).alias("line", "unit"))
-        .where(F.col("unit").isNotNull())
-        .withColumn("w", F.split(F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")), " "))
-        .where(F.size("w") > 1)
-        .select("k", "h", "line", "w", pairs_of("w").alias("p"))
+        .select("k", "h", "line", F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")).alias("unit"))
+        .where(F.contains("unit", F.lit(" ")))
     )
+    units = kept.withColumn("w", F.split("unit", " ")).withColumn("p", pairs_of("w"))
     fits = (F.size("p") >= lo * sizes[0] - 1e-9) & (F.size("p") <= hi * sizes[-1] + 1e-9)
     alone = units.where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in words])) & fits).select("k", "h", "line", F.col("line").alias("last"), F.lit(None).cast("string").alias("of"), F.size("p").alias("n"), "p")
     # the lines that share pairs with a licence's notices, and the passages that they form
     by_pair = known.groupBy("pair").agg(F.collect_set("licence").alias("of"))
-    hits = units.where("line > 0").select("k", "h", "line", "w", F.explode("p").alias("pair")).join(F.broadcast(by_pair), "pair")  # as many rows as the notices have pairs
-    hits = hits.select("k", "h", "line", "w", "pair", F.explode("of").alias("of")).groupBy("k", "h", "of", "line").agg(F.countDistinct("pair").alias("c"), F.first("w").alias("w")).where(F.col("c") >= SHARED)
+    hits = units.where("line > 0").select("k", "h", "line", F.explode("p").alias("pair")).join(F.broadcast(by_pair), "pair")  # as many rows as the notices have pairs
+    hits = hits.select("k", "h", "line", "pair", F.explode("of").alias("of")).groupBy("k", "h", "of", "line").agg(F.countDistinct("pair").alias("c")).where(F.col("c") >= SHARED).drop("c")
     by_doc = Window.partitionBy("k", "h", "of").orderBy("line")
     begins = F.coalesce(F.col("line") - F.lag("line").over(by_doc) > GAP + 1, F.lit(True)).cast("int")
-    passages = hits.withColumn("b", begins).withColumn("i", F.sum("b").over(by_doc)).groupBy("k", "h", "of", "i").agg(F.min("line").alias("line"), F.max("line").alias("last"), F.array_sort(F.collect_list(F.struct("line", "w"))).alias("l")).where("last > line")
-    passages = passages.withColumn("w", F.flatten(F.col("l")["w"])).withColumn("p", pairs_of("w")).where(fits).select("k", "h", "line", "last", "of", F.size("p").alias("n"), "p")
+    inside = hits.withColumn("b", begins).withColumn("i", F.sum("b").over(by_doc)).withColumn("many", F.count("*").over(Window.partitionBy("k", "h", "of", "i"))).where("many > 1")
+    inside = inside.join(kept.where("line > 0").dropDuplicates(["k", "h", "line"]), ["k", "h", "line"])
+    passages = inside.groupBy("k", "h", "of", "i").agg(F.min("line").alias("line"), F.max("line").alias("last"), F.array_sort(F.collect_list(F.struct("line", "unit"))).alias("l"))
+    passages = passages.withColumn("w", F.split(F.concat_ws(" ", F.col("l")["unit"]), " ")).withColumn("p", pairs_of("w")).where(fits).select("k", "h", "line", "last", "of", F.size("p").alias("n"), "p")
     common = (
         alone.unionByName(passages)
         .select("k", "h", "line", "last", "of", "n", F.explode("p").alias("pair"))
