@@ -50,3 +50,16 @@ def test_near_duplicate_stage_from_80(spark):
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert got == {g * 10 + k for g in range(30) for k in (0, 7)}
     assert corpus_pipeline.near_dedup.near_duplicates(docs).where("kept").count() == 120
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, repeated and null ids, null columns and further columns with clashing names run through every stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, k long, v string, component_id long, kept boolean, position long"
+    more = (1, "x", 1, True, 1)
+    prose = " ".join(f"alpha{i} beta{i % 7} gamma{i % 11}" for i in range(150))
+    rows = [(1, prose, "en", "a", 9, *more), (1, prose, "en", "a", 9, *more), (1, "another text of letters", None, None, None, *more), (None, "no key here", "en", "a", 11, *more), (2, prose + " end", "en", None, 9, *more), (3, "", "en", "a", 0, *more), (4, None, None, None, None, *more), (5, "short text", "en", "b", 10, *more)]
+    for n, table in enumerate((rows, [])):
+        spark.createDataFrame(table, kind).write.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / f"{n}")).collect()
+        ids = [r["doc_id"] for r in got]
+        assert len(ids) == len(set(ids)) and set(ids) <= {None, 1, 2, 5} and (len(ids) >= 2 if table else not ids)

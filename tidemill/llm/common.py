@@ -89,19 +89,28 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps; every node only ever points to a smaller one, so the forest of pointers
     shrinks until each component is a star around its smallest node. Stars are built with grouped minima, which combine
-    before the shuffle, and go back to the edges by key_join, so a hub of any degree is no hot task. Each step is a written table.
+    before the shuffle. They go back to the edges by a join, to those of hubs (nodes with more than a SHARE-th of all ends, so fewer than
+    SHARE) by a broadcast: a hub of any degree is no hot task. Each step is a written table.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
     seen = None
     total = now.count()
+
+    def with_low(rows: DataFrame, low: DataFrame, hubs: list[int]) -> DataFrame:
+        if not hubs:
+            return rows.join(low, "x")
+        hub = F.col("x").isin(hubs)
+        return rows.where(~hub).join(low.where(~hub), "x").union(rows.where(hub).join(F.broadcast(low.where(hub)), "x"))
+
     for _ in range(rounds):
-        # large star: neighbours above a node point to the smallest of its neighbourhood
         both = now.union(now.select("y", "x"))
-        low = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("c")).select("x", F.least("x", "m").alias("m"), "c")
-        large = key_join(both.where("y > x"), low, "x", "c", 2 * total).select(F.col("y").alias("x"), F.col("m").alias("y"))
+        hubs = [r["x"] for r in both.groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") * SHARE > 2 * total).select("x").collect()]
+        # large star: neighbours above a node point to the smallest of its neighbourhood
+        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = with_low(both.where("y > x"), low, hubs).select(F.col("y").alias("x"), F.col("m").alias("y"))
         # small star: a node and its neighbours below point to the smallest of them
-        low = large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("c"))
-        small = key_join(large, low, "x", "c", total).select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
+        low = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = with_low(large, low, hubs).select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
         now = written(small.where("x <> y").distinct())
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
         if sign == seen:

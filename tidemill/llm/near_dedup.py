@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     pairs = written(_to_smallest(members, found["m"] or 0))
     sketched_pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     links = written(_verified(written(_likely(sketched_pairs, percent)), texts, percent))
-    comps = connected(links).withColumnRenamed("node", "id")
+    comps = written(connected(links).withColumnRenamed("node", "id"))
     tagged = written(members.drop("c").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component").join(reps.select("id", "n"), "id"))
     # of each bucket the largest component, and how many members and shingles lie in it and outside
     by_comp = tagged.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
@@ -352,8 +352,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     split = written(split.join(reps.select("id", "sketch"), "id"))
     unsure = written(_tiles(split, _open_members, ("key", "id"), percent))
     more = written(_tiles(split.join(unsure, ["key", "id"]).join(texts, "id"), _joined, ("a", "b"), percent))
-    final = connected(links.union(more)).withColumnRenamed("node", "rep")
-    named = written(classes.select(set_key, "c", "rep").join(final, "rep", "left").select("set", "c", F.coalesce("component", "rep").alias("component_id")))
+    # the second round's links join components of the first
+    ends = [comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+    between = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    last = written(connected(between).select(F.col("node").alias("first"), F.col("component").alias("component_id")))
+    firsts = written(classes.select(set_key, "c", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set", "c", F.coalesce("component", "rep").alias("first")))
+    named = written(firsts.join(last, "first", "left").select("set", "c", F.coalesce("component_id", "first").alias("component_id")))
     full = sketched.where("n_shingles > 0").select("id", "n_shingles", set_key)
     out = key_join(full, named, "set", "c", ids["d"]).select("id", "n_shingles", "component_id").union(sketched.where("n_shingles = 0").select("id", "n_shingles", "id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
