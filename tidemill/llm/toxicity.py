@@ -244,7 +244,7 @@ def _once(docs: DataFrame, per_key: DataFrame) -> DataFrame:
     hashed = docs.select("k", F.xxhash64("t").alias("h"), "t")
     sketched = hashed.mapInArrow(run, f"k {kind}, h long, sketch long").join(per_key, "k")
     chosen = written(sketched.groupBy("y", "sketch").agg(F.min(F.struct("k", "h")).alias("c")).select("y", "c.k", "c.h"))
-    return written(hashed.join(chosen, ["k", "h"]).dropDuplicates(["k", "h"]).select("k", "y", "t"))
+    return written(hashed.join(chosen.hint("merge"), ["k", "h"]).dropDuplicates(["k", "h"]).select("k", "y", "t"))
 
 
 def markers(docs: DataFrame, most: int = 20_000) -> dict[str, int]:
