@@ -932,13 +932,14 @@ def box_dimension(spark: SparkSession, d: str) -> DataFrame:
     return shown(S.box_dimension(based(spark, d)), ["fractal_dimension"])
 
 
-_CMP = f"{_head.replace('WITH ', 'WITH RECURSIVE ', 1)}{_hold}, rn AS (SELECT 'signals' AS strategy, symbol, ts, close, sign(signal_value) AS s FROM x8 UNION ALL SELECT 'inverse', symbol, ts, close, -sign(signal_value) FROM x8 UNION ALL SELECT 'held', x8.symbol, x8.ts, close, CASE WHEN walk.kept THEN sign(signal_value) ELSE 0 END FROM x8 LEFT JOIN walk ON walk.symbol = x8.symbol AND walk.seq = x8.seq), ra AS (SELECT *, coalesce(last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position, close / nullif(lag(close) OVER w, 0) - 1 AS r2 FROM rn WINDOW w AS (PARTITION BY strategy, symbol ORDER BY ts)), rb AS (SELECT strategy, ts, greatest(coalesce(coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY ts), 0) * r2, 0), -0.99::DOUBLE) AS sr FROM ra), rc2 AS (SELECT strategy, ts, avg(sr) AS sr FROM rb GROUP BY 1, 2), rd AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY strategy ORDER BY ts)) AS e FROM rc2), re AS (SELECT *, e / max(e) OVER (PARTITION BY strategy ORDER BY ts) - 1 AS dd FROM rd), rf AS (SELECT strategy, count(*) AS bars, arg_max(e, ts) / arg_min(e, ts) - 1 AS t, avg(sr) AS m, stddev_samp(sr) AS sd, stddev_samp(CASE WHEN sr < 0 THEN sr END) AS nd, min(dd) AS dd FROM re GROUP BY 1) SELECT strategy, bars, round(t, 4) AS total_return, round(t * 252 / bars, 4) AS annual_return, round(m / nullif(sd, 0) * sqrt(252), 4) AS sharpe, round(m / nullif(nd, 0) * sqrt(252), 4) AS sortino, round(dd, 4) AS max_drawdown, round(sd * sqrt(252), 4) AS volatility FROM rf"
+_CMP = f"{_head.replace('WITH ', 'WITH RECURSIVE ', 1)}{_hold}, rn AS (SELECT 'signals' AS strategy, symbol, ts, close, sign(signal_value) AS s FROM x8 UNION ALL SELECT 'inverse', symbol, ts, close, -sign(signal_value) FROM x8 UNION ALL SELECT 'held', x8.symbol, x8.ts, close, CASE WHEN walk.kept THEN sign(signal_value) ELSE 0 END FROM x8 LEFT JOIN walk ON walk.symbol = x8.symbol AND walk.seq = x8.seq), ra AS (SELECT *, coalesce(last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position, close / nullif(lag(close) OVER w, 0) - 1 AS r2 FROM rn WINDOW w AS (PARTITION BY strategy, symbol ORDER BY ts)), rb AS (SELECT strategy, ts, greatest(coalesce(coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY ts), 0) * r2, 0), -0.99::DOUBLE) AS sr FROM ra), rc2 AS (SELECT strategy, ts, avg(sr) AS sr FROM rb GROUP BY 1, 2), rd AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY strategy ORDER BY ts)) AS e FROM rc2), re AS (SELECT *, e / max(e) OVER (PARTITION BY strategy ORDER BY ts) - 1 AS dd FROM rd), rf AS (SELECT strategy, count(*) AS bars, arg_max(e, ts) / arg_min(e, ts) - 1 AS t, avg(sr) AS m, stddev_samp(sr) AS sd, stddev_samp(CASE WHEN sr < 0 THEN sr END) AS nd, min(dd) AS dd FROM re GROUP BY 1) SELECT strategy, bars, CAST(printf('%.6e', round(t, 4)) AS DOUBLE) AS total_return, CAST(printf('%.6e', round(t * 252 / bars, 4)) AS DOUBLE) AS annual_return, round(m / nullif(sd, 0) * sqrt(252), 4) AS sharpe, round(m / nullif(nd, 0) * sqrt(252), 4) AS sortino, round(dd, 4) AS max_drawdown, round(sd * sqrt(252), 4) AS volatility FROM rf"
 
 
 @register("compare_runs", _CMP)
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
     b = signalled(spark, d).select("symbol", "ts", "seq", "close", "signal_value")
-    return P.compare({"signals": P.position_path(b), "inverse": P.position_path(b.withColumn("signal_value", -F.col("signal_value"))), "held": P.position_path(G.minimum_hold(b, 5, "signal_value"))})
+    out = P.compare({"signals": P.position_path(b), "inverse": P.position_path(b.withColumn("signal_value", -F.col("signal_value"))), "held": P.position_path(G.minimum_hold(b, 5, "signal_value"))})
+    return out.withColumns({x: F.format_string("%.6e", x).cast("double") for x in ("total_return", "annual_return")})  # the test tables' prices compound beyond any digits
 
 
 _CHK = "ch AS (SELECT doc_id, i AS part, substr(text, CAST(i * 5000 + 1 AS BIGINT), 5000) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 5000.0) AS BIGINT), 1))) AS i FROM documents)), ct AS (SELECT doc_id, part, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, part, regexp_extract_all(lower(t), '[\\\\p{L}'']+') AS w FROM ch)), cn AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY doc_id, part ORDER BY pos) IN ('not', 'no', 'never'), false) AS neg FROM ct), cs AS (SELECT doc_id, part, sum(CASE WHEN neg THEN valence * -0.74::DOUBLE ELSE valence END) AS s FROM cn JOIN lex USING (word) GROUP BY 1, 2)".replace("\\\\", "\\")

@@ -253,10 +253,11 @@ _LED = f"""{_PATH.replace('WITH ', 'WITH RECURSIVE ', 1)}, runs(run_id, sl, tp,
         FROM wk w JOIN rw r ON r.run_id = w.run_id AND r.symbol = w.symbol AND r.i = w.i + 1) a) b) c)"""
 
 
-@register("ledger_runs", f"{_LED} SELECT run_id, symbol, ts, {_r('equity', 'equity', 3)}, CAST(sign(pos) AS INTEGER) AS side, {_r('trade_pnl', 'trade_pnl', 3)} FROM wk WHERE i > 0")
+@register("ledger_runs", f"{_LED} SELECT run_id, symbol, ts, CAST(printf('%.5e', equity) AS DOUBLE) AS equity, CAST(sign(pos) AS INTEGER) AS side, CAST(printf('%.5e', trade_pnl) AS DOUBLE) AS trade_pnl FROM wk WHERE i > 0")
 def ledger_runs(spark: SparkSession, d: str) -> DataFrame:
     runs = {"plain": P.LedgerConfig(stop_loss=None, take_profit=None), "tight": P.LedgerConfig(stop_loss=0.05, take_profit=0.1), "long_only": P.LedgerConfig(short=False)}
-    return rounded(P.ledger(signalled(spark, d), runs), 3)
+    out = P.ledger(signalled(spark, d), runs)
+    return out.withColumns({x: F.when(F.col(x).isNotNull(), F.format_string("%.5e", x).try_cast("double")) for x in ("equity", "trade_pnl")})
 
 
 # ---------------------------------------------------------------- learners
