@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, in folders by `parts`: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")  # what this write shuffles is not needed after it
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*parts).parquet(path)
     finally:
         spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
     return spark.read.schema(df.schema).parquet(path)
@@ -76,7 +76,7 @@ def byte_column(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
 SHARE = 1024
 
 
-def key_join(rows: DataFrame, per_key: DataFrame, on: str, size: str, total: int) -> DataFrame:
+def key_join(rows: DataFrame, per_key: DataFrame, on: str | list[str], size: str, total: int) -> DataFrame:
     """rows.join(per_key, on), where per_key has one row a key and in `size` how many of the `total` rows bear it. Keys that more than
     a SHARE-th of all rows bear, of which there are fewer than SHARE, are broadcast, so that no task gets all rows of a hot key."""
     hot = F.col(size) * SHARE > total

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, fingerprint, html_text, language, lattice, licences, mixing, near_dedup, repeats, toxicity
+from tidemill.llm import byte_bpe, fingerprint, html_text, language, lattice, licences, line_dedup, mixing, near_dedup, repeats, toxicity
 from tidemill.llm.common import fold, table
 
 
@@ -58,6 +58,11 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_near_dedup": op2_near_dedup,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_lattice": op10_lattice,
+    "op13_line_dedup": op13_line_dedup,
 }
-ORACLES: dict[str, str] = {"op1_licences": licences.scan_sql()}
+ORACLES: dict[str, str] = {"op1_licences": licences.scan_sql(), "op13_line_dedup": line_dedup.remove_lines_sql()}
