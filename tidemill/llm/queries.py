@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, fingerprint, html_text, language, lattice, licences, line_dedup, mixing, near_dedup, repeats, toxicity
+from tidemill.llm import byte_bpe, fingerprint, html_text, importance, language, lattice, licences, line_dedup, mixing, near_dedup, prefix_trie, repeats, toxicity
 from tidemill.llm.common import fold, table
 
 
@@ -58,6 +58,14 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_lattice": op10_lattice,
+    "op11_importance": op11_importance,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
 }
-ORACLES: dict[str, str] = {"op1_licences": licences.scan_sql(), "op13_line_dedup": line_dedup.remove_lines_sql()}
+ORACLES: dict[str, str] = {"op1_licences": licences.scan_sql(), "op11_importance": importance.resample_sql(), "op12_prefix_trie": prefix_trie.trie_sql(), "op13_line_dedup": line_dedup.remove_lines_sql()}
