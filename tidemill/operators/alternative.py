@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemill.operators.joins import asof
+from tidemill.operators.text import value_mood
 from tidemill.plans.windows import c, full, prev, win
 
 # Transaction codes of ownership reports.
-CODES = {"P": "Buy", "S": "Sell", "A": "Award", "D": "Disposition", "F": "Tax", "M": "Exercise", "G": "Gift", "C": "Conversion"}
+CODES = {"P": "Buy", "S": "Sell", "A": "Grant", "D": "Disposition", "F": "Tax Payment", "M": "Option Exercise", "C": "Conversion", "G": "Gift"}
 
 
 def trailing_days(key: str, day: str, days: int) -> WindowSpec:
@@ -18,25 +19,28 @@ def trailing_days(key: str, day: str, days: int) -> WindowSpec:
 
 
 def social_daily(posts: DataFrame, days: int = 7) -> DataFrame:
-    """A3 B1: per symbol and day, over the trailing days: mentions, sentiment (plain and weighted by ln(1 + score + 1)), bullish
-    share, trending, hype and the combined signal of the weighted sentiment. posts: symbol, day, score, sentiment."""
+    """A3 B1: per symbol and day, over the trailing days: mentions, sentiment (plain, weighted by ln(1 + score + 1), deviation), bullish
+    share, scores, comments, trending, hype and the combined signal of the weighted sentiment. posts: symbol, day, score, comments,
+    sentiment."""
     w = F.log1p(F.greatest(c("score"), F.lit(0)) + 1)
-    daily = posts.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.sum("sentiment").alias("s"), F.sum(c("sentiment") * w).alias("sw"), F.sum(w).alias("w"), F.count_if(c("sentiment") > 0.05).alias("b"), F.sum("score").alias("sc"))
+    daily = posts.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.sum("sentiment").alias("s"), F.sum(c("sentiment") * w).alias("sw"), F.sum(w).alias("w"), F.sum(c("sentiment") * c("sentiment")).alias("ss"), F.count_if(c("sentiment") > 0.05).alias("b"), F.sum("score").alias("sc"), F.sum("comments").alias("co"))
     t = trailing_days("symbol", "day", days)
-    out = daily.select("symbol", "day", *[F.sum(x).over(t).alias(x) for x in ("n", "s", "sw", "w", "b", "sc")])
-    out = out.select("symbol", "day", c("n").alias("mentions"), (c("s") / c("n")).alias("sentiment"), F.coalesce(F.try_divide("sw", "w"), F.lit(0.0)).alias("weighted"), (c("b") / c("n")).alias("bullish_ratio"), ((c("n") > 10) & (c("sc") / c("n") > 100)).cast("int").alias("trending"))
+    out = daily.select("symbol", "day", *[F.sum(x).over(t).alias(x) for x in ("n", "s", "sw", "w", "ss", "b", "sc", "co")])
+    spread = F.sqrt(F.greatest(c("ss") / c("n") - (c("s") / c("n")) * (c("s") / c("n")), F.lit(0.0)))
+    out = out.select("symbol", "day", c("n").alias("mentions"), (c("s") / c("n")).alias("sentiment"), F.coalesce(F.try_divide("sw", "w"), F.lit(0.0)).alias("weighted"), spread.alias("sentiment_std"), c("sc").alias("total_score"), (c("sc") / c("n")).alias("avg_score"), c("co").alias("total_comments"), (c("b") / c("n")).alias("bullish_ratio"), ((c("n") > 10) & (c("sc") / c("n") > 100)).cast("int").alias("trending"))
     hype = F.least(c("mentions") / 50.0, F.lit(1.0))
     return out.withColumns({"hype": hype, "social_signal": 0.5 * c("weighted") + 0.3 * (c("bullish_ratio") - 0.5) + 0.2 * hype})
 
 
 def insider_daily(tx: DataFrame, days: int = 90) -> DataFrame:
-    """Trailing counts, sentiment and executives' purchases less their sales of a symbol's insider transactions. tx: symbol, day, kind, value, executive."""
+    """Trailing counts, net value, sentiment by value and executives' purchases less their sales of a symbol's insider transactions.
+    tx: symbol, day, kind, value, executive."""
     buy, sell = c("kind") == "Buy", c("kind") == "Sell"
-    daily = tx.groupBy("symbol", "day").agg(F.count_if(buy).alias("b"), F.count_if(sell).alias("s"), F.sum(F.when(buy, c("value")).when(sell, -c("value")).otherwise(0.0)).alias("net"), (F.count_if(c("executive") & buy) - F.count_if(c("executive") & sell)).alias("e"))
+    daily = tx.groupBy("symbol", "day").agg(F.count_if(buy).alias("b"), F.count_if(sell).alias("s"), F.sum(F.when(buy, c("value")).otherwise(0.0)).alias("bv"), F.sum(F.when(sell, c("value")).otherwise(0.0)).alias("sv"), (F.count_if(c("executive") & buy) - F.count_if(c("executive") & sell)).alias("e"))
     t = trailing_days("symbol", "day", days)
-    out = daily.select("symbol", "day", F.sum("b").over(t).alias("insider_buys"), F.sum("s").over(t).alias("insider_sells"), F.sum("net").over(t).alias("insider_net_value"), F.sum("e").over(t).alias("executive_activity"))
-    mood = F.coalesce(F.try_divide(c("insider_buys") - c("insider_sells"), c("insider_buys") + c("insider_sells")), F.lit(0.0))
-    return out.withColumns({"insider_sentiment": mood, "insider_signal": F.least(F.greatest(mood, F.lit(-1.0)), F.lit(1.0))})
+    out = daily.select("symbol", "day", F.sum("b").over(t).alias("insider_buys"), F.sum("s").over(t).alias("insider_sells"), F.sum("bv").over(t).alias("_b"), F.sum("sv").over(t).alias("_s"), F.sum("e").over(t).alias("executive_activity"))
+    mood = value_mood(c("_b"), c("_s"))
+    return out.withColumns({"insider_net_value": c("_b") - c("_s"), "insider_sentiment": mood, "insider_signal": F.least(F.greatest(mood, F.lit(-1.0)), F.lit(1.0))}).drop("_b", "_s")
 
 
 def on_bars(bars: DataFrame, daily: DataFrame, columns: list[str]) -> DataFrame:

@@ -32,19 +32,25 @@ def with_equity(b: DataFrame, capital: float = 100_000.0) -> DataFrame:
     return b.withColumn("drawdown", c("equity") / c("peak") - 1)
 
 
+def ratios(r: Column) -> tuple[Column, Column]:
+    """Sharpe and Sortino ratio of returns by year, 0 where the deviation is 0 or unknown; nulls, such as the first bar's return, do
+    not count."""
+    ratio = lambda x: F.when(F.stddev_samp(x) > 0, F.avg(r) / F.stddev_samp(x) * YEAR).otherwise(0.0)
+    return ratio(r), ratio(F.when(r < 0, r))
+
+
 def performance(b: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """One row a run. b: keys, ts, equity, strategy_return, drawdown."""
+    """One row a run. b: keys, ts, equity, strategy_return, drawdown. The first bar has no return."""
     w = Window.partitionBy(*keys).orderBy("ts")
-    # islands of bars under water: the number of peaks so far names the island
-    under = b.withColumn("_i", F.sum(F.when(c("drawdown") < 0, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    longest = under.where(c("drawdown") < 0).groupBy(*keys, "_i").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("max_drawdown_bars"))
-    r = c("strategy_return")
-    out = b.groupBy(*keys).agg(
-        F.count("*").alias("bars"), (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("total_return"),
-        (F.try_divide(F.avg(r), F.stddev_samp(r)) * YEAR).alias("sharpe"), (F.try_divide(F.avg(r), F.stddev_samp(F.when(r < 0, r))) * YEAR).alias("sortino"),
-        F.min("drawdown").alias("max_drawdown"), (F.stddev_samp(r) * YEAR).alias("volatility"),
+    # islands of bars under water: the number of peaks so far names the island, the bars since the last peak are its length so far
+    under = b.withColumns({"_i": F.sum(F.when(c("drawdown") < 0, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.when(F.lag("ts").over(w).isNotNull(), c("strategy_return"))})
+    place = Window.partitionBy(*keys, "_i").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    under = under.withColumn("_n", F.sum(F.when(c("drawdown") < 0, 1).otherwise(0)).over(place))
+    sharpe, sortino = ratios(c("_r"))
+    out = under.groupBy(*keys).agg(
+        F.count("*").alias("bars"), (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("total_return"), sharpe.alias("sharpe"), sortino.alias("sortino"),
+        F.min("drawdown").alias("max_drawdown"), (F.stddev_samp("_r") * YEAR).alias("volatility"), F.max("_n").cast("long").alias("max_drawdown_bars"),
     )
-    out = out.join(longest, list(keys), "left").withColumn("max_drawdown_bars", F.coalesce("max_drawdown_bars", F.lit(0)))
     return out.withColumn("annual_return", c("total_return") * 252 / c("bars")).withColumn("calmar", F.try_divide(c("annual_return"), F.abs("max_drawdown")))
 
 
@@ -56,10 +62,19 @@ def trades(b: DataFrame) -> DataFrame:
 
 
 def trade_stats(t: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Counts, win rate, means, profit factor (losses count as 1 if there are none), expectancy, Kelly share."""
-    win, loss = F.when(c("pnl") > 0, c("pnl")), F.when(c("pnl") <= 0, c("pnl"))
-    out = t.groupBy(*keys).agg(F.count("*").alias("trades"), F.count_if(c("pnl") > 0).alias("won"), F.count_if(c("pnl") <= 0).alias("lost"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"), F.sum(win).alias("_w"), F.abs(F.sum(loss)).alias("_l"), F.avg("pnl").alias("expectancy"))
-    out = out.withColumns({"win_rate": c("won") / c("trades"), "profit_factor": F.coalesce("_w", F.lit(0.0)) / F.when(F.coalesce(c("_l"), F.lit(0.0)) > 0, c("_l")).otherwise(1.0)})
+    """Counts, win rate, means (0 without trades of the kind), profit factor (losses count as 1 if there are none), expectancy,
+    Kelly share, the whole days that won trades last on average, and the recovery factor: profit over the largest fall of the summed
+    profits. A trade without profit is neither won nor lost."""
+    win, loss = F.when(c("pnl") > 0, c("pnl")), F.when(c("pnl") < 0, c("pnl"))
+    order = Window.partitionBy(*keys).orderBy("entry_ts").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_sum", F.sum("pnl").over(order))
+    t = t.withColumn("_fall", F.greatest(F.max("_sum").over(order), F.lit(0.0)) - c("_sum"))
+    days = F.avg(F.when(c("pnl") > 0, F.unix_timestamp("exit_ts") - F.unix_timestamp("entry_ts"))) / 86_400
+    out = t.groupBy(*keys).agg(
+        F.count("*").alias("trades"), F.count(win).alias("won"), F.count(loss).alias("lost"), F.coalesce(F.avg(win), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("avg_loss"),
+        F.coalesce(F.sum(win), F.lit(0.0)).alias("_w"), F.coalesce(F.abs(F.sum(loss)), F.lit(1.0)).alias("_l"), F.avg("pnl").alias("expectancy"), F.coalesce(F.floor(days), F.lit(0)).alias("avg_win_days"), F.try_divide(F.sum("pnl"), F.max("_fall")).alias("recovery_factor"),
+    )
+    out = out.withColumns({"win_rate": c("won") / c("trades"), "profit_factor": c("_w") / c("_l")})
     return out.withColumn("kelly", c("win_rate") - F.try_divide(1 - c("win_rate"), F.try_divide(c("avg_win"), F.abs("avg_loss")))).drop("_w", "_l")
 
 
@@ -155,15 +170,20 @@ def windows(b: DataFrame, train: int = 252, test: int = 63, every: int = 21, exp
 
 
 def window_metrics(w: DataFrame) -> DataFrame:
-    """H3: returns and Sharpe ratio of each symbol, window and split."""
-    r = c("strategy_return")
-    return w.groupBy("symbol", "window_id", "split").agg(F.count("*").alias("bars"), (F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"), (F.try_divide(F.avg(r), F.stddev_samp(r)) * YEAR).alias("sharpe"))
+    """H3: bars, first and last day, return and Sharpe ratio of each symbol, window and split."""
+    return w.groupBy("symbol", "window_id", "split").agg(F.count("*").alias("bars"), F.min("ts").cast("date").alias("first_day"), F.max("ts").cast("date").alias("last_day"), (F.exp(F.sum(F.log1p("strategy_return"))) - 1).alias("total_return"), ratios(c("strategy_return"))[0].alias("sharpe"))
 
 
 def walk_forward_summary(m: DataFrame) -> DataFrame:
-    """H4 H5: one row a symbol."""
-    both = m.groupBy("symbol", "window_id").agg(*[F.max(F.when(c("split") == s, c(x))).alias(f"{s}_{x}") for s in ("train", "test") for x in ("total_return", "sharpe")])
-    return both.groupBy("symbol").agg(F.count("*").alias("windows"), (F.product(1 + c("test_total_return")) - 1).alias("total_return"), F.avg(F.when(c("test_sharpe") != 0, c("test_sharpe"))).alias("avg_sharpe"), F.avg((c("test_total_return") > 0).cast("double")).alias("positive_windows"), F.coalesce(F.try_divide(F.avg("train_total_return") - F.avg("test_total_return"), F.abs(F.avg("train_total_return"))), F.lit(0.0)).alias("overfitting_ratio"), F.when(F.count("*") > 2, corr("train_total_return", "test_total_return")).otherwise(0.0).alias("train_test_corr"))
+    """H4 H5: one row a symbol: the tests' returns compounded, also by year of 252 days between the tests' first and last bars, the mean of
+    their Sharpe ratios that are not 0 (0 without any), and how they compare with the training parts."""
+    both = m.groupBy("symbol", "window_id").agg(*[F.max(F.when(c("split") == s, c(x))).alias(f"{s}_{x}") for s in ("train", "test") for x in ("total_return", "sharpe")], F.max(F.when(c("split") == "test", F.datediff("last_day", "first_day"))).alias("days"))
+    out = both.groupBy("symbol").agg(
+        F.count("*").alias("windows"), (F.product(1 + c("test_total_return")) - 1).alias("total_return"), F.greatest(F.sum("days") / 252, F.lit(1 / 252)).alias("_years"), F.coalesce(F.avg(F.when(c("test_sharpe") != 0, c("test_sharpe"))), F.lit(0.0)).alias("avg_sharpe"),
+        F.avg((c("test_total_return") > 0).cast("double")).alias("positive_windows"), F.coalesce(F.try_divide(F.avg("train_total_return") - F.avg("test_total_return"), F.abs(F.avg("train_total_return"))), F.lit(0.0)).alias("overfitting_ratio"),
+        F.when(F.count("*") > 2, corr("train_total_return", "test_total_return")).otherwise(0.0).alias("train_test_corr"),
+    )
+    return out.withColumn("annual_return", F.pow(1 + c("total_return"), 1 / c("_years")) - 1).drop("_years")
 
 
 def stitched(w: DataFrame) -> DataFrame:
@@ -214,28 +234,41 @@ def drawn(*parts: Column | str) -> Column:
 
 
 def bootstrap(t: DataFrame, sims: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """H8: resamples of trade profits with replacement, per symbol; seeded, so a rerun gives the same. The draws are rows: sims times
-    trades of the symbol, joined to the trades by number."""
+    """H8: resamples of trade profits with replacement, per symbol; seeded, so a rerun gives the same. p_value is the share of resamples on the
+    other side of 0 than the original total (at least 0 for a total of 0 or less), and a result is significant if the whole interval lies
+    beyond 0 on the original's side. Fewer than two trades tell nothing: p_value 1, not significant.
+    The draws are rows: sims times trades of the symbol, joined to the trades by number."""
     w = Window.partitionBy("symbol").orderBy("entry_ts")
     numbered = t.select("symbol", "pnl", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
     draws = numbered.select("symbol", "n", "i", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim")).withColumn("j", (drawn("symbol", "sim", "i", F.lit(seed)) % c("n") + 1).cast("int"))
-    sums = draws.join(numbered.select("symbol", F.col("i").alias("j"), "pnl"), ["symbol", "j"]).groupBy("symbol", "sim").agg(F.sum("pnl").alias("total"))
+    sums = draws.join(numbered.select("symbol", F.col("i").alias("j"), "pnl"), ["symbol", "j"]).groupBy("symbol", "sim").agg(F.sum("pnl").alias("total"), F.count("*").alias("n"))
     a = (1 - level) / 2
-    return sums.groupBy("symbol").agg(F.avg("total").alias("mean"), F.stddev_samp("total").alias("std"), F.percentile("total", a).alias("low"), F.percentile("total", 1 - a).alias("high"), F.avg((c("total") <= 0).cast("double")).alias("p_value")).withColumn("significant", c("p_value") < 1 - level)
+    out = sums.groupBy("symbol").agg(
+        F.max("n").alias("_n"), F.avg("total").alias("mean"), F.stddev_pop("total").alias("std"), F.percentile("total", a).alias("low"), F.percentile("total", 1 - a).alias("high"),
+        F.avg((c("total") <= 0).cast("double")).alias("_under"), F.avg((c("total") >= 0).cast("double")).alias("_over"),
+    )
+    out = out.join(t.groupBy("symbol").agg(F.sum("pnl").alias("original")), "symbol")
+    enough, up = c("_n") > 1, c("original") > 0
+    known = {x: F.when(enough, c(x)) for x in ("original", "mean", "std")} | {x: F.when(enough, c(x)).otherwise(0.0) for x in ("low", "high")}
+    sure = up & (c("low") > 0) | (c("original") < 0) & (c("high") < 0)
+    return out.withColumns({"p_value": F.when(~enough, 1.0).when(up, c("_under")).otherwise(c("_over")), "significant": enough & sure}).withColumns(known).drop("_n", "_under", "_over")
 
 
-def shuffle_test(t: DataFrame, sims: int = 100, seed: int = 42) -> DataFrame:
-    """H9: drawdown of the trades in their order against shuffled orders."""
+def shuffle_test(t: DataFrame, sims: int = 500, seed: int = 42) -> DataFrame:
+    """H9: the largest drawdown of the summed profits, over max(peak, 1), of the trades in their order and on average over shuffled orders;
+    their relative difference is the dependency on the sequence, and a run under a half is robust. Mean and deviation of the profits are the
+    same in every order, so the deviation of their ratio over the orders is 0. Fewer than two trades: robust, no dependency."""
     plain = Window.partitionBy("symbol").orderBy("entry_ts").rowsBetween(Window.unboundedPreceding, 0)
     mixed = Window.partitionBy("symbol", "sim").orderBy(drawn("symbol", "sim", F.unix_timestamp("entry_ts"), F.lit(seed)), "entry_ts").rowsBetween(Window.unboundedPreceding, 0)
 
     def fall(df: DataFrame, w, keys: list[str]) -> DataFrame:
-        run = df.withColumn("_s", F.sum("pnl").over(w))
-        return run.withColumn("_d", c("_s") - F.greatest(F.max("_s").over(w), F.lit(0.0))).groupBy(*keys).agg(F.min("_d").alias("fall"))
+        run = df.withColumn("_s", F.sum("pnl").over(w)).withColumn("_m", F.max("_s").over(w))
+        return run.withColumn("_d", (c("_m") - c("_s")) / F.greatest(c("_m"), F.lit(1.0))).groupBy(*keys).agg(F.max("_d").alias("fall"), F.count("*").alias("n"))
 
     own = fall(t, plain, ["symbol"]).withColumnRenamed("fall", "actual")
-    many = fall(t.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))), mixed, ["symbol", "sim"])
-    return many.join(own, "symbol").groupBy("symbol").agg(F.first("actual").alias("actual"), F.avg("fall").alias("mean_shuffled"), F.avg((F.round("fall", 6) <= F.round("actual", 6)).cast("double")).alias("share_worse"))
+    many = fall(t.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))), mixed, ["symbol", "sim"]).groupBy("symbol").agg(F.avg("fall").alias("avg_shuffled"))
+    out = own.join(many, "symbol").withColumn("dependency", F.when(c("n") > 1, (c("actual") - c("avg_shuffled")) / F.greatest(c("avg_shuffled"), F.lit(0.001))).otherwise(0.0))
+    return out.select("symbol", "actual", "avg_shuffled", "dependency", (F.abs("dependency") < 0.5).alias("is_robust"), F.lit(0.0).alias("sharpe_std"))
 
 
 def compare(runs: dict[str, DataFrame]) -> DataFrame:
@@ -249,12 +282,14 @@ def compare(runs: dict[str, DataFrame]) -> DataFrame:
 
 
 def slices(b: DataFrame, train: int = 252, test: int = 63) -> DataFrame:
-    """Adds slice_id of fixed-signal walk-forward slices; bars before the first slice are left out."""
-    return b.withColumn("slice_id", F.floor((c("seq") - 1 - train) / test).cast("int")).where(c("slice_id") >= 0)
+    """Adds slice_id of fixed-signal walk-forward slices. Bars before the first slice are left out, and those behind the last whole one."""
+    b = b.withColumns({"slice_id": F.floor((c("seq") - 1 - train) / test).cast("int"), "_n": F.max("seq").over(Window.partitionBy("symbol"))})
+    return b.where((c("slice_id") >= 0) & ((c("slice_id") + 1) * test + train <= c("_n"))).drop("_n")
 
 
-def slice_metrics(b: DataFrame) -> DataFrame:
-    """Mean and deviation of the slices' returns and Sharpe ratios by symbol."""
-    r = c("strategy_return")
-    per = b.groupBy("symbol", "slice_id").agg((F.product(1 + r) - 1).alias("total"), (F.try_divide(F.avg(r), F.stddev_samp(r)) * YEAR).alias("sharpe"))
-    return per.groupBy("symbol").agg(F.count("*").alias("slices"), F.avg("total").alias("mean_return"), F.stddev_samp("total").alias("std_return"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"))
+def slice_metrics(b: DataFrame, signal: str = "signal_value") -> DataFrame:
+    """Each slice of slices() is a run of its own that starts flat; mean and deviation of the runs' returns and Sharpe ratios by symbol."""
+    name = F.to_json(F.struct("symbol", "slice_id"))
+    runs = performance(with_equity(position_path(b.withColumn("symbol", name).select("symbol", "ts", "close", signal), signal)))
+    per = runs.select(F.get_json_object("symbol", "$.symbol").alias("symbol"), "total_return", "sharpe")
+    return per.groupBy("symbol").agg(F.count("*").alias("slices"), F.avg("total_return").alias("mean_return"), F.stddev_pop("total_return").alias("std_return"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_pop("sharpe").alias("std_sharpe"))

@@ -21,6 +21,8 @@ class SignalConfig:
     technical_weight: float = 0.3
     min_confidence: float = 0.25
     stop_loss: float = 0.02
+    bullish: float = 0.1
+    bearish: float = -0.1
     confirm_trend: bool = False
     confirm_volume: bool = False
     first_bar: int = 50
@@ -33,7 +35,8 @@ def sentiment_of(columns: list[str]) -> Column:
 
 
 def scored(b: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
-    """G1-G3 on the columns of prepared(); ml_probability and a sentiment where present."""
+    """G1-G3 on the columns of prepared(); ml_probability (0.5 if null or absent) and a sentiment where present. Returns both with the scores,
+    the sentiment as sentiment_score."""
     step = lambda up, down, w: F.when(F.coalesce(up, F.lit(False)), w).when(F.coalesce(down, F.lit(False)), -w).otherwise(0.0)
     ml = F.coalesce(c("ml_probability"), F.lit(0.5)) if "ml_probability" in b.columns else F.lit(0.5)
     mood = sentiment_of(b.columns)
@@ -49,7 +52,8 @@ def scored(b: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
     agree = F.abs(side("_ml") + F.signum("_mood") + side("technical_score")) / 3.0
     calm = F.greatest(F.lit(0.0), 1 - 20 * F.try_divide(c("atr_sma"), c("close")))
     four = F.abs(c("_ml") - 0.5) * 2 + F.abs("_mood") + F.abs(c("technical_score") - 0.5) * 2 + agree
-    return b.withColumn("confidence", F.when(c("atr_sma").isNull(), four / 4).otherwise((four + calm) / 5)).drop("_s", "_ml", "_mood")
+    b = b.withColumn("confidence", F.when(c("atr_sma").isNull(), four / 4).otherwise((four + calm) / 5))
+    return b.withColumns({"ml_probability": c("_ml"), "sentiment_score": c("_mood")}).drop("_s", "_ml", "_mood")
 
 
 def levelled(b: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
@@ -75,10 +79,19 @@ def levelled(b: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
     return b.where(c("seq") > cfg.first_bar).drop("_lo", "_hi")
 
 
-def notes(b: DataFrame) -> DataFrame:
-    """Explanations of a signal."""
-    say = lambda cond, text: F.when(F.coalesce(cond, F.lit(False)), text)
-    return b.withColumn("notes", F.array_compact(F.array(say(c("rsi_sma") < 30, F.format_string("RSI oversold (%.1f)", "rsi_sma")), say(c("rsi_sma") > 70, F.format_string("RSI overbought (%.1f)", "rsi_sma")), say(c("adx_sma") > 25, F.format_string("strong trend (ADX %.1f)", "adx_sma")), say(c("volume_ratio") > 1.5, F.format_string("high volume (%.1fx)", "volume_ratio")))))
+def notes(b: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
+    """Explanations of a signal: the model beyond 0.7 and 0.3, the news beyond its thresholds, an index over 70 or under 30, a trend over
+    40 or else over 25. An unknown value gives no note."""
+    say = lambda x, *cases: F.coalesce(*[F.when(cond, F.format_string(text, x)) for cond, text in cases])
+    ml, mood, rsi, adx = 100 * c("ml_probability"), c("sentiment_score"), c("rsi_sma"), c("adx_sma")
+    # The wording of the notes.
+    found = [
+        say(ml, (c("ml_probability") > 0.7, "Strong ML bullish signal (%.2f%%)"), (c("ml_probability") < 0.3, "Strong ML bearish signal (%.2f%%)")),
+        say(mood, (mood > cfg.bullish, "Positive news sentiment (%+.2f)"), (mood < cfg.bearish, "Negative news sentiment (%+.2f)")),
+        say(rsi, (rsi < 30, "RSI oversold (%.1f)"), (rsi > 70, "RSI overbought (%.1f)")),
+        say(adx, (adx > 40, "Very strong trend (ADX=%.1f)"), (adx > 25, "Strong trend (ADX=%.1f)")),
+    ]
+    return b.withColumn("notes", F.array_compact(F.array(*found)))
 
 
 def prepared(b: DataFrame) -> DataFrame:
@@ -92,8 +105,8 @@ def prepared(b: DataFrame) -> DataFrame:
 def summary(signals: DataFrame) -> DataFrame:
     """One row a symbol."""
     v = c("signal_value")
-    out = signals.groupBy("symbol").agg(F.count("*").alias("total"), F.count_if(v > 0).alias("buys"), F.count_if(v < 0).alias("sells"), F.count_if(v == 0).alias("holds"), F.count_if(F.abs(v) == 2).alias("strong"), F.avg("confidence").alias("avg_confidence"), F.count_if(c("confidence") > 0.7).alias("high_confidence"), F.avg("combined").alias("avg_combined"), F.avg("technical_score").alias("avg_technical"), F.avg("risk_reward_ratio").alias("avg_risk_reward"))
-    return out.withColumns({"buy_pct": 100 * c("buys") / c("total"), "sell_pct": 100 * c("sells") / c("total")})
+    out = signals.groupBy("symbol").agg(F.count("*").alias("total"), F.count_if(v > 0).alias("buys"), F.count_if(v < 0).alias("sells"), F.count_if(v == 0).alias("holds"), F.count_if(F.abs(v) == 2).alias("strong"), F.avg("confidence").alias("avg_confidence"), F.avg("ml_probability").alias("avg_ml_probability"), F.avg("sentiment_score").alias("avg_sentiment"), F.count_if(c("confidence") > 0.7).alias("high_confidence"), F.avg("combined").alias("avg_combined"), F.avg("technical_score").alias("avg_technical"), F.avg("risk_reward_ratio").alias("avg_risk_reward"))
+    return out.withColumns({"buy_pct": 100 * c("buys") / c("total"), "sell_pct": 100 * c("sells") / c("total"), "hold_pct": 100 * c("holds") / c("total")})
 
 
 def distribution(signals: DataFrame) -> DataFrame:

@@ -41,14 +41,14 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, text: str = "text", keep:
 
 
 def ensemble(scores: dict[str, Column], weights: dict[str, float]) -> tuple[Column, Column, Column]:
-    """Weighted score over the scorers at hand, its label at +-0.15, and the confidence by agreement."""
+    """Weighted score over the scorers at hand, its label beyond +-0.15, and the confidence by agreement."""
     total = sum(weights[k] for k in scores)
     score = sum(scores[k] * (weights[k] / total) for k in sorted(scores))
     live = F.filter(F.array(*[scores[k] for k in sorted(scores)]), lambda x: x != 0)
     mean = F.aggregate(live, F.lit(0.0), lambda a, x: a + F.abs(x)) / F.greatest(F.size(live), F.lit(1))
     same = (F.size(F.filter(live, lambda x: x > 0)) == F.size(live)) | (F.size(F.filter(live, lambda x: x < 0)) == F.size(live))
     confidence = F.when(F.size(live) == 0, 0.0).when(same, F.least(mean + 0.3, F.lit(1.0))).otherwise(0.5 * mean)
-    return score, F.when(score >= 0.15, "bullish").when(score <= -0.15, "bearish").otherwise("neutral"), confidence
+    return score, F.when(score > 0.15, "bullish").when(score < -0.15, "bearish").otherwise("neutral"), confidence
 
 
 def blend(title: Column, content: Column, weight: float = 0.3) -> Column:
@@ -64,7 +64,7 @@ def daily_sentiment(scored: DataFrame, keys: tuple[str, ...] = ("symbol", "day")
     s = c("score")
     out = x.groupBy(*keys).agg(
         F.avg(s).alias("mean"), F.coalesce(F.try_divide(F.sum(s * c("confidence")), F.sum("confidence")), F.avg(s)).alias("weighted"), F.median(s).alias("median"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"),
-        F.count_if(s >= 0.15).alias("bullish"), F.count_if(s <= -0.15).alias("bearish"), F.count_if(F.abs(s) < 0.15).alias("neutral"), F.avg("confidence").alias("avg_confidence"), F.count("*").alias("articles"),
+        F.count_if(s > 0.15).alias("bullish"), F.count_if(s < -0.15).alias("bearish"), F.count_if(F.abs(s) <= 0.15).alias("neutral"), F.avg("confidence").alias("avg_confidence"), F.count("*").alias("articles"),
         F.coalesce(F.avg(F.when(late, s)) - F.avg(F.when(~late, s)), F.lit(0.0)).alias("momentum"),
     )
     return out.withColumns({"range": c("max") - c("min"), "bullish_ratio": c("bullish") / c("articles"), "bearish_ratio": c("bearish") / c("articles")})
@@ -89,10 +89,17 @@ def trending(m: DataFrame, least: int = 3, k: int = 20) -> DataFrame:
 
 
 def insider_activity(tx: DataFrame, keys: tuple[str, ...] = ("filer",)) -> DataFrame:
-    """A5: purchases and sales, their values, sentiment (buys - sells) / (buys + sells), executives among them."""
+    """A5: transactions, purchases and sales with their shares and values, sentiment (value bought - value sold) / (both values), 0 without
+    any, and executives among them."""
     buy, sell, top = c("kind") == "Buy", c("kind") == "Sell", c("relation").contains("CEO") | c("relation").contains("CFO")
-    out = tx.groupBy(*keys).agg(F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"), F.coalesce(F.sum(F.when(buy, c("value"))), F.lit(0.0)).alias("buy_value"), F.coalesce(F.sum(F.when(sell, c("value"))), F.lit(0.0)).alias("sell_value"), F.count_if(buy & top).alias("executive_buys"), F.count_if(sell & top).alias("executive_sells"))
-    return out.withColumns({"net_value": c("buy_value") - c("sell_value"), "sentiment": F.coalesce(F.try_divide(c("buys") - c("sells"), c("buys") + c("sells")), F.lit(0.0))})
+    total = lambda side, x: F.coalesce(F.sum(F.when(side, c(x))), F.lit(0)).alias(f"{'buy' if side is buy else 'sell'}_{x}")
+    out = tx.groupBy(*keys).agg(F.count("*").alias("transactions"), total(buy, "shares"), total(sell, "shares"), total(buy, "value"), total(sell, "value"), F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"), F.count_if(buy & top).alias("executive_buys"), F.count_if(sell & top).alias("executive_sells"))
+    return out.withColumns({"net_shares": c("buy_shares") - c("sell_shares"), "net_value": c("buy_value") - c("sell_value"), "sentiment": value_mood(c("buy_value"), c("sell_value"))})
+
+
+def value_mood(bought: Column, sold: Column) -> Column:
+    """Balance of values bought and sold over their sum; 0 if that is not positive."""
+    return F.when(bought + sold > 0, F.try_divide(bought - sold, bought + sold)).otherwise(0.0)
 
 
 def strip_html(text: Column) -> Column:
@@ -113,8 +120,9 @@ def report_items(text: Column) -> Column:
 
 
 def filing_events(filings: DataFrame, as_of: Column, latest: int = 5, days: int = 30) -> DataFrame:
-    """Of the latest filings of a company those of the last `days` days: how many have significant items, and how many earnings.
-    filings: symbol, filed date, accession, items; as_of: the day that is looked back from."""
+    """Of the latest current reports of a company those of the last `days` days: how many have significant items, and how many
+    earnings. filings: symbol, form, filed date, accession, items; as_of: the day that is looked back from."""
+    filings = filings.where(c("form") == "8-K")
     w = Window.partitionBy("symbol").orderBy(F.desc("filed"), "accession")
     recent = filings.where(c("filed") <= as_of).withColumn("_i", F.row_number().over(w)).where(c("_i") <= latest)
     live = c("filed") >= F.date_sub(as_of, days)

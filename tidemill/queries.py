@@ -574,7 +574,7 @@ _head = f"WITH {', '.join([BASE, *_sg])}"
 _counts = "count(*) AS total, count(*) FILTER (WHERE signal_value > 0) AS buys, count(*) FILTER (WHERE signal_value < 0) AS sells, count(*) FILTER (WHERE signal_value = 0) AS holds, count(*) FILTER (WHERE abs(signal_value) = 2) AS strong"
 
 
-@register("signal_summary", f"{_head} SELECT symbol, {_counts}, round(avg(confidence) + {NUDGE}, 6) AS avg_confidence, count(*) FILTER (WHERE confidence > 0.7) AS high_confidence, round(avg(combined) + {NUDGE}, 6) AS avg_combined, round(avg(technical_score) + {NUDGE}, 6) AS avg_technical, round(avg(risk_reward_ratio) + {NUDGE}, 6) AS avg_risk_reward, round(100.0 * count(*) FILTER (WHERE signal_value > 0) / count(*) + {NUDGE}, 6) AS buy_pct, round(100.0 * count(*) FILTER (WHERE signal_value < 0) / count(*) + {NUDGE}, 6) AS sell_pct FROM x8 GROUP BY symbol")
+@register("signal_summary", f"{_head} SELECT symbol, {_counts}, round(avg(confidence) + {NUDGE}, 6) AS avg_confidence, round(avg(ml) + {NUDGE}, 6) AS avg_ml_probability, round(avg(mood) + {NUDGE}, 6) AS avg_sentiment, round(100.0 * count(*) FILTER (WHERE signal_value = 0) / count(*) + {NUDGE}, 6) AS hold_pct, count(*) FILTER (WHERE confidence > 0.7) AS high_confidence, round(avg(combined) + {NUDGE}, 6) AS avg_combined, round(avg(technical_score) + {NUDGE}, 6) AS avg_technical, round(avg(risk_reward_ratio) + {NUDGE}, 6) AS avg_risk_reward, round(100.0 * count(*) FILTER (WHERE signal_value > 0) / count(*) + {NUDGE}, 6) AS buy_pct, round(100.0 * count(*) FILTER (WHERE signal_value < 0) / count(*) + {NUDGE}, 6) AS sell_pct FROM x8 GROUP BY symbol")
 def signal_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.summary(signalled(spark, d)))
 
@@ -623,15 +623,32 @@ def _r(x: str, name: str, digits: int = 5) -> str:
     return f"round({x} + {NUDGE}, {digits}) AS {name}"
 
 
-@register("performance", f"{_PATH}, isl AS (SELECT symbol, drawdown, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) {over('all')} AS i FROM pf), lg AS (SELECT symbol, max(n) AS n FROM (SELECT symbol, i, count(*) AS n FROM isl WHERE drawdown < 0 GROUP BY 1, 2) GROUP BY 1), ag AS (SELECT symbol, count(*) AS bars, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS tr, avg(strategy_return) AS m, stddev_samp(strategy_return) AS sd, stddev_samp(CASE WHEN strategy_return < 0 THEN strategy_return END) AS nd, min(drawdown) AS dd FROM pf GROUP BY symbol) SELECT ag.symbol, bars, {_r('tr', 'total_return')}, {_r('m / nullif(sd, 0) * sqrt(252)', 'sharpe')}, {_r('m / nullif(nd, 0) * sqrt(252)', 'sortino')}, {_r('dd', 'max_drawdown')}, {_r('sd * sqrt(252)', 'volatility')}, CAST(coalesce(n, 0) AS BIGINT) AS max_drawdown_bars, {_r('tr * 252 / bars', 'annual_return')}, {_r('tr * 252 / bars / nullif(abs(dd), 0)', 'calmar')} FROM ag LEFT JOIN lg ON lg.symbol = ag.symbol")
+# the first bar has no return; a ratio without deviation is 0
+_SHARPE = "CASE WHEN stddev_samp({0}) > 0 THEN avg({0}) / stddev_samp({0}) * sqrt(252) ELSE 0 END"
+_SORTINO = "CASE WHEN stddev_samp({0}) FILTER (WHERE {0} < 0) > 0 THEN avg({0}) / stddev_samp({0}) FILTER (WHERE {0} < 0) * sqrt(252) ELSE 0 END"
+
+
+@register("performance", f"""{_PATH},
+  isl AS (SELECT symbol, ts, equity, drawdown, CASE WHEN lag(ts) OVER ({ROW}) IS NOT NULL THEN strategy_return END AS sr, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) {over('all')} AS i FROM pf),
+  lg AS (SELECT symbol, max(n) AS n FROM (SELECT symbol, i, count(*) AS n FROM isl WHERE drawdown < 0 GROUP BY 1, 2) GROUP BY 1),
+  ag AS (SELECT symbol, count(*) AS bars, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS tr, {_SHARPE.format('sr')} AS sharpe, {_SORTINO.format('sr')} AS sortino, stddev_samp(sr) AS sd, min(drawdown) AS dd FROM isl GROUP BY symbol)
+  SELECT ag.symbol, bars, {_r('tr', 'total_return')}, {_r('sharpe', 'sharpe')}, {_r('sortino', 'sortino')}, {_r('dd', 'max_drawdown')}, {_r('sd * sqrt(252)', 'volatility')},
+    CAST(coalesce(n, 0) AS BIGINT) AS max_drawdown_bars, {_r('tr * 252 / bars', 'annual_return')}, {_r('tr * 252 / bars / nullif(abs(dd), 0)', 'calmar')} FROM ag LEFT JOIN lg ON lg.symbol = ag.symbol""")
 def performance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.performance(pathed(spark, d)), 5)
 
 
-_tr = f"{_PATH}, mk AS (SELECT *, sum(entry) {over('all')} AS t, lead(close) OVER ({ROW}) AS nx FROM pf), td AS (SELECT symbol, t, arg_min(position, ts) * (arg_max(coalesce(nx, close), ts) - arg_min(close, ts)) AS pnl FROM mk WHERE position <> 0 GROUP BY symbol, t)"
+_tr = f"{_PATH}, mk AS (SELECT *, sum(entry) {over('all')} AS t, lead(close) OVER ({ROW}) AS nx, lead(ts) OVER ({ROW}) AS nts FROM pf), td AS (SELECT symbol, t, min(ts) AS entry_ts, max(coalesce(nts, ts)) AS exit_ts, arg_min(position, ts) * (arg_max(coalesce(nx, close), ts) - arg_min(close, ts)) AS pnl FROM mk WHERE position <> 0 GROUP BY symbol, t)"
 
 
-@register("trade_stats", f"{_tr}, st AS (SELECT symbol, count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS won, count(*) FILTER (WHERE pnl <= 0) AS lost, avg(pnl) FILTER (WHERE pnl > 0) AS avg_win, avg(pnl) FILTER (WHERE pnl <= 0) AS avg_loss, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS w, coalesce(abs(sum(pnl) FILTER (WHERE pnl <= 0)), 0) AS l, avg(pnl) AS expectancy FROM td GROUP BY symbol) SELECT symbol, trades, won, lost, {_r('avg_win', 'avg_win', 4)}, {_r('avg_loss', 'avg_loss', 4)}, {_r('expectancy', 'expectancy', 4)}, {_r('won::DOUBLE / trades', 'win_rate', 4)}, {_r('w / CASE WHEN l > 0 THEN l ELSE 1 END', 'profit_factor', 4)}, {_r('won::DOUBLE / trades - (1 - won::DOUBLE / trades) / nullif(avg_win / nullif(abs(avg_loss), 0), 0)', 'kelly', 4)} FROM st")
+@register("trade_stats", f"""{_tr},
+  sm AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol ORDER BY entry_ts) AS s FROM td),
+  fa AS (SELECT *, greatest(max(s) OVER (PARTITION BY symbol ORDER BY entry_ts), 0) - s AS fall FROM sm),
+  st AS (SELECT symbol, count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS won, count(*) FILTER (WHERE pnl < 0) AS lost,
+    coalesce(avg(pnl) FILTER (WHERE pnl > 0), 0) AS avg_win, coalesce(avg(pnl) FILTER (WHERE pnl < 0), 0) AS avg_loss, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS w, coalesce(abs(sum(pnl) FILTER (WHERE pnl < 0)), 1) AS l,
+    avg(pnl) AS expectancy, coalesce(floor(avg(epoch(exit_ts) - epoch(entry_ts)) FILTER (WHERE pnl > 0) / 86400), 0) AS days, sum(pnl) / nullif(max(fall), 0) AS recovery FROM fa GROUP BY symbol)
+  SELECT symbol, trades, won, lost, {_r('avg_win', 'avg_win', 4)}, {_r('avg_loss', 'avg_loss', 4)}, {_r('expectancy', 'expectancy', 4)}, {_r('won::DOUBLE / trades', 'win_rate', 4)}, {_r('w / l', 'profit_factor', 4)}, {_r('recovery', 'recovery_factor', 4)},
+    CAST(days AS BIGINT) AS avg_win_days, {_r('won::DOUBLE / trades - (1 - won::DOUBLE / trades) / nullif(avg_win / nullif(abs(avg_loss), 0), 0)', 'kelly', 4)} FROM st""")
 def trade_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.trade_stats(P.trades(pathed(spark, d))), 4)
 
@@ -647,7 +664,7 @@ def monthly_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.select("symbol", "year", *[F.col(str(k)).alias(f"m{k}") for k in range(1, 13)]))
 
 
-_wf = f"{_PATH}, sq AS (SELECT symbol, strategy_return, row_number() OVER ({ROW}) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM pf), wn AS (SELECT sq.*, w.id AS window_id, CASE WHEN p >= w.id * 21 AND p < w.id * 21 + 126 THEN 'train' WHEN p >= w.id * 21 + 126 AND p < w.id * 21 + 168 THEN 'test' END AS split FROM sq JOIN (SELECT unnest(range(0, 1000)) AS id) w ON w.id * 21 + 168 <= n AND p >= w.id * 21 AND p < w.id * 21 + 168), wm AS (SELECT symbol, window_id, split, count(*) AS bars, exp(sum(ln(1 + strategy_return))) - 1 AS total_return, avg(strategy_return) / nullif(stddev_samp(strategy_return), 0) * sqrt(252) AS sharpe FROM wn GROUP BY 1, 2, 3)"
+_wf = f"{_PATH}, sq AS (SELECT symbol, ts, strategy_return, row_number() OVER ({ROW}) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM pf), wn AS (SELECT sq.*, w.id AS window_id, CASE WHEN p >= w.id * 21 AND p < w.id * 21 + 126 THEN 'train' WHEN p >= w.id * 21 + 126 AND p < w.id * 21 + 168 THEN 'test' END AS split FROM sq JOIN (SELECT unnest(range(0, 1000)) AS id) w ON w.id * 21 + 168 <= n AND p >= w.id * 21 AND p < w.id * 21 + 168), wm AS (SELECT symbol, window_id, split, count(*) AS bars, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, exp(sum(ln(1 + strategy_return))) - 1 AS total_return, {_SHARPE.format('strategy_return')} AS sharpe FROM wn GROUP BY 1, 2, 3)"
 
 
 def walked(spark: SparkSession, d: str) -> DataFrame:
@@ -657,12 +674,16 @@ def walked(spark: SparkSession, d: str) -> DataFrame:
     return P.window_metrics(P.windows(p, 126, 42, 21))
 
 
-@register("wf_windows", f"{_wf} SELECT symbol, CAST(window_id AS INTEGER) AS window_id, split, bars, {_r('total_return', 'total_return')}, {_r('sharpe', 'sharpe')} FROM wm")
+@register("wf_windows", f"{_wf} SELECT symbol, CAST(window_id AS INTEGER) AS window_id, split, bars, first_day, last_day, {_r('total_return', 'total_return')}, {_r('sharpe', 'sharpe')} FROM wm")
 def wf_windows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(walked(spark, d), 5)
 
 
-@register("wf_summary", f"{_wf}, bo AS (SELECT symbol, window_id, max(total_return) FILTER (WHERE split = 'train') AS a, max(total_return) FILTER (WHERE split = 'test') AS b, max(sharpe) FILTER (WHERE split = 'train') AS sa, max(sharpe) FILTER (WHERE split = 'test') AS sb FROM wm GROUP BY 1, 2) SELECT symbol, count(*) AS windows, {_r('product(1 + b) - 1', 'total_return')}, {_r('avg(CASE WHEN sb <> 0 THEN sb END)', 'avg_sharpe')}, {_r('avg(CAST(b > 0 AS DOUBLE))', 'positive_windows')}, {_r('coalesce((avg(a) - avg(b)) / nullif(abs(avg(a)), 0), 0)', 'overfitting_ratio')}, {_r('CASE WHEN count(*) > 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) ELSE 0 END', 'train_test_corr')} FROM bo GROUP BY symbol")
+@register("wf_summary", f"""{_wf},
+  bo AS (SELECT symbol, window_id, max(total_return) FILTER (WHERE split = 'train') AS a, max(total_return) FILTER (WHERE split = 'test') AS b, max(sharpe) FILTER (WHERE split = 'test') AS sb, max(last_day - first_day) FILTER (WHERE split = 'test') AS days FROM wm GROUP BY 1, 2),
+  su AS (SELECT symbol, count(*) AS windows, product(1 + b) - 1 AS total, greatest(sum(days) / 252, 1 / 252) AS years, coalesce(avg(CASE WHEN sb <> 0 THEN sb END), 0) AS sharpe, avg(CAST(b > 0 AS DOUBLE)) AS up,
+    coalesce((avg(a) - avg(b)) / nullif(abs(avg(a)), 0), 0) AS over_ratio, CASE WHEN count(*) > 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) ELSE 0 END AS c FROM bo GROUP BY symbol)
+  SELECT symbol, windows, {_r('total', 'total_return')}, {_r('sharpe', 'avg_sharpe')}, {_r('up', 'positive_windows')}, {_r('over_ratio', 'overfitting_ratio')}, {_r('c', 'train_test_corr')}, {_r('pow(1 + total, 1 / years) - 1', 'annual_return')} FROM su""")
 def wf_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.walk_forward_summary(walked(spark, d)), 5)
 
@@ -671,12 +692,25 @@ _TRADES = f"{_tr}, tn AS (SELECT symbol, min(ts) AS entry_ts, row_number() OVER
 _drawn = lambda *x: "CAST('0x' || substr(md5(" + " || '|' || ".join(x) + "), 1, 8) AS BIGINT)"
 
 
-@register("bootstrap", f"{_TRADES}, dr AS (SELECT symbol, sim, {_drawn('symbol', 'sim', 'i', '42')} % n + 1 AS j FROM tn, (SELECT unnest(range(1, 1001)) AS sim)), su AS (SELECT dr.symbol, sim, sum(pnl) AS total FROM dr JOIN tn ON tn.symbol = dr.symbol AND tn.i = dr.j GROUP BY 1, 2) SELECT symbol, {_r('avg(total)', 'mean', 3)}, {_r('stddev_samp(total)', 'std', 3)}, {_r('quantile_cont(total, 0.025)', 'low', 3)}, {_r('quantile_cont(total, 0.975)', 'high', 3)}, {_r('avg(CAST(total <= 0 AS DOUBLE))', 'p_value', 3)}, avg(CAST(total <= 0 AS DOUBLE)) < 0.05 AS significant FROM su GROUP BY symbol")
+@register("bootstrap", f"""{_TRADES},
+  dr AS (SELECT symbol, sim, {_drawn('symbol', 'sim', 'i', '42')} % n + 1 AS j FROM tn, (SELECT unnest(range(1, 1001)) AS sim)),
+  su AS (SELECT dr.symbol, sim, sum(pnl) AS total FROM dr JOIN tn ON tn.symbol = dr.symbol AND tn.i = dr.j GROUP BY 1, 2),
+  og AS (SELECT symbol, sum(pnl) AS original, count(*) > 1 AS enough FROM tn GROUP BY 1),
+  ci AS (SELECT symbol, avg(total) AS mean, stddev_pop(total) AS std, quantile_cont(total, 0.025) AS low, quantile_cont(total, 0.975) AS high, avg(CAST(total <= 0 AS DOUBLE)) AS under, avg(CAST(total >= 0 AS DOUBLE)) AS above FROM su GROUP BY symbol)
+  SELECT symbol, {_r('CASE WHEN enough THEN original END', 'original', 3)}, {_r('CASE WHEN enough THEN mean END', 'mean', 3)}, {_r('CASE WHEN enough THEN std END', 'std', 3)}, {_r('CASE WHEN enough THEN low ELSE 0 END', 'low', 3)}, {_r('CASE WHEN enough THEN high ELSE 0 END', 'high', 3)},
+    {_r('CASE WHEN NOT enough THEN 1 WHEN original > 0 THEN under ELSE above END', 'p_value', 3)}, enough AND (original > 0 AND low > 0 OR original < 0 AND high < 0) AS significant FROM ci JOIN og USING (symbol)""")
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.bootstrap(P.trades(pathed(spark, d))), 3)
 
 
-@register("shuffle_test", f"{_TRADES}, sm AS (SELECT symbol, sim, pnl, entry_ts, {_drawn('symbol', 'sim', 'CAST(epoch(entry_ts) AS BIGINT)', '42')} AS o FROM tn, (SELECT unnest(range(1, 501)) AS sim)), pk AS (SELECT symbol, sim, entry_ts, o, sum(pnl) OVER w AS s FROM sm WINDOW w AS (PARTITION BY symbol, sim ORDER BY o, entry_ts)), fa AS (SELECT symbol, sim, min(s - greatest(m, 0)) AS fall FROM (SELECT *, max(s) OVER (PARTITION BY symbol, sim ORDER BY o, entry_ts) AS m FROM pk) GROUP BY 1, 2), ac AS (SELECT symbol, min(s - greatest(m, 0)) AS actual FROM (SELECT *, max(s) OVER (PARTITION BY symbol ORDER BY entry_ts) AS m FROM (SELECT symbol, entry_ts, sum(pnl) OVER (PARTITION BY symbol ORDER BY entry_ts) AS s FROM tn)) GROUP BY 1) SELECT fa.symbol, {_r('any_value(actual)', 'actual', 3)}, {_r('avg(fall)', 'mean_shuffled', 3)}, {_r('avg(CAST(round(fall, 6) <= round(actual, 6) AS DOUBLE))', 'share_worse', 3)} FROM fa JOIN ac ON ac.symbol = fa.symbol GROUP BY fa.symbol")
+@register("shuffle_test", f"""{_TRADES},
+  sm AS (SELECT symbol, sim, pnl, entry_ts, {_drawn('symbol', 'sim', 'CAST(epoch(entry_ts) AS BIGINT)', '42')} AS o FROM tn, (SELECT unnest(range(1, 501)) AS sim)),
+  pk AS (SELECT symbol, sim, entry_ts, o, sum(pnl) OVER w AS s FROM sm WINDOW w AS (PARTITION BY symbol, sim ORDER BY o, entry_ts)),
+  fa AS (SELECT symbol, sim, max((m - s) / greatest(m, 1)) AS fall FROM (SELECT *, max(s) OVER (PARTITION BY symbol, sim ORDER BY o, entry_ts) AS m FROM pk) GROUP BY 1, 2),
+  ac AS (SELECT symbol, max((m - s) / greatest(m, 1)) AS actual, count(*) AS n FROM (SELECT *, max(s) OVER (PARTITION BY symbol ORDER BY entry_ts) AS m FROM (SELECT symbol, entry_ts, sum(pnl) OVER (PARTITION BY symbol ORDER BY entry_ts) AS s FROM tn)) GROUP BY 1),
+  bt AS (SELECT symbol, any_value(actual) AS actual, avg(fall) AS mean, any_value(n) AS n FROM fa JOIN ac USING (symbol) GROUP BY symbol),
+  dp AS (SELECT *, CASE WHEN n > 1 THEN (actual - mean) / greatest(mean, 0.001) ELSE 0 END AS dependency FROM bt)
+  SELECT symbol, {_r('actual', 'actual', 3)}, {_r('mean', 'avg_shuffled', 3)}, {_r('dependency', 'dependency', 3)}, abs(dependency) < 0.5 AS is_robust, 0.0::DOUBLE AS sharpe_std FROM dp""")
 def shuffle_test(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.shuffle_test(P.trades(pathed(spark, d)), 500), 3)
 
@@ -710,7 +744,7 @@ def doc_sentiment(spark: SparkSession, d: str) -> DataFrame:
 _NEWS = "nw AS (SELECT doc_id, doc_id % 5 AS symbol, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS day, compound AS score, abs(compound) AS confidence FROM sc), nx AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY symbol, day) AS n FROM nw)"
 
 
-@register("news_daily", f"WITH {_TOK}, {_LEX}, {_SCO}, {_NEWS}, ag AS (SELECT symbol, day, avg(score) AS mean, coalesce(sum(score * confidence) / nullif(sum(confidence), 0), avg(score)) AS weighted, median(score) AS median, stddev_pop(score) AS std, min(score) AS min, max(score) AS max, count(*) FILTER (WHERE score >= 0.15) AS bullish, count(*) FILTER (WHERE score <= -0.15) AS bearish, count(*) FILTER (WHERE abs(score) < 0.15) AS neutral, avg(confidence) AS avg_confidence, count(*) AS articles, coalesce(avg(score) FILTER (WHERE i > floor(n / 2)) - avg(score) FILTER (WHERE i <= floor(n / 2)), 0) AS momentum FROM nx GROUP BY symbol, day) SELECT symbol, day, " + ", ".join(f"round({x} + {NUDGE}, 6) AS {y}" for x, y in [(k, k) for k in ("mean", "weighted", "median", "std", "min", "max", "avg_confidence", "momentum")] + [("max - min", "range"), ("bullish::DOUBLE / articles", "bullish_ratio"), ("bearish::DOUBLE / articles", "bearish_ratio")]) + ", bullish, bearish, neutral, articles FROM ag")
+@register("news_daily", f"WITH {_TOK}, {_LEX}, {_SCO}, {_NEWS}, ag AS (SELECT symbol, day, avg(score) AS mean, coalesce(sum(score * confidence) / nullif(sum(confidence), 0), avg(score)) AS weighted, median(score) AS median, stddev_pop(score) AS std, min(score) AS min, max(score) AS max, count(*) FILTER (WHERE score > 0.15) AS bullish, count(*) FILTER (WHERE score < -0.15) AS bearish, count(*) FILTER (WHERE abs(score) <= 0.15) AS neutral, avg(confidence) AS avg_confidence, count(*) AS articles, coalesce(avg(score) FILTER (WHERE i > floor(n / 2)) - avg(score) FILTER (WHERE i <= floor(n / 2)), 0) AS momentum FROM nx GROUP BY symbol, day) SELECT symbol, day, " + ", ".join(f"round({x} + {NUDGE}, 6) AS {y}" for x, y in [(k, k) for k in ("mean", "weighted", "median", "std", "min", "max", "avg_confidence", "momentum")] + [("max - min", "range"), ("bullish::DOUBLE / articles", "bullish_ratio"), ("bearish::DOUBLE / articles", "bearish_ratio")]) + ", bullish, bearish, neutral, articles FROM ag")
 def news_daily(spark: SparkSession, d: str) -> DataFrame:
     news = _scored(spark, d).select("doc_id", (F.col("doc_id") % 5).alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.col("compound").alias("score"), F.abs("compound").alias("confidence"))
     return rounded(X.daily_sentiment(news))
@@ -736,10 +770,18 @@ def trending(spark: SparkSession, d: str) -> DataFrame:
     return rounded(X.trending(m))
 
 
-@register("insider_activity", f"WITH t AS (SELECT o_custkey AS filer, CASE o_orderstatus WHEN 'F' THEN 'Buy' WHEN 'O' THEN 'Sell' ELSE 'Other' END AS kind, o_totalprice AS value, CASE WHEN o_orderpriority LIKE '1%' THEN 'CEO' WHEN o_orderpriority LIKE '2%' THEN 'CFO' ELSE 'Director' END AS relation FROM orders), a AS (SELECT filer, count(*) FILTER (WHERE kind = 'Buy') AS buys, count(*) FILTER (WHERE kind = 'Sell') AS sells, coalesce(sum(value) FILTER (WHERE kind = 'Buy'), 0) AS bv, coalesce(sum(value) FILTER (WHERE kind = 'Sell'), 0) AS sv, count(*) FILTER (WHERE relation IN ('CEO', 'CFO') AND kind = 'Buy') AS executive_buys, count(*) FILTER (WHERE relation IN ('CEO', 'CFO') AND kind = 'Sell') AS executive_sells FROM t GROUP BY filer) SELECT filer, buys, sells, executive_buys, executive_sells, round(bv + {NUDGE}, 4) AS buy_value, round(sv + {NUDGE}, 4) AS sell_value, round(bv - sv + {NUDGE}, 4) AS net_value, round(coalesce((buys - sells)::DOUBLE / nullif(buys + sells, 0), 0) + {NUDGE}, 4) AS sentiment FROM a")
+_BALANCE = "CASE WHEN {0} + {1} > 0 THEN ({0} - {1}) / ({0} + {1}) ELSE 0 END"
+
+
+@register("insider_activity", f"""
+  WITH t AS (SELECT o_custkey AS filer, CASE o_orderstatus WHEN 'F' THEN 'Buy' WHEN 'O' THEN 'Sell' ELSE 'Other' END AS kind, CAST(floor(o_totalprice / 100) AS BIGINT) AS shares, o_totalprice AS value, left(o_orderpriority, 1) IN ('1', '2') AS top FROM orders),
+  a AS (SELECT filer, count(*) AS transactions, count(*) FILTER (WHERE kind = 'Buy') AS buys, count(*) FILTER (WHERE kind = 'Sell') AS sells,
+    CAST(coalesce(sum(shares) FILTER (WHERE kind = 'Buy'), 0) AS BIGINT) AS bs, CAST(coalesce(sum(shares) FILTER (WHERE kind = 'Sell'), 0) AS BIGINT) AS ss, coalesce(sum(value) FILTER (WHERE kind = 'Buy'), 0) AS bv, coalesce(sum(value) FILTER (WHERE kind = 'Sell'), 0) AS sv,
+    count(*) FILTER (WHERE top AND kind = 'Buy') AS executive_buys, count(*) FILTER (WHERE top AND kind = 'Sell') AS executive_sells FROM t GROUP BY filer)
+  SELECT filer, transactions, buys, sells, bs AS buy_shares, ss AS sell_shares, bs - ss AS net_shares, executive_buys, executive_sells, {_r('bv', 'buy_value', 4)}, {_r('sv', 'sell_value', 4)}, {_r('bv - sv', 'net_value', 4)}, {_r(_BALANCE.format('bv', 'sv'), 'sentiment', 4)} FROM a""")
 def insider_activity(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("o_orderpriority")
-    tx = B.load(spark, d, "orders").select(F.col("o_custkey").alias("filer"), F.when(F.col("o_orderstatus") == "F", "Buy").when(F.col("o_orderstatus") == "O", "Sell").otherwise("Other").alias("kind"), F.col("o_totalprice").alias("value"), F.when(p.startswith("1"), "CEO").when(p.startswith("2"), "CFO").otherwise("Director").alias("relation"))
+    tx = B.load(spark, d, "orders").select(F.col("o_custkey").alias("filer"), F.when(F.col("o_orderstatus") == "F", "Buy").when(F.col("o_orderstatus") == "O", "Sell").otherwise("Other").alias("kind"), F.floor(F.col("o_totalprice") / 100).alias("shares"), F.col("o_totalprice").alias("value"), F.when(p.startswith("1"), "CEO").when(p.startswith("2"), "CFO").otherwise("Director").alias("relation"))
     return rounded(X.insider_activity(tx), 4)
 
 
@@ -884,9 +926,9 @@ def _transactions(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(part, "l_partkey")
 
 
-_IND = f"""{_BARS_INS}, dl AS (SELECT symbol, day, count(*) FILTER (WHERE kind = 'Buy') AS b, count(*) FILTER (WHERE kind = 'Sell') AS s, sum(CASE kind WHEN 'Buy' THEN value WHEN 'Sell' THEN -value ELSE 0 END) AS net, count(*) FILTER (WHERE ex AND kind = 'Buy') - count(*) FILTER (WHERE ex AND kind = 'Sell') AS e FROM tx GROUP BY 1, 2),
-  tr2 AS (SELECT symbol, day, sum(b) OVER w AS ib, sum(s) OVER w AS ins, sum(net) OVER w AS inet, sum(e) OVER w AS ie FROM dl WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW)),
-  md AS (SELECT *, coalesce((ib - ins)::DOUBLE / nullif(ib + ins, 0), 0) AS m FROM tr2), sg AS (SELECT *, least(greatest(m, -1), 1) AS sig FROM md)"""
+_IND = f"""{_BARS_INS}, dl AS (SELECT symbol, day, count(*) FILTER (WHERE kind = 'Buy') AS b, count(*) FILTER (WHERE kind = 'Sell') AS s, sum(CASE kind WHEN 'Buy' THEN value ELSE 0 END) AS bv, sum(CASE kind WHEN 'Sell' THEN value ELSE 0 END) AS sv, count(*) FILTER (WHERE ex AND kind = 'Buy') - count(*) FILTER (WHERE ex AND kind = 'Sell') AS e FROM tx GROUP BY 1, 2),
+  tr2 AS (SELECT symbol, day, sum(b) OVER w AS ib, sum(s) OVER w AS ins, sum(bv) OVER w AS bv, sum(sv) OVER w AS sv, sum(e) OVER w AS ie FROM dl WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW)),
+  md AS (SELECT *, bv - sv AS inet, {_BALANCE.format('bv', 'sv')} AS m FROM tr2), sg AS (SELECT *, least(greatest(m, -1), 1) AS sig FROM md)"""
 
 
 @register("insider_daily", f"WITH {_IND} SELECT symbol, day, CAST(ib AS BIGINT) AS insider_buys, CAST(ins AS BIGINT) AS insider_sells, round(inet + {NUDGE}, 2) AS insider_net_value, CAST(ie AS BIGINT) AS executive_activity, round(m + {NUDGE}, 6) AS insider_sentiment, round(sig + {NUDGE}, 6) AS insider_signal FROM sg")
@@ -900,13 +942,13 @@ def insider_on_bars(spark: SparkSession, d: str) -> DataFrame:
     return shown(A.on_bars(B.brand_week(spark, d), A.insider_daily(_transactions(spark, d)), names), names)
 
 
-_POSTS = "ps AS (SELECT role AS symbol, DATE '2024-01-01' + CAST(conv_id % 40 AS INTEGER) AS day, length(text) AS score, (length(text) % 21 - 10) / 10.0::DOUBLE AS sentiment FROM conversations), pd1 AS (SELECT symbol, day, count(*) AS n, sum(sentiment) AS s, sum(sentiment * ln(2 + greatest(score, 0))) AS sw, sum(ln(2 + greatest(score, 0))) AS w, count(*) FILTER (WHERE sentiment > 0.05) AS b, sum(score) AS sc FROM ps GROUP BY 1, 2), pt AS (SELECT symbol, day, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(sw) OVER w AS sw, sum(w) OVER w AS w, sum(b) OVER w AS b, sum(sc) OVER w AS sc FROM pd1 WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))"
+_POSTS = "ps AS (SELECT role AS symbol, DATE '2024-01-01' + CAST(conv_id % 40 AS INTEGER) AS day, length(text) AS score, turn AS comments, (length(text) % 21 - 10) / 10.0::DOUBLE AS sentiment FROM conversations), pd1 AS (SELECT symbol, day, count(*) AS n, sum(sentiment) AS s, sum(sentiment * ln(2 + greatest(score, 0))) AS sw, sum(ln(2 + greatest(score, 0))) AS w, sum(sentiment * sentiment) AS s2, count(*) FILTER (WHERE sentiment > 0.05) AS b, sum(score) AS sc, sum(comments) AS co FROM ps GROUP BY 1, 2), pt AS (SELECT symbol, day, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(sw) OVER w AS sw, sum(w) OVER w AS w, sum(s2) OVER w AS s2, sum(b) OVER w AS b, sum(sc) OVER w AS sc, sum(co) OVER w AS co FROM pd1 WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))"
 
 
-@register("social_daily", f"WITH {_POSTS} SELECT symbol, day, CAST(n AS BIGINT) AS mentions, round(s / n + {NUDGE}, 6) AS sentiment, round(coalesce(sw / nullif(w, 0), 0) + {NUDGE}, 6) AS weighted, round(b::DOUBLE / n + {NUDGE}, 6) AS bullish_ratio, CAST(n > 10 AND sc::DOUBLE / n > 100 AS INTEGER) AS trending, round(least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS hype, round(0.5 * coalesce(sw / nullif(w, 0), 0) + 0.3::DOUBLE * (b::DOUBLE / n - 0.5) + 0.2::DOUBLE * least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS social_signal FROM pt")
+@register("social_daily", f"WITH {_POSTS} SELECT symbol, day, CAST(n AS BIGINT) AS mentions, round(s / n + {NUDGE}, 6) AS sentiment, round(coalesce(sw / nullif(w, 0), 0) + {NUDGE}, 6) AS weighted, round(sqrt(greatest(s2 / n - (s / n) * (s / n), 0)) + {NUDGE}, 6) AS sentiment_std, CAST(sc AS BIGINT) AS total_score, round(sc::DOUBLE / n + {NUDGE}, 6) AS avg_score, CAST(co AS BIGINT) AS total_comments, round(b::DOUBLE / n + {NUDGE}, 6) AS bullish_ratio, CAST(n > 10 AND sc::DOUBLE / n > 100 AS INTEGER) AS trending, round(least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS hype, round(0.5 * coalesce(sw / nullif(w, 0), 0) + 0.3::DOUBLE * (b::DOUBLE / n - 0.5) + 0.2::DOUBLE * least(n / 50.0::DOUBLE, 1) + {NUDGE}, 6) AS social_signal FROM pt")
 def social_daily(spark: SparkSession, d: str) -> DataFrame:
     n = F.char_length("text")
-    posts = B.load(spark, d, "conversations").select(F.col("role").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 40).cast("int")).alias("day"), n.cast("long").alias("score"), ((n % 21 - 10) / 10.0).alias("sentiment"))
+    posts = B.load(spark, d, "conversations").select(F.col("role").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 40).cast("int")).alias("day"), n.cast("long").alias("score"), F.col("turn").alias("comments"), ((n % 21 - 10) / 10.0).alias("sentiment"))
     return rounded(A.social_daily(posts))
 
 
@@ -932,7 +974,7 @@ def box_dimension(spark: SparkSession, d: str) -> DataFrame:
     return shown(S.box_dimension(based(spark, d)), ["fractal_dimension"])
 
 
-_CMP = f"{_head.replace('WITH ', 'WITH RECURSIVE ', 1)}{_hold}, rn AS (SELECT 'signals' AS strategy, symbol, ts, close, sign(signal_value) AS s FROM x8 UNION ALL SELECT 'inverse', symbol, ts, close, -sign(signal_value) FROM x8 UNION ALL SELECT 'held', x8.symbol, x8.ts, close, CASE WHEN walk.kept THEN sign(signal_value) ELSE 0 END FROM x8 LEFT JOIN walk ON walk.symbol = x8.symbol AND walk.seq = x8.seq), ra AS (SELECT *, coalesce(last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position, close / nullif(lag(close) OVER w, 0) - 1 AS r2 FROM rn WINDOW w AS (PARTITION BY strategy, symbol ORDER BY ts)), rb AS (SELECT strategy, ts, greatest(coalesce(coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY ts), 0) * r2, 0), -0.99::DOUBLE) AS sr FROM ra), rc2 AS (SELECT strategy, ts, avg(sr) AS sr FROM rb GROUP BY 1, 2), rd AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY strategy ORDER BY ts)) AS e FROM rc2), re AS (SELECT *, e / max(e) OVER (PARTITION BY strategy ORDER BY ts) - 1 AS dd FROM rd), rf AS (SELECT strategy, count(*) AS bars, arg_max(e, ts) / arg_min(e, ts) - 1 AS t, avg(sr) AS m, stddev_samp(sr) AS sd, stddev_samp(CASE WHEN sr < 0 THEN sr END) AS nd, min(dd) AS dd FROM re GROUP BY 1) SELECT strategy, bars, CAST(printf('%.6e', round(t, 4)) AS DOUBLE) AS total_return, CAST(printf('%.6e', round(t * 252 / bars, 4)) AS DOUBLE) AS annual_return, round(m / nullif(sd, 0) * sqrt(252), 4) AS sharpe, round(m / nullif(nd, 0) * sqrt(252), 4) AS sortino, round(dd, 4) AS max_drawdown, round(sd * sqrt(252), 4) AS volatility FROM rf"
+_CMP = f"{_head.replace('WITH ', 'WITH RECURSIVE ', 1)}{_hold}, rn AS (SELECT 'signals' AS strategy, symbol, ts, close, sign(signal_value) AS s FROM x8 UNION ALL SELECT 'inverse', symbol, ts, close, -sign(signal_value) FROM x8 UNION ALL SELECT 'held', x8.symbol, x8.ts, close, CASE WHEN walk.kept THEN sign(signal_value) ELSE 0 END FROM x8 LEFT JOIN walk ON walk.symbol = x8.symbol AND walk.seq = x8.seq), ra AS (SELECT *, coalesce(last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position, close / nullif(lag(close) OVER w, 0) - 1 AS r2 FROM rn WINDOW w AS (PARTITION BY strategy, symbol ORDER BY ts)), rb AS (SELECT strategy, ts, greatest(coalesce(coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY ts), 0) * r2, 0), -0.99::DOUBLE) AS sr FROM ra), rc2 AS (SELECT strategy, ts, avg(sr) AS sr FROM rb GROUP BY 1, 2), rd AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY strategy ORDER BY ts)) AS e FROM rc2), re AS (SELECT *, e / max(e) OVER (PARTITION BY strategy ORDER BY ts) - 1 AS dd FROM rd), rg AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY strategy ORDER BY ts) IS NOT NULL THEN sr END AS s1 FROM re), rf AS (SELECT strategy, count(*) AS bars, arg_max(e, ts) / arg_min(e, ts) - 1 AS t, {_SHARPE.format('s1')} AS sharpe, {_SORTINO.format('s1')} AS sortino, stddev_samp(s1) AS sd, min(dd) AS dd FROM rg GROUP BY 1) SELECT strategy, bars, CAST(printf('%.6e', round(t, 4)) AS DOUBLE) AS total_return, CAST(printf('%.6e', round(t * 252 / bars, 4)) AS DOUBLE) AS annual_return, round(sharpe, 4) AS sharpe, round(sortino, 4) AS sortino, round(dd, 4) AS max_drawdown, round(sd * sqrt(252), 4) AS volatility FROM rf"
 
 
 @register("compare_runs", _CMP)
@@ -950,10 +992,16 @@ def long_doc_sentiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(X.chunked_scores(B.load(spark, d, "documents"), _lexicon(spark, d)))
 
 
-@register("wf_slices", f"{_PATH}, sl AS (SELECT symbol, strategy_return, CAST(floor((row_number() OVER ({ROW}) - 1 - 126) / 42.0) AS INTEGER) AS s FROM pf), pr AS (SELECT symbol, s, product(1 + strategy_return) - 1 AS total, avg(strategy_return) / nullif(stddev_samp(strategy_return), 0) * sqrt(252) AS sharpe FROM sl WHERE s >= 0 GROUP BY 1, 2) SELECT symbol, count(*) AS slices, {_r('avg(total)', 'mean_return')}, {_r('stddev_samp(total)', 'std_return')}, {_r('avg(sharpe)', 'mean_sharpe')}, {_r('stddev_samp(sharpe)', 'std_sharpe')} FROM pr GROUP BY symbol")
+# each whole slice is a run of its own, which starts flat
+@register("wf_slices", f"""{_PATH},
+  sn AS (SELECT symbol, ts, close, s, CAST(floor((row_number() OVER ({ROW}) - 1 - 126) / 42.0) AS INTEGER) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM pf),
+  sa AS (SELECT *, coalesce(last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position, close / nullif(lag(close) OVER w, 0) - 1 AS r2 FROM sn WHERE k >= 0 AND (k + 1) * 42 + 126 <= n WINDOW w AS (PARTITION BY symbol, k ORDER BY ts)),
+  sb AS (SELECT symbol, k, CASE WHEN lag(ts) OVER w IS NOT NULL THEN greatest(coalesce(coalesce(lag(position) OVER w, 0) * r2, 0), -0.99::DOUBLE) END AS sr FROM sa WINDOW w AS (PARTITION BY symbol, k ORDER BY ts)),
+  pr AS (SELECT symbol, k, product(1 + coalesce(sr, 0)) - 1 AS total, {_SHARPE.format('sr')} AS sharpe FROM sb GROUP BY 1, 2)
+  SELECT symbol, count(*) AS slices, {_r('avg(total)', 'mean_return')}, {_r('stddev_pop(total)', 'std_return')}, {_r('avg(sharpe)', 'mean_sharpe')}, {_r('stddev_pop(sharpe)', 'std_sharpe')} FROM pr GROUP BY symbol""")
 def wf_slices(spark: SparkSession, d: str) -> DataFrame:
-    p = pathed(spark, d).withColumn("seq", F.row_number().over(B_SERIES()))
-    return rounded(P.slice_metrics(P.slices(p, 126, 42)), 5)
+    b = signalled(spark, d).select("symbol", "ts", "close", "signal_value").withColumn("seq", F.row_number().over(B_SERIES()))
+    return rounded(P.slice_metrics(P.slices(b, 126, 42)), 5)
 
 
 from tidemill import queries_more  # noqa: E402, F401

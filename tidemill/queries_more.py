@@ -17,7 +17,7 @@ from tidemill.operators import strategies as Y
 from tidemill.operators import technical
 from tidemill.operators import text as X
 from tidemill.plans.windows import series
-from tidemill.queries import BASE, BRAND, NUDGE, ROW, _LEX, _PATH, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _wf, based, full, lag, over, pathed, register, rounded, shown, signalled, sql, stage
+from tidemill.queries import BASE, BRAND, NUDGE, ROW, _BALANCE, _LEX, _PATH, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _wf, based, full, lag, over, pathed, register, rounded, shown, signalled, sql, stage
 from tidemill.sources import bars as B
 
 FIRST = "(SELECT min(symbol) FROM bars)"
@@ -138,8 +138,13 @@ def mean_levels(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.mean_levels(A.clipped_levels(signalled(spark, d))))
 
 
-_note = lambda cond, text: f"CASE WHEN {cond} THEN {text} END"
-_notes = ", ".join([_note("rsi_sma < 30", "format('RSI oversold ({:.1f})', rsi_sma)"), _note("rsi_sma > 70", "format('RSI overbought ({:.1f})', rsi_sma)"), _note("adx_sma > 25", "format('strong trend (ADX {:.1f})', adx_sma)"), _note("vr > 1.5", "format('high volume ({:.1f}x)', vr)")])
+_either = lambda *cases: "CASE " + " ".join(f"WHEN {cond} THEN {text}" for cond, text in cases) + " END"
+_notes = ", ".join([
+    _either(("ml > 0.7", "format('Strong ML bullish signal ({:.2f}%)', 100 * ml)"), ("ml < 0.3", "format('Strong ML bearish signal ({:.2f}%)', 100 * ml)")),
+    _either(("mood > 0.1", "format('Positive news sentiment ({:+.2f})', mood)"), ("mood < -0.1", "format('Negative news sentiment ({:+.2f})', mood)")),
+    _either(("rsi_sma < 30", "format('RSI oversold ({:.1f})', rsi_sma)"), ("rsi_sma > 70", "format('RSI overbought ({:.1f})', rsi_sma)")),
+    _either(("adx_sma > 40", "format('Very strong trend (ADX={:.1f})', adx_sma)"), ("adx_sma > 25", "format('Strong trend (ADX={:.1f})', adx_sma)")),
+])
 
 
 @register("signal_notes", f"WITH {', '.join([BASE, *_sg])}, nt AS (SELECT list_filter([{_notes}], lambda x: x IS NOT NULL) AS l, symbol FROM x8) SELECT symbol, trim(regexp_extract(n, '^[A-Za-z ]+')) AS note, count(*) AS bars FROM (SELECT symbol, unnest(l) AS n FROM nt) GROUP BY 1, 2")
@@ -163,7 +168,7 @@ def strategy_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- text, filings
-@register("text_ensemble", f"WITH {_TOK}, {_LEX}, {_SCO}, w AS (SELECT doc_id, compound AS a, polarity AS b, 0.4::DOUBLE * compound / 0.6 + 0.2::DOUBLE * polarity / 0.6 AS score FROM sc), l AS (SELECT *, list_filter([a, b], lambda x: x <> 0) AS live FROM w) SELECT doc_id, round(score + {NUDGE}, 6) AS score, CASE WHEN score >= 0.15 THEN 'bullish' WHEN score <= -0.15 THEN 'bearish' ELSE 'neutral' END AS label, round(CASE WHEN len(live) = 0 THEN 0 WHEN list_min(live) > 0 OR list_max(live) < 0 THEN least(list_avg(list_transform(live, lambda x: abs(x))) + 0.3::DOUBLE, 1) ELSE 0.5 * list_avg(list_transform(live, lambda x: abs(x))) END + {NUDGE}, 6) AS confidence, round(0.3::DOUBLE * a + 0.7::DOUBLE * b + {NUDGE}, 6) AS blended FROM l")
+@register("text_ensemble", f"WITH {_TOK}, {_LEX}, {_SCO}, w AS (SELECT doc_id, compound AS a, polarity AS b, 0.4::DOUBLE * compound / 0.6 + 0.2::DOUBLE * polarity / 0.6 AS score FROM sc), l AS (SELECT *, list_filter([a, b], lambda x: x <> 0) AS live FROM w) SELECT doc_id, round(score + {NUDGE}, 6) AS score, CASE WHEN score > 0.15 THEN 'bullish' WHEN score < -0.15 THEN 'bearish' ELSE 'neutral' END AS label, round(CASE WHEN len(live) = 0 THEN 0 WHEN list_min(live) > 0 OR list_max(live) < 0 THEN least(list_avg(list_transform(live, lambda x: abs(x))) + 0.3::DOUBLE, 1) ELSE 0.5 * list_avg(list_transform(live, lambda x: abs(x))) END + {NUDGE}, 6) AS confidence, round(0.3::DOUBLE * a + 0.7::DOUBLE * b + {NUDGE}, 6) AS blended FROM l")
 def text_ensemble(spark: SparkSession, d: str) -> DataFrame:
     score, label, sure = X.ensemble({"a": F.col("compound"), "b": F.col("polarity")}, {"a": 0.4, "b": 0.2, "c": 0.4})
     return rounded(_scored(spark, d).select("doc_id", score.alias("score"), label.alias("label"), sure.alias("confidence"), X.blend(F.col("compound"), F.col("polarity")).alias("blended")))
@@ -180,13 +185,13 @@ def _filings(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("items", X.report_items(F.col("text")))
 
 
-_SEC = f"{_FIL}, rc AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY filed DESC, accession) AS i FROM fl WHERE filed <= DATE '1998-07-20'), ev AS (SELECT symbol, count(*) FILTER (WHERE filed >= DATE '1998-06-20' AND (contains(text, '1.01') OR contains(text, '5.02'))) AS recent_events, count(*) FILTER (WHERE filed >= DATE '1998-06-20' AND contains(text, '2.02')) AS recent_earnings FROM rc WHERE i <= 5 GROUP BY symbol), tx2 AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS symbol, count(*) FILTER (WHERE o_orderstatus = 'F') AS b, count(*) FILTER (WHERE o_orderstatus = 'O') AS s, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%') - count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%') AS e FROM orders GROUP BY 1)"
+_SEC = f"{_FIL}, rc AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY filed DESC, accession) AS i FROM fl WHERE form = '8-K' AND filed <= DATE '1998-07-20'), ev AS (SELECT symbol, count(*) FILTER (WHERE filed >= DATE '1998-06-20' AND (contains(text, '1.01') OR contains(text, '5.02'))) AS recent_events, count(*) FILTER (WHERE filed >= DATE '1998-06-20' AND contains(text, '2.02')) AS recent_earnings FROM rc WHERE i <= 5 GROUP BY symbol), tx2 AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS symbol, coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 0) AS b, coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 0) AS s, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%') - count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%') AS e FROM orders GROUP BY 1)"
 
 
-@register("filing_events", f"WITH {_SEC} SELECT ev.symbol, recent_events, recent_earnings, round(0.6::DOUBLE * coalesce((b - s)::DOUBLE / nullif(b + s, 0), 0) + least(greatest(0.1::DOUBLE * e, -0.2), 0.2) + least(greatest(-0.05::DOUBLE * recent_events, -0.2), 0.2) + {NUDGE}, 6) AS sec_signal FROM ev JOIN tx2 ON tx2.symbol = ev.symbol")
+@register("filing_events", f"WITH {_SEC} SELECT ev.symbol, recent_events, recent_earnings, round(0.6::DOUBLE * {_BALANCE.format('b', 's')} + least(greatest(0.1::DOUBLE * e, -0.2), 0.2) + least(greatest(-0.05::DOUBLE * recent_events, -0.2), 0.2) + {NUDGE}, 6) AS sec_signal FROM ev JOIN tx2 ON tx2.symbol = ev.symbol")
 def filing_events(spark: SparkSession, d: str) -> DataFrame:
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
-    tx = B.load(spark, d, "orders").select((F.col("o_custkey") % 40).cast("string").alias("symbol"), F.when(s == "F", "Buy").when(s == "O", "Sell").otherwise("Other").alias("kind"), F.col("o_totalprice").alias("value"), F.when(p.startswith("1"), "CEO").otherwise("Director").alias("relation"))
+    tx = B.load(spark, d, "orders").select((F.col("o_custkey") % 40).cast("string").alias("symbol"), F.when(s == "F", "Buy").when(s == "O", "Sell").otherwise("Other").alias("kind"), F.lit(0).alias("shares"), F.col("o_totalprice").alias("value"), F.when(p.startswith("1"), "CEO").otherwise("Director").alias("relation"))
     insiders = X.insider_activity(tx, ("symbol",)).select("symbol", F.col("sentiment").alias("insider_signal"), (F.col("executive_buys") - F.col("executive_sells")).alias("executive_activity"))
     events = X.filing_events(_filings(spark, d), F.lit("1998-07-20").cast("date")).join(insiders, "symbol")
     return rounded(X.filing_signal(events).select("symbol", "recent_events", "recent_earnings", "sec_signal"))
@@ -217,7 +222,7 @@ def _windowed(spark: SparkSession, d: str, expanding: bool = False) -> DataFrame
     return P.windows(p, 126, 42, 21, expanding, 126)
 
 
-_wtest = f"{_wf.replace('sq AS (SELECT symbol, strategy_return,', 'sq AS (SELECT symbol, ts, close, position, entry, strategy_return,')}, te AS (SELECT * FROM wn WHERE split = 'test'), eq AS (SELECT symbol, window_id, ts, exp(sum(ln(1 + strategy_return)) OVER o) AS e FROM te WINDOW o AS (PARTITION BY symbol ORDER BY window_id, ts)), fl AS (SELECT symbol, max(abs(d)) AS max_drawdown, arg_max(e, [window_id, epoch(ts)]) AS final_equity FROM (SELECT *, e / max(e) OVER (PARTITION BY symbol ORDER BY window_id, ts) - 1 AS d FROM eq) GROUP BY symbol), tk AS (SELECT *, sum(entry) OVER o AS t, coalesce(lead(close) OVER o, close) AS nx FROM te WINDOW o AS (PARTITION BY symbol, window_id ORDER BY ts)), tt AS (SELECT symbol, arg_min(position, ts) * (arg_max(nx, ts) - arg_min(close, ts)) AS pnl FROM tk WHERE position <> 0 GROUP BY symbol, window_id, t), ts2 AS (SELECT symbol, count(*) AS trades, count(*) FILTER (WHERE pnl > 0)::DOUBLE / count(*) AS win_rate, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / coalesce(abs(sum(pnl) FILTER (WHERE pnl < 0)), 0.001) AS profit_factor FROM tt GROUP BY symbol)"
+_wtest = f"{_wf.replace('sq AS (SELECT symbol, ts, strategy_return,', 'sq AS (SELECT symbol, ts, close, position, entry, strategy_return,')}, te AS (SELECT * FROM wn WHERE split = 'test'), eq AS (SELECT symbol, window_id, ts, exp(sum(ln(1 + strategy_return)) OVER o) AS e FROM te WINDOW o AS (PARTITION BY symbol ORDER BY window_id, ts)), fl AS (SELECT symbol, max(abs(d)) AS max_drawdown, arg_max(e, [window_id, epoch(ts)]) AS final_equity FROM (SELECT *, e / max(e) OVER (PARTITION BY symbol ORDER BY window_id, ts) - 1 AS d FROM eq) GROUP BY symbol), tk AS (SELECT *, sum(entry) OVER o AS t, coalesce(lead(close) OVER o, close) AS nx FROM te WINDOW o AS (PARTITION BY symbol, window_id ORDER BY ts)), tt AS (SELECT symbol, arg_min(position, ts) * (arg_max(nx, ts) - arg_min(close, ts)) AS pnl FROM tk WHERE position <> 0 GROUP BY symbol, window_id, t), ts2 AS (SELECT symbol, count(*) AS trades, count(*) FILTER (WHERE pnl > 0)::DOUBLE / count(*) AS win_rate, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / coalesce(abs(sum(pnl) FILTER (WHERE pnl < 0)), 0.001) AS profit_factor FROM tt GROUP BY symbol)"
 
 
 @register("wf_stitched", f"{_wtest} SELECT fl.symbol, {_r('max_drawdown', 'max_drawdown')}, {_r('final_equity', 'final_equity')}, coalesce(trades, 0) AS trades, {_r('coalesce(win_rate, 0)', 'win_rate')}, {_r('coalesce(profit_factor, 0)', 'profit_factor')} FROM fl LEFT JOIN ts2 ON ts2.symbol = fl.symbol")
@@ -228,7 +233,7 @@ def wf_stitched(spark: SparkSession, d: str) -> DataFrame:
 _wexp = _wf.replace("p >= w.id * 21 AND p < w.id * 21 + 126 THEN", "p < w.id * 21 + 126 THEN").replace("AND p >= w.id * 21 AND p < w.id * 21 + 168)", "AND p < w.id * 21 + 168)")
 
 
-@register("wf_expanding", f"{_wexp} SELECT symbol, CAST(window_id AS INTEGER) AS window_id, split, bars, {_r('total_return', 'total_return')}, {_r('sharpe', 'sharpe')} FROM wm")
+@register("wf_expanding", f"{_wexp} SELECT symbol, CAST(window_id AS INTEGER) AS window_id, split, bars, first_day, last_day, {_r('total_return', 'total_return')}, {_r('sharpe', 'sharpe')} FROM wm")
 def wf_expanding(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.window_metrics(_windowed(spark, d, True)), 5)
 
