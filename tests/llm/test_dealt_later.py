@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,12 +72,14 @@ def test_resampling_without_rows(spark):
 def test_scans_in_pieces_with_small_dictionaries(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["ab", "c", "ödé", "longer1", "z" * 80]) for _ in range(rng.randrange(30))).encode() for _ in range(40)]
-    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert importance.folded(pa.array(["A-b", None, "", "Ödé9"])) == [b"a b", b"", b"", "Ödé9".encode()]
+    sizes = [x.num_rows for x in importance.pieces(pa.record_batch({"t": ["abc", None, "d" * 9, "e", "", "f"]}), "t", 4)]
+    assert sizes == [3, 3]
     for chunk, most in ((1, 2), (7, 3), (1 << 20, 100)):
         monkeypatch.setattr(importance, "CHUNK", chunk)
         book = importance.Dictionary(most)
         for _ in range(2):  # the second scan knows the words
-            row, crc, size = importance.words_of(book, raw, at)
+            row, crc, size = importance.words_of(book, texts)
             want = [(i, zlib.crc32(w), len(w)) for i, x in enumerate(texts) for w in x.split()]
             assert list(zip(row.tolist(), crc.tolist(), size.tolist(), strict=True)) == want
 

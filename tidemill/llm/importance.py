@@ -17,6 +17,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,38 +86,33 @@ class Dictionary:
         if self.words:
             self.machine.make_automaton()
 
-    def payloads(self, folded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, CRC and length of each word of bytes that begin and end with a delimiter."""
-        raw = np.frombuffer(folded, np.uint8)
+    def payloads(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, CRC and length of each word of a folded text that begins and ends with a delimiter."""
+        raw = np.frombuffer(text, np.uint8)
         edge = np.diff((raw != 32).astype(np.int8))
         start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         crc, known = np.zeros(len(start), np.uint32), np.zeros(len(start), bool)
         if self.words:
-            hits = np.fromiter(chain.from_iterable(self.machine.iter(folded.decode("latin-1"))), np.int64).reshape(-1, 2)
+            hits = np.fromiter(chain.from_iterable(self.machine.iter(text.decode("latin-1"))), np.int64).reshape(-1, 2)
             at = np.searchsorted(end, hits[:, 0])
             crc[at], known[at] = self.crc[hits[:, 1]], True
         rest = np.flatnonzero(~known)
         if len(rest):
-            words = [folded[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+            words = [text[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
             crc[rest] = [zlib.crc32(w) for w in words]
             self.learn(set(words))
         return start, crc, end - start
 
 
-def words_of(book: Dictionary, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, CRC, length) of the words of texts that lie one after the other in raw, text i from at[i] to at[i + 1]."""
-    # a delimiter after each text, so that no word crosses two
-    n = len(at) - 1
-    text = np.full(len(raw) + n + 1, 32, np.uint8)
-    text[1 + np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(at))] = FOLD[raw]
-    begins = at[:-1] + np.arange(n) + 1
+def words_of(book: Dictionary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, CRC, length) of the words of folded texts."""
+    whole = b" " + b" ".join(texts) + b" "  # a delimiter between texts, so that no word crosses two
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1]
     rows, crcs, sizes = [], [], []
     low = 0
-    while low < len(text) - 1:
-        high = min(low + CHUNK, len(text) - 1)
-        while text[high] != 32:  # the last byte is a delimiter
-            high += 1
-        start, crc, size = book.payloads(text[low : high + 1].tobytes())
+    while low < len(whole) - 1:
+        high = whole.index(b" ", min(low + CHUNK, len(whole) - 1))
+        start, crc, size = book.payloads(whole[low : high + 1])
         rows.append(np.searchsorted(begins, start + low, "right") - 1)
         crcs.append(crc), sizes.append(size)
         low = high
@@ -124,6 +120,24 @@ def words_of(book: Dictionary, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return join(rows, np.int64), join(crcs, np.uint32), join(sizes, np.int64)
 
 
+def folded(column: pa.Array) -> list[bytes]:
+    """The texts with A-Z lower-cased and all other ASCII but digits and letters as delimiters."""
+    raw, at = byte_column(column)
+    whole = FOLD[raw].tobytes()
+    return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def pieces(b: pa.RecordBatch, column: str, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that end with the row that brings them to `most` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < b.num_rows:
+        reached = (ends[low - 1] if low else 0) + most
+        high = min(b.num_rows, int(np.searchsorted(ends, reached)) + 1)
+        yield b.slice(low, high - low)
+        low = high
+
+
 def runs(row: np.ndarray, crc: np.ndarray, size: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, CRC) of all runs of n neighbouring words of a row, joined by one space, for each n from low to high."""
     spaced = moved(np.full(len(crc), SPACE, np.uint32), size) ^ crc
@@ -145,13 +159,13 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", low: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Dictionary()
-        for b in batches:
-            raw, at = byte_column(b.column("t"))
-            row, crc, size = words_of(book, raw, at)
+        for b in (x for whole in batches for x in pieces(whole, "t")):
+            row, crc, size = words_of(book, folded(b.column("t")))
             found = list(runs(row, crc, size, low, high))
             of = np.concatenate([r for r, _ in found])
             code = np.concatenate([c % buckets for _, c in found]).astype(kind)
-            code = code[np.argsort(of, kind="stable")]
+            if low < high:
+                code = code[np.argsort(of, kind="stable")]
             n = np.bincount(of, minlength=b.num_rows)
             offsets = np.concatenate([[0], np.cumsum(n)]) * kind.itemsize
             codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(code)]).cast(pa.binary())
