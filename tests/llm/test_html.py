@@ -35,6 +35,21 @@ def test_omitted_tags():
     assert html_text.main_text("<div><ul><li>one thing, and more<li>another thing, and more</ul><table><tr><td>a, b<td>c<tr><td>d</table></div>") == "one thing, and more another thing, and more a, b c d"
 
 
+@pytest.mark.parametrize("icon", ['<svg class="icon"/>', "<svg />", '<svg><path d="M0 0"/><g><use href="#a"/></g></svg>', "<svg><title>icon</title><circle r=1></circle></svg>", "<math/>", '<p><svg class="icon" /></p>', "<span><svg><use/></svg></span>"])
+def test_icons_do_not_swallow_what_follows(icon):
+    for wrap in (f"<body>{NAV}<div>{icon}{PROSE}</div></body>", f"<body>{icon}{NAV}<div>{PROSE}</div></body>", f"<body><article>{icon}{PROSE}</article></body>", f"<body>{NAV}<div>{PROSE}{icon}<p>Last words of the article, after an icon, are kept.</p></div></body>"):
+        assert html_text.main_text(wrap).startswith(TEXT)
+
+
+@pytest.mark.parametrize("top, kept", [("<header class='entry-header'><h1>Own title</h1></header>", True), ("<div class='page-header'><h1>Own title</h1></div>", True), ("<div class='post-header'><h1>Own title</h1></div>", True), ("<div class='site-header'><h1>Name of the site</h1></div>", False)])
+def test_own_headers_by_name(top, kept):
+    body = PROSE.replace("<h1>T</h1>", "")
+    want = ("Own title " if kept else "") + TEXT[2:]
+    assert html_text.main_text(f"<body>{NAV}<div>{top}{body}</div><footer>f</footer></body>") == want
+    inside = "Name of the site " if not kept else "Own title "
+    assert html_text.main_text(f"<body>{NAV}<article>{top}{body}</article><footer>f</footer></body>") == inside + TEXT[2:]
+
+
 def test_short_blocks_between_long_ones_stay():
     page = f"<body>{NAV}<div>{PROSE}<p>Yes.</p><p>{'A last long paragraph, with words. ' * 9}</p><p>End.</p></div></body>"
     assert "Yes. A last long" in html_text.main_text(page) and html_text.main_text(page).endswith("End.")

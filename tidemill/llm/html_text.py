@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("nav aside footer button select option iframe object svg canvas dialog menu head template".split())
+FOREIGN = ("svg", "math")
 PROSE = set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr br".split())
 HEAD = set("title meta link script style base noscript template".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -32,6 +33,8 @@ MARKS = set("ad ads adv advert adverts advertisement advertising banner cookie c
 #: What may follow a mark in a name ("comment-list"), and what turns a name into its opposite ("no-sidebar", "comment-free").
 PARTS = set("list box block area section container wrapper wrap inner outer left right top bottom bar item items link links button buttons icon icons post posts article articles story stories slot unit panel zone form thread count title group row col column columns cell card cards feed message msg policy terms primary secondary site page global mobile desktop sticky fixed main content body text region holder frame head tags tag cloud big small large id".split())
 NEGATIONS = set("has have no not non with without free off".split())
+#: Before "header" these name the article's own one, as any does that lies in an article.
+OWN = set("entry post article story content page title".split())
 P_ENDS = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: A start tag that ends an open one of these, unless an element of the third entry lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -43,18 +46,24 @@ _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 def marked(kind: str, attributes: str, inside: bool) -> bool:
     """Whether an element looks like boilerplate by its role, its names or as a form. inside: it lies in an article, whose own header
-    is no mark. A name is a mark if its last word is one, or its first with nothing but parts of pages after it."""
-    if kind == "form" or kind == "header" and not inside:
-        return True
+    is no mark, by kind or by name; nor are names such as entry-header. A name is a mark if its last word is one, or its first with nothing
+    but parts of pages after it."""
     if kind in ("html", "body"):
         return False
-    for name, value in _attribute.findall(attributes):
+    found = _attribute.findall(attributes)
+    names = [[w.lower() for w in _word.findall(part)] for name, value in found if name.lower() in ("class", "id") for part in value.strip("\"'").split()]
+    own = inside or any(w[-1:] == ["header"] and not OWN.isdisjoint(w) for w in names)
+    if kind == "form" or kind == "header" and not own:
+        return True
+    for name, value in found:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if name in ("class", "id") and kind not in ("article", "main"):
             for part in value.split():
                 words = [w.lower() for w in _word.findall(part)]
+                if words and words[-1] == "header" and own:
+                    continue
                 if words and NEGATIONS.isdisjoint(words) and (words[-1] in MARKS or words[0] in MARKS and all(w in PARTS or w in MARKS or w.isdigit() for w in words[1:])):
                     return True
     return False
@@ -146,7 +155,8 @@ def main_text(html: str | None) -> str:
         parent.append(top)
         dropped.append(dropped[top] and kind not in ("article", "main") or kind in DROPPED)
         marks.append(not dropped[node] and marked(kind, m[4] or "", bool(places.get("article"))))
-        if not (m[4] or "").rstrip().endswith("/") or kind not in INLINE:
+        foreign = kind in FOREIGN or any(places.get(x) for x in FOREIGN)  # only there a slash closes an element that is no inline one
+        if not (m[4] or "").rstrip().endswith("/") or kind not in INLINE and not foreign:
             places.setdefault(kind, []).append(len(stack))
             if kind not in INLINE:
                 solid.append(len(stack))
