@@ -1,7 +1,8 @@
 """Indicators whose value depends on the one before (exponential means, Wilder's smoothing, adaptive means, parabolic stops).
 
-One grouped map a symbol: Spark shuffles by symbol as for the windows, and a task holds one symbol's series. First-order linear
-recurrences are evaluated in blocks of array operations; only the truly nonlinear ones walk bar by bar.
+recursive() is one grouped map a symbol: Spark shuffles by symbol as for the windows, and a task holds one symbol's series. First-order linear
+recurrences are evaluated in blocks of array operations; only the truly nonlinear ones walk bar by bar. core_by_blocks() gives the linear
+ones for series of any length, with the bars of one symbol in many tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemill.plans import scan
 
 _BLOCK = 64
 
@@ -229,21 +233,44 @@ SCHEMA = "symbol string, ts timestamp, " + ", ".join(f"{x} {'int' if x in FLAGS
 
 
 def with_macd_hist(b: DataFrame) -> DataFrame:
-    """M2 by adjusted exponential means: adds macd_hist_adj, the 12-26 difference less its own mean over 9."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.sort_values("ts")
-        close = g["close"].to_numpy(float)
-        macd = ema_adjusted(close, 12) - ema_adjusted(close, 26)
-        return g.assign(macd_hist_adj=macd - ema_adjusted(macd, 9))
-
-    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in b.schema)
-    return b.groupBy("symbol").applyInPandas(add, f"{kinds}, macd_hist_adj double")
+    """M2 by adjusted exponential means: adds macd_hist_adj, the 12-26 difference less its own mean over 9. Windows only, on the panel's own
+    dealing by symbol. b: symbol, ts, seq, close."""
+    b = scan.smoothed(b, {"_fast": scan.adjusted("close", 12), "_slow": scan.adjusted("close", 26)})
+    b = scan.smoothed(b.withColumn("_macd", F.col("_fast") - F.col("_slow")), {"_mean": scan.adjusted("_macd", 9)})
+    return b.withColumn("macd_hist_adj", F.col("_macd") - F.col("_mean")).drop("_fast", "_slow", "_macd", "_mean")
+
+
+def core_by_blocks(bars: DataFrame, block: int = scan.BLOCK, seconds: int = 1 << 22) -> DataFrame:
+    """(symbol, ts) with the exponential means, MACD (line, signal, histogram), RSI, CMO, true ranges, directional index and its mean of
+    recursive(), for series that are too long for a task: the bars of one symbol are dealt out by blocks."""
+    b = scan.numbered(bars.select("symbol", "ts", "high", "low", "close"), seconds=seconds)
+    c, h, lo, last = (F.col(x) for x in ("close", "high", "low", "last_close"))
+    up, down = h - F.col("last_high"), F.col("last_low") - lo
+    b = b.withColumns({
+        "_gain": F.greatest(c - last, F.lit(0.0)), "_loss": F.greatest(last - c, F.lit(0.0)), "_tr": F.when(last.isNotNull(), F.greatest(h - lo, F.abs(h - last), F.abs(lo - last))),
+        "_plus": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_minus": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
+    }).drop("last_high", "last_low", "last_close", "high", "low")
+    b = b.withColumns({x: F.when(F.col("seq") > 1, F.col(x)) for x in ("_gain", "_loss")})
+    chains = {f"ema_{n}": scan.ema("close", n) for n in (5, 10, 20, 50, 100)} | {f"ema_{n}_adj": scan.adjusted("close", n) for n in (5, 10, 20, 50, 100)}
+    chains |= {"_fast": scan.ema("close", 12, 26), "_slow": scan.ema("close", 26)}
+    chains |= {f"_{x}{n}": scan.wilder(f"_{x}", n, n + 1) for x in ("gain", "loss", "tr") for n in (7, 14, 21)} | {f"_{x}14": scan.wilder(f"_{x}", 14, 15) for x in ("plus", "minus")}
+    b = scan.by_blocks(b, chains, block).drop("_gain", "_loss", "_tr", "_plus", "_minus")
+    share = lambda x, y: 100 * F.try_divide(x, y)
+    for n, name in ((14, ""), (7, "_7"), (21, "_21")):
+        b = b.withColumns({f"rsi{name}": share(F.col(f"_gain{n}"), F.col(f"_gain{n}") + F.col(f"_loss{n}")), f"atr{name}": F.col(f"_tr{n}")})
+    b = b.withColumns({
+        "macd": F.col("_fast") - F.col("_slow"), "cmo": share(F.col("_gain14") - F.col("_loss14"), F.col("_gain14") + F.col("_loss14")), "natr": share(F.col("atr"), F.col("close")),
+        "plus_di": share(F.col("_plus14"), F.col("atr")), "minus_di": share(F.col("_minus14"), F.col("atr")),
+    })
+    b = b.withColumn("dx", share(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
+    b = scan.by_blocks(b.drop(*[x for x in chains if x.startswith("_")]), {"macd_signal": scan.ema("macd", 9, 34), "adx": scan.wilder("dx", 14, 28)}, block)
+    return b.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).select("symbol", "ts", *BLOCKED)
+
+
+BLOCKED = [*[f"ema_{n}{x}" for n in (5, 10, 20, 50, 100) for x in ("", "_adj")], *"macd macd_signal macd_hist rsi rsi_7 rsi_21 cmo atr atr_7 atr_21 natr plus_di minus_di dx adx".split()]
 
 
 def recursive(bars: DataFrame) -> DataFrame:
     """(symbol, ts) with every recursive column. NaN never leaves: what is not defined is null."""
-    from pyspark.sql import functions as F
-
     raw = bars.select("symbol", "ts", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(compute, SCHEMA)
     return raw.select("symbol", "ts", *[F.col(x) if x in FLAGS else F.when(~F.isnan(x), F.col(x)).alias(x) for x in COLUMNS])

@@ -17,7 +17,7 @@ from tidemill.operators import strategies as Y
 from tidemill.operators import technical
 from tidemill.operators import text as X
 from tidemill.plans.windows import series
-from tidemill.queries import BASE, BRAND, NUDGE, ROW, _BALANCE, _LEX, _PATH, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _wf, based, full, lag, over, pathed, register, rounded, shown, signalled, sql, stage
+from tidemill.queries import BASE, BRAND, NUDGE, ORACLES, RECURSIVE_SHOWN, ROW, _BALANCE, _LEX, _PATH, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _wf, based, full, lag, over, pathed, register, rounded, shown, signalled, sql, stage
 from tidemill.sources import bars as B
 
 FIRST = "(SELECT min(symbol) FROM bars)"
@@ -343,3 +343,17 @@ _FLAGS = ("rsi_divergence", "strong_trend", "very_strong_trend")
 @register("recursive_chains", sql(_v, RECURSIVE_LISTS, "vg", 5, ints=_FLAGS))
 def recursive_chains(spark: SparkSession, d: str) -> DataFrame:
     return shown(R.recursive(B.brand_week(spark, d)), RECURSIVE_LISTS, 5)
+
+
+# ---------------------------------------------------------------- recurrences by blocks, against the walk bar by bar
+@register("recursive_blocks", ORACLES["recursive_core"])
+def recursive_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return shown(R.core_by_blocks(B.brand_week(spark, d), block=64), RECURSIVE_SHOWN, 5)
+
+
+_CHAINS = ["ema_5_adj", "ema_100_adj", "plus_di", "minus_di", "dx", "adx", "macd_signal", "macd_hist"]
+
+
+@register("recursive_blocks_directional", sql(_v, _CHAINS, "vg", 5))
+def recursive_blocks_directional(spark: SparkSession, d: str) -> DataFrame:
+    return shown(R.core_by_blocks(B.brand_week(spark, d), block=64), _CHAINS, 5)
