@@ -11,13 +11,14 @@ from tidemill.operators import cleaning as C
 from tidemill.operators import joins as J
 from tidemill.operators import learning as E
 from tidemill.operators import recursive as R
+from tidemill.operators import refit as L
 from tidemill.operators import signals as G
 from tidemill.operators import statistical as S
 from tidemill.operators import strategies as Y
 from tidemill.operators import technical
 from tidemill.operators import text as X
 from tidemill.plans.windows import series
-from tidemill.queries import BASE, BRAND, NUDGE, ORACLES, RECURSIVE_SHOWN, ROW, _BALANCE, _LEX, _PATH, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _wf, based, full, lag, over, pathed, register, rounded, shown, signalled, sql, stage
+from tidemill.queries import BASE, BRAND, NUDGE, ORACLES, RECURSIVE_SHOWN, ROW, _BALANCE, _SHARPE, _LEX, _PATH, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _wf, based, full, lag, over, pathed, register, rounded, shown, signalled, sql, stage
 from tidemill.sources import bars as B
 
 FIRST = "(SELECT min(symbol) FROM bars)"
@@ -357,3 +358,30 @@ _CHAINS = ["ema_5_adj", "ema_100_adj", "plus_di", "minus_di", "dx", "adx", "macd
 @register("recursive_blocks_directional", sql(_v, _CHAINS, "vg", 5))
 def recursive_blocks_directional(spark: SparkSession, d: str) -> DataFrame:
     return shown(R.core_by_blocks(B.brand_week(spark, d), block=64), _CHAINS, 5)
+
+
+# ---------------------------------------------------------------- models fitted anew in every window
+_refit = f"""WITH {BASE},
+  fe AS (SELECT *, seq - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n, r AS f1, close / nullif({lag('close', 5)}, 0) - 1 AS f2, lead(r) OVER ({ROW}) AS y FROM base),
+  wn AS (SELECT fe.*, w.id AS window_id FROM fe JOIN (SELECT unnest(range(0, 1000)) AS id) w ON w.id * 21 + 168 <= n AND p >= w.id * 21 AND p < w.id * 21 + 168),
+  eq AS (SELECT symbol, window_id, count(*) AS n, avg(f1) AS m1, avg(f2) AS m2, avg(y) AS my, covar_pop(f1, f1) * count(*) AS c11, covar_pop(f1, f2) * count(*) AS c12, covar_pop(f2, f2) * count(*) AS c22, covar_pop(f1, y) * count(*) AS c1y, covar_pop(f2, y) * count(*) AS c2y
+    FROM wn WHERE p < window_id * 21 + 125 AND f1 IS NOT NULL AND f2 IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2),
+  so AS (SELECT *, ((c22 + 1) * c1y - c12 * c2y) / ((c11 + 1) * (c22 + 1) - c12 * c12) AS b1, ((c11 + 1) * c2y - c12 * c1y) / ((c11 + 1) * (c22 + 1) - c12 * c12) AS b2 FROM eq),
+  pr AS (SELECT wn.symbol, wn.window_id, y, my + b1 * (f1 - m1) + b2 * (f2 - m2) AS z FROM wn JOIN so USING (symbol, window_id) WHERE p >= window_id * 21 + 126)"""
+
+
+def _refit_panel(spark: SparkSession, d: str) -> DataFrame:
+    b = based(spark, d)
+    return b.select("symbol", "ts", "seq", F.col("r").alias("f1"), (F.try_divide("close", F.lag("close", 5).over(series())) - 1).alias("f2"), F.lead("r").over(series()).alias("y"))
+
+
+@register("wf_refit_models", f"{_refit} SELECT symbol, CAST(window_id AS INTEGER) AS window_id, n, {_r('my - b1 * m1 - b2 * m2', 'intercept', 6)}, {_r('b1', 'b1', 6)}, {_r('b2', 'b2', 6)} FROM so")
+def wf_refit_models(spark: SparkSession, d: str) -> DataFrame:
+    m = L.solved(L.normal_equations(_refit_panel(spark, d), ["f1", "f2"], "y", 126, 42, 21))
+    return rounded(m.select("symbol", "window_id", "n", "intercept", F.col("coefficients")[0].alias("b1"), F.col("coefficients")[1].alias("b2")))
+
+
+@register("wf_refit", f"""{_refit} SELECT symbol, CAST(window_id AS INTEGER) AS window_id, count(*) AS bars, {_r('avg((z - y) * (z - y))', 'mse')}, {_r('avg(CAST(z * y > 0 AS DOUBLE))', 'hits')},
+  {_r('exp(sum(ln(1 + greatest(sign(z) * y, -0.99::DOUBLE)))) - 1', 'total_return')}, {_r(_SHARPE.format('greatest(sign(z) * y, -0.99::DOUBLE)'), 'sharpe')} FROM pr WHERE z IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""")
+def wf_refit(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(L.refit_metrics(L.refitted(_refit_panel(spark, d), ["f1", "f2"], "y", 126, 42, 21), "y"), 5)
