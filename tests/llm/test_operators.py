@@ -159,6 +159,57 @@ def test_repeats_against_brute_force(spark, odd_rows, batch):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_in_a_long_text(spark):
+    """Beyond the part that a task hashes at a time, with changes so dense that phrases must be compared suffix by suffix."""
+    rng = np.random.default_rng(3)
+    one = rng.integers(97, 123, 2_300_000).astype(np.uint8)
+    two = one.copy()
+    two[rng.integers(0, len(two), 5000)] = 32
+    rows = [(5, one.tobytes().decode(), None, "a"), (7, two.tobytes().decode(), None, "a"), (8, two[2_097_000:2_097_400].tobytes().decode(), None, "a")]
+    seen, want = set(), {}
+    for d, t, *_ in rows:
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, np.int32)
+        for i in range(len(b) - 99):
+            h = hash(b[i : i + 100])
+            if h in seen:
+                gone[i] += 1
+                gone[i + 100] -= 1
+            seen.add(h)
+        m = np.cumsum(gone[:-1]) > 0
+        want[d] = (len(b), int(m.sum()), int((m & ~np.r_[False, m[:-1]]).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~m].tobytes()).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in repeats.remove_repeats(table(spark, rows)).collect()}
+    assert got == want
+
+
+def test_removed_stretches_against_a_mask():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(200):
+        own = np.frombuffer("".join(rng.choice("aé日😀") for _ in range(300)).encode(), np.uint8)
+        spans = [(s := rng.randrange(len(own) - 110), rng.randrange(1, min(60, len(own) - 99 - s))) for _ in range(rng.randrange(1, 6))]
+        gone = np.zeros(len(own), bool)
+        for s, n in spans:
+            gone[s : s + n + 99] = True
+        for whole in (False, True):
+            mask = gone
+            if whole:
+                letter = np.cumsum((own & 0xC0) != 0x80)
+                mask = ~(np.bincount(letter[~gone], minlength=letter[-1] + 1) > 0)[letter]
+            low, high = repeats._removed(own, pa.array([{"start": s, "runs": n} for s, n in spans], pa.struct([("start", pa.int32()), ("runs", pa.int32())])), whole)
+            found = np.zeros(len(own), bool)
+            for a, z in zip(low, high, strict=True):
+                found[a:z] = True
+            assert (found == mask).all() and len(low) == int((mask & ~np.r_[False, mask[:-1]]).sum())
+
+
+def test_one_text_of_a_repeated_key_stays(spark):
+    rows = [(1, f"text number {i} " * 20, None, "a") for i in range(6)]
+    kept = {tuple(r["kept"] for r in repeats.remove_repeats(table(spark, rng).repartition(n)).collect()) for rng, n in ((rows, 1), (rows[::-1], 3), (rows[3:] + rows[:3], 2))}
+    assert len(kept) == 1
+
+
 def test_repeats_by_letters_and_empty(spark):
     rows = [(1, "é" * 120, None, None), (2, "x" + "é" * 120, None, None)]
     got = {r["doc_id"]: r["kept"].decode() for r in repeats.remove_repeats(table(spark, rows), whole_letters=True, carry=("lang",)).collect()}

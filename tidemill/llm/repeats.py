@@ -243,31 +243,38 @@ def _suffixes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(w1, w2, doc, start, kind) for every suffix of the phrases to check, cut to LENGTH bytes; the task's own repeats are marked."""
     listed = _merged(marks.where(F.col("kind") == CHECK))
 
+    def told(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        w1, w2, doc, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        w2 = (w2 >> np.uint64(33)).astype(np.int64)
+        order = np.lexsort((p, doc, w2, w1))
+        w1, w2, doc, p = w1[order], w2[order], doc[order], p[order]
+        new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
+        yield from _rows([np.where(new, w1, _mixed(doc.astype(np.uint64))).view(np.int64), w2.astype(np.int32), doc, p.astype(np.int32), np.where(new, FIRST, REPEAT).astype(np.int32)], ["w1", "w2", "doc", "start", "kind"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, SUFFIXES):
             ids, lists = b.column(0).to_numpy(), b.column(2)
             first = lists.offsets.to_numpy()
-            starts, runs = (lists.values.field(i).to_numpy() for i in range(2))  # offsets count from the start of the values, in slices too
-            found = []
+            starts, runs = (lists.values.field(i).to_numpy().astype(np.int64) for i in range(2))  # offsets count from the start of the values, in slices too
+            found, many = [], 0
             for raw, at, row in _pieces(b.column(1)):
-                one, two = _Spans(raw, _byte), _Spans(raw, _other)
                 lo, hi = first[row], first[row + len(at) - 1]
-                base = np.repeat(at[:-1], np.diff(first[row : row + len(at)]))
-                k = runs[lo:hi].astype(np.int64)
-                p = np.repeat(base + starts[lo:hi], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                p = np.unique(p)
-                t = np.searchsorted(at, p, "right") - 1
-                found.append((one.of(p, p + LENGTH), two.of(p, p + LENGTH), ids[t + row], p - at[t]))
-            if not found:
-                continue
-            w1, w2, doc, p = (np.concatenate(x) for x in zip(*found, strict=True))
-            w2 = (w2 >> np.uint64(33)).astype(np.int64)
-            order = np.lexsort((p, doc, w2, w1))
-            w1, w2, doc, p = w1[order], w2[order], doc[order], p[order]
-            if not len(p):
-                continue
-            new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
-            yield from _rows([np.where(new, w1, _mixed(doc.astype(np.uint64))).view(np.int64), w2.astype(np.int32), doc, p.astype(np.int32), np.where(new, FIRST, REPEAT).astype(np.int32)], ["w1", "w2", "doc", "start", "kind"])
+                begin = np.repeat(at[:-1], np.diff(first[row : row + len(at)])) + starts[lo:hi]
+                for cut in range(0, len(raw), SUFFIXES):  # one turn but for a long text
+                    a = np.maximum(begin, cut)
+                    k = np.maximum(np.minimum(begin + runs[lo:hi], cut + SUFFIXES) - a, 0)
+                    p = np.unique(np.repeat(a, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
+                    if not len(p):
+                        continue
+                    part = raw[cut : cut + SUFFIXES + LENGTH - 1]
+                    t = np.searchsorted(at, p, "right") - 1
+                    found.append((*(_Spans(part, table).of(p - cut, p - cut + LENGTH) for table in (_byte, _other)), ids[t + row], p - at[t]))
+                    many += len(p)
+                    if many >= SUFFIXES:
+                        yield from told(found)
+                        found, many = [], 0
+            if found:
+                yield from told(found)
 
     return docs.join(listed, "doc").select("doc", "text", "m").mapInArrow(run, "w1 long, w2 int, doc long, start int, kind int")
 
@@ -293,18 +300,35 @@ def _ranked(suffixes: DataFrame) -> DataFrame:
     return suffixes.repartition("w1").sortWithinPartitions("w1", "w2", "doc", "start").mapInArrow(run, _MARKS)
 
 
+def _removed(own: np.ndarray, spans: pa.Array, whole_letters: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches of a text that its spans (start, runs) cover, in order and apart from each other."""
+    s = spans.field(0).to_numpy().astype(np.int64)
+    order = np.argsort(s, kind="stable")
+    s, until = s[order], np.maximum.accumulate((s + spans.field(1).to_numpy() - 1 + LENGTH)[order])
+    head = np.flatnonzero(np.r_[True, s[1:] > until[:-1]])
+    low, high = s[head], until[np.r_[head[1:], len(s)] - 1]
+    if whole_letters:  # up to the next begin of a code point, and back to one
+        for _ in range(3):
+            low = low + ((low < len(own)) & ((own[np.minimum(low, len(own) - 1)] & 0xC0) == 0x80))
+            high = high - ((high < len(own)) & ((own[np.minimum(high, len(own) - 1)] & 0xC0) == 0x80))
+        low, high = low[low < high], high[low < high]
+    return low, high
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_letters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, n_bytes long, n_removed long, n_spans long, kept binary, carried columns) of every text as UTF-8 bytes; null is empty.
 
     Removed is each byte covered by a LENGTH-byte string that also starts earlier, at a smaller key or an earlier place of the
     same text; matches never cross texts and are judged on the input. Texts under LENGTH bytes stay whole. whole_letters: a code
     point goes only if all its bytes go, so that kept is UTF-8. Keys are unique integers: rows with a null key are left out, and of rows
-    with equal keys one stays.
+    with equal keys the one whose text has the least hash stays. Tasks work through a long text in parts.
     """
     plain = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     ids = plain.agg(F.count("doc").alias("n"), F.countDistinct("doc").alias("d")).first()
     if ids["n"] != ids["d"]:
-        plain = written(plain.dropDuplicates(["doc"]))
+        rest = F.struct(*[x for x in plain.columns if x != "doc"])
+        one = plain.groupBy("doc").agg(F.min_by(rest, F.struct(F.xxhash64("text"), F.xxhash64(*[x for x in plain.columns if x != "doc"]))).alias("r"))
+        plain = written(one.select("doc", *[F.col(f"r.{x}").alias(x) for x in plain.columns if x != "doc"]))
     marks = written(_dictionary(_phrases(plain)))
     ranked = written(_ranked(_suffixes(plain, marks)))
     spans = marks.where(F.col("kind") == REPEAT).select("doc", "start", "runs").union(ranked.select("doc", "start", "runs"))
@@ -324,19 +348,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
                     n_spans.append(0)
                     kept.append(own.tobytes())
                     continue
-                m = lists[i].values
-                s, n = m.field(0).to_numpy().astype(np.int64), m.field(1).to_numpy()
-                cover = np.zeros(len(own) + 1, np.int32)
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + n - 1 + LENGTH, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                if whole_letters:
-                    letter = np.cumsum((own & 0xC0) != 0x80)
-                    stays = np.bincount(letter[~gone], minlength=letter[-1] + 1) > 0
-                    gone = ~stays[letter]
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
-                kept.append(own[~gone].tobytes())
+                low, high = _removed(own, lists[i].values, whole_letters)
+                n_removed.append(int((high - low).sum()))
+                n_spans.append(len(low))
+                kept.append(b"".join(own[a:z].tobytes() for a, z in zip([0, *high.tolist()], [*low.tolist(), len(own)], strict=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), *b.columns[3:]], ["k", "n_bytes", "n_removed", "n_spans", "kept", *extra])
 
     kinds = "".join(f", {c} {plain.schema[c].dataType.simpleString()}" for c in extra)
