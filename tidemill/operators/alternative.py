@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.operators.joins import asof
-from tidemill.operators.text import value_mood
+from tidemill.operators.text import SIGNIFICANT, value_mood
 from tidemill.plans.windows import c, full, prev, win
 
 # Transaction codes of ownership reports.
@@ -81,10 +86,31 @@ def canonical(items: DataFrame, source: str, title: str = "title", text: str = "
 
 def about(articles: DataFrame, names: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """One row an article of a general feed and symbol whose ticker or company name its text contains, in any case. names: (symbol,
-    company), a list of companies that the caller follows."""
-    known = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(s.lower()).alias("s"), F.lit(n.lower()).alias("n")) for s, n in names])
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return articles.withColumn("symbol", F.explode(F.transform(F.filter(known, lambda x: low.contains(x["s"]) | low.contains(x["n"])), lambda x: x["symbol"])))
+    company), a list of companies that the caller follows, of any length: a task reads an article once, with one automaton over all names."""
+    wanted: dict[str, set[str]] = {}
+    for symbol, company in names:
+        for word in (symbol.lower(), company.lower()):
+            wanted.setdefault(word, set()).add(symbol)
+    everywhere = wanted.pop("", set())  # an empty name is in every text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for word, symbols in wanted.items():
+            machine.add_word(word, symbols)
+        if wanted:
+            machine.make_automaton()
+        for b in batches:
+            rows, found = [], []
+            for i, low in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                hit = set(everywhere).union(*(symbols for _, symbols in machine.iter(low))) if wanted else everywhere
+                rows += [i] * len(hit)
+                found += sorted(hit)
+            out = b.select(range(b.num_columns - 1)).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(found, pa.string())], [*out.schema.names, "symbol"])
+
+    kept = articles.drop("symbol") if "symbol" in articles.columns else articles
+    low = kept.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    return low.mapInArrow(run, StructType([*kept.schema.fields, StructField("symbol", StringType())]))
 
 
 def latest_news(news: DataFrame, k: int = 100, days_back: int | None = None, order: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -102,17 +128,53 @@ def sentiment_features(b: DataFrame, column: str = "sentiment") -> DataFrame:
     return b.withColumn(f"{column}_price_divergence", F.coalesce((F.signum(c(f"{column}_change")) != F.signum(c("close") - prev("close"))).cast("int"), F.lit(1)))
 
 
-def ownership(df: DataFrame, payload: str = "xml") -> DataFrame:
-    """Transactions of ownership reports (XML text): owner, relation (an officer's title before Director), date, kind, shares, price,
-    value. Malformed reports give no row. Fields are taken with built-in XPath functions."""
-    ok = df.withColumn("_x", F.regexp_replace(payload, r"<\?xml[^>]*\?>", "")).where(F.col("_x").rlike(r"(?s)^\s*<ownershipDocument\b.*</ownershipDocument>\s*$"))
-    title, owner = F.xpath_string("_x", F.lit("//reportingOwnerRelationship/officerTitle")), F.xpath_string("_x", F.lit("//reportingOwnerId/rptOwnerName"))
-    base = "//nonDerivativeTable/nonDerivativeTransaction"
-    get = lambda path: F.xpath("_x", F.lit(f"{base}/{path}/text()"))
-    rows = ok.select(owner.alias("filer"), F.when(title != "", title).when(F.xpath_string("_x", F.lit("//reportingOwnerRelationship/isDirector")).isin("1", "true"), "Director").otherwise("Other").alias("relation"), F.posexplode(F.arrays_zip(get("transactionDate/value").alias("day"), get("transactionCoding/transactionCode").alias("code"), get("transactionAmounts/transactionShares/value").alias("shares"), get("transactionAmounts/transactionPricePerShare/value").alias("price"))).alias("i", "t"))
+REPORT = """struct<reportingOwner: struct<reportingOwnerId: struct<rptOwnerName: string>, reportingOwnerRelationship: struct<isDirector: string, officerTitle: string>>,
+  nonDerivativeTable: struct<nonDerivativeTransaction: array<struct<transactionDate: struct<value: string>, transactionCoding: struct<transactionCode: string>,
+  transactionAmounts: struct<transactionShares: struct<value: string>, transactionPricePerShare: struct<value: string>>,
+  postTransactionAmounts: struct<sharesOwnedFollowingTransaction: struct<value: string>>>>>, _malformed: string>"""
+
+
+def reports(df: DataFrame, payload: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Ownership reports (XML text) read by Spark's XML parser with a schema: kept columns, report (a struct), malformed (the text of a
+    report that cannot be read, whose fields are null then)."""
+    whole = F.col(payload).rlike(r"(?s)<ownershipDocument\b.*</ownershipDocument>\s*$")
+    text = F.when(whole, F.col(payload)).otherwise(F.lit("<"))  # what has no end is malformed as a whole
+    parsed = df.select(*keep, F.col(payload).alias("_text"), F.from_xml(text, REPORT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "rowTag": "ownershipDocument"}).alias("report"))
+    return parsed.select(*keep, "report", F.when(F.col("_text").isNotNull() & (F.col("report").isNull() | F.col("report._malformed").isNotNull()), F.col("_text")).alias("malformed"))
+
+
+def ownership(df: DataFrame, payload: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Transactions of ownership reports (XML text): owner, relation (an officer's title before Director), date, kind, shares (0 without
+    any), price, value, shares owned after it. Malformed reports, and transactions without a date, give no row."""
+    owner = c("report.reportingOwner")
+    title = owner["reportingOwnerRelationship"]["officerTitle"]
+    relation = F.when(title != "", title).when(owner["reportingOwnerRelationship"]["isDirector"].isin("1", "true"), "Director").otherwise("Other")
+    rows = reports(df, payload, keep).where("malformed is null").select(*keep, owner["reportingOwnerId"]["rptOwnerName"].alias("filer"), relation.alias("relation"), F.explode("report.nonDerivativeTable.nonDerivativeTransaction").alias("t"))
     kinds = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
-    out = rows.select("filer", "relation", F.to_date("t.day").alias("day"), F.coalesce(F.try_element_at(kinds, c("t.code")), c("t.code")).alias("kind"), F.expr("try_cast(t.shares as bigint)").alias("shares"), F.expr("try_cast(t.price as double)").alias("price"))
-    return out.withColumn("value", c("shares") * F.coalesce("price", F.lit(0.0)))
+    code = F.coalesce(c("t.transactionCoding.transactionCode"), F.lit(""))
+    number = lambda path, default: F.coalesce(c(path).try_cast("double"), F.lit(default))
+    out = rows.select(*keep, "filer", "relation", c("t.transactionDate.value").try_cast("date").alias("day"), F.coalesce(F.try_element_at(kinds, code), code).alias("kind"), F.floor(number("t.transactionAmounts.transactionShares.value", 0.0)).alias("shares"), number("t.transactionAmounts.transactionPricePerShare.value", 0.0).alias("price"), F.floor(number("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value", 0.0)).alias("shares_after"))
+    return out.where("day is not null").withColumn("value", c("shares") * c("price"))
+
+
+def events_on_bars(bars: DataFrame, filings: DataFrame, latest: int = 5, days: int = 30) -> DataFrame:
+    """For each bar, of the `latest` newest current reports up to its day those of the last `days` days: how many have significant
+    items (recent_events), how many earnings (recent_earnings). filings: symbol, form, filed date, accession, items.
+
+    Reports are numbered by symbol and counted as they come in. What a bar looks back to is the count at its day, less that at the later of
+    two places: `latest` reports back, or the last one before the first day that counts. Both are as-of lookups, with no list a bar."""
+    w = Window.partitionBy("symbol").orderBy("filed", F.desc("accession"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    marks = {"events": F.arrays_overlap("items", F.array(*[F.lit(x) for x in SIGNIFICANT])), "earnings": F.array_contains("items", "2.02")}
+    f = filings.where(c("form") == "8-K").withColumns({x: F.sum(F.coalesce(m, F.lit(False)).cast("long")).over(so_far) for x, m in marks.items()})
+    f = f.withColumns({f"back_{x}": F.coalesce(F.lag(x, latest).over(w), F.lit(0)) for x in marks}).withColumn("_last", F.row_number().over(Window.partitionBy("symbol", "filed").orderBy("accession")))
+    f = f.where("_last = 1")  # of one day the last of the order, which has counted the others
+    by_day = lambda columns, later: f.select("symbol", F.date_add("filed", later).cast("timestamp").alias("ts"), *columns)
+    now = ["events", "earnings", "back_events", "back_earnings"]
+    out = asof(bars, by_day(now, 0), ["symbol"], "ts", now)
+    old = asof(out, by_day([c(x).alias(f"old_{x}") for x in marks], days + 1), ["symbol"], "ts", [f"old_{x}" for x in marks])
+    recent = lambda x: F.coalesce(c(x) - F.greatest(c(f"back_{x}"), F.coalesce(c(f"old_{x}"), F.lit(0))), F.lit(0))
+    return old.withColumns({"recent_events": recent("events"), "recent_earnings": recent("earnings")}).drop(*now, *[f"old_{x}" for x in marks])
 
 
 def blended(b: DataFrame, ml: Column, strategy: Column) -> DataFrame:

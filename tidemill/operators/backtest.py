@@ -78,6 +78,17 @@ def trade_stats(t: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     return out.withColumn("kelly", c("win_rate") - F.try_divide(1 - c("win_rate"), F.try_divide(c("avg_win"), F.abs("avg_loss")))).drop("_w", "_l")
 
 
+def trades_rolled_up(t: DataFrame) -> DataFrame:
+    """A8 by symbol and the year of the entry, by symbol (year null) and in all (both null); level is 0, 1 and 3: counts, win rate, means,
+    profit factor and expectancy, taken over the trades of each level."""
+    win, loss = F.when(c("pnl") > 0, c("pnl")), F.when(c("pnl") < 0, c("pnl"))
+    out = t.withColumn("year", F.year("entry_ts")).rollup("symbol", "year").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("trades"), F.count(win).alias("won"), F.count(loss).alias("lost"), F.coalesce(F.avg(win), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("avg_loss"),
+        (F.coalesce(F.sum(win), F.lit(0.0)) / F.coalesce(F.abs(F.sum(loss)), F.lit(1.0))).alias("profit_factor"), F.avg("pnl").alias("expectancy"),
+    )
+    return out.withColumn("win_rate", c("won") / c("trades"))
+
+
 def var_cvar(b: DataFrame, keys: tuple[str, ...] = ("symbol",), share: float = 0.05) -> DataFrame:
     """Quantile of returns, the mean at or below it, and the normal approximation of the quantile."""
     q = b.groupBy(*keys).agg(F.percentile("strategy_return", share).alias("var95"), (F.avg("strategy_return") - 1.645 * F.stddev_samp("strategy_return")).alias("var95_normal"))
@@ -125,6 +136,17 @@ def step(state: dict, price: float, signal: int, cfg: LedgerConfig) -> float | N
     return closed
 
 
+def new_state(cfg: LedgerConfig) -> dict:
+    return {"cash": cfg.capital, "position": 0.0, "entry": 0.0, "equity": cfg.capital}
+
+
+def booked(state: dict, price: float, signal: int, cfg: LedgerConfig) -> float | None:
+    """One bar: state["equity"] becomes the equity before the bar's trade (that of the bar before if the price is unknown), then step()."""
+    if price == price:
+        state["equity"] = state["cash"] + state["position"] * price
+    return step(state, price, signal, cfg) if price == price and price > 0 else None
+
+
 LEDGER = "run_id string, symbol string, ts timestamp, equity double, side int, trade_pnl double"
 
 
@@ -138,11 +160,11 @@ def ledger(b: DataFrame, runs: dict[str, LedgerConfig], signal: str = "signal_va
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf.sort_values("ts")
         cfg = LedgerConfig(**known[g["run_id"].iloc[0]])
-        state = {"cash": cfg.capital, "position": 0.0, "entry": 0.0}
+        state = new_state(cfg)
         equity, side, pnl = [], [], []
         for price, s in zip(g["close"], g[signal], strict=True):
-            equity.append(state["cash"] + state["position"] * price if price == price else (equity[-1] if equity else cfg.capital))
-            pnl.append(step(state, price, int(s), cfg) if price == price and price > 0 else None)
+            pnl.append(booked(state, price, int(s), cfg))
+            equity.append(state["equity"])
             side.append(int(np.sign(state["position"])))
         return pd.DataFrame({"run_id": g["run_id"], "symbol": g["symbol"], "ts": g["ts"], "equity": equity, "side": np.array(side, np.int32), "trade_pnl": pd.array(pnl, dtype="Float64")})
 
@@ -151,6 +173,22 @@ def ledger(b: DataFrame, runs: dict[str, LedgerConfig], signal: str = "signal_va
     return rows.groupBy("run_id", "symbol").applyInPandas(walk, LEDGER)
 
 
+STATE = "symbol string, cash double, position double, entry double, equity double"
+
+
+def ledger_states(b: DataFrame, cfg: LedgerConfig, signal: str = "signal_value") -> DataFrame:
+    """The state in which ledger() leaves each symbol: what live_ledger() can start from."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.sort_values("ts")
+        state = new_state(cfg)
+        for price, s in zip(g["close"], g[signal], strict=True):
+            booked(state, price, int(s), cfg)
+        return pd.DataFrame([{"symbol": g["symbol"].iloc[0], **state}])
+
+    return b.select("symbol", "ts", "close", F.coalesce(c(signal), F.lit(0)).alias(signal)).groupBy("symbol").applyInPandas(walk, STATE)
+
+
 def windows(b: DataFrame, train: int = 252, test: int = 63, every: int = 21, expanding: bool = False, least: int = 126) -> DataFrame:
     """H1 H2: each row with the windows it belongs to, window_id and split, found by arithmetic on seq (from 1)."""
     first = least if expanding else train

@@ -6,10 +6,10 @@ bearish and 0 for no pattern. All columns come from one window over the symbol.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.plans.windows import c, frame, prev
+from tidemill.plans.windows import c, frame, prev, series
 
 # Sizes of candle parts, as shares.
 DOJI, NEAR, FAR, SHORT_SHADOW, LONG_SHADOW, EQUAL = 0.1, 0.2, 0.6, 0.1, 1.0, 0.05
@@ -150,3 +150,25 @@ def candles(bars: DataFrame) -> DataFrame:
     found = parts(bars).select("symbol", "ts", *[value(*d).alias(f"cdl_{name}") for name, d in known.items()])
     count = lambda test: sum(F.when(test(F.col(f"cdl_{name}")), 1).otherwise(0) for name in known)
     return found.select("*", count(lambda v: v > 0).alias("bullish_pattern_count"), count(lambda v: v < 0).alias("bearish_pattern_count"))
+
+
+def confirmed(bars: DataFrame, most: int = 3) -> DataFrame:
+    """(symbol, ts, cdl_hikkake, cdl_hikkakemod) with their confirmations: 200 or -200 at the first bar, of the `most` after a pattern, whose
+    close passes the high (a bullish one) or the low of the bar before the pattern's last. A new pattern takes the place of an open one.
+
+    An automaton with three states, by windows: the last pattern before a bar says what is open and up to when; it is still open if no bar
+    since has passed its level."""
+    found = candles(bars).select("symbol", "ts", "cdl_hikkake", "cdl_hikkakemod").join(bars.select("symbol", "ts", "high", "low", "close"), ["symbol", "ts"])
+    found = found.withColumn("_seq", F.row_number().over(series()))
+    before = frame(Window.unboundedPreceding, -1)
+    for name in ("cdl_hikkake", "cdl_hikkakemod"):
+        one = F.when(c(name) != 0, F.struct(c("_seq").alias("at"), F.signum(name).cast("int").alias("side"), F.when(c(name) > 0, prev("high")).otherwise(prev("low")).alias("level")))
+        found = found.withColumn("_one", one)
+        found = found.withColumn("_open", F.last("_one", True).over(before))
+        passes = (c(name) == 0) & (c("_seq") - c("_open.at") <= most) & (c("_open.side") * (c("close") - c("_open.level")) > 0)
+        found = found.withColumn("_hit", F.coalesce(passes, F.lit(False)))
+        again = F.lit(False)
+        for k in range(1, most):  # an earlier bar has confirmed the same pattern
+            again = again | F.coalesce(prev("_hit", k) & (prev("_open", k)["at"] == c("_open.at")), F.lit(False))
+        found = found.withColumn("_again", again).withColumn(name, F.when(c("_hit") & ~c("_again"), 200 * c("_open.side")).otherwise(c(name)))
+    return found.select("symbol", "ts", "cdl_hikkake", "cdl_hikkakemod")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +89,49 @@ def named(rows: DataFrame, names: DataFrame, key: str = "symbol", name: str = "n
     return rows.join(names.select(key, name), key, "left").withColumn(name, F.coalesce(name, key))
 
 
+def co_moments(r: DataFrame, wide: int = 256, chunks: int = 16) -> DataFrame:
+    """(a, b, n, sa, sb, saa, sbb, sab) of each pair of symbols a < b that share a timestamp, one row a pair and chunk of timestamps: counts,
+    sums and sums of products of column r over the timestamps that both have. r: symbol, ts, r.
+
+    Symbols fall into blocks of about `wide`. A task multiplies the (timestamp x symbol) matrices of two blocks over one chunk of timestamps;
+    a row goes once to each block, so what is shuffled is rows times blocks and not rows times symbols."""
+    blocks = -(-max(1, r.select("symbol").distinct().count()) // wide)
+    rows = r.select("symbol", "ts", "r", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("own"), F.pmod(F.xxhash64("ts"), F.lit(chunks)).cast("int").alias("chunk"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = rows.withColumn("other", other).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other")
+
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, p, q = key
+        t, times = pd.factorize(pdf["ts"])
+
+        def matrix(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            s, names = pd.factorize(pdf["symbol"].to_numpy()[part], sort=True)
+            x, known = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
+            x[t[part], s], known[t[part], s] = pdf["r"].to_numpy()[part], 1.0
+            return x, known, np.asarray(names)
+
+        own = pdf["own"].to_numpy()
+        (x, kx, a), (y, ky, b) = matrix(own == p), matrix(own == q)
+        sums = [kx.T @ ky, x.T @ ky, kx.T @ y, (x * x).T @ ky, kx.T @ (y * y), x.T @ y]
+        i, j = np.nonzero(sums[0])
+        left, right = a[i], b[j]
+        keep = left < right if p == q else np.ones(len(i), bool)
+        i, j, left, right = i[keep], j[keep], left[keep], right[keep]
+        n, sa, sb, saa, sbb, sab = (m[i, j] for m in sums)
+        swap = left > right  # of two blocks either may hold the smaller name
+        pick = lambda u, v: np.where(swap, v, u)
+        return pd.DataFrame({"a": pick(left, right), "b": pick(right, left), "n": n.astype(np.int64), "sa": pick(sa, sb), "sb": pick(sb, sa), "saa": pick(saa, sbb), "sbb": pick(sbb, saa), "sab": sab})
+
+    return rows.groupBy("chunk", "p", "q").applyInPandas(multiply, "a string, b string, n long, sa double, sb double, saa double, sbb double, sab double")
+
+
 def correlations(bars: DataFrame, limit: float = 0.7) -> DataFrame:
     """Correlation of returns for each pair of symbols on shared timestamps; above: over the limit."""
     r = bars.select("symbol", "ts", (F.try_divide(c("close"), prev("close")) - 1).alias("r")).where("r is not null")
-    a, b = r.select("ts", F.col("symbol").alias("a"), F.col("r").alias("ra")), r.select("ts", F.col("symbol").alias("b"), F.col("r").alias("rb"))
-    return a.join(b, "ts").where("a < b").groupBy("a", "b").agg(corr("ra", "rb").alias("corr"), F.count("*").alias("n")).withColumn("above", F.col("corr") > limit)
+    s = co_moments(r).groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    spread = lambda x: F.greatest(c("n") * c(f"s{x}{x}") - c(f"s{x}") * c(f"s{x}"), F.lit(0.0))
+    out = s.withColumn("corr", F.try_divide(c("n") * c("sab") - c("sa") * c("sb"), F.sqrt(spread("a") * spread("b"))))
+    return out.select("a", "b", "corr", "n", (c("corr") > limit).alias("above"))
 
 
 def news_on_bars(bars: DataFrame, daily: DataFrame, columns: list[str], roll_forward: bool = False) -> DataFrame:

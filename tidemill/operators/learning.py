@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +105,85 @@ def stacked(df: DataFrame, features: list[str], n_folds: int = 5, gap: int = 20,
     return out.withColumn("signal", signal_of(c("p"), c("confidence"))), [*models, meta]
 
 
+#: Three boosters that differ in depth, in the share of rows and features of a tree, and in the rows that a leaf needs.
+BOOSTERS = {
+    "deep": {"maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3},
+    "leafy": {"maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20},
+    "plain": {"maxDepth": 4, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1},
+}
+
+
+def held_back(df: DataFrame, share: float = 0.2) -> DataFrame:
+    """Adds is_valid: the latest `share` of the rows by a date that all symbols share."""
+    return dated(df, 1 - share).withColumn("is_valid", ~c("is_train")).drop("is_train")
+
+
+def boosters(features: list[str], task: str = "regression", rounds: int = 500, step: float = 0.05, tolerance: float = 0.01, seed: int = 42) -> dict[str, Pipeline]:
+    """Scaled features and one booster each, for regression or classification. Rows with is_valid decide when a booster stops: once a
+    round betters their error by less than the share `tolerance`."""
+    ready = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
+    kind = GBTRegressor if task == "regression" else GBTClassifier
+    common = {"labelCol": "target", "featuresCol": "features", "maxIter": rounds, "stepSize": step, "seed": seed, "validationIndicatorCol": "is_valid", "validationTol": tolerance}
+    return {name: Pipeline(stages=[*ready, kind(**common, **own)]) for name, own in BOOSTERS.items()}
+
+
+def predicted(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """Adds p_<name>, the prediction."""
+    return model.transform(df).withColumnRenamed("prediction", f"p_{name}").drop("_raw", "features")
+
+
+def rounds_of(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
+
+
+def error_weights(df: DataFrame, predictions: list[str], label: str = "target") -> DataFrame:
+    """(learner, mse, weight): mean squared error of each prediction on df, and its inverse over the sum of inverses."""
+    long = df.where(c(label).isNotNull()).select(label, F.explode(F.array(*[F.struct(F.lit(x).alias("learner"), c(x).alias("p")) for x in predictions])).alias("s")).select(label, "s.*")
+    mse = long.where("p is not null").groupBy("learner").agg(F.avg((c("p") - c(label)) * (c("p") - c(label))).alias("mse"))
+    inverse = 1 / F.greatest(c("mse"), F.lit(1e-12))
+    return mse.withColumn("weight", inverse / F.sum(inverse).over(Window.partitionBy()))  # one row a learner
+
+
+def stacked_regression(df: DataFrame, features: list[str], n_folds: int = 5, gap: int = 20, rounds: int = 500, tolerance: float = 0.01, penalty: float = 1.0, seed: int = 42) -> tuple[DataFrame, list[PipelineModel]]:
+    """Boosters with early stop, fitted on the training part (by a date that all symbols share); a ridge regression on their
+    out-of-fold predictions, and weights by the inverse of their out-of-fold errors. Adds p_<booster>, p (ridge), p_weighted and is_train."""
+    whole = dated(df)
+    train = folds(whole.where("is_train"), n_folds, gap).persist()
+    scored = None
+    for k in range(1, n_folds + 1):
+        part, before = train.where(c("fold") == k), held_back(train.where(c("trains_from") <= k).drop("is_train"))
+        if before.where("not is_valid").isEmpty() or before.where("is_valid").isEmpty():
+            continue
+        for name, pipe in boosters(features, "regression", rounds, tolerance=tolerance, seed=seed).items():
+            part = predicted(pipe.fit(before), part, name)
+        scored = part if scored is None else scored.union(part)
+    if scored is None:
+        raise ValueError("too few bars for the folds")
+    names = [f"p_{x}" for x in BOOSTERS]
+    models, last = [], held_back(train.drop("is_train"))
+    for name, pipe in boosters(features, "regression", rounds, tolerance=tolerance, seed=seed).items():
+        models.append(pipe.fit(last))
+        whole = predicted(models[-1], whole, name)
+    meta = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LinearRegression(labelCol="target", featuresCol="features", regParam=penalty, elasticNetParam=0.0)]).fit(scored)
+    weight = {r["learner"]: r["weight"] for r in error_weights(scored, names).collect()}  # one row a learner
+    out = meta.transform(whole).withColumnRenamed("prediction", "p").drop("features")
+    return out.withColumn("p_weighted", sum(weight[x] * c(x) for x in names)), [*models, meta]
+
+
+def text_scorer(labelled: DataFrame, text: str = "text", label: str = "label", width: int = 1 << 18, penalty: float = 0.001) -> PipelineModel:
+    """A scorer for the third place of the ensemble: hashed counts of words, weighted by how rare they are, and a logistic regression
+    on labels 0 and 1. A Spark transformer, fitted on all labelled rows; null texts have no words."""
+    rows = labelled.where(c(label).isNotNull()).select(F.coalesce(c(text), F.lit("")).alias("_text"), c(label).cast("double").alias("_label"))
+    stages = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[\p{L}']+", gaps=False), HashingTF(inputCol="_words", outputCol="_counts", numFeatures=width), IDF(inputCol="_counts", outputCol="_vector"), LogisticRegression(labelCol="_label", featuresCol="_vector", regParam=penalty, probabilityCol="_probability", rawPredictionCol="_margin", predictionCol="_class")]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def text_scores(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds model_score, the probability of 1 less that of 0, and model_confidence, the larger of both."""
+    out = model.transform(df.withColumn("_text", F.coalesce(c(text), F.lit("")))).withColumn("_p", vector_to_array("_probability"))
+    return out.withColumns({"model_score": c("_p")[1] - c("_p")[0], "model_confidence": F.array_max("_p")}).drop("_text", "_words", "_counts", "_vector", "_probability", "_margin", "_class", "_p")
+
+
 def classification_metrics(df: DataFrame, probability: str = "p", label: str = "target", keys: tuple[str, ...] = ()) -> DataFrame:
     """Accuracy, precision, recall, F1 (0 without cases) and the area under the curve by rank sums with ties. Ranks are taken in 1024
     stretches of the probability, behind the rows of the stretches before, so that no task sorts them all."""

@@ -102,13 +102,34 @@ def prepared(b: DataFrame) -> DataFrame:
     return b.withColumns({"bb_pct_sma": F.try_divide(c("close") - c("bb_lower_sma"), c("bb_upper_sma") - c("bb_lower_sma")), "volume_ratio": F.try_divide(c("volume"), full("volume", 20))})
 
 
-def summary(signals: DataFrame) -> DataFrame:
-    """One row a symbol."""
+def _summed(groups) -> DataFrame:
     v = c("signal_value")
-    out = signals.groupBy("symbol").agg(F.count("*").alias("total"), F.count_if(v > 0).alias("buys"), F.count_if(v < 0).alias("sells"), F.count_if(v == 0).alias("holds"), F.count_if(F.abs(v) == 2).alias("strong"), F.avg("confidence").alias("avg_confidence"), F.avg("ml_probability").alias("avg_ml_probability"), F.avg("sentiment_score").alias("avg_sentiment"), F.count_if(c("confidence") > 0.7).alias("high_confidence"), F.avg("combined").alias("avg_combined"), F.avg("technical_score").alias("avg_technical"), F.avg("risk_reward_ratio").alias("avg_risk_reward"))
+    out = groups.agg(F.count("*").alias("total"), F.count_if(v > 0).alias("buys"), F.count_if(v < 0).alias("sells"), F.count_if(v == 0).alias("holds"), F.count_if(F.abs(v) == 2).alias("strong"), F.avg("confidence").alias("avg_confidence"), F.avg("ml_probability").alias("avg_ml_probability"), F.avg("sentiment_score").alias("avg_sentiment"), F.count_if(c("confidence") > 0.7).alias("high_confidence"), F.avg("combined").alias("avg_combined"), F.avg("technical_score").alias("avg_technical"), F.avg("risk_reward_ratio").alias("avg_risk_reward"))
     return out.withColumns({"buy_pct": 100 * c("buys") / c("total"), "sell_pct": 100 * c("sells") / c("total"), "hold_pct": 100 * c("holds") / c("total")})
 
 
+def summary(signals: DataFrame) -> DataFrame:
+    """One row a symbol."""
+    return _summed(signals.groupBy("symbol"))
+
+
+def rolled_up(signals: DataFrame) -> DataFrame:
+    """A7 by symbol and year, by symbol (year null) and in all (both null); level is 0, 1 and 3. Totals are taken over the signals, not over
+    the years' means; Spark adds the signals up before the shuffle, once for each level."""
+    by_year = signals.withColumn("year", F.year("ts"))
+    return _summed(_Levels(by_year.rollup("symbol", "year")))
+
+
+class _Levels:
+    """A rollup whose aggregates carry the level of their row."""
+
+    def __init__(self, groups) -> None:
+        self.groups = groups
+
+    def agg(self, *columns: Column) -> DataFrame:
+        return self.groups.agg(F.grouping_id().cast("int").alias("level"), *columns)
+
+
 def distribution(signals: DataFrame) -> DataFrame:
     """A14."""
     return signals.groupBy("signal").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import alternative as A
 from tidemill.operators import backtest as P
+from tidemill.operators import candles as K
 from tidemill.operators import cleaning as C
 from tidemill.operators import joins as J
 from tidemill.operators import learning as E
@@ -17,8 +18,9 @@ from tidemill.operators import statistical as S
 from tidemill.operators import strategies as Y
 from tidemill.operators import technical
 from tidemill.operators import text as X
+from tidemill.plans import order as O
 from tidemill.plans.windows import series
-from tidemill.queries import BASE, BRAND, NUDGE, ORACLES, RECURSIVE_SHOWN, ROW, _BALANCE, _SHARPE, _LEX, _PATH, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _wf, based, full, lag, over, pathed, register, rounded, shown, signalled, sql, stage
+from tidemill.queries import BASE, BRAND, NUDGE, ORACLES, RECURSIVE_SHOWN, ROW, _BALANCE, _EVENTS, _LEX, _PATH, _POSTS, _SHARPE, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _tr, _wf, based, full, lag, over, pathed, ranked, register, rounded, shown, signalled, sql, stage
 from tidemill.sources import bars as B
 
 FIRST = "(SELECT min(symbol) FROM bars)"
@@ -385,3 +387,121 @@ def wf_refit_models(spark: SparkSession, d: str) -> DataFrame:
   {_r('exp(sum(ln(1 + greatest(sign(z) * y, -0.99::DOUBLE)))) - 1', 'total_return')}, {_r(_SHARPE.format('greatest(sign(z) * y, -0.99::DOUBLE)'), 'sharpe')} FROM pr WHERE z IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""")
 def wf_refit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(L.refit_metrics(L.refitted(_refit_panel(spark, d), ["f1", "f2"], "y", 126, 42, 21), "y"), 5)
+
+
+# ---------------------------------------------------------------- rollups by symbol and year
+_SHARE = "round(100.0 * count(*) FILTER (WHERE signal_value {}) / count(*) + {}, 6)"
+
+
+_NAMED = "coalesce(symbol, 'all') AS symbol, coalesce(year, 0) AS year, * EXCLUDE (symbol, year)"
+
+
+@register("signal_rollup", f"""WITH {', '.join([BASE, *_sg])} SELECT {_NAMED} FROM (SELECT symbol, CAST(year(ts) AS INTEGER) AS year, CAST(grouping_id(symbol, year(ts)) AS INTEGER) AS level, count(*) AS total,
+  count(*) FILTER (WHERE signal_value > 0) AS buys, count(*) FILTER (WHERE signal_value < 0) AS sells, count(*) FILTER (WHERE signal_value = 0) AS holds, count(*) FILTER (WHERE abs(signal_value) = 2) AS strong, count(*) FILTER (WHERE confidence > 0.7) AS high_confidence,
+  {_r('avg(confidence)', 'avg_confidence', 6)}, {_r('avg(ml)', 'avg_ml_probability', 6)}, {_r('avg(mood)', 'avg_sentiment', 6)}, {_r('avg(combined)', 'avg_combined', 6)}, {_r('avg(technical_score)', 'avg_technical', 6)}, {_r('avg(risk_reward_ratio)', 'avg_risk_reward', 6)},
+  {_SHARE.format('> 0', NUDGE)} AS buy_pct, {_SHARE.format('< 0', NUDGE)} AS sell_pct, {_SHARE.format('= 0', NUDGE)} AS hold_pct FROM x8 GROUP BY ROLLUP (symbol, year(ts)))""")
+def signal_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(G.rolled_up(signalled(spark, d)).na.fill({"symbol": "all", "year": 0}))
+
+
+@register("trade_rollup", f"""{_tr} SELECT {_NAMED} FROM (SELECT symbol, CAST(year(entry_ts) AS INTEGER) AS year, CAST(grouping_id(symbol, year(entry_ts)) AS INTEGER) AS level, count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS won, count(*) FILTER (WHERE pnl < 0) AS lost,
+  {_r('coalesce(avg(pnl) FILTER (WHERE pnl > 0), 0)', 'avg_win', 4)}, {_r('coalesce(avg(pnl) FILTER (WHERE pnl < 0), 0)', 'avg_loss', 4)}, {_r('coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / coalesce(abs(sum(pnl) FILTER (WHERE pnl < 0)), 1)', 'profit_factor', 4)},
+  {_r('avg(pnl)', 'expectancy', 4)}, {_r('count(*) FILTER (WHERE pnl > 0) / count(*)', 'win_rate', 4)} FROM td GROUP BY ROLLUP (symbol, year(entry_ts)))""")
+def trade_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.trades_rolled_up(P.trades(pathed(spark, d))).na.fill({"symbol": "all", "year": 0}), 4)
+
+
+# ---------------------------------------------------------------- filings and posts at every bar, ownership reports
+_BRANDS = "'Brand#' || (1 + o_custkey % 25 // 5) || (1 + o_custkey % 5)"
+_TEXTS = "CASE o_orderkey % 3 WHEN 0 THEN 'Item 1.01 and Item 2.02' WHEN 1 THEN 'Item 2.06' ELSE 'Item 5.02; Item 9.01' END"
+
+
+@register("filing_events_on_bars", f"""WITH {BRAND},
+  fl AS (SELECT {_BRANDS} AS symbol, CAST(o_orderdate AS DATE) AS filed, CAST(o_orderkey AS VARCHAR) AS accession, {_TEXTS} AS text FROM orders WHERE o_orderkey % 4 = 1),
+  rc AS (SELECT b.symbol, b.ts, f.filed, f.text, row_number() OVER (PARTITION BY b.symbol, b.ts ORDER BY f.filed DESC, f.accession) AS i FROM bars b JOIN fl f ON f.symbol = b.symbol AND f.filed <= CAST(b.ts AS DATE)),
+  ev AS (SELECT symbol, ts, count(*) FILTER (WHERE contains(text, '1.01') OR contains(text, '5.02')) AS events, count(*) FILTER (WHERE contains(text, '2.02')) AS earnings FROM rc WHERE i <= 5 AND filed >= CAST(ts AS DATE) - 30 GROUP BY 1, 2)
+  SELECT b.symbol, b.ts, coalesce(events, 0) AS recent_events, coalesce(earnings, 0) AS recent_earnings FROM bars b LEFT JOIN ev ON ev.symbol = b.symbol AND ev.ts = b.ts""")
+def filing_events_on_bars(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("symbol").cast("int")
+    filings = _filings(spark, d).drop("symbol").join(B.load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("accession"), (F.col("o_custkey") % 25).alias("symbol")), "accession")
+    filings = filings.withColumn("symbol", F.concat(F.lit("Brand#"), (1 + F.floor(k / 5)).cast("string"), (1 + k % 5).cast("string")))
+    return A.events_on_bars(B.brand_week(spark, d), filings).select("symbol", "ts", "recent_events", "recent_earnings")
+
+
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+_SOCIAL = ["mentions", "weighted", "bullish_ratio", "trending", "hype", "social_signal"]
+_POST = _POSTS.replace("SELECT role AS symbol, DATE '2024-01-01' + CAST(conv_id % 40 AS INTEGER)", f"SELECT [{', '.join(repr(x) for x in _KINDS)}][1 + conv_id % 5] AS symbol, DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER)")
+
+
+@register("social_on_bars", f"""WITH {_EVENTS}, {_POST},
+  so AS (SELECT symbol, day, n AS mentions, coalesce(sw / nullif(w, 0), 0) AS weighted, b::DOUBLE / n AS bullish_ratio, CAST(n > 10 AND sc::DOUBLE / n > 100 AS INTEGER) AS trending, least(n / 50.0::DOUBLE, 1) AS hype FROM pt)
+  SELECT b.symbol, b.ts, CAST(coalesce(mentions, 0) AS BIGINT) AS mentions, {_r('coalesce(weighted, 0)', 'weighted', 6)}, {_r('coalesce(bullish_ratio, 0)', 'bullish_ratio', 6)}, coalesce(trending, 0) AS trending, {_r('coalesce(hype, 0)', 'hype', 6)},
+    {_r('coalesce(0.5 * weighted + 0.3::DOUBLE * (bullish_ratio - 0.5) + 0.2::DOUBLE * hype, 0)', 'social_signal', 6)} FROM bars b ASOF LEFT JOIN so ON so.symbol = b.symbol AND b.ts >= so.day""")
+def social_on_bars(spark: SparkSession, d: str) -> DataFrame:
+    n = F.char_length("text")
+    symbol = F.array(*[F.lit(x) for x in _KINDS])[(F.col("conv_id") % 5).cast("int")]
+    posts = B.load(spark, d, "conversations").select(symbol.alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 30).cast("int")).alias("day"), n.cast("long").alias("score"), F.col("turn").alias("comments"), ((n % 21 - 10) / 10.0).alias("sentiment"))
+    return rounded(A.on_bars(B.event_hour(spark, d), A.social_daily(posts), _SOCIAL).select("symbol", "ts", *_SOCIAL))
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as ownership reports, one a customer; every seventh lacks its end."""
+    k = F.col("o_orderkey")
+    tag = lambda name, x: F.concat(F.lit(f"<{name}><value>"), x.cast("string"), F.lit(f"</value></{name}>"))
+    code = F.coalesce(F.get(F.array(*[F.lit(x) for x in "PSADFMCG"]), (k % 9).cast("int")), F.lit("Z"))
+    amounts = F.concat(tag("transactionShares", F.floor(F.col("o_totalprice") / 100)), F.when(k % 50 > 0, tag("transactionPricePerShare", k % 50)).otherwise(F.lit("")))
+    after = F.when(k % 3 > 0, F.concat(F.lit("<postTransactionAmounts>"), tag("sharesOwnedFollowingTransaction", k % 1000), F.lit("</postTransactionAmounts>"))).otherwise(F.lit(""))
+    one = F.concat(F.lit("<nonDerivativeTransaction>"), tag("transactionDate", F.to_date("o_orderdate")), F.lit("<transactionCoding><transactionCode>"), code, F.lit("</transactionCode></transactionCoding><transactionAmounts>"), amounts, F.lit("</transactionAmounts>"), after, F.lit("</nonDerivativeTransaction>"))
+    who = F.col("o_custkey")
+    head = F.concat(F.lit('<?xml version="1.0"?><ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>'), who.cast("string"), F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>"), (who % 2).cast("string"), F.lit("</isDirector>"), F.when(who % 5 == 0, F.lit("<officerTitle>CEO</officerTitle>")).otherwise(F.lit("")), F.lit("</reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"))
+    whole = B.load(spark, d, "orders").groupBy("o_custkey").agg(F.concat_ws("", F.collect_list(one)).alias("t"))
+    return whole.select(who.alias("cik"), F.concat(head, F.col("t"), F.lit("</nonDerivativeTable>"), F.when(who % 7 > 0, F.lit("</ownershipDocument>")).otherwise(F.lit(""))).alias("xml"))
+
+
+@register("ownership_table", f"""SELECT CAST(o_custkey AS VARCHAR) AS filer, CASE WHEN o_custkey % 5 = 0 THEN 'CEO' WHEN o_custkey % 2 = 1 THEN 'Director' ELSE 'Other' END AS relation,
+  coalesce(['Buy', 'Sell', 'Grant', 'Disposition', 'Tax Payment', 'Option Exercise', 'Conversion', 'Gift'][1 + o_orderkey % 9], 'Z') AS kind, count(*) AS transactions, CAST(sum(floor(o_totalprice / 100)) AS BIGINT) AS shares,
+  {_r('sum(floor(o_totalprice / 100) * (o_orderkey % 50))', 'value', 2)}, CAST(sum(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 1000 ELSE 0 END) AS BIGINT) AS shares_after, min(CAST(o_orderdate AS DATE)) AS first_day FROM orders WHERE o_custkey % 7 > 0 GROUP BY 1, 2, 3""")
+def ownership_table(spark: SparkSession, d: str) -> DataFrame:
+    t = A.ownership(_reports(spark, d)).groupBy("filer", "relation", "kind").agg(F.count("*").alias("transactions"), F.sum("shares").alias("shares"), F.sum("value").alias("value"), F.sum("shares_after").alias("shares_after"), F.min("day").alias("first_day"))
+    return rounded(t, 2)
+
+
+# ---------------------------------------------------------------- confirmations of candles, order statistics by blocks
+_two = lambda name, m: f"CASE WHEN {name} <> 0 THEN {{'at': seq, 'side': sign({name}), 'level': CASE WHEN {name} > 0 THEN {lag('high')} ELSE {lag('low')} END}} END"
+_hk = stage("hk", "base", h1=lag("high"), l1=lag("low"), h2=lag("high", 2), l2=lag("low", 2), h3=lag("high", 3), l3=lag("low", 3), c1=lag("close"), mr1=f"CASE WHEN count(*) {over(-11, -2)} = 10 THEN avg(high - low) {over(-11, -2)} END")
+_hm = stage("hm", "hk", a="CASE WHEN h1 < h2 AND l1 > l2 AND high < h1 AND low < l1 THEN 100 WHEN h1 < h2 AND l1 > l2 AND high > h1 AND low > l1 THEN -100 ELSE 0 END", b="CASE WHEN h2 < h3 AND l2 > l3 AND h1 < h2 AND l1 > l2 AND c1 <= l1 + 0.2::DOUBLE * mr1 AND high < h1 AND low < l1 THEN 100 WHEN h2 < h3 AND l2 > l3 AND h1 < h2 AND l1 > l2 AND c1 >= h1 - 0.2::DOUBLE * mr1 AND high > h1 AND low > l1 THEN -100 ELSE 0 END")
+_hn = stage("hn", "hm", pa=_two("a", 0), pb=_two("b", 0))
+_walked = lambda p, s: f"""list_reduce(list_prepend({{'v': 0::DOUBLE, 'at': -9::BIGINT, 'side': 0::DOUBLE, 'level': 0::DOUBLE}}, list({{'v': {s}::DOUBLE, 'at': coalesce({p}.at, seq), 'side': close, 'level': coalesce({p}.level, 0)}}) {over('all')}),
+  lambda m, x: CASE WHEN x.v <> 0 THEN {{'v': x.v, 'at': x.at, 'side': sign(x.v), 'level': x.level}} WHEN x.at <= m.at + 3 AND m.side * (x.side - m.level) > 0 THEN {{'v': 200 * m.side, 'at': -9::BIGINT, 'side': 0::DOUBLE, 'level': 0::DOUBLE}} ELSE {{'v': 0::DOUBLE, 'at': m.at, 'side': m.side, 'level': m.level}} END).v"""
+_ho = stage("ho", "hn", cdl_hikkake=_walked("pa", "a"), cdl_hikkakemod=_walked("pb", "b"))
+
+
+@register("candles_confirmed", sql([_hk, _hm, _hn, _ho], ["cdl_hikkake", "cdl_hikkakemod"], "ho", ints=("cdl_hikkake", "cdl_hikkakemod")))
+def candles_confirmed(spark: SparkSession, d: str) -> DataFrame:
+    return K.confirmed(B.brand_week(spark, d))
+
+
+@register("rank_shares", sql([*ranked("o1", "base", "close_rank_100", "close", 100), *ranked("o2", "o1b", "volume_rank_252", "volume", 252, 100.0)], ["close_rank_100", "volume_rank_252"], "o2b"))
+def rank_shares(spark: SparkSession, d: str) -> DataFrame:
+    b = based(spark, d)
+    a, v = O.rank_shares(b, {"close_rank_100": "close"}, 100), O.rank_shares(b, {"volume_rank_252": "volume"}, 252)
+    return rounded(a.join(v, ["symbol", "ts"]).withColumn("volume_rank_252", 100 * F.col("volume_rank_252")))
+
+
+# ---------------------------------------------------------------- models without SQL: a text scorer as the third of the ensemble, boosters with early stop
+@register("text_ensemble_model")
+def text_ensemble_model(spark: SparkSession, d: str) -> DataFrame:
+    docs = B.load(spark, d, "documents").select("doc_id", "text")
+    labelled = docs.join(B.load(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    scored = E.text_scores(E.text_scorer(labelled), docs).drop("text").join(_scored(spark, d), "doc_id")
+    score, label, sure = X.ensemble({"a": F.col("compound"), "b": F.col("polarity"), "c": F.col("model_score")}, {"a": 0.4, "b": 0.2, "c": 0.4})
+    return rounded(scored.select("doc_id", "model_score", "model_confidence", score.alias("score"), label.alias("label"), sure.alias("confidence")))
+
+
+@register("regression_stack")
+def regression_stack(spark: SparkSession, d: str) -> DataFrame:
+    b = technical.momentum(based(spark, d)).withColumn("target", F.lead("r").over(series()))
+    names = ["r", "rsi_sma", "roc", "stoch_k", "willr"]
+    rows = b.where("target is not null").na.drop(subset=names).select("symbol", "ts", "target", *names)
+    out, _ = E.stacked_regression(rows, names)
+    return rounded(out.select("symbol", "ts", "is_train", *[f"p_{x}" for x in E.BOOSTERS], "p", "p_weighted"))
