@@ -255,3 +255,54 @@ def test_notes(spark):
     assert got[0] == ["Strong ML bullish signal (71.00%)", "Positive news sentiment (+0.20)", "RSI oversold (20.0)", "Very strong trend (ADX=41.0)"]
     assert got[1] == ["Strong ML bearish signal (29.00%)", "Negative news sentiment (-0.20)", "RSI overbought (75.0)", "Strong trend (ADX=26.0)"]
     assert got[2] == [] and got[3] == []
+
+
+def test_dates_of_feeds(spark):
+    from tidemill.operators.text import parse_dates
+
+    cases = ["Tue, 02 Jan 2024 10:00:00 -0500", "Tue, 2 Jan 2024 10:00:00 GMT", " 2024-01-02T10:00:00.25Z ", "2024-01-02 10:00:00", "2 Jan", "", None]
+    got = [r["d"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, t string").orderBy("i").select(parse_dates(F.col("t")).alias("d")).collect()]
+    ten = dt.datetime(2024, 1, 2, 10)
+    assert got == [ten, ten, ten.replace(microsecond=250_000), ten, None, None, None]
+
+
+def test_features_on_a_few_bars(spark):
+    """Against the rules written out bar by bar."""
+    from tidemill.operators import statistical as S
+    from tidemill.operators import technical
+
+    rng = np.random.default_rng(12)
+    close = numbers(12, 300)
+    rows = [("x", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(c + rng.normal()), float(c + 2 + rng.random()), float(c - 2 - rng.random()), float(c), float(rng.integers(50, 200))) for i, c in enumerate(close)]
+    b = technical.base(spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double"))
+    p = pd.DataFrame(rows, columns=["symbol", "ts", "open", "high", "low", "close", "volume"])
+    c, h, lo, v = p.close, p.high, p.low, p.volume
+    r = c.pct_change()
+
+    def same(df, names):
+        got = df.orderBy("ts").toPandas()
+        for name, want in names.items():
+            np.testing.assert_allclose(got[name].astype(float), np.asarray(want, float), rtol=1e-8, atol=1e-8, err_msg=name)
+
+    same(S.factors(b), {"ts_momentum_20": c / c.rolling(20).mean() - 1, "momentum_quality_50": (r > 0).rolling(50).sum() / 50, "momentum_acceleration": (c / c.shift(21) - 1).diff(), "pct_from_52w_high": c / c.rolling(252).max() - 1, "momentum_breadth": sum((c > c.rolling(n).mean()).astype(int) for n in (20, 50, 100, 200)) / 4})
+    d = c.diff()
+    delta = np.where(d > 0, v, 0) - np.where(d < 0, v, 0)
+    ease = ((h + lo) / 2).diff() / (v / 1e6 / (h - lo + 1e-10))
+    same(S.flow(b), {"volume_delta": delta, "cum_volume_delta": delta.cumsum(), "pvt": (r * v).cumsum(), "ease_of_movement": ease, "intraday_intensity": (2 * c - h - lo) / (h - lo + 1e-10) * v})
+
+    def entropy(x):
+        hist, _ = np.histogram(x, bins=10, density=True)
+        hist = hist[hist > 0]
+        return -np.sum(hist * np.log2(hist + 1e-10))
+
+    same(S.chaos(b), {"price_entropy": r.rolling(20).apply(entropy, raw=True)})
+    std = lambda x, n: x.rolling(n).std()
+    rv = std(r, 20)
+    same(S.volatilities(b), {"parkinson_volatility": np.sqrt((np.log(h / lo) ** 2).rolling(20).mean() / (4 * np.log(2))), "vol_persistence": rv.rolling(5).mean() / (rv.rolling(50).mean() + 1e-10)})
+    same(S.proxies(b), {"put_call_proxy": ((r < 0).astype(int) * (v > v.rolling(20).mean()).astype(int)).rolling(10).mean(), "skew_proxy": std(pd.Series(np.where(r < 0, r, 0)), 20) / (std(pd.Series(np.where(r > 0, r, 0)), 20) + 1e-10), "liquidity_proxy": v.rolling(20).mean() / (rv * c + 1e-10)})
+    pivot = (h.shift() + lo.shift() + c.shift()) / 3
+    same(S.levels(b), {"dist_to_pivot": (c - pivot) / c, "dist_to_s1": (c - (2 * pivot - h.shift())) / c, "price_position": (c - lo.rolling(20).min()) / (h.rolling(20).max() - lo.rolling(20).min() + 1e-10)})
+    m = {n: c.rolling(n).mean() for n in (20, 50, 100)}
+    same(S.relations(b), {"trend_regime": sum(x.astype(int) for x in (c > m[20], c > m[50], c > m[100], m[20] > m[50], m[50] > m[100])), "range_lag_2": ((h - lo) / c).shift(2)})
+    low, high = c.rolling(20).min(), c.rolling(20).max()
+    same(S.rolling(b, 20), {"rolling_20_range_pct": (c - low) / (high - low + 1e-8)})

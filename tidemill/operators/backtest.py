@@ -219,7 +219,7 @@ def walk_forward_summary(m: DataFrame) -> DataFrame:
     out = both.groupBy("symbol").agg(
         F.count("*").alias("windows"), (F.product(1 + c("test_total_return")) - 1).alias("total_return"), F.greatest(F.sum("days") / 252, F.lit(1 / 252)).alias("_years"), F.coalesce(F.avg(F.when(c("test_sharpe") != 0, c("test_sharpe"))), F.lit(0.0)).alias("avg_sharpe"),
         F.avg((c("test_total_return") > 0).cast("double")).alias("positive_windows"), F.coalesce(F.try_divide(F.avg("train_total_return") - F.avg("test_total_return"), F.abs(F.avg("train_total_return"))), F.lit(0.0)).alias("overfitting_ratio"),
-        F.when(F.count("*") > 2, corr("train_total_return", "test_total_return")).otherwise(0.0).alias("train_test_corr"),
+        F.when(F.count("*") > 2, F.coalesce(corr("train_total_return", "test_total_return"), F.lit(0.0))).otherwise(0.0).alias("train_test_corr"),
     )
     return out.withColumn("annual_return", F.pow(1 + c("total_return"), 1 / c("_years")) - 1).drop("_years")
 

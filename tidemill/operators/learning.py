@@ -48,13 +48,13 @@ def folds(df: DataFrame, n: int = 5, gap: int = 20) -> DataFrame:
     return b.withColumns({"fold": F.least(F.coalesce(fold, F.lit(0)), F.lit(n)).cast("int"), "trains_from": F.coalesce(first, F.lit(n + 1)).cast("int")}).drop("_size", "_place")
 
 
-def confidence(scores: list[Column]) -> Column:
-    """Agreement of the learners and distance from one half."""
+def confidence(scores: list[Column], final: Column | None = None) -> Column:
+    """Agreement of the learners, and distance from one half of the final score (without one, of the mean)."""
     x = F.array(*scores)
     n = F.size(x)
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
     spread = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / n - mean * mean + 1e-12)
-    return 0.6 * (1 - F.least(F.greatest(2 * spread, F.lit(0.0)), F.lit(1.0))) + 0.4 * 2 * F.abs(mean - 0.5)
+    return 0.6 * (1 - F.least(F.greatest(2 * spread, F.lit(0.0)), F.lit(1.0))) + 0.4 * 2 * F.abs((mean if final is None else final) - 0.5)
 
 
 def mean_score(scores: dict[str, Column], mode: str = "mean", weights: dict[str, float] | None = None) -> Column:
@@ -101,7 +101,7 @@ def stacked(df: DataFrame, features: list[str], n_folds: int = 5, gap: int = 20,
         raise ValueError("too few bars of both classes for the folds")
     meta = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol="target", featuresCol="features")]).fit(scored)
     out = meta.transform(whole).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    out = out.withColumn("confidence", confidence([c(x) for x in names]))
+    out = out.withColumn("confidence", confidence([c(x) for x in names], c("p")))
     return out.withColumn("signal", signal_of(c("p"), c("confidence"))), [*models, meta]
 
 
@@ -140,7 +140,7 @@ def error_weights(df: DataFrame, predictions: list[str], label: str = "target")
     """(learner, mse, weight): mean squared error of each prediction on df, and its inverse over the sum of inverses."""
     long = df.where(c(label).isNotNull()).select(label, F.explode(F.array(*[F.struct(F.lit(x).alias("learner"), c(x).alias("p")) for x in predictions])).alias("s")).select(label, "s.*")
     mse = long.where("p is not null").groupBy("learner").agg(F.avg((c("p") - c(label)) * (c("p") - c(label))).alias("mse"))
-    inverse = 1 / F.greatest(c("mse"), F.lit(1e-12))
+    inverse = 1 / (c("mse") + 1e-8)
     return mse.withColumn("weight", inverse / F.sum(inverse).over(Window.partitionBy()))  # one row a learner
 
 

@@ -218,7 +218,8 @@ def compute(pdf: pd.DataFrame) -> pd.DataFrame:
     f3, s10 = (affine(ad[1:], 2 / (k + 1), ad[0]) if n else ad for k in (3, 10))
     out["adosc"] = np.r_[np.full(min(9, n), np.nan), (np.r_[ad[:1], f3] - np.r_[ad[:1], s10])[9:]]
     lagged = lambda x, k: x - np.r_[np.full(min(k, n), np.nan), x[:-k]]
-    out["rsi_slope"], out["price_slope"], out["macd_hist_slope"] = lagged(out["rsi"], 5), lagged(c, 5), lagged(out["macd_hist"], 3)
+    out["rsi_slope"], out["macd_hist_slope"] = lagged(out["rsi"], 5), lagged(out["macd_hist"], 3)
+    out["price_slope"] = _ratio(lagged(c, 5), c - lagged(c, 5))
     signs = np.sign(out["rsi_slope"]), np.sign(out["price_slope"])
     out["rsi_divergence"] = (signs[0] != signs[1]).astype(int)
     atr50 = _rolling(out["atr"], 50, "mean")

@@ -18,7 +18,7 @@ def rolling(b: DataFrame, n: int) -> DataFrame:
     p = f"rolling_{n}_"
     q = lambda x: full("close", n, lambda v: F.percentile(v, x))
     b = b.withColumns({p + "mean": full("close", n), p + "std": full("close", n, F.stddev_samp), p + "var": full("close", n, F.var_samp), p + "min": full("close", n, F.min), p + "max": full("close", n, F.max), p + "median": q(0.5), p + "q25": q(0.25), p + "q75": q(0.75), p + "return_mean": full("r", n), p + "return_std": full("r", n, F.stddev_samp), p + "skew": skew("r", n), p + "kurt": kurt("r", n)})
-    return b.withColumns({p + "range": c(p + "max") - c(p + "min"), p + "range_pct": (c(p + "max") - c(p + "min")) / (c(p + "mean") + EPS), p + "cv": c(p + "std") / (c(p + "mean") + EPS), p + "iqr": c(p + "q75") - c(p + "q25")})
+    return b.withColumns({p + "range": c(p + "max") - c(p + "min"), p + "range_pct": (c("close") - c(p + "min")) / (c(p + "max") - c(p + "min") + EPS), p + "cv": c(p + "std") / (c(p + "mean") + EPS), p + "iqr": c(p + "q75") - c(p + "q25")})
 
 
 def rolling_names(n: int) -> list[str]:
@@ -69,17 +69,17 @@ def _corr(x: str, y: str, n: int, pairs: int | None = None) -> Column:
 
 def relations(b: DataFrame) -> DataFrame:
     """Correlations, regimes, lags and runs."""
-    b = b.withColumns({"_vc": change("volume"), "_rg": c("high") - c("low"), **{f"_r{k}": prev("r", k) for k in (1, 2, 3, 5, 10)}, "volume_ratio": div("volume", full("volume", 20)), "_std20": full("r", 20, F.stddev_samp), "_std50": full("r", 50, F.stddev_samp), "_std100": full("r", 100, F.stddev_samp), "_up": (c("r") > 0).cast("double")})
-    ma = {n: full("close", n) for n in (10, 20, 50, 100, 200)}
-    relation = [c("close") > ma[20], c("close") > ma[50], c("close") > ma[200], ma[20] > ma[50], ma[50] > ma[200]]
+    b = b.withColumns({"_vc": change("volume"), "_rg": c("high") - c("low"), "_rp": div(c("high") - c("low"), "close"), **{f"_r{k}": prev("r", k) for k in (1, 2, 3, 5, 10)}, "volume_ratio": div("volume", full("volume", 20)), "_std20": full("r", 20, F.stddev_samp), "_std50": full("r", 50, F.stddev_samp), "_std100": full("r", 100, F.stddev_samp), "_up": (c("r") > 0).cast("double")})
+    ma = {n: full("close", n) for n in (20, 50, 100)}
+    relation = [c("close") > ma[20], c("close") > ma[50], c("close") > ma[100], ma[20] > ma[50], ma[50] > ma[100]]
     b = b.withColumns({
         "price_volume_corr": _corr("r", "_vc", 20), "range_volume_corr": _corr("_rg", "volume", 20),
         **{f"return_autocorr_lag{k}": F.when(F.count(F.when(c("r").isNotNull() & c(f"_r{k}").isNotNull(), 1)).over(frame(-(19 - k), 0)) == 20 - k, corr("r", f"_r{k}", frame(-(19 - k), 0))) for k in (1, 5, 10)},
         "volatility_ratio_20_50": c("_std20") / (c("_std50") + EPS), "volatility_ratio_20_100": c("_std20") / (c("_std100") + EPS),
         "_share100": rank_share("_std20", 100),
-        "trend_regime": sum(flag(x) for x in relation), "mean_reversion_score": F.abs(div(c("close") - ma[50], c("_std50") * 50**0.5)),
-        "momentum_regime": full("_up", 20), "range_trend_ratio": div(full("_rg", 20), full("tr", 20)),
-        **{f"return_lag_{k}": c(f"_r{k}") for k in (1, 2, 3, 5, 10)}, **{f"volume_ratio_lag_{k}": prev("volume_ratio", k) for k in (1, 2, 3)}, **{f"range_lag_{k}": prev("_rg", k) for k in (1, 2, 3)},
+        "trend_regime": sum(flag(x) for x in relation), "mean_reversion_score": F.abs((c("close") - ma[50]) / (c("_std50") * 50**0.5 + EPS)),
+        "momentum_regime": full("_up", 20), "range_trend_ratio": full("_rg", 20) / (full("tr", 20) + EPS),
+        **{f"return_lag_{k}": c(f"_r{k}") for k in (1, 2, 3, 5, 10)}, **{f"volume_ratio_lag_{k}": prev("volume_ratio", k) for k in (1, 2, 3)}, **{f"range_lag_{k}": prev("_rp", k) for k in (1, 2, 3)},
         **{f"cum_return_{k}d": change("close", k) for k in (3, 5, 10)}, "return_acceleration": c("r") - c("_r1"),
         "_ui": run_length(c("r") > 0)[0], "_di": run_length(c("r") < 0)[0],
     })
@@ -93,7 +93,7 @@ RELATIONS = ["price_volume_corr", "range_volume_corr", *[f"return_autocorr_lag{k
 
 def regimes(b: DataFrame) -> DataFrame:
     """Return regimes and the percentile of volatility."""
-    b = b.withColumns({**{f"regime_score_{n}": div(full("r", n), full("r", n, F.stddev_samp)) for n in (20, 50)}, **{f"trend_strength_{n}": full(c("high") - c("low"), n) / c("close") for n in (20, 50)}, "_std": full("r", 20, F.stddev_samp)})
+    b = b.withColumns({**{f"regime_score_{n}": full("r", n) / (full("r", n, F.stddev_samp) + EPS) for n in (20, 50)}, **{f"trend_strength_{n}": full(c("high") - c("low"), n) / c("close") for n in (20, 50)}, "_std": full("r", 20, F.stddev_samp)})
     marks = {f"regime_{k}_{n}": flag(test(c(f"regime_score_{n}"))) for n in (20, 50) for k, test in (("bull", lambda s: s > 0.5), ("bear", lambda s: s < -0.5), ("sideways", lambda s: F.abs(s) <= 0.5))}
     b = b.withColumns(marks | {"vol_regime_percentile": 100 * rank_share("_std", 252)})
     b = b.withColumns({"high_vol_regime": flag(c("vol_regime_percentile") > 80), "low_vol_regime": flag(c("vol_regime_percentile") < 20), "regime_change": sum(F.coalesce(F.abs(c(f"regime_{k}_20") - prev(f"regime_{k}_20")), F.lit(0)) for k in ("bull", "bear"))})
@@ -122,15 +122,15 @@ def rescaled_range(n: int, sample: bool = False) -> Column:
 
 
 def chaos(b: DataFrame) -> DataFrame:
-    """Rescaled range, box count, divergence of returns, entropy of prices."""
+    """Rescaled range, divergence of returns, entropy of the density of 20 returns in ten bins of their range."""
     bins = 10
-    seen, lo, hi = F.collect_list("close").over(win(20)), F.min("close").over(win(20)), F.max("close").over(win(20))
+    seen, lo, hi = F.collect_list("r").over(win(20)), F.min("r").over(win(20)), F.max("r").over(win(20))
     low, high = F.when(lo == hi, lo - 0.5).otherwise(lo), F.when(lo == hi, hi + 0.5).otherwise(hi)
     b = b.withColumns({"_dr": F.log(F.abs(c("r") - prev("r")) + 1e-10), "_e": F.struct(seen.alias("x"), low.alias("lo"), high.alias("hi"))})
     e = c("_e")
     place = F.transform(e["x"], lambda v: F.least(F.floor((v - e["lo"]) / ((e["hi"] - e["lo"]) / bins)), F.lit(bins - 1)))
     share = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(place, lambda v: v == k)) / (20.0 * (e["hi"] - e["lo"]) / bins))
-    entropy = F.aggregate(share, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log(p)).otherwise(0.0))
+    entropy = F.aggregate(share, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p + 1e-10)).otherwise(0.0))
     b = b.withColumns({**{f"hurst_proxy_{n}": rescaled_range(n) for n in (20, 50, 100)}, "lyapunov_proxy": F.when(F.count("r").over(win(50)) == 50, F.avg("_dr").over(frame(-48, 0))), "price_entropy": F.when(F.size(e["x"]) == 20, entropy)})
     return b.drop("_dr", "_e")
 
@@ -140,10 +140,10 @@ CHAOS = ["hurst_proxy_20", "hurst_proxy_50", "hurst_proxy_100", "lyapunov_proxy"
 
 def flow(b: DataFrame) -> DataFrame:
     """Order-flow proxies."""
-    up = c("close") > c("open")
+    up, down = flag(c("close") > c("last")), flag(c("close") < c("last"))
     mid = (c("high") + c("low")) / 2
-    b = b.withColumns({"buying_pressure": F.when(up, c("volume")).otherwise(0.0), "selling_pressure": F.when(up, 0.0).otherwise(c("volume")), "_pv": F.coalesce(c("r"), F.lit(0.0)) * c("volume"), "_rg": c("high") - c("low"), "_mid": mid, "_cm": full("close", 20), "_vm": full("volume", 20), "intraday_intensity": div((2 * c("close") - c("high") - c("low")) * c("volume"), c("high") - c("low"))})
-    b = b.withColumns({"volume_delta": c("buying_pressure") - c("selling_pressure"), "pvt": F.sum("_pv").over(past()), "ease_of_movement": div(c("_mid") - prev("_mid"), div("volume", "_rg")), "vpci": F.signum(c("_cm") - prev("_cm")) * F.signum(c("_vm") - prev("_vm")), "ii_cumsum": full("intraday_intensity", 20, F.sum)})
+    b = b.withColumns({"buying_pressure": up * c("volume"), "selling_pressure": down * c("volume"), "_pv": c("r") * c("volume"), "_rg": c("high") - c("low"), "_mid": mid, "_cm": full("close", 20), "_vm": full("volume", 20), "intraday_intensity": (2 * c("close") - c("high") - c("low")) / (c("high") - c("low") + 1e-10) * c("volume")})
+    b = b.withColumns({"volume_delta": c("buying_pressure") - c("selling_pressure"), "pvt": F.sum("_pv").over(past()), "ease_of_movement": div(c("_mid") - prev("_mid"), c("volume") / 1e6 / (c("_rg") + 1e-10)), "vpci": F.signum(c("_cm") - prev("_cm")) * F.signum(c("_vm") - prev("_vm")), "ii_cumsum": full("intraday_intensity", 20, F.sum)})
     b = b.withColumns({"cum_volume_delta": F.sum("volume_delta").over(past()), **{f"volume_delta_ma_{n}": full("volume_delta", n) for n in (5, 10, 20)}, "pvt_signal": full("pvt", 20), "eom_ma": full("ease_of_movement", 14)})
     b = b.withColumns({f"volume_delta_divergence_{n}": c("volume_delta") - c(f"volume_delta_ma_{n}") for n in (5, 10, 20)})
     return b.drop("_pv", "_rg", "_mid", "_cm", "_vm")
@@ -153,14 +153,15 @@ FLOW = ["buying_pressure", "selling_pressure", "volume_delta", "cum_volume_delta
 
 
 def levels(b: DataFrame) -> DataFrame:
-    """Strict local extrema (and, without look-ahead, when they are confirmed), distance to the last one, pivots."""
+    """Strict local extrema (and, without look-ahead, when they are confirmed), distances up to resistances and down to supports and the
+    pivot, place in the range of 20 bars."""
     k = 5
     around = lambda x, agg: (agg(x).over(frame(-k, -1)), agg(x).over(frame(1, k)))
     (h0, h1), (l0, l1) = around("high", F.max), around("low", F.min)
     b = b.withColumns({"is_resistance": flag((c("high") > h0) & (c("high") > h1)), "is_support": flag((c("low") < l0) & (c("low") < l1)), "pivot": (prev("high") + prev("low") + prev("close")) / 3, "_ph": prev("high"), "_pl": prev("low"), "_lo": full("low", 20, F.min), "_hi": full("high", 20, F.max)})
-    b = b.withColumns({"is_resistance_confirmed": F.coalesce(prev("is_resistance", k), F.lit(0)), "is_support_confirmed": F.coalesce(prev("is_support", k), F.lit(0)), "_r": F.last(F.when(c("is_resistance") == 1, c("high")), True).over(past()), "_s": F.last(F.when(c("is_support") == 1, c("low")), True).over(past()), "r1": 2 * c("pivot") - c("_pl"), "s1": 2 * c("pivot") - c("_ph"), "r2": c("pivot") + (c("_ph") - c("_pl")), "s2": c("pivot") - (c("_ph") - c("_pl")), "price_position": div(c("close") - c("_lo"), c("_hi") - c("_lo"))})
+    b = b.withColumns({"is_resistance_confirmed": F.coalesce(prev("is_resistance", k), F.lit(0)), "is_support_confirmed": F.coalesce(prev("is_support", k), F.lit(0)), "_r": F.last(F.when(c("is_resistance") == 1, c("high")), True).over(past()), "_s": F.last(F.when(c("is_support") == 1, c("low")), True).over(past()), "r1": 2 * c("pivot") - c("_pl"), "s1": 2 * c("pivot") - c("_ph"), "r2": c("pivot") + (c("_ph") - c("_pl")), "s2": c("pivot") - (c("_ph") - c("_pl")), "price_position": (c("close") - c("_lo")) / (c("_hi") - c("_lo") + 1e-10)})
     near = lambda x: div(c(x) - c("close"), "close")
-    b = b.withColumns({"dist_to_resistance": near("_r"), "dist_to_support": near("_s"), "dist_to_pivot": near("pivot"), "dist_to_r1": near("r1"), "dist_to_s1": near("s1")})
+    b = b.withColumns({"dist_to_resistance": near("_r"), "dist_to_support": -near("_s"), "dist_to_pivot": -near("pivot"), "dist_to_r1": near("r1"), "dist_to_s1": -near("s1")})
     return b.drop("_ph", "_pl", "_lo", "_hi", "_r", "_s")
 
 
@@ -187,9 +188,9 @@ REVERSION = [*[f"zscore_{n}" for n in (10, 20, 50, 100)], *[f"mr_probability_{n}
 
 def factors(b: DataFrame) -> DataFrame:
     """Momentum factors."""
-    b = b.withColumns({"momentum_12_1": div(prev("close", 21), prev("close", 252)) - 1, "momentum_6m": change("close", 126), "momentum_1m": change("close", 21), **{f"ts_momentum_{n}": full("r", n) / (full("r", n, F.stddev_samp) + 1e-10) for n in (20, 50, 100, 200)}, "_pos": (c("r") > 0).cast("double"), "_ab": F.abs("r"), "_m20": change("close", 20), "_hi": full("high", 252, F.max), "_lo": full("low", 252, F.min)})
-    b = b.withColumns({**{f"momentum_quality_{n}": full("r", n, F.sum) / (full("_ab", n, F.sum) + 1e-10) for n in (20, 50)}, "momentum_acceleration": c("_m20") - prev("_m20", 20), "pct_from_52w_high": div(c("close") - c("_hi"), "_hi"), "pct_from_52w_low": div(c("close") - c("_lo"), "_lo"), "momentum_breadth": sum(flag(change("close", n) > 0) for n in (5, 10, 20, 50)) / 4.0})
-    return b.drop("_pos", "_ab", "_m20", "_hi", "_lo")
+    b = b.withColumns({"momentum_12_1": div(prev("close", 21), prev("close", 252)) - 1, "momentum_6m": change("close", 126), "momentum_1m": change("close", 21), **{f"ts_momentum_{n}": div("close", full("close", n)) - 1 for n in (20, 50, 100, 200)}, "_pos": flag(c("r") > 0).cast("double"), "_hi": full("close", 252, F.max), "_lo": full("close", 252, F.min)})
+    b = b.withColumns({**{f"momentum_quality_{n}": full("_pos", n) for n in (20, 50)}, "momentum_acceleration": c("momentum_1m") - prev("momentum_1m"), "pct_from_52w_high": div(c("close") - c("_hi"), "_hi"), "pct_from_52w_low": div(c("close") - c("_lo"), "_lo"), "momentum_breadth": sum(flag(c("close") > full("close", n)) for n in (20, 50, 100, 200)) / 4.0})
+    return b.drop("_pos", "_hi", "_lo")
 
 
 FACTORS = ["momentum_12_1", "momentum_6m", "momentum_1m", *[f"ts_momentum_{n}" for n in (20, 50, 100, 200)], "momentum_quality_20", "momentum_quality_50", "momentum_acceleration", "pct_from_52w_high", "pct_from_52w_low", "momentum_breadth"]
@@ -203,10 +204,10 @@ def volatilities(b: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol", "_sign").orderBy("ts")
     side = F.when(F.count("r").over(w.rowsBetween(-19, 0)) == 20, F.stddev_samp("r").over(w.rowsBetween(-19, 0)))
     gk = full("_gk", 20)
-    b = b.withColumns({"parkinson_volatility": F.sqrt(full("_pk", 20) / (4 * 0.6931471805599453)) * YEAR, "gk_volatility": F.when(gk >= 0, F.sqrt(gk)) * YEAR, "vol_of_vol": full("_v20", 20, F.stddev_samp), "vol_term_5_20": c("_v5") / (c("_v20") + 1e-10), "vol_term_20_60": c("_v20") / (c("_v60") + 1e-10), "_side": side, "_vz": (c("_v20") - full("_v20", 50)) / (full("_v20", 50, F.stddev_samp) + 1e-10), "_pv": prev("_v20")})
+    b = b.withColumns({"parkinson_volatility": F.sqrt(full("_pk", 20) / (4 * 0.6931471805599453)), "gk_volatility": F.when(gk >= 0, F.sqrt(gk)), "vol_of_vol": full("_v20", 20, F.stddev_samp), "vol_term_5_20": c("_v5") / (c("_v20") + 1e-10), "vol_term_20_60": c("_v20") / (c("_v60") + 1e-10), "_side": side, "_vz": (c("_v20") - full("_v20", 50)) / (full("_v20", 50, F.stddev_samp) + 1e-10), })
     keep = lambda s: F.last(F.when(c("_sign") == s, c("_side")), True).over(past())
-    b = b.withColumns({"vol_skew": keep(1) - keep(-1), "vol_persistence": _corr("_v20", "_pv", 20), "vol_jump": flag(c("_vz") > 2)})
-    return b.drop("_pk", "_gk", "_v5", "_v20", "_v60", "_sign", "_side", "_vz", "_pv")
+    b = b.withColumns({"vol_skew": keep(1) - keep(-1), "vol_persistence": full("_v20", 5) / (full("_v20", 50) + 1e-10), "vol_jump": flag(c("_vz") > 2)})
+    return b.drop("_pk", "_gk", "_v5", "_v20", "_v60", "_sign", "_side", "_vz")
 
 
 VOLATILITIES = "parkinson_volatility gk_volatility vol_of_vol vol_term_5_20 vol_term_20_60 vol_skew vol_persistence vol_jump".split()
@@ -215,10 +216,10 @@ VOLATILITIES = "parkinson_volatility gk_volatility vol_of_vol vol_term_5_20 vol_
 def proxies(b: DataFrame) -> DataFrame:
     """Option-like and macro-like proxies from prices alone."""
     std = lambda n: full("r", n, F.stddev_samp)
-    b = b.withColumns({"_rv": std(20) * YEAR, "_down": F.when(c("r") < 0, c("volume")).when(c("r").isNotNull(), 0.0), "_upv": F.when(c("r") > 0, c("volume")).when(c("r").isNotNull(), 0.0), "_tv": c("tp") * c("volume"), "_v60": std(60), "_dd": c("close") / F.max("close").over(past()) - 1, "_neg": flag(c("r") < 0).cast("double"), "_il": div(F.abs("r"), "volume")})
-    b = b.withColumns({"iv_proxy": full("_rv", 252, lambda v: F.percentile(v, 0.75)), "put_call_proxy": full("_down", 10, F.sum) / (full("_upv", 10, F.sum) + 1e-10), "skew_proxy": skew("r", 20), "max_pain_proxy": div(full("_tv", 20, F.sum), full("volume", 20, F.sum)), "economic_proxy": change("close", 60), "inflation_proxy": rank_share("_v60", 252), "credit_stress_proxy": -full("_dd", 20, F.min), "liquidity_proxy": full("_il", 20)})
-    b = b.withColumns({"vol_risk_premium": c("iv_proxy") - c("_rv"), "dist_to_max_pain": div(c("close") - c("max_pain_proxy"), "max_pain_proxy"), "_ep": flag(c("economic_proxy") < 0).cast("double")})
-    return b.withColumn("recession_proxy", full("_ep", 3)).drop("_rv", "_down", "_upv", "_tv", "_v60", "_dd", "_neg", "_il", "_ep")
+    b = b.withColumns({"_rv": std(20) * YEAR, "_down": (flag(c("r") < 0) * flag(c("volume") > full("volume", 20))).cast("double"), "_neg": F.coalesce(F.least("r", F.lit(0.0)), F.lit(0.0)), "_pos": F.coalesce(F.greatest("r", F.lit(0.0)), F.lit(0.0)), "_v20": std(20), "_tv": c("tp") * c("volume"), "_v60": std(60), "_dd": c("close") / F.max("close").over(past()) - 1, })
+    b = b.withColumns({"iv_proxy": full("_rv", 252, lambda v: F.percentile(v, 0.75)), "put_call_proxy": full("_down", 10), "skew_proxy": full("_neg", 20, F.stddev_samp) / (full("_pos", 20, F.stddev_samp) + 1e-10), "max_pain_proxy": div(full("_tv", 20, F.sum), full("volume", 20, F.sum)), "economic_proxy": change("close", 60), "inflation_proxy": 100 * rank_share("_v60", 252), "credit_stress_proxy": -full("_dd", 20, F.min), "liquidity_proxy": full("volume", 20) / (c("_v20") * c("close") + 1e-10)})
+    b = b.withColumns({"vol_risk_premium": c("iv_proxy") / (c("_rv") + 1e-10), "dist_to_max_pain": div(c("close") - c("max_pain_proxy"), "close"), "_ep": flag(c("economic_proxy") < 0).cast("double")})
+    return b.withColumn("recession_proxy", full("_ep", 3)).drop("_rv", "_down", "_neg", "_pos", "_v20", "_tv", "_v60", "_dd", "_ep")
 
 
 PROXIES = "iv_proxy vol_risk_premium put_call_proxy skew_proxy max_pain_proxy dist_to_max_pain economic_proxy recession_proxy inflation_proxy credit_stress_proxy liquidity_proxy".split()

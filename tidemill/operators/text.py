@@ -147,9 +147,12 @@ def holdings_change(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def parse_dates(text: Column) -> Column:
-    """the first of several formats that fits; null if none does."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """the first of several formats that fits; null if none does. Dates of feeds ("Tue, 02 Jan 2024 10:00:00 -0500") keep their own
+    clock time, without the offset."""
+    t = F.trim(text)
+    own = F.regexp_replace(t, r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) ([+-]\d{2}:?\d{2}|Z|GMT)$", "$1")
+    formats = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd")
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats], F.try_to_timestamp(own, F.lit("d MMM yyyy HH:mm:ss")))
 
 
 def posts_from_json(df: DataFrame, payload: str = "payload", most: int = 1000) -> DataFrame:

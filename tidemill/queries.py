@@ -202,7 +202,7 @@ def _rolling_sql(n: int) -> str:
     q = lambda x: full("close", n, "quantile_cont").replace("quantile_cont(close)", f"quantile_cont(close, {x})")
     p = f"rolling_{n}_"
     one = stage("s1", "base", **{p + "mean": full("close", n), p + "std": full("close", n, "stddev_samp"), p + "var": full("close", n, "var_samp"), p + "min": full("close", n, "min"), p + "max": full("close", n, "max"), p + "median": q(0.5), p + "q25": q(0.25), p + "q75": q(0.75), p + "return_mean": full("r", n), p + "return_std": full("r", n, "stddev_samp"), p + "skew": full("r", n, "skewness"), p + "kurt": full("r", n, "kurtosis")})
-    two = stage("s2", "s1", **{p + "range": f"{p}max - {p}min", p + "range_pct": f"({p}max - {p}min) / ({p}mean + 1e-8)", p + "cv": f"{p}std / ({p}mean + 1e-8)", p + "iqr": f"{p}q75 - {p}q25"})
+    two = stage("s2", "s1", **{p + "range": f"{p}max - {p}min", p + "range_pct": f"(close - {p}min) / ({p}max - {p}min + 1e-8)", p + "cv": f"{p}std / ({p}mean + 1e-8)", p + "iqr": f"{p}q75 - {p}q25"})
     return sql([one, two], S.rolling_names(n), "s2", 4)
 
 
@@ -224,13 +224,13 @@ def corr_sql(x: str, y: str, lo: int, pairs: int) -> str:
     return f"CASE WHEN count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END) {over(lo)} = {pairs} THEN corr({x}, {y}) {over(lo)} END"
 
 
-_l1 = stage("l1", "base", vc=f"volume / nullif({lag('volume')}, 0) - 1", rg="high - low", **{f"r{k}": lag("r", k) for k in (1, 2, 3, 5, 10)}, volume_ratio=ratio("volume", full("volume", 20)), std20=full("r", 20, "stddev_samp"), std50=full("r", 50, "stddev_samp"), std100=full("r", 100, "stddev_samp"), up="CASE WHEN r IS NOT NULL THEN CAST(r > 0 AS DOUBLE) END", ui=f"sum(CASE WHEN coalesce(r > 0, false) THEN 0 ELSE 1 END) {over('all')}", di=f"sum(CASE WHEN coalesce(r < 0, false) THEN 0 ELSE 1 END) {over('all')}", **{f"m{n}": full("close", n) for n in (20, 50, 200)})
+_l1 = stage("l1", "base", vc=f"volume / nullif({lag('volume')}, 0) - 1", rg="high - low", rp="(high - low) / nullif(close, 0)", **{f"r{k}": lag("r", k) for k in (1, 2, 3, 5, 10)}, volume_ratio=ratio("volume", full("volume", 20)), std20=full("r", 20, "stddev_samp"), std50=full("r", 50, "stddev_samp"), std100=full("r", 100, "stddev_samp"), up="CASE WHEN r IS NOT NULL THEN CAST(r > 0 AS DOUBLE) END", ui=f"sum(CASE WHEN coalesce(r > 0, false) THEN 0 ELSE 1 END) {over('all')}", di=f"sum(CASE WHEN coalesce(r < 0, false) THEN 0 ELSE 1 END) {over('all')}", **{f"m{n}": full("close", n) for n in (20, 50, 100)})
 _l2 = stage(
     "l2", "l1", price_volume_corr=corr_sql("r", "vc", -19, 20), range_volume_corr=corr_sql("rg", "volume", -19, 20), **{f"return_autocorr_lag{k}": corr_sql("r", f"r{k}", -(19 - k), 20 - k) for k in (1, 5, 10)},
     volatility_ratio_20_50="std20 / (std50 + 1e-8)", volatility_ratio_20_100="std20 / (std100 + 1e-8)",
-    trend_regime=" + ".join(f"CAST(coalesce({x}, false) AS INTEGER)" for x in ("close > m20", "close > m50", "close > m200", "m20 > m50", "m50 > m200")),
-    mean_reversion_score="abs((close - m50) / nullif(std50 * sqrt(50), 0))", momentum_regime=full("up", 20), range_trend_ratio=ratio(full("rg", 20), full("tr", 20)),
-    **{f"return_lag_{k}": f"r{k}" for k in (1, 2, 3, 5, 10)}, **{f"volume_ratio_lag_{k}": lag("volume_ratio", k) for k in (1, 2, 3)}, **{f"range_lag_{k}": lag("rg", k) for k in (1, 2, 3)},
+    trend_regime=" + ".join(f"CAST(coalesce({x}, false) AS INTEGER)" for x in ("close > m20", "close > m50", "close > m100", "m20 > m50", "m50 > m100")),
+    mean_reversion_score="abs((close - m50) / (std50 * sqrt(50) + 1e-8))", momentum_regime=full("up", 20), range_trend_ratio=f"({full('rg', 20)}) / (({full('tr', 20)}) + 1e-8)",
+    **{f"return_lag_{k}": f"r{k}" for k in (1, 2, 3, 5, 10)}, **{f"volume_ratio_lag_{k}": lag("volume_ratio", k) for k in (1, 2, 3)}, **{f"range_lag_{k}": lag("rp", k) for k in (1, 2, 3)},
     **{f"cum_return_{k}d": f"close / nullif({lag('close', k)}, 0) - 1" for k in (3, 5, 10)}, return_acceleration="r - r1",
     consecutive_up="sum(CAST(coalesce(r > 0, false) AS INTEGER)) OVER (PARTITION BY symbol, ui ORDER BY ts)", consecutive_down="sum(CAST(coalesce(r < 0, false) AS INTEGER)) OVER (PARTITION BY symbol, di ORDER BY ts)",
 )
@@ -243,7 +243,7 @@ def return_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 _r1 = stage("r1", "base", rg="high - low", std=full("r", 20, "stddev_samp"))
-_r2 = stage("r2", "r1", **{f"regime_score_{n}": ratio(full("r", n), full("r", n, "stddev_samp")) for n in (20, 50)}, **{f"trend_strength_{n}": f"({full('rg', n)}) / close" for n in (20, 50)})
+_r2 = stage("r2", "r1", **{f"regime_score_{n}": f"({full('r', n)}) / (({full('r', n, 'stddev_samp')}) + 1e-8)" for n in (20, 50)}, **{f"trend_strength_{n}": f"({full('rg', n)}) / close" for n in (20, 50)})
 _r3 = stage("r3", "r2", **{f"regime_{k}_{n}": f"CAST(coalesce({t.format(f'regime_score_{n}')}, false) AS INTEGER)" for n in (20, 50) for k, t in (("bull", "{} > 0.5"), ("bear", "{} < -0.5"), ("sideways", "abs({}) <= 0.5"))})
 _r5 = stage("r5", "r4b", high_vol_regime="CAST(coalesce(vol_regime_percentile > 80, false) AS INTEGER)", low_vol_regime="CAST(coalesce(vol_regime_percentile < 20, false) AS INTEGER)", regime_change=f"coalesce(abs(regime_bull_20 - {lag('regime_bull_20')}), 0) + coalesce(abs(regime_bear_20 - {lag('regime_bear_20')}), 0)")
 _flags = tuple(x for x in S.REGIMES if x.startswith("regime_b") or x.startswith("regime_s") and "score" not in x or x.endswith("_regime") or x == "regime_change")
@@ -261,11 +261,11 @@ def hurst_sql(n: int, std: str = "stddev_pop") -> tuple[str, str]:
     return first, f"CASE WHEN h{n} IS NOT NULL THEN CASE WHEN h{n}.s > 0 AND list_max({walk}) > list_min({walk}) THEN least(greatest(ln((list_max({walk}) - list_min({walk})) / h{n}.s) / ln({n}), 0), 1) ELSE 0.5::DOUBLE END END"
 
 
-_h1 = stage("h1", "base", dr=f"ln(abs(r - {lag('r')}) + 1e-10)", x=f"list(close) {over(-19)}", **{f"h{n}": hurst_sql(n)[0] for n in (20, 50, 100)})
+_h1 = stage("h1", "base", dr=f"ln(abs(r - {lag('r')}) + 1e-10)", x=f"list(r) FILTER (WHERE r IS NOT NULL) {over(-19)}", **{f"h{n}": hurst_sql(n)[0] for n in (20, 50, 100)})
 _h2 = stage("h2", "h1", lo="CASE WHEN list_min(x) = list_max(x) THEN list_min(x) - 0.5 ELSE list_min(x) END", hi="CASE WHEN list_min(x) = list_max(x) THEN list_max(x) + 0.5 ELSE list_max(x) END")
 _h3 = stage("h3", "h2", place="list_transform(x, lambda v: least(floor((v - lo) / ((hi - lo) / 10)), 9))")
 _h4 = stage("h4", "h3", share="list_transform(range(0, 10), lambda k: len(list_filter(place, lambda v: v = k)) / (20.0::DOUBLE * (hi - lo) / 10))")
-_h5 = stage("h5", "h4", price_entropy="CASE WHEN len(x) = 20 THEN -list_sum(list_transform(share, lambda p: CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END)) END", lyapunov_proxy=f"CASE WHEN count(r) {over(-49)} = 50 THEN avg(dr) {over(-48)} END", **{f"hurst_proxy_{n}": hurst_sql(n)[1] for n in (20, 50, 100)})
+_h5 = stage("h5", "h4", price_entropy="CASE WHEN len(x) = 20 THEN -list_sum(list_transform(share, lambda p: CASE WHEN p > 0 THEN p * log2(p + 1e-10) ELSE 0 END)) END", lyapunov_proxy=f"CASE WHEN count(r) {over(-49)} = 50 THEN avg(dr) {over(-48)} END", **{f"hurst_proxy_{n}": hurst_sql(n)[1] for n in (20, 50, 100)})
 
 
 @register("chaos_proxies", sql([_h1, _h2, _h3, _h4, _h5], S.CHAOS, "h5"))
@@ -273,20 +273,25 @@ def chaos_proxies(spark: SparkSession, d: str) -> DataFrame:
     return shown(S.chaos(based(spark, d)), S.CHAOS)
 
 
-_f1 = stage("f1", "base", buying_pressure="CASE WHEN close > open THEN volume ELSE 0.0::DOUBLE END", selling_pressure="CASE WHEN close > open THEN 0.0::DOUBLE ELSE volume END", pv="coalesce(r, 0) * volume", rg="high - low", mid="(high + low) / 2", cm=full("close", 20), vm=full("volume", 20), intraday_intensity="(2 * close - high - low) * volume / nullif(high - low, 0)")
-_f2 = stage("f2", "f1", volume_delta="buying_pressure - selling_pressure", pvt=f"sum(pv) {over('all')}", ease_of_movement=f"(mid - {lag('mid')}) / nullif(volume / nullif(rg, 0), 0)", vpci=f"sign(cm - {lag('cm')}) * sign(vm - {lag('vm')})", ii_cumsum=full("intraday_intensity", 20, "sum"))
+_f1 = stage("f1", "base", buying_pressure="CASE WHEN close > last THEN volume ELSE 0.0::DOUBLE END", selling_pressure="CASE WHEN close < last THEN volume ELSE 0.0::DOUBLE END", pv="r * volume", rg="high - low", mid="(high + low) / 2", cm=full("close", 20), vm=full("volume", 20), intraday_intensity="(2 * close - high - low) / (high - low + 1e-10) * volume")
+_f2 = stage("f2", "f1", volume_delta="buying_pressure - selling_pressure", pvt=f"sum(pv) {over('all')}", ease_of_movement=f"(mid - {lag('mid')}) / nullif(volume / 1e6 / (rg + 1e-10), 0)", vpci=f"sign(cm - {lag('cm')}) * sign(vm - {lag('vm')})", ii_cumsum=full("intraday_intensity", 20, "sum"))
 _f3 = stage("f3", "f2", cum_volume_delta=f"sum(volume_delta) {over('all')}", pvt_signal=full("pvt", 20), eom_ma=full("ease_of_movement", 14), **{f"volume_delta_ma_{n}": full("volume_delta", n) for n in (5, 10, 20)})
-_f4 = stage("f4", "f3", **{f"volume_delta_divergence_{n}": f"volume_delta - volume_delta_ma_{n}" for n in (5, 10, 20)})
+_f4 = stage("f4", "f3", ease_of_movement_m="ease_of_movement / 1e6", eom_ma_m="eom_ma / 1e6", **{f"volume_delta_divergence_{n}": f"volume_delta - volume_delta_ma_{n}" for n in (5, 10, 20)})
 
 
-@register("order_flow", sql([_f1, _f2, _f3, _f4], S.FLOW, "f4", 5))
+# movement by volume is shown in millions
+_FLOW = [f"{x}_m" if x in ("ease_of_movement", "eom_ma") else x for x in S.FLOW]
+
+
+@register("order_flow", sql([_f1, _f2, _f3, _f4], _FLOW, "f4", 5))
 def order_flow(spark: SparkSession, d: str) -> DataFrame:
-    return shown(S.flow(based(spark, d)), S.FLOW, 5)
+    b = S.flow(based(spark, d))
+    return shown(b.withColumns({f"{x}_m": F.col(x) / 1e6 for x in ("ease_of_movement", "eom_ma")}), _FLOW, 5)
 
 
 _k1 = stage("k1", "base", is_resistance=f"CAST(coalesce(high > max(high) {over(-5, -1)} AND high > max(high) {over(1, 5)}, false) AS INTEGER)", is_support=f"CAST(coalesce(low < min(low) {over(-5, -1)} AND low < min(low) {over(1, 5)}, false) AS INTEGER)", ph=lag("high"), pl=lag("low"), pivot=f"({lag('high')} + {lag('low')} + {lag('close')}) / 3", lo=full("low", 20, "min"), hi=full("high", 20, "max"))
-_k2 = stage("k2", "k1", is_resistance_confirmed=f"coalesce({lag('is_resistance', 5)}, 0)", is_support_confirmed=f"coalesce({lag('is_support', 5)}, 0)", lr=f"last_value(CASE WHEN is_resistance = 1 THEN high END IGNORE NULLS) {over('all')}", ls=f"last_value(CASE WHEN is_support = 1 THEN low END IGNORE NULLS) {over('all')}", r1="2 * \"pivot\" - pl", s1="2 * \"pivot\" - ph", r2='"pivot" + ph - pl', s2='"pivot" - ph + pl', price_position="(close - lo) / nullif(hi - lo, 0)")
-_k3 = stage("k3", "k2", **{k: f"({v} - close) / nullif(close, 0)" for k, v in {"dist_to_resistance": "lr", "dist_to_support": "ls", "dist_to_pivot": '"pivot"', "dist_to_r1": "r1", "dist_to_s1": "s1"}.items()})
+_k2 = stage("k2", "k1", is_resistance_confirmed=f"coalesce({lag('is_resistance', 5)}, 0)", is_support_confirmed=f"coalesce({lag('is_support', 5)}, 0)", lr=f"last_value(CASE WHEN is_resistance = 1 THEN high END IGNORE NULLS) {over('all')}", ls=f"last_value(CASE WHEN is_support = 1 THEN low END IGNORE NULLS) {over('all')}", r1="2 * \"pivot\" - pl", s1="2 * \"pivot\" - ph", r2='"pivot" + ph - pl', s2='"pivot" - ph + pl', price_position="(close - lo) / (hi - lo + 1e-10)")
+_k3 = stage("k3", "k2", **{k: f"({v}) / nullif(close, 0)" for k, v in {"dist_to_resistance": "lr - close", "dist_to_support": "close - ls", "dist_to_pivot": 'close - "pivot"', "dist_to_r1": "r1 - close", "dist_to_s1": "close - s1"}.items()})
 
 
 @register("levels_pivots", sql([_k1, _k2, _k3], S.LEVELS, "k3", ints=tuple(x for x in S.LEVELS if x.startswith("is_"))))
@@ -305,8 +310,8 @@ def mean_reversion(spark: SparkSession, d: str) -> DataFrame:
     return shown(S.reversion(based(spark, d)), S.REVERSION, 5)
 
 
-_w1 = stage("w1", "base", ab="abs(r)", m20=f"close / nullif({lag('close', 20)}, 0) - 1", hi=full("high", 252, "max"), lo=full("low", 252, "min"), momentum_12_1=f"{lag('close', 21)} / nullif({lag('close', 252)}, 0) - 1", momentum_6m=f"close / nullif({lag('close', 126)}, 0) - 1", momentum_1m=f"close / nullif({lag('close', 21)}, 0) - 1", **{f"ts_momentum_{n}": f"({full('r', n)}) / (({full('r', n, 'stddev_samp')}) + 1e-10)" for n in (20, 50, 100, 200)}, momentum_breadth="(" + " + ".join(f"CAST(coalesce(close / nullif({lag('close', n)}, 0) - 1 > 0, false) AS INTEGER)" for n in (5, 10, 20, 50)) + ") / 4.0::DOUBLE")
-_w2 = stage("w2", "w1", momentum_acceleration=f"m20 - {lag('m20', 20)}", pct_from_52w_high="(close - hi) / nullif(hi, 0)", pct_from_52w_low="(close - lo) / nullif(lo, 0)", **{f"momentum_quality_{n}": f"({full('r', n, 'sum')}) / (({full('ab', n, 'sum')}) + 1e-10)" for n in (20, 50)})
+_w1 = stage("w1", "base", pos="CAST(coalesce(r > 0, false) AS DOUBLE)", hi=full("close", 252, "max"), lo=full("close", 252, "min"), momentum_12_1=f"{lag('close', 21)} / nullif({lag('close', 252)}, 0) - 1", momentum_6m=f"close / nullif({lag('close', 126)}, 0) - 1", momentum_1m=f"close / nullif({lag('close', 21)}, 0) - 1", **{f"ts_momentum_{n}": f"close / nullif({full('close', n)}, 0) - 1" for n in (20, 50, 100, 200)}, momentum_breadth="(" + " + ".join(f"CAST(coalesce(close > ({full('close', n)}), false) AS INTEGER)" for n in (20, 50, 100, 200)) + ") / 4.0::DOUBLE")
+_w2 = stage("w2", "w1", momentum_acceleration=f"momentum_1m - {lag('momentum_1m')}", pct_from_52w_high="(close - hi) / nullif(hi, 0)", pct_from_52w_low="(close - lo) / nullif(lo, 0)", **{f"momentum_quality_{n}": full("pos", n) for n in (20, 50)})
 
 
 @register("momentum_factors", sql([_w1, _w2], S.FACTORS, "w2"))
@@ -315,8 +320,8 @@ def momentum_factors(spark: SparkSession, d: str) -> DataFrame:
 
 
 _t1 = stage("t1", "base", pk="pow(ln(high / nullif(low, 0)), 2)", gk="0.5 * pow(ln(high / nullif(low, 0)), 2) - (2 * ln(2) - 1) * pow(ln(close / nullif(open, 0)), 2)", v5=full("r", 5, "stddev_samp"), v20=full("r", 20, "stddev_samp"), v60=full("r", 60, "stddev_samp"), sg="sign(r)")
-_t2 = stage("t2", "t1", parkinson_volatility=f"sqrt(({full('pk', 20)}) / (4 * ln(2))) * sqrt(252)", gkm=full("gk", 20), vol_of_vol=full("v20", 20, "stddev_samp"), vol_term_5_20="v5 / (v20 + 1e-10)", vol_term_20_60="v20 / (v60 + 1e-10)", vz=f"(v20 - ({full('v20', 50)})) / (({full('v20', 50, 'stddev_samp')}) + 1e-10)", pv=lag("v20"), side="CASE WHEN count(r) OVER (PARTITION BY symbol, sg ORDER BY ts ROWS 19 PRECEDING) = 20 THEN stddev_samp(r) OVER (PARTITION BY symbol, sg ORDER BY ts ROWS 19 PRECEDING) END")
-_t3 = stage("t3", "t2", gk_volatility="CASE WHEN gkm >= 0 THEN sqrt(gkm) * sqrt(252) END", vol_skew=f"last_value(CASE WHEN sg = 1 THEN side END IGNORE NULLS) {over('all')} - last_value(CASE WHEN sg = -1 THEN side END IGNORE NULLS) {over('all')}", vol_persistence=corr_sql("v20", "pv", -19, 20), vol_jump="coalesce(vz > 2, false)")
+_t2 = stage("t2", "t1", parkinson_volatility=f"sqrt(({full('pk', 20)}) / (4 * ln(2)))", gkm=full("gk", 20), vol_of_vol=full("v20", 20, "stddev_samp"), vol_term_5_20="v5 / (v20 + 1e-10)", vol_term_20_60="v20 / (v60 + 1e-10)", vz=f"(v20 - ({full('v20', 50)})) / (({full('v20', 50, 'stddev_samp')}) + 1e-10)", side="CASE WHEN count(r) OVER (PARTITION BY symbol, sg ORDER BY ts ROWS 19 PRECEDING) = 20 THEN stddev_samp(r) OVER (PARTITION BY symbol, sg ORDER BY ts ROWS 19 PRECEDING) END")
+_t3 = stage("t3", "t2", gk_volatility="CASE WHEN gkm >= 0 THEN sqrt(gkm) END", vol_skew=f"last_value(CASE WHEN sg = 1 THEN side END IGNORE NULLS) {over('all')} - last_value(CASE WHEN sg = -1 THEN side END IGNORE NULLS) {over('all')}", vol_persistence=f"({full('v20', 5)}) / (({full('v20', 50)}) + 1e-10)", vol_jump="coalesce(vz > 2, false)")
 
 
 @register("volatility_estimators", sql([_t1, _t2, _t3], S.VOLATILITIES, "t3", ints=("vol_jump",)))
@@ -324,12 +329,12 @@ def volatility_estimators(spark: SparkSession, d: str) -> DataFrame:
     return shown(S.volatilities(based(spark, d)), S.VOLATILITIES)
 
 
-_p1 = stage("p1", "base", rv=f"({full('r', 20, 'stddev_samp')}) * sqrt(252)", down="CASE WHEN r < 0 THEN volume WHEN r IS NOT NULL THEN 0.0::DOUBLE END", upv="CASE WHEN r > 0 THEN volume WHEN r IS NOT NULL THEN 0.0::DOUBLE END", tv="tp * volume", v60=full("r", 60, "stddev_samp"), dd=f"close / max(close) {over('all')} - 1", il="abs(r) / nullif(volume, 0)", economic_proxy=f"close / nullif({lag('close', 60)}, 0) - 1")
-_p2 = stage("p2", "p1", iv_proxy=full("rv", 252, "quantile_cont").replace("quantile_cont(rv)", "quantile_cont(rv, 0.75)"), put_call_proxy=f"({full('down', 10, 'sum')}) / (({full('upv', 10, 'sum')}) + 1e-10)", skew_proxy=full("r", 20, "skewness"), max_pain_proxy=ratio(full("tv", 20, "sum"), full("volume", 20, "sum")), credit_stress_proxy=f"-({full('dd', 20, 'min')})", liquidity_proxy=full("il", 20), ep="CAST(coalesce(economic_proxy < 0, false) AS DOUBLE)")
-_p3 = stage("p3", "p2", vol_risk_premium="iv_proxy - rv", dist_to_max_pain="(close - max_pain_proxy) / nullif(max_pain_proxy, 0)", recession_proxy=full("ep", 3))
+_p1 = stage("p1", "base", rv=f"({full('r', 20, 'stddev_samp')}) * sqrt(252)", down=f"CAST(coalesce(r < 0 AND volume > ({full('volume', 20)}), false) AS DOUBLE)", neg="coalesce(least(r, 0), 0)", pos="coalesce(greatest(r, 0), 0)", v20=full("r", 20, "stddev_samp"), vm20=full("volume", 20), tv="tp * volume", v60=full("r", 60, "stddev_samp"), dd=f"close / max(close) {over('all')} - 1", economic_proxy=f"close / nullif({lag('close', 60)}, 0) - 1")
+_p2 = stage("p2", "p1", iv_proxy=full("rv", 252, "quantile_cont").replace("quantile_cont(rv)", "quantile_cont(rv, 0.75)"), put_call_proxy=full("down", 10), skew_proxy=f"({full('neg', 20, 'stddev_samp')}) / (({full('pos', 20, 'stddev_samp')}) + 1e-10)", max_pain_proxy=ratio(full("tv", 20, "sum"), full("volume", 20, "sum")), credit_stress_proxy=f"-({full('dd', 20, 'min')})", liquidity_proxy="vm20 / (v20 * close + 1e-10)", ep="CAST(coalesce(economic_proxy < 0, false) AS DOUBLE)")
+_p3 = stage("p3", "p2", vol_risk_premium="iv_proxy / (rv + 1e-10)", dist_to_max_pain="(close - max_pain_proxy) / nullif(close, 0)", recession_proxy=full("ep", 3))
 
 
-@register("macro_option_proxies", sql([_p1, _p2, _p3, *ranked("p4", "p3", "inflation_proxy", "v60", 252)], S.PROXIES, "p4b"))
+@register("macro_option_proxies", sql([_p1, _p2, _p3, *ranked("p4", "p3", "inflation_proxy", "v60", 252, 100.0)], S.PROXIES, "p4b"))
 def macro_option_proxies(spark: SparkSession, d: str) -> DataFrame:
     return shown(S.proxies(based(spark, d)), S.PROXIES)
 
@@ -682,7 +687,7 @@ def wf_windows(spark: SparkSession, d: str) -> DataFrame:
 @register("wf_summary", f"""{_wf},
   bo AS (SELECT symbol, window_id, max(total_return) FILTER (WHERE split = 'train') AS a, max(total_return) FILTER (WHERE split = 'test') AS b, max(sharpe) FILTER (WHERE split = 'test') AS sb, max(last_day - first_day) FILTER (WHERE split = 'test') AS days FROM wm GROUP BY 1, 2),
   su AS (SELECT symbol, count(*) AS windows, product(1 + b) - 1 AS total, greatest(sum(days) / 252, 1 / 252) AS years, coalesce(avg(CASE WHEN sb <> 0 THEN sb END), 0) AS sharpe, avg(CAST(b > 0 AS DOUBLE)) AS up,
-    coalesce((avg(a) - avg(b)) / nullif(abs(avg(a)), 0), 0) AS over_ratio, CASE WHEN count(*) > 2 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) ELSE 0 END AS c FROM bo GROUP BY symbol)
+    coalesce((avg(a) - avg(b)) / nullif(abs(avg(a)), 0), 0) AS over_ratio, CASE WHEN count(*) > 2 THEN coalesce(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 0) ELSE 0 END AS c FROM bo GROUP BY symbol)
   SELECT symbol, windows, {_r('total', 'total_return')}, {_r('sharpe', 'avg_sharpe')}, {_r('up', 'positive_windows')}, {_r('over_ratio', 'overfitting_ratio')}, {_r('c', 'train_test_corr')}, {_r('pow(1 + total, 1 / years) - 1', 'annual_return')} FROM su""")
 def wf_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.walk_forward_summary(walked(spark, d)), 5)

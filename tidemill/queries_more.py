@@ -332,7 +332,7 @@ _v = [
     _listed("v8", "v7", "e10b", "e15b", "e20b"),
     stage("v9", "v8", e10c=_ema("l_e10b", 10), e15c=_ema("l_e15b", 15), e20c=_ema("l_e20b", 20), stoch_rsi_k="100 * (rsi - rlo) / nullif(rhi - rlo, 0)", macd_hist="macd - macd_signal"),
     _listed("va", "v9", "e10c"),
-    stage("vb", "va", e10d=_ema("l_e10c", 10), dema_20="2 * e20 - e20b", tema_20="3 * e20 - 3 * e20b + e20c", trix=f"100 * (e15c / {lag('e15c')} - 1)", stoch_rsi_d=full("stoch_rsi_k", 3), adxr=f"(adx + {lag('adx', 13)}) / 2", macd_hist_slope=f"macd_hist - {lag('macd_hist', 3)}", rsi_slope=f"rsi - {lag('rsi', 5)}", price_slope=f"close - {lag('close', 5)}"),
+    stage("vb", "va", e10d=_ema("l_e10c", 10), dema_20="2 * e20 - e20b", tema_20="3 * e20 - 3 * e20b + e20c", trix=f"100 * (e15c / {lag('e15c')} - 1)", stoch_rsi_d=full("stoch_rsi_k", 3), adxr=f"(adx + {lag('adx', 13)}) / 2", macd_hist_slope=f"macd_hist - {lag('macd_hist', 3)}", rsi_slope=f"rsi - {lag('rsi', 5)}", price_slope=f"close / nullif({lag('close', 5)}, 0) - 1"),
     _listed("vc", "vb", "e10d"),
     stage("vd", "vc", e10e=_ema("l_e10d", 10)),
     _listed("ve", "vd", "e10e"),
