@@ -306,3 +306,71 @@ def test_features_on_a_few_bars(spark):
     same(S.relations(b), {"trend_regime": sum(x.astype(int) for x in (c > m[20], c > m[50], c > m[100], m[20] > m[50], m[50] > m[100])), "range_lag_2": ((h - lo) / c).shift(2)})
     low, high = c.rolling(20).min(), c.rolling(20).max()
     same(S.rolling(b, 20), {"rolling_20_range_pct": (c - low) / (high - low + 1e-8)})
+
+
+def test_the_walked_indicators_against_plain_loops(spark):
+    """Accumulation oscillator, volatility flag and parabolic stop of recursive(), each written out again from its published rule."""
+    from tidemill.operators import recursive
+
+    rng = np.random.default_rng(8)
+    close = numbers(8, 200)
+    high, low, volume = close + rng.random(200) * 3, close - rng.random(200) * 3, rng.integers(10, 99, 200).astype(float)
+    high[50] = low[50] = close[50]
+    rows = [("x", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(close[i]), float(high[i]), float(low[i]), float(close[i]), float(volume[i])) for i in range(200)]
+    got = recursive.recursive(spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")).orderBy("ts").toPandas()
+
+    line, fast, slow, adosc = 0.0, None, None, []
+    for i in range(200):
+        if high[i] > low[i]:
+            line += ((close[i] - low[i]) - (high[i] - close[i])) / (high[i] - low[i]) * volume[i]
+        fast = line if fast is None else fast + (line - fast) * 2 / 4
+        slow = line if slow is None else slow + (line - slow) * 2 / 11
+        adosc.append(fast - slow if i >= 9 else np.nan)
+    np.testing.assert_allclose(got["adosc"], adosc, rtol=1e-9, atol=1e-7)
+
+    atr = got["atr"].astype(float)
+    assert (got["high_volatility"] == (atr > 1.5 * atr.rolling(50).mean()).astype(int)).all()
+
+    # the stop follows the extreme with a growing share; it never enters the range of the last two bars, and the side turns when the bar meets it
+    rising = not (low[0] - low[1] > 0 and low[0] - low[1] > high[1] - high[0])
+    point, share, stop = (high[1] if rising else low[1]), 0.02, (low[0] if rising else high[0])
+    sar = [np.nan]
+    for i in range(1, 200):
+        met = low[i] <= stop if rising else high[i] >= stop
+        if met:
+            stop = max(point, high[i - 1], high[i]) if rising else min(point, low[i - 1], low[i])
+            rising, share = not rising, 0.02
+            sar.append(stop)
+            point = high[i] if rising else low[i]
+        else:
+            sar.append(stop)
+            better = high[i] > point if rising else low[i] < point
+            if better:
+                point, share = (high[i] if rising else low[i]), min(0.2, share + 0.02)
+        stop += share * (point - stop)
+        stop = min(stop, low[i - 1], low[i]) if rising else max(stop, high[i - 1], high[i])
+    np.testing.assert_allclose(got["sar"], sar, rtol=1e-12, equal_nan=True)
+    assert (got["sar_signal"] == np.where(close > np.nan_to_num(sar, nan=np.inf), 1, -1)).all()
+
+
+def test_pattern_counts(spark):
+    from tidemill.operators.candles import candles
+
+    close = numbers(10, 250)
+    rng = np.random.default_rng(10)
+    rows = [("x", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(c + rng.normal()), float(c + 2 + rng.random()), float(c - 2 - rng.random()), float(c), 1.0) for i, c in enumerate(close)]
+    got = candles(spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")).toPandas()
+    found = got[[x for x in got.columns if x.startswith("cdl_")]]
+    assert (got["bullish_pattern_count"] == (found > 0).sum(axis=1)).all() and (got["bearish_pattern_count"] == (found < 0).sum(axis=1)).all()
+    assert len(found.columns) == 61 and (found != 0).any().sum() > 10
+
+
+def test_merged_on_one_panel_equals_the_join(spark):
+    from tidemill.operators.alternative import merged, merged_panel
+
+    rows = [("x", dt.datetime(2024, 1, 1 + i), v, d, s) for i, (v, d, s) in enumerate([(2, 1, 0.5), (-1, 1, 0.3), (0, 0, None), (1, -1, 1.0), (-2, None, 0.4)])]
+    b = spark.createDataFrame(rows, "symbol string, ts timestamp, signal_value int, direction int, strength double")
+    one = merged_panel(b.select("symbol", "ts", "signal_value", F.struct("direction", "strength").alias("ensemble")))
+    two = merged(b.select("symbol", "ts", "signal_value"), b.select("symbol", "ts", "direction", "strength"))
+    pick = lambda df: [tuple(r) for r in df.select("ts", "strategy_signal", "score", "agree").orderBy("ts").collect()]
+    assert pick(one) == pick(two)

@@ -190,6 +190,12 @@ def merged(ml: DataFrame, strategy: DataFrame, column: str = "signal_value") ->
     return blended(both, c(column), c("strategy_signal")).drop("direction", "strategy_strength")
 
 
+def merged_panel(b: DataFrame, column: str = "signal_value", plan: str = "ensemble") -> DataFrame:
+    """merged() where both are columns of one panel: the strategies' struct (direction, strength) beside the model's signal; no join."""
+    strategy = F.coalesce(c(plan)["strength"], F.lit(0.0)) * F.coalesce(c(plan)["direction"], F.lit(0))
+    return blended(b.withColumn("strategy_signal", strategy), c(column), c("strategy_signal"))
+
+
 def mean_levels(b: DataFrame) -> DataFrame:
     """Mean stop and target of each symbol's bars."""
     return b.groupBy("symbol").agg(F.avg("stop_pct").alias("stop_pct"), F.avg("target_pct").alias("target_pct"))

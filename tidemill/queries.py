@@ -555,14 +555,14 @@ _sg = [*_inputs, *_signal_stages()]
 _SIGNALS = ["technical_score", "combined", "confidence", "signal_value", "stop_loss", "take_profit", "risk_reward_ratio"]
 
 
-def judged(spark: SparkSession, d: str) -> DataFrame:
-    """The panel with scores; the stochastic stands for a model's probability and the last return for the news."""
-    b = G.prepared(based(spark, d)).withColumns({"ml_probability": F.col("stoch_k") / 100, "sentiment": F.least(F.greatest(10 * F.col("r"), F.lit(-1.0)), F.lit(1.0))})
+def judged(panel: DataFrame) -> DataFrame:
+    """The prepared panel with scores; the stochastic stands for a model's probability and the last return for the news."""
+    b = panel.withColumns({"ml_probability": F.col("stoch_k") / 100, "sentiment": F.least(F.greatest(10 * F.col("r"), F.lit(-1.0)), F.lit(1.0))})
     return G.scored(b)
 
 
 def signalled(spark: SparkSession, d: str) -> DataFrame:
-    return G.levelled(judged(spark, d))
+    return G.levelled(judged(G.prepared(based(spark, d))))
 
 
 @register("signals", sql(_sg, _SIGNALS, "x8", 5, ints=("signal_value",)))
@@ -572,7 +572,7 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 @register("confirmed_signals", sql([*_inputs, *_signal_stages(True, True)], _SIGNALS, "x8", 5, ints=("signal_value",)))
 def confirmed_signals(spark: SparkSession, d: str) -> DataFrame:
-    return shown(G.levelled(judged(spark, d), G.SignalConfig(confirm_trend=True, confirm_volume=True)), _SIGNALS, 5)
+    return shown(G.levelled(judged(G.prepared(based(spark, d))), G.SignalConfig(confirm_trend=True, confirm_volume=True)), _SIGNALS, 5)
 
 
 _head = f"WITH {', '.join([BASE, *_sg])}"

@@ -20,7 +20,7 @@ from tidemill.operators import technical
 from tidemill.operators import text as X
 from tidemill.plans import order as O
 from tidemill.plans.windows import series
-from tidemill.queries import BASE, BRAND, NUDGE, ORACLES, RECURSIVE_SHOWN, ROW, _BALANCE, _EVENTS, _LEX, _PATH, _POSTS, _SHARPE, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _strategic, _tr, _wf, based, full, lag, over, pathed, ranked, register, rounded, shown, signalled, sql, stage
+from tidemill.queries import BASE, BRAND, NUDGE, ORACLES, RECURSIVE_SHOWN, ROW, _BALANCE, _EVENTS, _LEX, _PATH, _POSTS, _SHARPE, _SCO, _STRATEGY, _TOK, _dm, _dm2, _dm3, _dm4, _dm5, _dm6, _ew, _inputs, _m1, _m2, _m3, _m4, _r, _scored, _sg, _tr, _wf, based, full, judged, lag, over, pathed, ranked, register, rounded, shown, signalled, sql, stage
 from tidemill.sources import bars as B
 
 FIRST = "(SELECT min(symbol) FROM bars)"
@@ -127,8 +127,9 @@ _both = f"WITH {', '.join([BASE, *_sg, *[x for x in _STRATEGY if x not in _sg]])
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    plan = _strategic(spark, d).select("symbol", "ts", "ensemble.direction", "ensemble.strength")
-    return A.clipped_levels(G.filtered(A.merged(signalled(spark, d), plan)))
+    """Signals and strategies as columns of one panel: one scan and one exchange by symbol."""
+    panel = Y.strategies(G.prepared(based(spark, d)))
+    return A.clipped_levels(G.filtered(A.merged_panel(G.levelled(judged(panel)))))
 
 
 @register("merged_positions", f"{_both} SELECT symbol, ts, round(score + {NUDGE}, 5) AS score, CAST(ag AS INTEGER) AS agree, CAST(position AS INTEGER) AS position, round(stop_pct + {NUDGE}, 5) AS stop_pct, round(target_pct + {NUDGE}, 5) AS target_pct FROM lv")
