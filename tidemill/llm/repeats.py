@@ -19,10 +19,11 @@ arrives once from each batch of rows, and every step is a sort that streams.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import byte_column, written
@@ -34,6 +35,8 @@ CHUNK = 1 << 18  # bytes that are hashed at a time
 BATCH = 8 << 20  # bytes whose phrases a task compares among themselves
 SUFFIXES = 2 << 20  # bytes whose suffixes a task compares among themselves
 
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _rng = np.random.default_rng(7)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _other = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,6 +146,17 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> It
             lo = hi
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile goes to the tasks' workers in batches of at most BATCH bytes (and one row)."""
+    before = spark.conf.get(ARROW)
+    spark.conf.set(ARROW, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW, before)
+
+
 FIRST, REPEAT, CHECK = 0, 1, 2
 _MARKS = "doc long, start int, runs int, kind int"
 
@@ -329,8 +343,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
         rest = F.struct(*[x for x in plain.columns if x != "doc"])
         one = plain.groupBy("doc").agg(F.min_by(rest, F.struct(F.xxhash64("text"), F.xxhash64(*[x for x in plain.columns if x != "doc"]))).alias("r"))
         plain = written(one.select("doc", *[F.col(f"r.{x}").alias(x) for x in plain.columns if x != "doc"]))
-    marks = written(_dictionary(_phrases(plain)))
-    ranked = written(_ranked(_suffixes(plain, marks)))
+    with _small_batches(docs.sparkSession):
+        marks = written(_dictionary(_phrases(plain)))
+        ranked = written(_ranked(_suffixes(plain, marks)))
     spans = marks.where(F.col("kind") == REPEAT).select("doc", "start", "runs").union(ranked.select("doc", "start", "runs"))
     listed = _merged(spans)
     extra = [f"c{i}" for i in range(len(carry))]
