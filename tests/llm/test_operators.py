@@ -159,6 +159,24 @@ def test_repeats_against_brute_force(spark, odd_rows, batch):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("seed", [0, 4, 6])
+def test_repeats_met_in_other_batches(spark, seed):
+    """Equal and overlapping passages, dealt in any order: the first in the corpus stays, also if another batch knows more contents of its context."""
+    rng = random.Random(seed)
+    sources = ["".join(rng.choice("abcdefgh é") for _ in range(600)) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        cuts = [(rng.choice(sources), rng.randrange(540), rng.choice([90, 100, 101, 130, 200, 400])) for _ in range(rng.randrange(5))]
+        rows.append((i * 7 - 300, "".join(x[a : a + n] + "xyz"[: rng.randrange(4)] for x, a, n in cuts), None, "a"))
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in repeats.remove_repeats(table(spark, rows).repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_in_a_long_text(spark):
     """Beyond the part that a task hashes at a time, with changes so dense that phrases must be compared suffix by suffix."""
     rng = np.random.default_rng(3)

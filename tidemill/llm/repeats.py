@@ -230,7 +230,8 @@ def _dictionary(phrases: DataFrame) -> DataFrame:
             if len(x):
                 yield from _rows([x[:, 0], x[:, 1].astype(np.int32), x[:, 2].astype(np.int32), x[:, 3].astype(np.int32)], ["doc", "start", "runs", "kind"])
 
-    dealt = phrases.repartition("route").sortWithinPartitions("route", F.desc("several"), "content", "doc", "start")
+    # contents in corpus order, whichever task knew of several: of equal phrases the first must come first
+    dealt = phrases.repartition("route").sortWithinPartitions("route", "content", "doc", "start")
     return dealt.mapInArrow(run, _MARKS)
 
 
