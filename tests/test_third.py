@@ -374,3 +374,16 @@ def test_merged_on_one_panel_equals_the_join(spark):
     two = merged(b.select("symbol", "ts", "signal_value"), b.select("symbol", "ts", "direction", "strength"))
     pick = lambda df: [tuple(r) for r in df.select("ts", "strategy_signal", "score", "agree").orderBy("ts").collect()]
     assert pick(one) == pick(two)
+
+
+def test_fitting_on_few_partitions(spark):
+    """A panel is kept in as many partitions as its rows ask for, in order of its symbols and bars, whatever it came in."""
+    from tidemill.operators import learning as E
+
+    rows = spark.range(900).selectExpr("cast(id % 7 as string) AS symbol", "timestamp_seconds(id * 60) AS ts", "cast(id % 2 as int) AS target", "cast(id % 13 as double) AS a", "cast(id % 5 as double) AS b").repartition(40)
+    kept = E.gathered(rows)
+    assert kept.rdd.getNumPartitions() == 1 and kept.storageLevel.useMemory
+    got = [tuple(r) for r in kept.collect()]
+    assert got == sorted(map(tuple, rows.collect()), key=lambda r: r[:2])
+    one, two = (E.stacked(rows.repartition(n), ["a", "b"], n_folds=2, gap=2, rounds=2, trees=2)[0].select("symbol", "ts", "p") for n in (3, 11))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))

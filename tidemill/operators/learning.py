@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StandardScaler, VectorAssembler
@@ -20,6 +23,30 @@ def dated(df: DataFrame, share: float = 0.8) -> DataFrame:
     return df.withColumn("is_train", F.unix_timestamp("ts") <= (cut[0] if cut else 0))
 
 
+#: Rows of a task when models are fitted.
+FIT_ROWS = 1 << 16
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df computed once and kept, whole symbols in as many partitions as its rows ask for: boosters run hundreds of jobs over it, and each pays
+    for every partition, and for everything before it that is not kept."""
+    kept = df.persist()
+    n = max(1, -(-kept.count() // FIT_ROWS))
+    out = kept.repartition(n, "symbol").sortWithinPartitions("symbol", "ts").persist()
+    out.count()
+    kept.unpersist()
+    return out
+
+
+def fitted(pipes: dict[object, tuple[Pipeline, DataFrame]], at_once: int = 6) -> dict[object, PipelineModel]:
+    """The models, several at a time as in Spark's cross-validation: they do not depend on each other, and their jobs are many and small."""
+    if not pipes:
+        return {}
+    own = inheritable_thread_target(next(iter(pipes.values()))[1].sparkSession)
+    with ThreadPool(at_once) as pool:
+        return dict(zip(pipes, pool.map(own(lambda x: x[0].fit(x[1])), pipes.values(), 1), strict=True))
+
+
 def learners(features: list[str], seed: int = 42, rounds: int = 20, trees: int = 40) -> dict[str, Pipeline]:
     """Scaled features and one tree ensemble each."""
     ready = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
@@ -82,23 +109,22 @@ def signal_of(p: Column, sure: Column, long: float = 0.6, short: float = 0.4, le
 
 def stacked(df: DataFrame, features: list[str], n_folds: int = 5, gap: int = 20, seed: int = 42, rounds: int = 20, trees: int = 40) -> tuple[DataFrame, list[PipelineModel]]:
     """Learners fitted on the training part, a logistic model on their out-of-fold scores; adds p, confidence, signal."""
-    whole = dated(df)
+    whole = dated(gathered(df))
     train = folds(whole.where("is_train"), n_folds, gap).persist()
-    scored = None
-    for k in range(1, n_folds + 1):  # each fold is scored by models of the bars before it
-        part, before = train.where(c("fold") == k), train.where(c("trains_from") <= k)
-        if before.select("target").distinct().count() < 2:
-            continue
-        for name, pipe in learners(features, seed, rounds, trees).items():
-            part = score(pipe.fit(before), part, name)
-        scored = part if scored is None else scored.union(part)
-    names = [f"p_{x}" for x in learners(features)]
-    models = []
-    for name, pipe in learners(features, seed, rounds, trees).items():
-        models.append(pipe.fit(train))
-        whole = score(models[-1], whole, name)
-    if scored is None:
+    scored, pipes = None, learners(features, seed, rounds, trees)
+    before = {k: train.where(c("trains_from") <= k) for k in range(1, n_folds + 1)}  # each fold is scored by models of the bars before it
+    before = {k: x for k, x in before.items() if x.select("target").distinct().count() > 1}
+    if not before:
         raise ValueError("too few bars of both classes for the folds")
+    found = fitted({(k, name): (pipe, x) for k, x in [*before.items(), (None, train)] for name, pipe in pipes.items()})
+    for k in before:
+        part = train.where(c("fold") == k)
+        for name in pipes:
+            part = score(found[k, name], part, name)
+        scored = part if scored is None else scored.union(part)
+    names, models = [f"p_{x}" for x in pipes], [found[None, name] for name in pipes]
+    for name, model in zip(pipes, models, strict=True):
+        whole = score(model, whole, name)
     meta = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol="target", featuresCol="features")]).fit(scored)
     out = meta.transform(whole).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
     out = out.withColumn("confidence", confidence([c(x) for x in names], c("p")))
@@ -147,23 +173,22 @@ def error_weights(df: DataFrame, predictions: list[str], label: str = "target")
 def stacked_regression(df: DataFrame, features: list[str], n_folds: int = 5, gap: int = 20, rounds: int = 500, tolerance: float = 0.01, penalty: float = 1.0, seed: int = 42) -> tuple[DataFrame, list[PipelineModel]]:
     """Boosters with early stop, fitted on the training part (by a date that all symbols share); a ridge regression on their
     out-of-fold predictions, and weights by the inverse of their out-of-fold errors. Adds p_<booster>, p (ridge), p_weighted and is_train."""
-    whole = dated(df)
+    whole = dated(gathered(df))
     train = folds(whole.where("is_train"), n_folds, gap).persist()
-    scored = None
-    for k in range(1, n_folds + 1):
-        part, before = train.where(c("fold") == k), held_back(train.where(c("trains_from") <= k).drop("is_train"))
-        if before.where("not is_valid").isEmpty() or before.where("is_valid").isEmpty():
-            continue
-        for name, pipe in boosters(features, "regression", rounds, tolerance=tolerance, seed=seed).items():
-            part = predicted(pipe.fit(before), part, name)
-        scored = part if scored is None else scored.union(part)
-    if scored is None:
+    scored, pipes = None, boosters(features, "regression", rounds, tolerance=tolerance, seed=seed)
+    before = {k: held_back(train.where(c("trains_from") <= k).drop("is_train")) for k in range(1, n_folds + 1)}
+    before = {k: x for k, x in before.items() if not x.where("not is_valid").isEmpty() and not x.where("is_valid").isEmpty()}
+    if not before:
         raise ValueError("too few bars for the folds")
-    names = [f"p_{x}" for x in BOOSTERS]
-    models, last = [], held_back(train.drop("is_train"))
-    for name, pipe in boosters(features, "regression", rounds, tolerance=tolerance, seed=seed).items():
-        models.append(pipe.fit(last))
-        whole = predicted(models[-1], whole, name)
+    found = fitted({(k, name): (pipe, x) for k, x in [*before.items(), (None, held_back(train.drop("is_train")))] for name, pipe in pipes.items()})
+    for k in before:
+        part = train.where(c("fold") == k)
+        for name in pipes:
+            part = predicted(found[k, name], part, name)
+        scored = part if scored is None else scored.union(part)
+    names, models = [f"p_{x}" for x in BOOSTERS], [found[None, name] for name in pipes]
+    for name, model in zip(pipes, models, strict=True):
+        whole = predicted(model, whole, name)
     meta = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LinearRegression(labelCol="target", featuresCol="features", regParam=penalty, elasticNetParam=0.0)]).fit(scored)
     weight = {r["learner"]: r["weight"] for r in error_weights(scored, names).collect()}  # one row a learner
     out = meta.transform(whole).withColumnRenamed("prediction", "p").drop("features")
