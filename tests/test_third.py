@@ -387,3 +387,16 @@ def test_fitting_on_few_partitions(spark):
     assert got == sorted(map(tuple, rows.collect()), key=lambda r: r[:2])
     one, two = (E.stacked(rows.repartition(n), ["a", "b"], n_folds=2, gap=2, rounds=2, trees=2)[0].select("symbol", "ts", "p") for n in (3, 11))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_lexicon_without_a_shuffle_of_words(spark, data):
+    """The words of all texts are not dealt out to meet the lexicon, nor by document and word to count them."""
+    from tidemill import queries as Q
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = Q.doc_sentiment(spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [word" not in plan and "BroadcastHashJoin [word" in plan
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(doc_id#" in plan and plan.count("keys=[doc_id#") and ", word#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
