@@ -116,6 +116,18 @@ def test_components_with_hubs(spark, monkeypatch):
     assert sorted(common.key_join(rows, sizes, "k", "n", 100).select("k", "v", "i").collect()) == sorted((1 if i % 10 else 2, "a" if i % 10 else "b", i) for i in range(100))
 
 
+def test_components_take_no_round_more_than_they_need(spark, monkeypatch):
+    """Stars are seen at once (the edges and the stars are written), a path of three after one round, which writes two tables and the stars again."""
+    from tidemill.llm import common
+
+    calls, real = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, *parts: calls.append(1) or real(df, *parts))
+    for edges, tables in (([(1, i) for i in range(2, 9)] + [(20, 21)], 2), ([(1, 2), (2, 3)], 5)):
+        calls.clear()
+        got = {r["node"]: r["component"] for r in common.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {b: min(1 if b < 20 else 20, b) for _, b in edges} and len(calls) == tables
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     for j in (0.3, 0.6, 0.9):
@@ -293,6 +305,21 @@ def test_language_and_families(spark, odd_rows):
 
 
 # ---- op9
+def test_language_fit_holds_the_sample_once(spark):
+    """Of the driver's memory the fit takes the matrix of the sample and little besides."""
+    import tracemalloc
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tracemalloc.start()
+    try:
+        model = language.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    n = docs.where("lang is not null").count()
+    assert sorted(model.families) == ["germanic", "romance"] and peak < 1.5 * n * language.DIM * 4
+
+
 def test_toxicity_marks_and_marginals(spark, odd_rows):
     rng = random.Random(5)
     rows, labels = [], []
