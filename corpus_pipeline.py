@@ -4,14 +4,16 @@ one before it kept, and is written as Parquet."""
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm import byte_bpe, language, mixing, near_dedup, repeats
-from tidemill.llm.common import fold, table, written
+from tidemill.llm.common import fold, stored, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SIMILAR = 80
+MIXTURE = "tidemill.mixture"  # in the metadata of doc_id: the table with the place of each row in the mixture
+PARTS, LEAST_PART = 8192, 64  # stretches of the mixture whose tokens are added up, and the least rows of one
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,18 +49,44 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return cut.where(F.length("kept") > 0).select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """The documents with `row`, a hash by which a row is found again in whatever partition; equal rows are numbered first."""
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))
+    if (rows.groupBy("row").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= 1:
+        return rows
+    again = F.row_number().over(Window.partitionBy("row").orderBy("doc_id", "source", "lang", "n_chars"))
+    return rows.withColumn("again", again).withColumn("row", F.xxhash64("row", "again")).drop("again")
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources by their natural shares, in its order; every document has a place in it."""
-    mix = mixing.mix(docs.select(*COLUMNS), carry=("text", "lang", "n_chars"))
+    """The mixture of sources by their natural shares, in its order; every document has a place in it. The places are stored, and
+    named in the metadata of doc_id, which outlive a Parquet table: the next stage lays out its tokens by them."""
+    rows = _told_apart(docs)
+    places = stored(mixing.mix(rows.select("doc_id", "source", "row"), carry=("row",)).select("row", "position"))
+    mix = rows.join(spark.read.parquet(places), "row")
     ordered = mix.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "position").sortWithinPartitions("position")
-    return ordered.select(*COLUMNS)
+    return ordered.select(F.col("doc_id").alias("doc_id", metadata={MIXTURE: places}), *COLUMNS[1:])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes every text: doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256."""
+    """Encodes and decodes every text: doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, and where the tokens lie in the
+    training sequence that the mixture sets: position of the document, first_token (tokens of the documents before it). Both are null for
+    documents that the mixing stage has not placed."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.round_trip(docs.select(*COLUMNS), path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    places = docs.schema["doc_id"].metadata.get(MIXTURE)
+    rows = _told_apart(docs) if places else docs.select(*COLUMNS, F.lit(0).cast("long").alias("row"))
+    coded = byte_bpe.round_trip(rows, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "row"))
+    own = ("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    if not places:
+        return coded.select(*own, F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("first_token"))
+    placed = written(coded.join(spark.read.parquet(places), "row", "left").select(*own, "position"))
+    # tokens of earlier stretches, then of earlier documents in the stretch
+    width = max(LEAST_PART, -(-placed.count() // PARTS))
+    placed = placed.withColumn("part", F.floor(F.col("position") / width))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.where("part is not null").groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(upto(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n_tokens").over(upto(Window.partitionBy("part").orderBy("position"))), F.lit(0))
+    return placed.withColumn("inside", inside).join(F.broadcast(before), "part", "left").select(*own, "position", (F.col("before") + F.col("inside")).alias("first_token"))
 
 
 STAGES = [

@@ -35,6 +35,26 @@ def test_mixing_stage_keeps_every_document(spark):
     assert sorted(map(tuple, got.collect())) == sorted(rows)
 
 
+def test_mixture_sets_where_tokens_lie(spark, tmp_path):
+    """Places and first tokens follow the mixture, also after the stage's rows were written by others and read in another order, and with equal
+    rows; without the stage there are none."""
+    rows = [(i, f"text {i} " + "word " * (i % 7), "en", "small" if i % 20 == 0 else None if i == 7 else "hot", 6) for i in range(203)] + [(5, "twice", "en", "hot", 5)] * 2 + [(None, "no id", "en", "hot", 5)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixed_sources(spark, docs, "")
+    mixed.write.parquet(str(tmp_path / "m"))
+    there = spark.read.parquet(str(tmp_path / "m")).repartition(5)
+    got = sorted(corpus_pipeline.tokens(spark, there, "").collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(len(rows)))
+    sums = 0
+    for r in got:
+        assert r["first_token"] == sums
+        sums += r["n_tokens"]
+    key = lambda r: (r["position"], r["doc_id"], r["source"])
+    assert [key(r) for r in got] == sorted(map(key, corpus_pipeline.mixing.mix(docs, carry=("text",)).collect()))
+    plain = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert {(r["position"], r["first_token"]) for r in plain} == {(None, None)} and sorted(r["ids_sha256"] for r in plain) == sorted(r["ids_sha256"] for r in got)
+
+
 def test_near_duplicate_stage_from_80(spark):
     """Copies of 300 words with 6 (Jaccard 0.816) and 5 scattered edits (0.844) go, those with 7 (0.788) stay; op2 starts at 0.85."""
     rows = []
