@@ -1,5 +1,6 @@
 """The corpus pipeline: language ID, near-duplicates, repeated strings, mixing, byte-level BPE. Each stage works on all that the
-one before it kept, and is written as Parquet."""
+one before it kept, and is written as Parquet. The stages hold the session to small Arrow batches (BATCH), by which the memory of
+executors and their Python workers does not follow the length of the texts."""
 
 from __future__ import annotations
 
@@ -8,16 +9,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm import byte_bpe, language, mixing, near_dedup, repeats
-from tidemill.llm.common import fold, stored, table, written
+from tidemill.llm.common import ARROW, fold, stored, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SIMILAR = 80
+BATCH = 8 << 20  # bytes of a batch (and one row) that a task sends to its Python worker
 MIXTURE = "tidemill.mixture"  # in the metadata of doc_id: the table with the place of each row in the mixture
 PARTS, LEAST_PART = 8192, 64  # stretches of the mixture whose tokens are added up, and the least rows of one
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """From now on the session sends batches of BATCH bytes: what a stage returns is only run when its caller writes it."""
+    spark.conf.set(ARROW, str(BATCH))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: those that are null or have no letter go. lang becomes the predicted language."""
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = language.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
     found = language.predict(docs, model, keep=("doc_id", "source", "n_chars", "text"))
@@ -37,6 +45,7 @@ def _once(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (SIMILAR percent or more), the one with the smallest id."""
+    _small_batches(spark)
     docs = _once(docs.select(*COLUMNS))
     gone = near_dedup.near_duplicates(docs, percent=SIMILAR).where("not kept").select("doc_id")
     return docs.join(written(gone), "doc_id", "left_anti").select(*COLUMNS)
@@ -44,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts from each document what repeats an earlier one, by whole code points; documents of which nothing is left go."""
+    _small_batches(spark)
     cut = repeats.remove_repeats(docs.select(*COLUMNS), whole_letters=True, carry=("lang", "source"))
     text = F.col("kept").cast("string")
     return cut.where(F.length("kept") > 0).select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
@@ -72,6 +82,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text: doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, and where the tokens lie in the
     training sequence that the mixture sets: position of the document, first_token (tokens of the documents before it). Both are null for
     documents that the mixing stage has not placed."""
+    _small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     places = docs.schema["doc_id"].metadata.get(MIXTURE)
     rows = _told_apart(docs) if places else docs.select(*COLUMNS, F.lit(0).cast("long").alias("row"))

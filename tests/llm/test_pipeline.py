@@ -83,3 +83,36 @@ def test_odd_tables(spark, tmp_path):
         got = corpus_pipeline.run(spark, str(tmp_path / f"{n}")).collect()
         ids = [r["doc_id"] for r in got]
         assert len(ids) == len(set(ids)) and set(ids) <= {None, 1, 2, 5} and (len(ids) >= 2 if table else not ids)
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    """No stage that reads texts in Python gets more than the batch and one row at a time, whatever is left to be run by the stage's caller."""
+    most, held = 1 << 16, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(corpus_pipeline, "BATCH", most, raising=False)
+    monkeypatch.setattr(corpus_pipeline.repeats, "BATCH", most)
+    seen = spark.sparkContext.accumulator(0)
+    frame = type(spark.range(0))
+    plain = frame.mapInArrow
+
+    def watched(self, func, schema, *more):
+        def run(batches):
+            def told():
+                for b in batches:
+                    size = max((b.column(i).get_total_buffer_size() for i, f in enumerate(b.schema) if str(f.type) == "string" and len(b)), default=0)
+                    assert size <= 2 * most, size
+                    seen.add(size > most // 2)
+                    yield b
+
+            yield from func(told())
+
+        return plain(self, run, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    docs = spark.range(60).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 1000), x -> concat('word ', hex(hash(x, id))))) as text", "'en' as lang", "'s' as source", "1L as n_chars").coalesce(1).cache()
+    try:
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.near_duplicates, corpus_pipeline.repeated_strings, corpus_pipeline.tokens):
+            before = seen.value
+            assert stage(spark, docs, "").count() == 60 and seen.value > before, stage
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", held)
+        docs.unpersist()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import byte_column, written
+from tidemill.llm.common import ARROW, byte_column, written
 
 LENGTH = 100
 GRAM = 12
@@ -35,8 +35,6 @@ CHUNK = 1 << 18  # bytes that are hashed at a time
 BATCH = 8 << 20  # bytes whose phrases a task compares among themselves
 SUFFIXES = 2 << 20  # bytes whose suffixes a task compares among themselves
 
-ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
-
 _rng = np.random.default_rng(7)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _other = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,12 +257,15 @@ def _suffixes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     listed = _merged(marks.where(F.col("kind") == CHECK))
 
     def told(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        w1, w2, doc, p = (np.concatenate(x) for x in zip(*found, strict=True))
-        w2 = (w2 >> np.uint64(33)).astype(np.int64)
-        order = np.lexsort((p, doc, w2, w1))
-        w1, w2, doc, p = w1[order], w2[order], doc[order], p[order]
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+        found.clear()
+        order = np.lexsort(columns[::-1])
+        for i, x in enumerate(columns):  # one at a time: only one is held twice
+            columns[i] = x[order]
+        del order, x
+        w1, w2, doc, p = columns
         new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
-        yield from _rows([np.where(new, w1, _mixed(doc.astype(np.uint64))).view(np.int64), w2.astype(np.int32), doc, p.astype(np.int32), np.where(new, FIRST, REPEAT).astype(np.int32)], ["w1", "w2", "doc", "start", "kind"])
+        yield from _rows([np.where(new, w1, _mixed(doc.astype(np.uint64))).view(np.int64), w2, doc, p, np.where(new, FIRST, REPEAT).astype(np.int32)], ["w1", "w2", "doc", "start", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, SUFFIXES):
@@ -283,11 +284,12 @@ def _suffixes(docs: DataFrame, marks: DataFrame) -> DataFrame:
                         continue
                     part = raw[cut : cut + SUFFIXES + LENGTH - 1]
                     t = np.searchsorted(at, p, "right") - 1
-                    found.append((*(_Spans(part, table).of(p - cut, p - cut + LENGTH) for table in (_byte, _other)), ids[t + row], p - at[t]))
+                    w1, w2 = (_Spans(part, table).of(p - cut, p - cut + LENGTH) for table in (_byte, _other))
+                    found.append((w1, (w2 >> np.uint64(33)).astype(np.int32), ids[t + row], (p - at[t]).astype(np.int32)))
                     many += len(p)
                     if many >= SUFFIXES:
                         yield from told(found)
-                        found, many = [], 0
+                        many = 0
             if found:
                 yield from told(found)
 
